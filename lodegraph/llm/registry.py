@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lodegraph.llm import near_dup
+from lodegraph.llm import decontaminate, line_dedup, near_dup, packing, toxicity
 
 QUERIES = {
+    "op2_simhash_decontamination": decontaminate.query,
+    "op4_fuzzy_line_dedup": line_dedup.query,
+    "op6_shortest_pack_first": packing.query,
     "op7_minhash_near_dedup": near_dup.query,
+    "op8_ftrl_toxicity": toxicity.query,
 }
 
 #: Where SQL has no equal on whole tables there is none; tests/llm compares with brute force.

@@ -136,6 +136,14 @@ class Words:
             i = j
         return out
 
+    def prefixes(self, which: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the first ``n`` bytes of each word given by number; the words are longer than that."""
+        p, _ = _powers(n + 1)
+        h = np.full(len(which), n, dtype=U64)
+        for j in range(n):
+            h += _tables["t"][self.codes[self.start[which] + j]] * p[j + 1]
+        return mix(h)
+
     def rows(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
