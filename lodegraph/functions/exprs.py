@@ -51,7 +51,7 @@ def csv_quote(s: Column) -> Column:
 
 def list_format(items: Column) -> Column:
     """Items joined by ``;``, with a ``;`` inside an item escaped."""
-    return F.array_join(F.transform(items, lambda x: F.replace(x, F.lit(";"), F.lit("\;"))), ";")
+    return F.array_join(F.transform(items, lambda x: F.replace(x, F.lit("\;"), F.lit("\;"))), ";")
 
 
 #: The literals that add a path through a method.
@@ -89,7 +89,7 @@ PRIMITIVES = {"byte": "B", "char": "C", "double": "D", "float": "F", "int": "I",
 def jvm_descriptor(t: Column) -> Column:
     """Descriptor of a type name; anything but a primitive is taken for a class."""
     known = F.create_map(*[F.lit(x) for kv in PRIMITIVES.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, t), F.concat(F.lit("L"), F.replace(t, F.lit("."), F.lit("/")), F.lit(";")))
+    return F.coalesce(F.try_element_at(known, t), F.concat(F.lit("L"), F.replace(t, F.lit("."), F.lit("/")), F.lit("\;")))
 
 
 def descriptor_prefix(params: Column) -> Column:
