@@ -51,7 +51,7 @@ def csv_quote(s: Column) -> Column:
 
 def list_format(items: Column) -> Column:
     """Items joined by ``;``, with a ``;`` inside an item escaped."""
-    return F.array_join(F.transform(items, lambda x: F.replace(x, F.lit("\;"), F.lit("\;"))), ";")
+    return F.array_join(F.transform(items, lambda x: F.replace(x, F.lit(";"), F.lit("\\;"))), ";")
 
 
 #: The literals that add a path through a method.
