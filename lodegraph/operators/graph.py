@@ -84,15 +84,16 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def walks(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """``start, node_id, depth, n``: callers over 1 to ``max_depth`` edges with the number of walks, counted as they go instead of listed."""
-    back = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("up"))
-    frontier = start.select(F.col("node_id").alias("start"), "node_id", F.lit(1).cast("long").alias("n"))
-    out = None
-    for d in range(1, max_depth + 1):
-        frontier = frontier.join(back, "node_id").groupBy("start", F.col("up").alias("node_id")).agg(F.sum("n").alias("n"))
-        row = frontier.select("start", "node_id", F.lit(d).alias("depth"), "n")
-        out = row if out is None else out.union(row)
+def caller_counts(edges: DataFrame, max_depth: int) -> DataFrame:
+    """``node_id, depth, n``: for every node the number of call chains of each length that end at it.
+
+    Chains are counted step by step, one row a node, so a step costs one join of edges with nodes.
+    """
+    step = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n"))
+    out = step.select("node_id", F.lit(1).alias("depth"), "n")
+    for d in range(2, max_depth + 1):
+        step = edges.join(step, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum("n").alias("n")).withColumnRenamed("dst", "node_id")
+        out = out.union(step.select("node_id", F.lit(d).alias("depth"), "n"))
     return out
 
 

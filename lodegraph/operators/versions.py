@@ -30,6 +30,11 @@ def match(v1: DataFrame, v2: DataFrame, key: str = "node_id") -> DataFrame:
     return pairs.select(key, "source1", "source2", X.confidence(F.col("source1"), F.col("source2")).alias("confidence"))
 
 
+def ratio_score(a, b, weight: float):
+    """``weight`` times how near two sizes are; nothing unless both are positive."""
+    return F.when((a > 0) & (b > 0), F.lit(weight) * (1 - F.abs(a - b) / F.greatest(a, b))).otherwise(F.lit(0.0))
+
+
 def diff(v1: DataFrame, v2: DataFrame, key: str = "node_id") -> DataFrame:
     """Status of every key of either version, one row each, in one full outer join."""
     both = v1.select(key, F.col("source").alias("s1"), F.lit(True).alias("in1")).join(v2.select(key, F.col("source").alias("s2"), F.lit(True).alias("in2")), key, "full_outer")

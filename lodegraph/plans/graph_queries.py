@@ -105,20 +105,24 @@ def _graph(s, d):
 add("neighbors", f"select dst node_id, p_name \"name\" from ({O.GRAPH}) join part on 'P'||p_partkey=dst where src='P1'")(lambda s, d: _graph(s, d).neighbors("P1"))
 add("neighbors_by_type", f"select dst node_id, p_name \"name\" from ({O.GRAPH}) join part on 'P'||p_partkey=dst where src='P1' and src<dst")(lambda s, d: _graph(s, d).neighbors("P1", "CALLS"))
 add("incoming_edges", f"select src, dst from ({O.GRAPH}) where dst='P7'")(lambda s, d: _graph(s, d).incoming("P7").select("src", "dst"))
-_START = "part"
 add("simple_paths_depth3", f"with recursive g as ({O.GRAPH}), p(path, depth) as (select ['P1'], 0 union all select list_append(path, dst), depth+1 from p join g on src=path[-1] where depth<3 and not list_contains(path, dst) and path[-1]<>'P7') select array_to_string(path,'>') path, depth::bigint depth from p where path[-1]='P7'")(lambda s, d: G.simple_paths(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), "P7", 3).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth")))
 add("simple_paths_from", f"with recursive g as ({O.GRAPH}), p(path, depth) as (select ['P1'], 0 union all select list_append(path, dst), depth+1 from p join g on src=path[-1] where depth<2 and not list_contains(path, dst)) select array_to_string(path,'>') path, depth::bigint depth from p where depth>0")(lambda s, d: G.simple_paths(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), None, 2).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth")))
-_SMALL = "select 'P'||p_partkey node_id from part where p_size=1"
-_WALKS = f"with recursive g as ({O.GRAPH}), w(start, node_id, depth) as (select node_id, node_id, 0 from ({_SMALL}) union all select start, src, depth+1 from w join g on dst=node_id where depth<%d)"
+_NEW = f"select node_id from ({O.DIFF}) where version_status='ADDED'"
+_WALKS = f"with recursive g as materialized ({O.GRAPH}), w(start, node_id, depth) as (select node_id, node_id, 0 from ({_NEW}) union select start, src, depth+1 from w join g on dst=node_id where depth<2)"
 
 
-def _small(s, d):
-    return V.table(s, d, "part").where("p_size = 1").select(V.pid("P", "p_partkey").alias("node_id"))
+def _new(s, d):
+    return _diff(s, d).where("version_status = 'ADDED'").select("node_id")
 
 
-add("callers_1_to_3", (_WALKS % 2) + " select start, node_id, depth::bigint depth, count(*) n from w where depth>0 group by all")(lambda s, d: G.walks(V.part_graph(s, d), _small(s, d), 2).withColumn("depth", F.col("depth").cast("bigint")))
-add("tests_to_rerun", (_WALKS % 2) + f" select distinct start, w.node_id test_id from w join ({O.METHODS}) m on m.node_id=w.node_id where depth>0 and kind='TEST_METHOD' and w.node_id<>start")(lambda s, d: G.reach(V.part_graph(s, d), _small(s, d), 2).join(V.methods(s, d).where("kind = 'TEST_METHOD'"), "node_id").select("start", F.col("node_id").alias("test_id")))
-add("impact_levels", (_WALKS % 2) + " select start, node_id, min(depth)::bigint depth, case when min(depth)=1 then 'HIGH' else 'MEDIUM' end impact from w where depth>0 and node_id<>start group by start,node_id")(lambda s, d: G.reach(V.part_graph(s, d), _small(s, d), 2).select("start", "node_id", F.col("depth").cast("bigint").alias("depth"), F.when(F.col("depth") == 1, "HIGH").otherwise("MEDIUM").alias("impact")))
+def _reached(s, d):
+    return G.reach(V.part_graph(s, d), _new(s, d), 2)
+
+
+_C = ", ".join(f"c{i} as (select dst node_id, sum(n) n from g join c{i - 1} on node_id=src group by dst)" for i in (2, 3))
+add("callers_1_to_3", f"with g as materialized ({O.GRAPH}), c1 as (select dst node_id, count(*) n from g group by dst), {_C} " + " union all ".join(f"select node_id, {i}::bigint depth, n::bigint n from c{i}" for i in (1, 2, 3)))(lambda s, d: G.caller_counts(V.part_graph(s, d), 3).withColumn("depth", F.col("depth").cast("bigint")))
+add("tests_to_rerun", _WALKS + f" select distinct start, w.node_id test_id from w join ({O.METHODS}) m on m.node_id=w.node_id where depth>0 and kind='TEST_METHOD' and w.node_id<>start")(lambda s, d: _reached(s, d).join(V.methods(s, d).where("kind = 'TEST_METHOD'"), "node_id").select("start", F.col("node_id").alias("test_id")))
+add("impact_levels", _WALKS + " select start, node_id, min(depth)::bigint depth, case when min(depth)=1 then 'HIGH' else 'MEDIUM' end impact from w where depth>0 and node_id<>start group by start,node_id")(lambda s, d: _reached(s, d).select("start", "node_id", F.col("depth").cast("bigint").alias("depth"), F.when(F.col("depth") == 1, "HIGH").otherwise("MEDIUM").alias("impact")))
 add("core_unchanged_indegree", f"select d.node_id, count(*) callers from ({O.DIFF}) d join ({O.GRAPH}) g on g.dst=d.node_id where version_status='UNCHANGED' group by 1 having count(*)>10")(lambda s, d: V.part_graph(s, d).join(_diff(s, d).where("version_status = 'UNCHANGED'").select(F.col("node_id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("callers")).where("callers > 10"))
 
 

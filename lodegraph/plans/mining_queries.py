@@ -52,8 +52,8 @@ def _pairs(s, d):
 add("covered_pairs", "select distinct 'O'||l_orderkey commit_id, 'S'||l_suppkey test_id, 'P'||l_partkey focal_id, case when l_linestatus='O' then 'new' else 'old' end side from lineitem where l_quantity>25")(lambda s, d: _pairs(s, d).where("covered").select("commit_id", "test_id", "focal_id", "side").distinct())
 _STATUS = "select commit_id, case when n<2 or o<2 then 'failed' else 'success' end status, case when n<2 then 'new_coverage_less_than_2' when o<2 then 'old_coverage_less_than_2' end reason, (case when n<2 or o<2 then 0 else n end)::bigint new_pairs, (case when n<2 or o<2 then 0 else o end)::bigint old_pairs from (select 'O'||l_orderkey commit_id, count(distinct l_suppkey||'/'||l_partkey) filter (l_linestatus='O' and l_quantity>25) n, count(distinct l_suppkey||'/'||l_partkey) filter (l_linestatus<>'O' and l_quantity>25) o from lineitem group by 1)"
 add("coverage_status", _STATUS)(lambda s, d: M.coverage_status(_pairs(s, d)).select("commit_id", "status", "reason", F.size("new_pairs").cast("bigint").alias("new_pairs"), F.size("old_pairs").cast("bigint").alias("old_pairs")))
-add("coverage_accumulates", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, max((l_quantity>25)::int) over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey) = 1 covered from lineitem where l_linestatus='F' and l_returnflag='A' and l_discount<0.02")(
-    lambda s, d: V.table(s, d, "lineitem").where("l_linestatus = 'F' and l_returnflag = 'A' and l_discount < 0.02").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "max(cast(l_quantity > 25 as int)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) = 1 as covered"))
+add("coverage_accumulates", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, max((l_quantity>25)::int) over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey) = 1 covered from lineitem")(
+    lambda s, d: V.table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "max(cast(l_quantity > 25 as int)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) = 1 as covered"))
 add("progress_counters", "select c_mktsegment project, count(*) processed, count(*) filter (o_orderstatus='F') successful, round(100.0*count(*) filter (o_orderstatus='F')/count(*),2)::double pct from orders join customer on c_custkey=o_custkey group by 1")(lambda s, d: V.table(s, d, "orders").join(V.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("project")).agg(F.count("*").alias("processed"), F.count_if(F.col("o_orderstatus") == "F").alias("successful"), F.round(F.lit(100.0) * F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 2).alias("pct")))
 add("resume_cursor", "select o_orderkey from orders where o_orderkey>=100 and o_orderkey not in (select l_orderkey from lineitem)")(lambda s, d: V.table(s, d, "orders").where("o_orderkey >= 100").join(V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey"))
 add("upsert_latest", "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r=1")(lambda s, d: M.upsert(V.table(s, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value"))

@@ -51,11 +51,7 @@ add("merged_structural_edges", _MERGED)(lambda s, d: R.merge_edges(V.version_edg
 add("remapped_edges", f"select e.src||'@V2' src, m.node_id||'@V2' dst, count(*) n from ({O.version_edges(1997)}) e join ({O.DIFF}) m on m.node_id=e.dst where m.version_status='ADDED' group by all")(lambda s, d: (lambda e: R.remap(e, e.select(F.col("src").alias("a")).distinct().select("a", X.versioned_id(F.col("a"), F.lit("V2")).alias("b")).union(_diff(s, d).where("version_status = 'ADDED'").select("node_id", X.versioned_id(F.col("node_id"), F.lit("V2"))))).groupBy("src", "dst").agg(F.count("*").alias("n")))(V.version_edges(s, d, 1997)))
 
 
-@add("structural_score", f"select a.node_id v1_id, b.node_id v2_id, round((case when a.source>0 and b.source>0 then 0.2*(1-abs(a.source-b.source)/greatest(a.source,b.source)::double) else 0 end),6)::double score from (select * from ({O.version(1996)}) order by node_id limit 50) a join (select * from ({O.version(1997)}) order by node_id limit 50) b on a.source=b.source")
-def _(s, d):
-    a, b = (V.version(s, d, y).orderBy("node_id").limit(50) for y in (1996, 1997))
-    score = F.lit(0.2) * (1 - F.abs(F.col("sa") - F.col("sb")) / F.greatest("sa", "sb"))
-    return a.toDF("v1_id", "sa").join(b.toDF("v2_id", "sb"), F.col("sa") == F.col("sb")).select("v1_id", "v2_id", F.round(score, 6).alias("score"))
+add("structural_score", f"select a.node_id, round(0.2*(1-abs(a.source-b.source)/greatest(a.source,b.source)::double),6)::double score from ({O.version(1996)}) a join ({O.version(1997)}) b on a.node_id=b.node_id")(lambda s, d: R.match(*_two(s, d)).select("node_id", F.round(R.ratio_score(F.col("source1"), F.col("source2"), 0.2), 6).alias("score")))
 
 
 _SETS = "select l_suppkey k, list_sort(list(distinct l_returnflag||l_linestatus)) x from lineitem where year(l_shipdate)=%d group by 1"

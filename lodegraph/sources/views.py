@@ -54,13 +54,6 @@ def version_edges(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == year).select(pid("S", "l_suppkey").alias("src"), pid("P", "l_partkey").alias("dst"), F.lit("CALLS").alias("edge_type"), F.col("l_linenumber").alias("line"))
 
 
-def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by (date, key) as a linear history: ``commit_id, parent_id, commit_time``."""
-    w = Window.orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf_dir, "orders").select(pid("O", "o_orderkey").alias("commit_id"), "o_orderdate", "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("commit_time"))
-    return o.select("commit_id", F.lag("commit_id").over(w).alias("parent_id"), "commit_time", "o_orderkey")
-
-
 def refactorings(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
     """A refactoring from each part to the next in its order, its type told by the part's key."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
