@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import textkernel as K
+from lodegraph.llm.bloom import build
 from lodegraph.llm.minhash import MinHasher, posterior_floor
 from lodegraph.llm.runtime import Scratch, table
 from lodegraph.llm.setlinks import SetLinks
@@ -73,10 +74,13 @@ def _sketch(k: int, hasher: MinHasher):
     return run
 
 
-def _full_sets(k: int):
+def _full_sets(k: int, wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for b in batches:
+            if wanted is not None:
+                b = b.filter(b["doc_id"].is_valid())
+                b = b.filter(pa.array(wanted.value.has(np.asarray(b["doc_id"]))))
             for lo, hi, hashes, first in _shingle_rows(b["text"], k):
                 sets = [np.unique(hashes[first[r] : first[r + 1]]).tobytes() for r in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "items"])
@@ -121,17 +125,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rows = reps.select("id", "n", F.posexplode("keys").alias("b", "k")).select(F.expr("b * 4294967296L + (k & 4294967295L)").alias("key"), "id", "n")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        return wanted.mapInArrow(_full_sets(shingle), "id long, items binary").dropDuplicates(["id"])
+        schema = "id long, items binary"
+        if (bloom := build(ids, "id")) is None:
+            wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+            return wanted.mapInArrow(_full_sets(shingle), schema).dropDuplicates(["id"])
+        held = docs.sparkSession.sparkContext.broadcast(bloom)
+        return docs.mapInArrow(_full_sets(shingle, held), schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     def prune(pairs: DataFrame) -> DataFrame:
         sig = reps.select(F.col("id").alias("x"), F.col("sig").alias("p"))
         both = pairs.join(sig, "x").join(sig.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
         return both.select("x", "y", "p", "q").mapInArrow(_bayes(num / den, miss), "x long, y long")
 
-    links, label = SetLinks(scratch, num, den, sets_of, prune).classes(rows)
+    linker = SetLinks(scratch, num, den, sets_of, prune)
+    _, label = linker.classes(linker.collisions(rows))
     # A node is the smallest id of a class of equal sets; one more step covers an id that names several texts.
     found = scratch.write(same.join(label, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "found")
+    scratch.drop(reps)
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -49,18 +49,19 @@ class Scratch:
         self._n += 1
         return f"{self.base}/{self._n:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lodegraph_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
+    def drop(self, *tables: DataFrame, part: str = "") -> None:
+        """Delete tables, or one partition of them, that no later plan reads."""
         for df in tables:
             if path := getattr(df, "_lodegraph_path", None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}".rstrip("/"))
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,66 +33,95 @@ from lodegraph.llm.runtime import Scratch
 PIVOTS = 8
 
 
+def stored(items: pa.Array) -> list[np.ndarray]:
+    """Sets kept as their sorted distinct 64-bit hashes."""
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in items]
+
+
+def bites(batch: pa.RecordBatch, *columns: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose columns hold at most ``limit`` bytes, or one longer row."""
+    size = sum(np.asarray(pc.binary_length(batch[c])).astype(np.int64) for c in columns)
+    edge, lo = np.concatenate([[0], np.cumsum(size)]), 0
+    while lo < batch.num_rows:
+        hi = min(max(int(np.searchsorted(edge, edge[lo] + limit, "right")) - 1, lo + 1), batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 class SetLinks:
     """``num / den`` is the threshold: linked when ``den * |A & B| >= num * |A | B|``.
 
-    ``sets_of(ids)`` takes a one-column table of ids and returns ``id long, items binary``:
-    the sorted distinct 64-bit hashes of that set. ``prune(pairs)`` may drop pairs that are
+    ``sets_of(ids)`` takes a one-column table of ids and returns ``id long, items binary``,
+    from which ``expand`` makes the sorted distinct 64-bit hashes of each set. ``prune(pairs)`` may drop pairs that are
     below the threshold beyond reasonable doubt.
     """
 
-    def __init__(self, scratch: Scratch, num: int, den: int, sets_of: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None):
-        self.scratch, self.num, self.den, self.sets_of, self.prune = scratch, num, den, sets_of, prune
+    def __init__(self, scratch: Scratch, num: int, den: int, sets_of: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None, expand: Callable[[pa.Array], list[np.ndarray]] = stored):
+        self.scratch, self.num, self.den, self.sets_of, self.prune, self.expand = scratch, num, den, sets_of, prune, expand
 
-    def classes(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``rows``: ``key long, id long, n int``, the bands of all sets with their sizes. Returns links (x, y) and classes (node, component)."""
-        scratch = self.scratch
+    def collisions(self, rows: DataFrame) -> DataFrame:
+        """Buckets with several ids, from ``key long, id long, n int``: the rows and each bucket's smallest id ``p``."""
         low = rows.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q").select("key", "p")
-        multi = scratch.write(rows.join(low, "key").distinct(), "multi")
-        pivots = multi.where("id = p").select("key", F.col("n").alias("pn"))
-        first = multi.where("id <> p").join(pivots.distinct(), "key").where(self._sizes("n", "pn")).select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct()
-        links = self._verify(first)
+        return self.scratch.write(rows.join(low, "key").distinct(), "multi")
+
+    def classes(self, multi: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``multi``: ``key, id, p`` and, where known, the set size ``n``: members of buckets and a pivot for each. Returns links (x, y) and classes (node, component); ``multi`` is deleted."""
+        scratch = self.scratch
+        self.sized, self.temporary = "n" in multi.columns, []
+        if self.sized:
+            sizes = multi.where("id = p").select("key", "p", F.col("n").alias("pn")).distinct()
+            first = multi.where("id <> p").join(sizes, ["key", "p"]).where(self._sizes("n", "pn"))
+        else:
+            first = multi.where("id <> p")
+        links = self._verify(first.select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct())
         label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
 
         mixed = self._mixed(multi, label, 2)
         few = mixed.where(F.expr(f"pmod(xxhash64(id), 1000000) * m < {PIVOTS}000000"))
-        pairs = self._across(few, mixed.select("key", "id", "n", "c"))
-        more = self._verify(pairs)
-        links = scratch.write(links.union(more).distinct(), "links")
-        label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
+        more = self._verify(self._across(few, mixed))
+        if not more.isEmpty():
+            links = scratch.write(links.union(more).distinct(), "links")
+            label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
 
         rest = scratch.write(self._mixed(mixed.drop("c", "m"), label, PIVOTS + 1).select("id", "c").distinct(), "rest")
-        if rest.isEmpty():
-            return links, label
-        last = self._verify(self._prefix_pairs(rest))
-        if last.isEmpty():
-            return links, label
-        links = scratch.write(links.union(last).distinct(), "links")
-        return links, components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
+        self.temporary.append(rest)
+        if not rest.isEmpty():
+            last = self._verify(self._prefix_pairs(rest))
+            if not last.isEmpty():
+                links = scratch.write(links.union(last).distinct(), "links")
+                label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
+        scratch.drop(multi, *self.temporary)
+        return links, label
 
     def _sizes(self, a: str, b: str) -> str:
         return f"{self.den}L * least({a}, {b}) >= {self.num}L * greatest({a}, {b})"
 
     def _mixed(self, multi: DataFrame, label: DataFrame, least: int) -> DataFrame:
         """Rows of the buckets with at least ``least`` members and more than one class: key, id, n, class c, size m."""
-        named = multi.select("key", "id", "n").join(label, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        own = ["key", "id", *(["n"] if self.sized else [])]
+        named = multi.select(*own).distinct().join(label, F.col("id") == F.col("node"), "left").select(*own, F.coalesce("component", "id").alias("c"))
         big = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(f"lo <> hi and m >= {least}").select("key", "m")
-        return self.scratch.write(named.join(big, "key"), "mixed")
+        self.temporary.append(out := self.scratch.write(named.join(big, "key"), "mixed"))
+        return out
 
     def _across(self, few: DataFrame, many: DataFrame) -> DataFrame:
-        a = few.select("key", F.col("id").alias("ia"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        on = (a["key"] == many["key"]) & (F.col("ca") != F.col("c")) & F.expr(self._sizes("na", "n"))
-        return many.join(a, on).select(F.least("ia", "id").alias("x"), F.greatest("ia", "id").alias("y")).distinct()
+        a = few.select(*[F.col(c).alias(f"{c}a") for c in few.columns])
+        on = (F.col("keya") == F.col("key")) & (F.col("ca") != F.col("c"))
+        if self.sized:
+            on &= F.expr(self._sizes("na", "n"))
+        return many.join(a, on).select(F.least("ida", "id").alias("x"), F.greatest("ida", "id").alias("y")).distinct()
 
     def _prefix_pairs(self, rest: DataFrame) -> DataFrame:
         """Pairs of different classes that pass the prefix, size and position filters."""
-        num, den = self.num, self.den
+        num, den, expand = self.num, self.den, self.expand
 
         def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            np.seterr(over="ignore")
             for b in batches:
-                for i in range(b.num_rows):
-                    v = np.frombuffer(b["items"][i].as_py(), dtype=np.int64)
-                    yield pa.RecordBatch.from_pydict({"id": np.full(len(v), b["id"][i].as_py()), "item": v})
+                for b in bites(b, "items"):
+                    sets = expand(b["items"])
+                    ids = np.repeat(np.asarray(b["id"]), [len(v) for v in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "item"])
 
         flat = self.scratch.write(self.sets_of(rest.select("id")).mapInArrow(items, "id long, item long"), "items")
         spread = flat.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
@@ -100,6 +130,7 @@ class SetLinks:
         prefix = ranked.withColumn("alone", F.expr("n - size(o)")).withColumn("len", F.expr(f"n - ({num}L * n + {den - 1}) div {den} + 1"))
         rows = prefix.select("id", "n", F.posexplode(F.expr("slice(o, 1, cast(greatest(0, len - alone) as int))")).alias("i", "e"), "alone").select("id", "n", (F.col("i") + F.col("alone")).alias("i"), F.col("e.item").alias("item"))
         rows = self.scratch.write(rows.join(rest, "id"), "prefix")
+        self.temporary += [flat, rows]
         split = rows.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("item")
         rows = rows.join(split, "item")
         a = rows.select(*[F.col(c).alias(f"{c}a") for c in ("item", "id", "n", "i", "c")])
@@ -110,16 +141,18 @@ class SetLinks:
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets meet the threshold."""
-        num, den = self.num, self.den
+        num, den, expand = self.num, self.den, self.expand
         pairs = self.scratch.write(self.prune(pairs) if self.prune else pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs.select("x", "y")
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
         sets = self.scratch.write(self.sets_of(ids), "sets")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            np.seterr(over="ignore")
+            for b in (x for batch in batches for x in bites(batch, "p", "q")):
                 keep = []
-                for p, q in zip(b["p"], b["q"], strict=True):
-                    u, v = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (p, q))
+                for u, v in zip(expand(b["p"]), expand(b["q"]), strict=True):
                     n = overlap(u, v)
                     keep.append(den * n >= num * (len(u) + len(v) - n))
                 yield pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
