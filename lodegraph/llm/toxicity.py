@@ -125,7 +125,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held: int, modulus:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int = 1, modulus: int = 3, limit: int = MAX_ROWS) -> tuple[np.ndarray, float | None]:
     """Dense float32 weights (4 MB) and the bias; the bias is None where there is nothing to learn from."""
     ship(docs.sparkSession)
-    found = labelled(docs, labels, label, held, modulus, limit).coalesce(1).mapInArrow(_train, "place long, weight double").toPandas()
+    # A shuffle of at most ``limit`` rows: coalescing instead would read all documents in one task.
+    found = labelled(docs, labels, label, held, modulus, limit).repartition(1).mapInArrow(_train, "place long, weight double").toPandas()
     weights = np.zeros(1 << BITS, dtype=np.float32)
     own = found[found["place"] >= 0]
     weights[own["place"].to_numpy()] = own["weight"].to_numpy()
