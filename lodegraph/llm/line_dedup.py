@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import textkernel as K
+from lodegraph.llm.bloom import build
 from lodegraph.llm.minhash import MinHasher
-from lodegraph.llm.runtime import Scratch, table
+from lodegraph.llm.runtime import Scratch, table, tasks
 from lodegraph.llm.setlinks import SetLinks
 
 #: A pair at 0.8 shares no band with chance 6e-4, one at 0.9 with chance 1e-6.
@@ -32,8 +33,8 @@ _LOWER[65:91] += 32
 class Lines:
     """Lines of some rows, split at line feeds: trimmed byte range, row, number in the row, and character shingles."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, shingle: int, min_chars: int):
-        low = _LOWER[buf]
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, shingle: int, min_chars: int, sets: bool = True):
+        low = self.low = _LOWER[buf]
         n = np.diff(offs)
         breaks = np.flatnonzero(low == 10)
         begin = np.sort(np.concatenate([offs[:-1], breaks + 1]))
@@ -55,19 +56,23 @@ class Lines:
         solid = np.flatnonzero(~_BLANK[low] & (low != 10))
         i, j = np.searchsorted(solid, begin), np.searchsorted(solid, end)
         some = i < j
+        chars = np.flatnonzero((low & 0xC0) != 0x80)
+        raw = np.searchsorted(chars, end) - np.searchsorted(chars, begin)
         begin = np.where(some, solid[np.minimum(i, max(len(solid) - 1, 0))] if len(solid) else 0, begin)
         end = np.where(some, solid[j - 1] + 1 if len(solid) else 0, begin)
-        chars = np.flatnonzero((low & 0xC0) != 0x80)
         c0, c1 = np.searchsorted(chars, begin), np.searchsorted(chars, end)
         take = (c1 - c0 >= max(min_chars, shingle)) & some
         self.row, self.number, self.begin, self.end = self.row[take], self.number[take], begin[take], end[take]
+        self.chars = raw[take]
+        self.hash = self._spans(low, self.begin, self.end)
+        if not sets:
+            return
         c0, c1 = c0[take], c1[take]
         edge = np.append(chars, len(low))
         count = c1 - c0 - shingle + 1
         self.first = np.concatenate([[0], np.cumsum(count)])
         src = np.arange(int(self.first[-1])) + np.repeat(c0 - self.first[:-1], count)
         self.shingles = self._spans(low, edge[src], edge[src + shingle])
-        self.hash = self._spans(low, self.begin, self.end)
 
     @staticmethod
     def _spans(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -86,16 +91,124 @@ class Lines:
         return out
 
 
-def _sketch(hasher: MinHasher, shingle: int, min_chars: int):
+PAIR = np.dtype([("key", "<u4"), ("h", "<i8")])
+FLUSH, HOT = 2_000_000, 64
+SKETCH = "kind int, doc_id long, line int, h long, chars int, slot int, key long, pairs binary"
+
+
+class _Bands:
+    """(band, key, line hash) triples of one task, thinned and dealt out by slot.
+
+    A bucket with more than ``HOT`` lines in this task becomes rows of its own, with its
+    smallest line as pivot, and only the pivot is dealt out. So a hot bucket sends at most
+    ``HOT`` pairs a flush, and no task has to hold it.
+    """
+
+    def __init__(self, bands: int, slots: int):
+        self.bands, self.slots, self.keys, self.hashes, self.n = bands, slots, [], [], 0
+
+    def add(self, keys: np.ndarray, hashes: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.hashes.append(hashes)
+        self.n += keys.size
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        keys, hashes = np.concatenate(self.keys), np.concatenate(self.hashes)
+        self.keys, self.hashes, self.n = [], [], 0
+        hashes, at = np.unique(hashes, return_index=True)
+        keys = keys[at]
+        for band in range(self.bands):
+            own = keys[:, band]
+            order = np.argsort(own, kind="stable")  # the smallest hash of a key comes first
+            k, h = own[order], hashes[order]
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(head, len(k)))
+            if len(hot := np.flatnonzero(size > HOT)):
+                inside = np.repeat(size > HOT, size)
+                pivot = np.repeat(h[head], size)[inside]
+                yield _rows(2, len(pivot), h=h[inside], key=(band << 32) | k[inside].astype(np.int64), chars=None, pairs=None, pivot=pivot)
+                keep = ~inside
+                keep[head[hot]] = True
+                k, h = k[keep], h[keep]
+            pairs = np.empty(len(k), dtype=PAIR)
+            pairs["key"], pairs["h"] = k, h
+            slot = (k % np.uint32(self.slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            edge = np.searchsorted(slot[order], np.arange(self.slots + 1))
+            blobs = [pairs[order[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            used = [i for i, x in enumerate(blobs) if x]
+            yield _rows(1, len(used), slot=[band * self.slots + i for i in used], pairs=[blobs[i] for i in used])
+
+
+def _rows(kind: int, n: int, pivot=None, **cols) -> pa.RecordBatch:
+    """A batch of the sketch; ``doc_id`` holds the pivot in rows of hot buckets."""
+    types = {"doc_id": pa.int64(), "line": pa.int32(), "h": pa.int64(), "chars": pa.int32(), "slot": pa.int32(), "key": pa.int64(), "pairs": pa.binary()}
+    cols = cols | ({"doc_id": pivot} if pivot is not None else {})
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *(pa.nulls(n, t) if cols.get(c) is None else cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c], t) for c, t in types.items())], names=["kind", *types])
+
+
+def _sketch(hasher: MinHasher, shingle: int, min_chars: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        bands = _Bands(hasher.bands, slots)
         for b in batches:
             for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
                 x = Lines(buf, offs, shingle, min_chars)
-                keys = hasher.band_keys(hasher.signatures(x.shingles, x.first)).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, hasher.bands), pa.int32()), pa.array(keys.reshape(-1)))
-                ids = b["doc_id"].slice(lo, hi - lo).take(pa.array(x.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(x.number, pa.int32()), pa.array(x.hash.view(np.int64)), pa.array(np.diff(x.first), pa.int32()), lists], names=["doc_id", "line", "h", "n", "keys"])
+                hashes = x.hash.view(np.int64)
+                bands.add(hasher.band_keys(hasher.signatures(x.shingles, x.first)), hashes)
+                yield _rows(0, len(hashes), doc_id=b["doc_id"].slice(lo, hi - lo).take(pa.array(x.row)), line=x.number, h=hashes, chars=x.chars)
+                if bands.n > FLUSH:
+                    yield from bands.flush()
+        if bands.n:
+            yield from bands.flush()
+
+    return run
+
+
+def _buckets(slots: int):
+    """Members of buckets with several lines, from the pairs of whole slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for slot, blob in zip(b["slot"].to_pylist(), b["pairs"].to_pylist(), strict=True):
+                held.setdefault(slot, []).append(blob)
+        for slot in sorted(held):
+            pairs = np.frombuffer(b"".join(held.pop(slot)), dtype=PAIR)
+            order = np.lexsort((pairs["h"], pairs["key"]))
+            k, h = pairs["key"][order], pairs["h"][order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+            k, h = k[new], h[new]
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(head, len(k)))
+            several = np.repeat(size > 1, size)
+            key = ((slot // slots) << 32) | k[several].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h[several], pa.int64()), pa.array(np.repeat(h[head], size)[several], pa.int64())], names=["key", "id", "p"])
+
+    return run
+
+
+def _expand(shingle: int):
+    def run(items: pa.Array) -> list[np.ndarray]:
+        """Shingle sets of trimmed, lower-cased lines."""
+        buf, offs = K.text_buffers(items.cast(pa.string()))
+        x = Lines(buf, offs, shingle, 1)
+        return [np.unique(x.shingles[a:b]) for a, b in zip(x.first[:-1], x.first[1:], strict=True)]
+
+    return run
+
+
+def _bloom_sets(shingle: int, min_chars: int, held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        docs, wanted = held.value
+        for b in batches:
+            b = b.filter(pa.array(docs.has(np.asarray(b["doc_id"]))))
+            for _, _, buf, offs in K.chunks(*K.text_buffers(b["text"])):
+                x = Lines(buf, offs, shingle, min_chars, sets=False)
+                hashes = x.hash.view(np.int64)
+                at = np.flatnonzero(wanted.has(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array([x.low[x.begin[i] : x.end[i]].tobytes() for i in at], pa.binary())], names=["id", "items"])
 
     return run
 
@@ -106,20 +219,20 @@ def _wanted_sets(shingle: int, min_chars: int):
         for b in batches:
             wanted = b["hs"].to_pylist()
             for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
-                x = Lines(buf, offs, shingle, min_chars)
+                x = Lines(buf, offs, shingle, min_chars, sets=False)
                 hashes = x.hash.view(np.int64)
                 ids, sets = [], []
                 for i, h in enumerate(hashes.tolist()):
                     if h in wanted[lo + x.row[i]]:
                         ids.append(h)
-                        sets.append(np.unique(x.shingles[x.first[i] : x.first[i + 1]]).tobytes())
+                        sets.append(x.low[x.begin[i] : x.end[i]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "items"])
 
     return run
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, min_chars: int = MIN_CHARS, num: int = 80, den: int = 100) -> DataFrame:
-    """Occurrences to remove: ``doc_id, line (from 0), class_id, keep_doc, keep_line``.
+    """Occurrences to remove: ``doc_id, line (from 0), chars, class_id, keep_doc, keep_line``.
 
     Lines of fewer than ``min_chars`` characters take no part. Linked: ``den * |A & B| >=
     num * |A | B|``. A null text has no lines; a null id takes no part. Rows that share an
@@ -127,19 +240,31 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     hasher = MinHasher(BANDS, ROWS, seed=29)
-    lines = scratch.write(docs.mapInArrow(_sketch(hasher, shingle, min_chars), "doc_id long, line int, h long, n int, keys array<int>"), "lines")
-    rows = lines.select(F.col("h").alias("id"), "n", F.posexplode("keys").alias("b", "k")).select(F.expr("b * 4294967296L + (k & 4294967295L)").alias("key"), "id", "n")
+    slots = -(-tasks(docs.sparkSession) // BANDS)
+    found = docs.mapInArrow(_sketch(hasher, shingle, min_chars, slots), SKETCH)
+    sketch = scratch.write(found, "sketch", by="kind")
+    lines = sketch.where("kind = 0").select("doc_id", "line", "h", "chars")
 
     def sets_of(ids: DataFrame) -> DataFrame:
+        schema = "id long, items binary"
         at = lines.join(ids, lines["h"] == ids["id"], "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+        if (wanted := build(ids, "id")) is not None:
+            held = docs.sparkSession.sparkContext.broadcast((build(at, "doc_id"), wanted))
+            return docs.mapInArrow(_bloom_sets(shingle, min_chars, held), schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
         wanted = docs.join(at.groupBy("doc_id").agg(F.collect_set("h").alias("hs")), "doc_id")
-        return wanted.select("text", "hs").mapInArrow(_wanted_sets(shingle, min_chars), "id long, items binary").dropDuplicates(["id"])
-
-    _, label = SetLinks(scratch, num, den, sets_of).classes(rows)
-    named = scratch.write(lines.select("doc_id", "line", "h").join(label, F.col("h") == F.col("node"), "left").select("doc_id", "line", F.coalesce("component", "h").alias("c")), "named")
+        return wanted.select("text", "hs").mapInArrow(_wanted_sets(shingle, min_chars), schema).dropDuplicates(["id"])
+
+    dealt = sketch.where("kind = 1").select("slot", "pairs").repartitionById(BANDS * slots, F.col("slot"))
+    multi = dealt.mapInArrow(_buckets(slots), "key long, id long, p long").union(sketch.where("kind = 2").select("key", F.col("h").alias("id"), F.col("doc_id").alias("p")))
+    multi = scratch.write(multi, "multi")
+    for kind in (1, 2):
+        scratch.drop(sketch, part=f"kind={kind}")
+    _, label = SetLinks(scratch, num, den, sets_of, expand=_expand(shingle)).classes(multi)
+    named = lines.join(label, F.col("h") == F.col("node"), "left").select("doc_id", "line", "chars", F.coalesce("component", "h").alias("c"))
+    named = scratch.write(named, "named")
     keep = named.groupBy("c").agg(F.min(F.struct("doc_id", "line")).alias("k"), F.count("*").alias("m")).where("m > 1").select("c", "k.*").toDF("c", "keep_doc", "keep_line")
     out = named.join(keep, "c").where("doc_id <> keep_doc or line <> keep_line")
-    return out.select("doc_id", "line", F.col("c").alias("class_id"), "keep_doc", "keep_line")
+    return out.select("doc_id", "line", "chars", F.col("c").alias("class_id"), "keep_doc", "keep_line")
 
 
 def without_lines(text: str, gone: set[int]) -> str:
@@ -178,17 +303,13 @@ def remove_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: a row for each document: lines removed from it, and length and crc32 of what stays."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    repeated = repeated_lines(docs, Scratch(spark, "op4"))
-    gone = repeated.groupBy("doc_id").agg(F.collect_set("line").alias("gone")).select("doc_id", F.sort_array("gone").alias("removed_lines"))
-    joined = docs.join(gone, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed_lines", i)), "\n"))
-    n = F.size(lines).cast("long")
-    removed = F.coalesce(F.size("removed_lines"), F.lit(0))
-    removed = F.when(removed > 0, removed).otherwise(0).cast("long")
-    return joined.select("doc_id", n.alias("n_lines"), removed.alias("n_removed"), "removed_lines", kept.alias("kept")).select("doc_id", "n_lines", "n_removed", F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), F.length("kept").cast("long").alias("kept_chars"), F.crc32("kept").alias("kept_crc32"))
+    """op4: a row for each document: its lines, those that go, and the length of what stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    gone = repeated_lines(docs, Scratch(spark, "op4")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"), F.sum(F.col("chars") + 1).alias("cut"))
+    sizes = docs.select("doc_id", F.length("text").cast("long").alias("all"), (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+    none = F.array().cast("array<int>")
+    out = sizes.join(gone, "doc_id", "left").withColumn("removed_lines", F.coalesce("removed_lines", none))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.greatest(F.lit(0), F.col("all") - F.coalesce("cut", F.lit(0))).alias("kept_chars"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
