@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _INNER = re.compile(r" (?=\S)")
-CACHE = 300_000
+#: White space at the front, by any rule: ASCII, the separators of ASCII, Unicode.
+_ODD = r"^(?:[\x09-\x0d\x1c-\x20\x{85}]|\p{Z})"
+CACHE = 600_000
 
 
 class Encoder:
@@ -32,23 +35,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, keys: list[str]) -> list[bytes]:
-        young, old, missing = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    missing.append(k)
+        self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
+
+    def _ids(self, names: list[str], before: str) -> list[bytes]:
+        """Ids of ``before + name`` for each name."""
+        young, old = self.caches[before]
+        out = list(map(young.get, names))
+        lacking = [i for i, x in enumerate(out) if x is None] if None in out else []
+        missing = []
+        for i in lacking:
+            k = names[i]
+            if (x := old.get(k)) is None:
+                missing.append(i)
+            else:
+                out[i] = young[k] = x
         if missing:
-            for k, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                young[k] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [young[k] for k in keys]
+            for i, e in zip(missing, self.tokenizer.encode_batch_fast([before + names[i] for i in missing], add_special_tokens=False), strict=True):
+                out[i] = young[names[i]] = array("I", e.ids).tobytes()
         if len(young) > CACHE:
-            self.old, self.young = young, {}
+            self.caches[before] = ({}, young)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,48 +69,42 @@ class Encoder:
         words = lists.flatten().dictionary_encode()
         code, names = np.asarray(words.indices).astype(np.int64), words.dictionary.to_pylist()
         if self.drops_space:
-            keys = names
-        else:
-            opens = np.zeros(len(code), dtype=bool)
-            opens[bounds[:-1]] = True
-            odd = np.array([not x or x[0].isspace() for x in names], dtype=bool)
-            code, keys = self._spaced(code, names, opens)
-            rows = np.unique(np.searchsorted(bounds, np.flatnonzero(odd[np.asarray(words.indices)] & ~opens), "right") - 1)
-            if len(rows):
-                return self._mixed(texts, code, keys, bounds, rows)
-        return self._join(code, keys, bounds)
+            return self._join(code, self._ids(names, ""), bounds)
+        # A row's first stretch has no space before it.
+        opens = bounds[:-1]
+        heads, own = np.unique(code[opens], return_inverse=True)
+        odd = np.asarray(pc.or_(pc.equal(pc.binary_length(words.dictionary), 0), pc.match_substring_regex(words.dictionary, _ODD)))
+        late = odd[code]
+        late[opens] = False
+        rows = np.unique(np.searchsorted(bounds, np.flatnonzero(late), "right") - 1)
+        code[opens] = len(names) + own
+        parts = self._ids(names, " ") + self._ids([names[i] for i in heads], "")
+        return self._mixed(texts, code, parts, bounds, rows) if len(rows) else self._join(code, parts, bounds)
 
     @staticmethod
-    def _spaced(code: np.ndarray, names: list[str], opens: np.ndarray) -> tuple[np.ndarray, list[str]]:
-        pair = code * 2 + opens
-        used = np.flatnonzero(np.bincount(pair, minlength=2 * len(names)))
-        place = np.zeros(2 * len(names), dtype=np.int64)
-        place[used] = np.arange(len(used))
-        return place[pair], [names[u >> 1] if u & 1 else " " + names[u >> 1] for u in used.tolist()]
-
-    def _join(self, code: np.ndarray, keys: list[str], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = self._ids(keys)
-        size = np.fromiter((len(p) >> 2 for p in parts), dtype=np.int64, count=len(parts))
+    def _join(code: np.ndarray, parts: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) >> 2
         begin = np.concatenate([[0], np.cumsum(size)])
         flat = np.frombuffer(b"".join(parts), dtype="<u4")
         n = size[code]
         total = np.concatenate([[0], np.cumsum(n)])
-        src = np.repeat(begin[:-1][code] - total[:-1], n) + np.arange(total[-1])
+        src = np.arange(total[-1])
+        src += np.repeat(begin[:-1][code] - total[:-1], n)
         return flat[src], total[bounds]
 
-    def _mixed(self, texts: pa.Array, code: np.ndarray, keys: list[str], bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _mixed(self, texts: pa.Array, code: np.ndarray, parts: list[bytes], bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``_join``, but the rows given (runs of spaces or other odd white space) are split by the full rule."""
-        more, codes, edge = {}, [], [0]
+        more, codes, edge = list(parts), [], [0]
         odd = set(rows.tolist())
         for r in range(len(texts)):
             if r in odd:
                 head, *tail = _INNER.split(texts[r].as_py())
-                own = [more.setdefault(k, len(keys) + len(more)) for k in [head, *(" " + x for x in tail)]]
-                codes.append(np.array(own, dtype=np.int64))
+                codes.append(np.arange(len(more), len(more) + 1 + len(tail)))
+                more += self._ids([head], "") + self._ids(tail, " ")
             else:
                 codes.append(code[bounds[r] : bounds[r + 1]])
             edge.append(edge[-1] + len(codes[-1]))
-        return self._join(np.concatenate(codes), [*keys, *more], np.array(edge))
+        return self._join(np.concatenate(codes), more, np.array(edge))
 
 
 @lru_cache(4)
@@ -114,7 +113,7 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return Encoder(path, drops_space)
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20):
+def slices(texts: pa.Array, limit: int = 8 << 20):
     """Row ranges of at most ``limit`` bytes, or one longer row."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     edge = np.concatenate([[0], np.cumsum(size)])
