@@ -1,14 +1,14 @@
 """License scans: phrases in place, and an exact set-similarity join with license templates.
 
 Templates are sets of distinct words. A block of a text meets a template if it holds at
-least ``THRESHOLD`` of the template's words. For a template of n words the blocks are
-windows of 2n words laid every n words, so any passage of up to n words lies whole in one.
+least ``THRESHOLD`` of the template's words. For a template of n words the blocks are all
+windows of 2n words, one from every word of the text.
 
 The join is exact and follows prefix filtering: template words are ordered from rare to
 frequent by the number of documents that hold them (counted over the whole corpus). A
-block that holds a of n words must hold one of the n - a + 1 rarest; only windows
-around those rare words are looked at. Size and position bounds (as many words must still
-follow, in the template and in the block) drop more before the words are compared.
+block that holds a of n words must hold one of the n - a + 1 rarest; only template words
+less than 2n from such a word are looked at. The distinct words of all windows over them
+are counted in one pass: a word counts for the windows that begin after its last occurrence.
 """
 
 from __future__ import annotations
@@ -58,39 +58,47 @@ class Templates:
         rank = {h: i for i, h in enumerate(self.order)}
         self.vocab = np.array(vocab, dtype=K.U64)
         self.rank = np.array([rank[h] for h in vocab])
-        self.prefix: list[list[tuple[int, int]]] = [[] for _ in vocab]
+        #: By template and rank: the word's number in the template (-1 if it is none), and whether a match can begin with it.
+        self.number = np.full((len(templates), len(vocab)), -1)
+        self.prefix = np.zeros((len(templates), len(vocab)), dtype=bool)
         for t, (text, label) in enumerate(templates):
             words = sorted({rank[h] for h in K.word_hash(text)})
             need = -(-threshold.numerator * len(words) // threshold.denominator)
             self.labels.append(label)
             self.sets.append(np.array(words))
             self.need.append(need)
-            for i, x in enumerate(words[: len(words) - need + 1]):
-                self.prefix[x].append((t, i))
-
-    def matches(self, places: np.ndarray, ranks: np.ndarray) -> dict[int, float]:
-        """Template to best containment in a block of a text, where it meets the threshold; ``places`` of template words, ascending, and their ranks."""
-        seen: set[tuple[int, int]] = set()
-        out: dict[int, float] = {}
-        for p, x in zip(places.tolist(), ranks.tolist(), strict=True):
-            for t, i in self.prefix[x]:
-                n = len(self.sets[t])
-                for block in {p // n, max(0, p // n - 1)}:
-                    if (t, block) in seen:
-                        continue
-                    lo, hi = np.searchsorted(places, [block * n, block * n + 2 * n])
-                    if hi - lo < self.need[t]:
-                        continue
-                    held = np.unique(ranks[lo:hi])
-                    # Of what is held, no more than the words from this one on can match if it is the first to do so.
-                    first = next(j for j, y in enumerate(self.sets[t]) if (k := np.searchsorted(held, y)) < len(held) and held[k] == y)
-                    if first > n - self.need[t] or len(held) - np.searchsorted(held, self.sets[t][first]) < self.need[t]:
-                        seen.add((t, block))
-                        continue
-                    seen.add((t, block))
-                    common = np.intersect1d(self.sets[t], held, assume_unique=True).size
-                    if common >= self.need[t]:
-                        out[t] = max(out.get(t, 0.0), common / n)
+            self.number[t, words] = np.arange(len(words))
+            self.prefix[t, words[: len(words) - need + 1]] = True
+        self.gap = 2 * max(map(len, self.sets), default=0)
+
+    def matches(self, places: np.ndarray, ranks: np.ndarray, rows: np.ndarray) -> dict[int, dict[int, float]]:
+        """By row, template to best containment in a block of its text, where it meets the threshold.
+
+        ``places`` of template words, ascending over all rows, their ranks and their rows.
+        """
+        out: dict[int, dict[int, float]] = {}
+        places = places + rows * self.gap  # no window reaches into the next row
+        for t, (words, need) in enumerate(zip(self.sets, self.need, strict=True)):
+            rare = places[self.prefix[t][ranks]]
+            if not len(rare):
+                continue
+            size = 2 * len(words)
+            own = np.flatnonzero(self.number[t][ranks] >= 0)
+            i = np.searchsorted(rare, places[own])
+            own = own[(np.abs(rare[np.minimum(i, len(rare) - 1)] - places[own]) < size) | (np.abs(places[own] - rare[np.maximum(i - 1, 0)]) < size)]
+            at, word, m = places[own], self.number[t][ranks[own]], len(own)
+            order = np.argsort(word, kind="stable")
+            again = np.flatnonzero(word[order][1:] == word[order][:-1])
+            last = np.full(m, -1)
+            last[order[again + 1]] = order[again]
+            # Occurrence k counts for the windows that begin at occurrences begin[k] to k.
+            begin = np.maximum(last + 1, np.searchsorted(at, at - size, "right"))
+            held = np.cumsum(np.bincount(begin, minlength=m) - np.bincount(np.arange(1, m + 1), minlength=m)[:m])
+            hit = np.flatnonzero(held >= need)
+            row, first = np.unique(rows[own[hit]], return_index=True)
+            if len(row):
+                for r, best in zip(row.tolist(), np.maximum.reduceat(held[hit], first).tolist(), strict=True):
+                    out.setdefault(r, {})[t] = best / len(words)
         return out
 
 
@@ -167,12 +175,11 @@ def scan(docs: DataFrame, spread: dict[int, int], templates: list[tuple[str, str
                                 hits.setdefault(r, []).append((p - int(w.first[r]), label))
                 at, code = _template_words(w, index.vocab, sieve)
                 ranks = index.rank[code]
-                edge = np.searchsorted(at, w.first)
+                met = index.matches(at, ranks, w.rows()[at])
                 cols: list[list] = [[] for _ in range(7)]
                 for r in range(n):
                     own = hits.get(r, [])
-                    a, z = edge[r], edge[r + 1]
-                    found = index.matches(at[a:z] - w.first[r], ranks[a:z]) if z > a else {}
+                    found = met.get(r, {})
                     labels = {x for _, x in own}
                     places = [p for p, _ in own]
                     score = max([1.0 if own else 0.0, *found.values()])

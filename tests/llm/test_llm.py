@@ -428,6 +428,32 @@ def test_licenses(spark):
         assert r["score"] == pytest.approx(max([float(bool(base)), *found.values()]))
 
 
+def test_licenses_at_every_offset(spark):
+    """Edited passages that lie across any fixed grid, against windows from every word."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(150):
+        t = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][0].split(" ")
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = f"other{rng.randrange(1000)}"
+        for _ in range(rng.randrange(4)):
+            t.insert(rng.randrange(len(t) + 1), f"more{rng.randrange(1000)}")
+        texts.append(" ".join([sentence(rng, rng.randrange(1, 60)), *t, sentence(rng, rng.randrange(1, 30))]))
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: {m["template"]: m["containment"] for m in r["matches"]} for r in licenses.scan(docs, licenses.document_spread(docs, licenses.TEMPLATES)).collect()}
+    missed = 0
+    for i, t in enumerate(texts):
+        w, want = t.split(" "), {}
+        for n, (template, _) in enumerate(licenses.TEMPLATES):
+            s = set(template.split())
+            share = {lo: len(s & set(w[lo : lo + 2 * len(s)])) for lo in range(len(w))}
+            if 5 * max(share.values()) >= 4 * len(s):
+                want[n] = max(share.values()) / len(s)
+                missed += 5 * max(v for lo, v in share.items() if lo % len(s) == 0) < 4 * len(s)
+        assert got[i] == pytest.approx(want)
+    assert missed
+
+
 def test_word_hashes_do_not_depend_on_chunks():
     rng = random.Random(0)
     col = pa.array([sentence(rng, 50), None, "", "é É x", "x"] * 20)
