@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact check, union-find.
 
 A line is compared after trimming white space and lower-casing A-Z. Its set holds the
-distinct runs of ``shingle`` characters. Equal lines are one node from the start (named by
+distinct runs of ``shingle`` characters; a shorter line has none and equals exact copies only. Equal lines are one node from the start (named by
 a 64-bit hash of the trimmed line), lines of similarity at or above the threshold are linked, and of every
 class only the first occurrence, by (doc_id, line number), stays in the corpus.
 """
@@ -23,7 +23,7 @@ from lodegraph.llm.setlinks import SetLinks
 
 #: A pair at 0.8 shares no band with chance 6e-4, one at 0.9 with chance 1e-6.
 BANDS, ROWS = 14, 4
-SHINGLE, MIN_CHARS = 8, 20
+SHINGLE, MIN_CHARS = 8, 1
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,7 +61,7 @@ class Lines:
         begin = np.where(some, solid[np.minimum(i, max(len(solid) - 1, 0))] if len(solid) else 0, begin)
         end = np.where(some, solid[j - 1] + 1 if len(solid) else 0, begin)
         c0, c1 = np.searchsorted(chars, begin), np.searchsorted(chars, end)
-        take = (c1 - c0 >= max(min_chars, shingle)) & some
+        take = (c1 - c0 >= min_chars) & some
         self.row, self.number, self.begin, self.end = self.row[take], self.number[take], begin[take], end[take]
         self.chars = raw[take]
         self.hash = self._spans(low, self.begin, self.end)
@@ -69,7 +69,7 @@ class Lines:
             return
         c0, c1 = c0[take], c1[take]
         edge = np.append(chars, len(low))
-        count = c1 - c0 - shingle + 1
+        count = np.maximum(c1 - c0 - shingle + 1, 0)
         self.first = np.concatenate([[0], np.cumsum(count)])
         src = np.arange(int(self.first[-1])) + np.repeat(c0 - self.first[:-1], count)
         self.shingles = self._spans(low, edge[src], edge[src + shingle])
@@ -155,7 +155,8 @@ def _sketch(hasher: MinHasher, shingle: int, min_chars: int, slots: int):
             for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
                 x = Lines(buf, offs, shingle, min_chars)
                 hashes = x.hash.view(np.int64)
-                bands.add(hasher.band_keys(hasher.signatures(x.shingles, x.first)), hashes)
+                some = x.first[1:] > x.first[:-1]  # a line without shingles is linked by its hash alone
+                bands.add(hasher.band_keys(hasher.signatures(x.shingles, np.append(x.first[:-1][some], x.first[-1]))), hashes[some])
                 yield _rows(0, len(hashes), doc_id=b["doc_id"].slice(lo, hi - lo).take(pa.array(x.row)), line=x.number, h=hashes, chars=x.chars)
                 if bands.n > FLUSH:
                     yield from bands.flush()
@@ -234,7 +235,8 @@ def _wanted_sets(shingle: int, min_chars: int):
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, min_chars: int = MIN_CHARS, num: int = 80, den: int = 100) -> DataFrame:
     """Occurrences to remove: ``doc_id, line (from 0), chars, class_id, keep_doc, keep_line``.
 
-    Lines of fewer than ``min_chars`` characters take no part. Linked: ``den * |A & B| >=
+    Lines of fewer than ``min_chars`` characters, blank ones at least, take no part. Lines shorter than
+    a shingle are linked to exact copies. Others are linked if ``den * |A & B| >=
     num * |A | B|``. A null text has no lines; a null id takes no part. Rows that share an
     id count as one document. Other columns are not read.
     """

@@ -149,6 +149,29 @@ def test_lines(spark, corpus):
     assert line_dedup.repeated_lines(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_short_lines(spark):
+    """Lines of any length take part: near copies from one shingle on, exact copies below."""
+    rng = random.Random(5)
+    pool = ["a", "}", "é", "1234567", "12345678", "In in oredble ea.", "in IN oredble ea.", "In in oredble ea!"]
+    pool += ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 20))) for _ in range(40)]
+    pool += [p + rng.choice("xyz") for p in pool[-20:]]
+    texts = ["\n".join(rng.choice(["", " ", *pool]) for _ in range(rng.randrange(1, 6))) for _ in range(80)] + ["\n", "", None]
+    occ = [(d, i, s) for d, t in enumerate(texts) for i, s in line_sets(t) if s]
+    names = sorted({s for *_, s in occ})
+    sets = [{s[i : i + 8] for i in range(len(s) - 7)} or {s} for s in names]
+    classes = unions(len(names), [(i, j) for i, j in itertools.combinations(range(len(names)), 2) if alike(sets[i], sets[j])])
+    of = dict(zip(names, classes, strict=True))
+    first, want = {}, set()
+    for d, i, s in sorted(occ):
+        if of[s] in first:
+            want.add((d, i))
+        first.setdefault(of[s], (d, i))
+    assert any(len(s) < 8 and (d, i) in want for d, i, s in occ) and any(8 <= len(s) < 20 and (d, i) in want for d, i, s in occ)
+    found = line_dedup.repeated_lines(frame(spark, texts).repartition(3), Scratch(spark, "t"))
+    assert {(r["doc_id"], r["line"]) for r in found.collect()} == want
+    assert line_dedup.repeated_lines(frame(spark, ["a", "b", "a"]), Scratch(spark, "t")).count() == 1
+
+
 def test_hot_line_buckets():
     """A bucket beyond the bound in one task keeps all its members, under one pivot."""
     bands = line_dedup._Bands(1, 2)
