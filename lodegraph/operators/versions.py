@@ -90,22 +90,25 @@ def roll_up(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node_id").agg(F.sort_array(F.collect_set("label")).alias("versions"), F.max_by("status", F.struct(strength, -F.col("seq"))).alias("status"), F.min_by("label", "ord").alias("first_version"), F.max_by("label", "ord").alias("last_version"))
 
 
-def best_mutual(scores: DataFrame, threshold: float, rounds: int = 20) -> DataFrame:
+def best_mutual(scores: DataFrame, threshold: float) -> DataFrame:
     """1:1 matches from ``v1_id, v2_id, score``: pairs that are each other's best (ties to the smaller id), round by round.
 
-    Each round removes both ends of what it matched; it stops when a round matches nothing. A round
-    settles at least the best pair left, most rounds nearly all.
+    Each round removes both ends of what it matched; it stops when nothing is left or a round matches
+    nothing. A round settles at least the best pair left, most rounds nearly all; a block of n equal
+    scores takes n rounds. Lineage is cut each round, on the executors only where no checkpoint folder is set.
     """
-    left, out = scores.where(F.col("score") >= threshold), None
-    for _ in range(rounds):
+    def cut(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+    left, out = cut(scores.where(F.col("score") >= threshold)), None
+    while not left.isEmpty():
         a = left.groupBy("v1_id").agg(F.min_by("v2_id", F.struct(-F.col("score"), F.col("v2_id"))).alias("v2_id"))
         b = left.groupBy("v2_id").agg(F.min_by("v1_id", F.struct(-F.col("score"), F.col("v1_id"))).alias("v1_id"))
-        won = left.join(a, ["v1_id", "v2_id"]).join(b, ["v1_id", "v2_id"]).select("v1_id", "v2_id", "score")
-        won = won.checkpoint() if won.sparkSession.sparkContext.getCheckpointDir() else won.cache()
+        won = cut(left.join(a, ["v1_id", "v2_id"]).join(b, ["v1_id", "v2_id"]).select("v1_id", "v2_id", "score"))
         if won.isEmpty():
             break
         out = won if out is None else out.union(won)
-        left = left.join(won.select("v1_id"), "v1_id", "left_anti").join(won.select("v2_id"), "v2_id", "left_anti")
+        left = cut(left.join(won.select("v1_id"), "v1_id", "left_anti").join(won.select("v2_id"), "v2_id", "left_anti"))
     return out if out is not None else scores.limit(0)
 
 

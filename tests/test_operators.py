@@ -82,6 +82,13 @@ def test_mutual_best_is_one_to_one(spark):
     assert sum(g[2] for g in got) == pytest.approx(sum(w[2] for w in want))
 
 
+def test_mutual_best_settles_large_ties(spark):
+    """A block of equal scores settles one pair a round, however many rounds that takes."""
+    s = [(a, b, 0.9) for a in range(23) for b in range(100, 123)] + [(50, 150, 0.4)]
+    got = rows(versions.best_mutual(spark.createDataFrame(s, "v1_id long, v2_id long, score double").coalesce(1), 0.5), "v1_id", "v2_id")
+    assert got == [(i, 100 + i) for i in range(23)]
+
+
 def test_tracked_walk(spark):
     steps = spark.createDataFrame([(1, 1, "a", "b", "RENAME_METHOD"), (1, 2, "x", "y", "RENAME_METHOD"), (1, 3, "b", "c", "RENAME_METHOD")], "k int, ord int, left string, right string, type string")
     r = versions.tracked_walk(steps, ["c"], ["k"]).first()
