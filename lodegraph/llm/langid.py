@@ -3,7 +3,7 @@
 Each language has a distribution over hashed byte trigrams of lower-cased words with their
 edges, counted over all training documents. A word's likelihood in a language is the
 product over its trigrams. A document is a mixture: EM estimates the share of each
-language from its words. Nested sets (the likeliest language, the likeliest two, ...) are
+language from its words. Nested sets (the likeliest language, the likeliest two, ... up to all) are
 refitted and the set with the lowest penalised likelihood (BIC) is chosen; its largest
 share is the prediction.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm import textkernel as K
 from lodegraph.llm.runtime import remainder, ship, table
 
-BITS, SMOOTH, FULL_ROUNDS, SET_ROUNDS, LARGEST_SET = 18, 0.5, 6, 3, 3
+BITS, SMOOTH, FULL_ROUNDS, SET_ROUNDS = 18, 0.5, 6, 3
 _WORD_LIMIT = 12.0  # natural-log span between languages that a single word may decide
 
 
@@ -100,7 +100,7 @@ class Model:
         full, _ = self._em(like, first, count, np.full((k, len(first)), 1 / k, dtype=np.float32), FULL_ROUNDS)
         order = np.argsort(-full, axis=0, kind="stable")
         best, chosen = np.full(len(first), np.inf), np.zeros((k, len(first)))
-        for m in range(1, min(LARGEST_SET, k) + 1):
+        for m in range(1, k + 1):
             start = np.zeros_like(full)
             np.put_along_axis(start, order[:m], np.take_along_axis(full, order[:m], axis=0) + np.float32(1e-3), axis=0)
             start /= start.sum(axis=0)

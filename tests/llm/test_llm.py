@@ -418,6 +418,19 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.limit(3), langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_documents_of_many_languages(spark):
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "ro", "mi", "tu", "sel"], "bb": ["sch", "eng", "wur", "olf", "ipf"], "cc": ["cion", "lla", "que", "osa", "ndo"], "dd": ["yv", "zhe", "kry", "pta", "bly"], "ee": ["xo", "huh", "dja", "gwe", "fni"]}
+    text = lambda k, n: " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate(sorted(syllables) * 60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    parts = [{"aa": 80, "bb": 60, "cc": 40, "dd": 20}, {"aa": 100, "bb": 80, "cc": 60, "dd": 40, "ee": 20}]
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, [" ".join(text(k, n) for k, n in p.items()) for p in parts]), model).collect()}
+    for i, p in enumerate(parts):
+        assert got[i]["langs"] == list(p)
+        assert got[i]["shares"] == pytest.approx([n / sum(p.values()) for n in p.values()], abs=0.04)
+
+
 def test_licenses(spark):
     rng = random.Random(11)
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
