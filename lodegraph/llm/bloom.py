@@ -1,54 +1,59 @@
-"""A Bloom filter of bounded size over long ids, built by Spark and tested in Arrow tasks.
+"""A Bloom filter of bounded size over ids, built and tested in Arrow tasks.
 
-It only thins what a scan sends on: an exact join always follows. ``build`` gives None
-where the ids are too many for the bound, and the caller then joins without it.
+It only thins what a scan sends on: an exact join always follows. With more ids than its
+largest size is meant for it lets more through, so callers never need another plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm import textkernel as K
+from lodegraph.llm.buckets import first_word
+
 #: 2**28 bits (32 MB) hold 16 million ids at 16 bits each.
 MAX_BITS, BITS_PER_ID = 28, 16
 _U = np.uint64
-_P1, _P2, _P3, _P4, _P5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def xxhash64_long(x: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64`` of a long column, as unsigned (the public XXH64 of eight bytes with seed 42)."""
+def _places(words: np.ndarray, bits: int) -> np.ndarray:
+    """Three bits of the filter for each id."""
     with np.errstate(over="ignore"):
-        v = x.astype(np.int64).view(_U) * _P2
-        v = ((v << _U(31)) | (v >> _U(33))) * _P1
-        h = (_U(42) + _P5 + _U(8)) ^ v
-        h = ((h << _U(27)) | (h >> _U(37))) * _P1 + _P4
-        h = (h ^ (h >> _U(33))) * _P2
-        h = (h ^ (h >> _U(29))) * _P3
-        return h ^ (h >> _U(32))
+        h = K.mix(words.astype(np.int64).view(_U) + _U(0x9E3779B97F4A7C15))
+        return np.stack([(h >> _U(s)) & _U((1 << bits) - 1) for s in (0, 18, 36)])
 
 
 class Bloom:
     def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.mask = words, _U((1 << bits) - 1)
+        self.words, self.bits = words, bits
 
-    def has(self, ids: np.ndarray) -> np.ndarray:
-        h = xxhash64_long(ids)
-        out = np.ones(len(ids), dtype=bool)
-        for shift in (0, 18, 36):
-            at = (h >> _U(shift)) & self.mask
+    def has(self, words: np.ndarray) -> np.ndarray:
+        out = np.ones(len(words), dtype=bool)
+        for at in _places(words, self.bits):
             out &= (self.words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
         return out
 
 
-def build(ids: DataFrame, column: str) -> Bloom | None:
-    n = ids.count()
-    bits = max(12, int(n * BITS_PER_ID).bit_length())
-    if bits > MAX_BITS:
-        return None
-    mask = (1 << bits) - 1
-    h = ids.select(F.explode(F.expr(f"transform(array(0, 18, 36), s -> shiftrightunsigned(xxhash64({column}), s) & {mask}L)")).alias("at"))
-    set_bits = h.groupBy(F.expr("shiftrightunsigned(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+def _set(column: str, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_places(first_word(b[column]), bits).reshape(-1))
+            word, first = np.unique(at >> _U(6), return_index=True)
+            value = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    return run
+
+
+def build(ids: DataFrame, column: str, max_bits: int = MAX_BITS) -> Bloom:
+    """A filter over ids that are not null, longs or binaries of twelve bytes."""
+    bits = min(max(12, int(ids.count() * BITS_PER_ID).bit_length()), max_bits)
+    found = ids.select(column).mapInArrow(_set(column, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(1 << (bits - 6), dtype=_U)
-    words[set_bits["word"].to_numpy(dtype=np.int64)] = set_bits["bits"].to_numpy(dtype=np.int64).view(_U)
+    words[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(_U)
     return Bloom(words, bits)

@@ -1,272 +1,182 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact check, union-find.
 
 A line is compared after trimming white space and lower-casing A-Z. Its set holds the
-distinct runs of ``shingle`` characters; a shorter line has none and equals exact copies only. Equal lines are one node from the start (named by
-a 64-bit hash of the trimmed line), lines of similarity at or above the threshold are linked, and of every
-class only the first occurrence, by (doc_id, line number), stays in the corpus.
+distinct runs of ``shingle`` characters; a shorter line has none and equals exact copies only.
+Equal lines are one node from the start (named by 96 bits of two independent hashes of the
+trimmed line), lines of similarity at or above the threshold are linked, and of every class
+only the first occurrence, by (doc_id, line number), stays in the corpus.
+
+One scan yields the occurrences and the packed band entries of each task's distinct lines; a
+second one fetches the texts of lines that share a bucket, thinned by a Bloom filter. All
+later steps work on those lines alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm import buckets as B
 from lodegraph.llm import textkernel as K
 from lodegraph.llm.bloom import build
 from lodegraph.llm.minhash import MinHasher
 from lodegraph.llm.runtime import Scratch, table, tasks
-from lodegraph.llm.setlinks import SetLinks
+from lodegraph.llm.setlinks import SetLinks, Sets
 
 #: A pair at 0.8 shares no band with chance 6e-4, one at 0.9 with chance 1e-6.
 BANDS, ROWS = 14, 4
-SHINGLE, MIN_CHARS = 8, 1
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SHINGLE = 8
+_BLANK = b" \t\v\f\r"
 
 
 class Lines:
-    """Lines of some rows, split at line feeds: trimmed byte range, row, number in the row, and character shingles."""
-
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, shingle: int, min_chars: int, sets: bool = True):
-        low = self.low = _LOWER[buf]
-        n = np.diff(offs)
-        breaks = np.flatnonzero(low == 10)
-        begin = np.sort(np.concatenate([offs[:-1], breaks + 1]))
-        self.row = np.searchsorted(offs[1:], begin, "right")
-        # A line feed at a row's end opens an empty last line, whose begin is the next row's first byte.
-        tails = breaks[np.isin(breaks + 1, offs[1:])] + 1
-        if len(tails):
-            begin = np.concatenate([np.setdiff1d(begin, tails), tails[np.isin(tails, offs[:-1])]])
-            begin = np.sort(begin)
-            self.row = np.searchsorted(offs[1:], begin, "right")
-        keep = self.row < len(n)
-        begin, self.row = begin[keep], self.row[keep]
-        first_of_row = np.searchsorted(self.row, np.arange(len(n)))
-        self.number = np.arange(len(begin)) - first_of_row[self.row]
-        stop = offs[1:][self.row]
-        at = np.searchsorted(breaks, begin)
-        nearest = np.where(at < len(breaks), breaks[np.minimum(at, max(len(breaks) - 1, 0))] if len(breaks) else 0, len(buf)) if len(breaks) else np.full(len(begin), len(buf))
-        end = np.minimum(nearest, stop)
-        solid = np.flatnonzero(~_BLANK[low] & (low != 10))
-        i, j = np.searchsorted(solid, begin), np.searchsorted(solid, end)
-        some = i < j
-        chars = np.flatnonzero((low & 0xC0) != 0x80)
-        raw = np.searchsorted(chars, end) - np.searchsorted(chars, begin)
-        begin = np.where(some, solid[np.minimum(i, max(len(solid) - 1, 0))] if len(solid) else 0, begin)
-        end = np.where(some, solid[j - 1] + 1 if len(solid) else 0, begin)
-        c0, c1 = np.searchsorted(chars, begin), np.searchsorted(chars, end)
-        take = (c1 - c0 >= min_chars) & some
-        self.row, self.number, self.begin, self.end = self.row[take], self.number[take], begin[take], end[take]
-        self.chars = raw[take]
-        self.hash = self._spans(low, self.begin, self.end)
-        if not sets:
-            return
-        c0, c1 = c0[take], c1[take]
-        edge = np.append(chars, len(low))
-        count = np.maximum(c1 - c0 - shingle + 1, 0)
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        src = np.arange(int(self.first[-1])) + np.repeat(c0 - self.first[:-1], count)
-        self.shingles = self._spans(low, edge[src], edge[src + shingle])
-
-    @staticmethod
-    def _spans(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hash of each byte range; ranges are ordered by their start."""
-        values, out, i, n = K.splitmix(256, 7), np.empty(len(start), dtype=K.U64), 0, len(start)
-        while i < n:
-            lo = int(start[i])
-            j = max(int(np.searchsorted(start, lo + K.CHUNK_BYTES)), i + 1)
-            hi = int(end[i:j].max())
-            p, q = K._powers(hi - lo)
-            sums = np.zeros(hi - lo + 1, dtype=K.U64)
-            np.cumsum(values[low[lo:hi]] * p[: hi - lo], out=sums[1:])
-            s = start[i:j] - lo
-            out[i:j] = K.mix((sums[end[i:j] - lo] - sums[s]) * q[s])
-            i = j
-        return out
-
-
-PAIR = np.dtype([("key", "<u4"), ("h", "<i8")])
-FLUSH, HOT = 2_000_000, 64
-SKETCH = "kind int, doc_id long, line int, h long, chars int, slot int, key long, pairs binary"
-
-
-class _Bands:
-    """(band, key, line hash) triples of one task, thinned and dealt out by slot.
-
-    A bucket with more than ``HOT`` lines in this task becomes rows of its own, with its
-    smallest line as pivot, and only the pivot is dealt out. So a hot bucket sends at most
-    ``HOT`` pairs a flush, and no task has to hold it.
+    """Lines of some rows that hold anything but white space, split at line feeds.
+
+    ``low``: the trimmed, lower-cased lines; ``row`` and ``number`` in the row; ``raw``: bytes before trimming.
     """
 
-    def __init__(self, bands: int, slots: int):
-        self.bands, self.slots, self.keys, self.hashes, self.n = bands, slots, [], [], 0
-
-    def add(self, keys: np.ndarray, hashes: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.hashes.append(hashes)
-        self.n += keys.size
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        keys, hashes = np.concatenate(self.keys), np.concatenate(self.hashes)
-        self.keys, self.hashes, self.n = [], [], 0
-        hashes, at = np.unique(hashes, return_index=True)
-        keys = keys[at]
-        for band in range(self.bands):
-            own = keys[:, band]
-            order = np.argsort(own, kind="stable")  # the smallest hash of a key comes first
-            k, h = own[order], hashes[order]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(head, len(k)))
-            if len(hot := np.flatnonzero(size > HOT)):
-                inside = np.repeat(size > HOT, size)
-                pivot = np.repeat(h[head], size)[inside]
-                yield _rows(2, len(pivot), h=h[inside], key=(band << 32) | k[inside].astype(np.int64), chars=None, pairs=None, pivot=pivot)
-                keep = ~inside
-                keep[head[hot]] = True
-                k, h = k[keep], h[keep]
-            pairs = np.empty(len(k), dtype=PAIR)
-            pairs["key"], pairs["h"] = k, h
-            slot = (k % np.uint32(self.slots)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            edge = np.searchsorted(slot[order], np.arange(self.slots + 1))
-            blobs = [pairs[order[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            used = [i for i, x in enumerate(blobs) if x]
-            yield _rows(1, len(used), slot=[band * self.slots + i for i in used], pairs=[blobs[i] for i in used])
-
-
-def _rows(kind: int, n: int, pivot=None, **cols) -> pa.RecordBatch:
-    """A batch of the sketch; ``doc_id`` holds the pivot in rows of hot buckets."""
-    types = {"doc_id": pa.int64(), "line": pa.int32(), "h": pa.int64(), "chars": pa.int32(), "slot": pa.int32(), "key": pa.int64(), "pairs": pa.binary()}
-    cols = cols | ({"doc_id": pivot} if pivot is not None else {})
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *(pa.nulls(n, t) if cols.get(c) is None else cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c], t) for c, t in types.items())], names=["kind", *types])
-
-
-def _sketch(hasher: MinHasher, shingle: int, min_chars: int, slots: int):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        low, edge = buf.tobytes().lower(), offs.tolist()  # bytes.lower() changes A-Z alone
+        self.low, row, number, raw = [], [], [], []
+        for r in range(len(edge) - 1):
+            for i, x in enumerate(low[edge[r] : edge[r + 1]].split(b"\n")):
+                if t := x.strip(_BLANK):
+                    self.low.append(t)
+                    row.append(r)
+                    number.append(i)
+                    raw.append(len(x))
+        self.row, self.number, self.raw = np.array(row, np.int64), np.array(number, np.int64), np.array(raw, np.int64)
+
+    def ids(self) -> list[np.ndarray]:
+        """The first twelve bytes of each line's 128-bit XXH3, as the parts of `DIGEST`."""
+        raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.low)), np.uint8).reshape(-1, 16)
+        return [np.ascontiguousarray(raw[:, a:b]).view(t).reshape(-1).astype(t[1:]) for a, b, t in ((0, 8, ">u8"), (8, 12, ">u4"))]
+
+
+def shingles(low: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each run of ``k`` characters of each line, each line's first one, and each line's characters."""
+    size = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
+    flat = b"".join(low)
+    raw = np.frombuffer(flat + bytes(8 + 4 * k), dtype=np.uint8)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    char = np.flatnonzero((raw[: len(flat)] & 0xC0) != 0x80)
+    c = np.searchsorted(char, edge)
+    chars = np.diff(c)
+    count = np.maximum(chars - k + 1, 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    src = np.arange(first[-1]) + np.repeat(c[:-1] - first[:-1], count)
+    char = np.append(char, len(flat))
+    start, length = char[src], char[src + k]
+    length -= start
+    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    out = _word(words, start, length, 0)
+    for at in range(8, 4 * k, 8):  # a character has up to four bytes
+        more = np.flatnonzero(length > at)
+        if not len(more):
+            break
+        out[more] = out[more] * K.U64(0xA0761D6478BD642F) + _word(words, start[more], length[more], at)
+    return K.mix(out), first, chars
+
+
+def _word(words: np.ndarray, start: np.ndarray, length: np.ndarray, at: int) -> np.ndarray:
+    """The eight bytes at ``at`` of each byte range, zero beyond its end."""
+    out = words[start + at] if at else words[start]
+    short = np.flatnonzero(length < at + 8)
+    if len(short):
+        out[short] &= (K.U64(1) << (8 * (length[short] - at)).astype(K.U64)) - K.U64(1)
+    return out
+
+
+def _sketch(hasher: MinHasher, shingle: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        bands = _Bands(hasher.bands, slots)
-        for b in batches:
-            for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
-                x = Lines(buf, offs, shingle, min_chars)
-                hashes = x.hash.view(np.int64)
-                some = x.first[1:] > x.first[:-1]  # a line without shingles is linked by its hash alone
-                bands.add(hasher.band_keys(hasher.signatures(x.shingles, np.append(x.first[:-1][some], x.first[-1]))), hashes[some])
-                yield _rows(0, len(hashes), doc_id=b["doc_id"].slice(lo, hi - lo).take(pa.array(x.row)), line=x.number, h=hashes, chars=x.chars)
-                if bands.n > FLUSH:
-                    yield from bands.flush()
-        if bands.n:
-            yield from bands.flush()
-
-    return run
+        dealer = B.Dealer(B.DIGEST, hasher.bands, slots)
 
+        def batch(n: int, cols: dict[str, pa.Array], doc=None, line=None, chars=None) -> pa.RecordBatch:
+            own = {"doc_id": (doc, pa.int64()), "line": (line, pa.int32()), "chars": (chars, pa.int32())}
+            return pa.RecordBatch.from_pydict({c: pa.nulls(n, t) if v is None else v if isinstance(v, pa.Array) else pa.array(v, t) for c, (v, t) in own.items()} | cols)
 
-def _buckets(slots: int):
-    """Members of buckets with several lines, from the pairs of whole slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
         for b in batches:
-            for slot, blob in zip(b["slot"].to_pylist(), b["pairs"].to_pylist(), strict=True):
-                held.setdefault(slot, []).append(blob)
-        for slot in sorted(held):
-            pairs = np.frombuffer(b"".join(held.pop(slot)), dtype=PAIR)
-            order = np.lexsort((pairs["h"], pairs["key"]))
-            k, h = pairs["key"][order], pairs["h"][order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
-            k, h = k[new], h[new]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(head, len(k)))
-            several = np.repeat(size > 1, size)
-            key = ((slot // slots) << 32) | k[several].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h[several], pa.int64()), pa.array(np.repeat(h[head], size)[several], pa.int64())], names=["key", "id", "p"])
+            for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
+                x = Lines(buf, offs)
+                if not x.low:
+                    continue
+                parts = x.ids()
+                hashes, first, chars = shingles(x.low, shingle)
+                trimmed = np.fromiter(map(len, x.low), dtype=np.int64, count=len(x.low))
+                chars += x.raw - trimmed  # white space at the ends is ASCII
+                some = first[1:] > first[:-1]  # a line without shingles is linked by its hash alone
+                dealer.add(hasher.band_keys(hasher.signatures(hashes, np.append(first[:-1][some], first[-1]))), [p[some] for p in parts])
+                yield batch(len(x.low), B._rows(B.DIGEST, len(x.low), x=parts), b["doc_id"].slice(lo, hi - lo).take(pa.array(x.row)), x.number, chars)
+                if dealer.full():
+                    for cols in dealer.flush():
+                        yield batch(len(cols["slot"]), cols)
+        for cols in dealer.flush():
+            yield batch(len(cols["slot"]), cols)
 
     return run
 
 
 def _expand(shingle: int):
-    def run(items: pa.Array) -> list[np.ndarray]:
-        """Shingle sets of trimmed, lower-cased lines."""
-        buf, offs = K.text_buffers(items.cast(pa.string()))
-        x = Lines(buf, offs, shingle, 1)
-        return [np.unique(x.shingles[a:b]) for a, b in zip(x.first[:-1], x.first[1:], strict=True)]
+    def run(items: pa.Array) -> Sets:
+        """Shingles of trimmed, lower-cased lines, one line a row."""
+        return shingles(items.to_pylist(), shingle)[:2]
 
     return run
 
 
-def _bloom_sets(shingle: int, min_chars: int, held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        docs, wanted = held.value
-        for b in batches:
-            b = b.filter(pa.array(docs.has(np.asarray(b["doc_id"]))))
-            for _, _, buf, offs in K.chunks(*K.text_buffers(b["text"])):
-                x = Lines(buf, offs, shingle, min_chars, sets=False)
-                hashes = x.hash.view(np.int64)
-                at = np.flatnonzero(wanted.has(hashes))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array([x.low[x.begin[i] : x.end[i]].tobytes() for i in at], pa.binary())], names=["id", "items"])
-
-    return run
-
+def _texts(held):
+    """Texts of wanted lines, each once a chunk of rows."""
 
-def _wanted_sets(shingle: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
         for b in batches:
-            wanted = b["hs"].to_pylist()
-            for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
-                x = Lines(buf, offs, shingle, min_chars, sets=False)
-                hashes = x.hash.view(np.int64)
-                ids, sets = [], []
-                for i, h in enumerate(hashes.tolist()):
-                    if h in wanted[lo + x.row[i]]:
-                        ids.append(h)
-                        sets.append(x.low[x.begin[i] : x.end[i]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "items"])
+            for _, _, buf, offs in K.chunks(*K.text_buffers(b["text"])):
+                x = Lines(buf, offs)
+                if not x.low:
+                    continue
+                x.low = list(set(x.low))
+                parts = x.ids()
+                at = np.flatnonzero(held.value.has(parts[0].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([B.DIGEST.column([p[at] for p in parts]), pa.array([x.low[i] for i in at], pa.binary())], names=["id", "items"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, min_chars: int = MIN_CHARS, num: int = 80, den: int = 100) -> DataFrame:
+def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = 80, den: int = 100) -> DataFrame:
     """Occurrences to remove: ``doc_id, line (from 0), chars, class_id, keep_doc, keep_line``.
 
-    Lines of fewer than ``min_chars`` characters, blank ones at least, take no part. Lines shorter than
-    a shingle are linked to exact copies. Others are linked if ``den * |A & B| >=
-    num * |A | B|``. A null text has no lines; a null id takes no part. Rows that share an
-    id count as one document. Other columns are not read.
+    Blank lines take no part. Lines shorter than a shingle are linked to exact copies. Others are linked if ``den * |A & B| >=
+    num * |A | B|``; lines and texts of any length are compared whole. Ties do not arise: an
+    occurrence is one (doc_id, line). A null or empty text, and an empty table, have no lines; a
+    null id takes no part. Rows that share an id count as one document. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     hasher = MinHasher(BANDS, ROWS, seed=29)
-    slots = -(-tasks(docs.sparkSession) // BANDS)
-    found = docs.mapInArrow(_sketch(hasher, shingle, min_chars, slots), SKETCH)
-    sketch = scratch.write(found, "sketch", by="kind")
-    lines = sketch.where("kind = 0").select("doc_id", "line", "h", "chars")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        schema = "id long, items binary"
-        at = lines.join(ids, lines["h"] == ids["id"], "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-        if (wanted := build(ids, "id")) is not None:
-            held = docs.sparkSession.sparkContext.broadcast((build(at, "doc_id"), wanted))
-            return docs.mapInArrow(_bloom_sets(shingle, min_chars, held), schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
-        wanted = docs.join(at.groupBy("doc_id").agg(F.collect_set("h").alias("hs")), "doc_id")
-        return wanted.select("text", "hs").mapInArrow(_wanted_sets(shingle, min_chars), schema).dropDuplicates(["id"])
-
-    dealt = sketch.where("kind = 1").select("slot", "pairs").repartitionById(BANDS * slots, F.col("slot"))
-    multi = dealt.mapInArrow(_buckets(slots), "key long, id long, p long").union(sketch.where("kind = 2").select("key", F.col("h").alias("id"), F.col("doc_id").alias("p")))
-    multi = scratch.write(multi, "multi")
-    for kind in (1, 2):
-        scratch.drop(sketch, part=f"kind={kind}")
-    _, label = SetLinks(scratch, num, den, sets_of, expand=_expand(shingle)).classes(multi)
-    named = lines.join(label, F.col("h") == F.col("node"), "left").select("doc_id", "line", "chars", F.coalesce("component", "h").alias("c"))
-    named = scratch.write(named, "named")
-    keep = named.groupBy("c").agg(F.min(F.struct("doc_id", "line")).alias("k"), F.count("*").alias("m")).where("m > 1").select("c", "k.*").toDF("c", "keep_doc", "keep_line")
-    out = named.join(keep, "c").where("doc_id <> keep_doc or line <> keep_line")
-    return out.select("doc_id", "line", "chars", F.col("c").alias("class_id"), "keep_doc", "keep_line")
+    slots = B.n_slots(docs, BANDS, tasks(docs.sparkSession))
+    sketch = scratch.write(docs.mapInArrow(_sketch(hasher, shingle, slots), "doc_id long, line int, chars int, " + B.schema(B.DIGEST)), "sketch")
+    lines = sketch.where("doc_id is not null").select("doc_id", "line", "chars", F.col("x").alias("h"))
+
+    multi = scratch.write(B.collisions(sketch.where("doc_id is null"), B.DIGEST, BANDS, slots), "multi")
+    pairs, members = scratch.write(B.pairs(multi), "pairs"), scratch.write(B.members(multi), "members")
+    wanted = scratch.write(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(members.select("id")).distinct(), "wanted")
+    held = docs.sparkSession.sparkContext.broadcast(build(wanted, "id"))
+    texts = scratch.write(docs.select("text").mapInArrow(_texts(held), "id binary, items binary").dropDuplicates(["id"]), "texts")
+    label = SetLinks(scratch, B.DIGEST, num, den, lambda ids: texts, expand=_expand(shingle)).classes(pairs, members)
+    scratch.drop(multi, pairs, members, wanted, texts)
+
+    once = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("k"), F.count("*").alias("m"))
+    repeats = scratch.write(once.join(label, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "k", "m"), "distinct-lines")
+    # The smallest line of a class has no row in ``label``, so classes are counted over all distinct lines.
+    keep = repeats.groupBy("c").agg(F.min("k").alias("k"), F.sum("m").alias("m")).where("m > 1").select("c", F.col("k.doc_id").alias("keep_doc"), F.col("k.line").alias("keep_line"))
+    gone = repeats.join(keep, "c").where("m > 1 or k.doc_id <> keep_doc or k.line <> keep_line").select("h", F.col("c").alias("class_id"), "keep_doc", "keep_line")
+    out = lines.join(gone, "h").where("doc_id <> keep_doc or line <> keep_line")
+    return out.select("doc_id", "line", "chars", "class_id", "keep_doc", "keep_line")
 
 
 def without_lines(text: str, gone: set[int]) -> str:
@@ -299,8 +209,9 @@ def remove_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", t
 
     A document left with white space alone is dropped if ``drop_emptied``: all it held is elsewhere.
     """
-    gone = repeated.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).select(F.col("doc_id").alias("__doc"), "__gone")
-    joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    doc, lines = (f"_{c}_{uuid.uuid4().hex}" for c in ("doc", "lines"))  # no column of the user's has these names
+    gone = repeated.groupBy("doc_id").agg(F.collect_set("line").alias(lines)).select(F.col("doc_id").alias(doc), lines)
+    joined = docs.join(gone, docs[id_col] == gone[doc], "left").drop(doc)
     return joined.mapInArrow(_strip(text_col, drop_emptied), docs.schema)
 
 
@@ -315,5 +226,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first of each class of near-equal lines."""
+    """Keep the first of each class of near-equal lines, by (doc_id, line number); all columns stay.
+
+    A document that loses all its text goes. A null id or text, and an empty text, stay as they are. Rows that
+    share an id lose the same lines; an empty table stays empty.
+    """
     return remove_lines(docs, repeated_lines(docs, Scratch(spark, "stage-lines")))

@@ -17,10 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm import buckets as B
 from lodegraph.llm import textkernel as K
 from lodegraph.llm.bloom import build
 from lodegraph.llm.minhash import MinHasher, posterior_floor
-from lodegraph.llm.runtime import Scratch, table
+from lodegraph.llm.runtime import Scratch, table, tasks
 from lodegraph.llm.setlinks import SetLinks
 
 BANDS, ROWS, STEP = 32, 5, 32
@@ -74,13 +75,25 @@ def _sketch(k: int, hasher: MinHasher):
     return run
 
 
-def _full_sets(k: int, wanted=None):
+def _deal(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = B.Dealer(B.LONG, BANDS, slots)
+        for b in batches:
+            keys = np.asarray(b["keys"].flatten()).view(np.uint32).reshape(-1, BANDS)
+            dealer.add(keys, [np.asarray(b["id"])])
+            if dealer.full():
+                yield from map(pa.RecordBatch.from_pydict, dealer.flush())
+        yield from map(pa.RecordBatch.from_pydict, dealer.flush())
+
+    return run
+
+
+def _full_sets(k: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for b in batches:
-            if wanted is not None:
-                b = b.filter(b["doc_id"].is_valid())
-                b = b.filter(pa.array(wanted.value.has(np.asarray(b["doc_id"]))))
+            b = b.filter(b["doc_id"].is_valid())
+            b = b.filter(pa.array(wanted.value.has(np.asarray(b["doc_id"]))))
             for lo, hi, hashes, first in _shingle_rows(b["text"], k):
                 sets = [np.unique(hashes[first[r] : first[r + 1]]).tobytes() for r in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "items"])
@@ -112,8 +125,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     Words are runs without ASCII white space after lower-casing A-Z; a set holds the
     distinct ``shingle``-word runs, or the whole sequence of a shorter text. Null, empty
     and blank texts have an empty set and stay alone. Linked: ``den * |A & B| >= num *
-    |A | B|``. The smallest id of a class is kept. Rows that share an id count as one
-    document; a null id is never linked and is kept. Other columns are not read.
+    |A | B|``; texts of any length are compared whole. The smallest id of a class is kept, so
+    ties do not arise. Rows that share an id count as one document; a null id is never linked
+    and is kept; an empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hasher = MinHasher(BANDS, ROWS)
@@ -122,23 +136,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     same = scratch.write(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "same")
     reps = known.join(same, (known["digest"] == same["digest"]) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.write(reps.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "sig", "keys"), "reps")
-    rows = reps.select("id", "n", F.posexplode("keys").alias("b", "k")).select(F.expr("b * 4294967296L + (k & 4294967295L)").alias("key"), "id", "n")
+    slots = B.n_slots(docs, BANDS, tasks(docs.sparkSession))
+    multi = scratch.write(B.collisions(reps.select("id", "keys").mapInArrow(_deal(slots), B.schema(B.LONG)), B.LONG, BANDS, slots), "multi")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        schema = "id long, items binary"
-        if (bloom := build(ids, "id")) is None:
-            wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-            return wanted.mapInArrow(_full_sets(shingle), schema).dropDuplicates(["id"])
-        held = docs.sparkSession.sparkContext.broadcast(bloom)
-        return docs.mapInArrow(_full_sets(shingle, held), schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
+        ids = scratch.write(ids, "wanted")
+        held = docs.sparkSession.sparkContext.broadcast(build(ids, "id"))
+        found = docs.mapInArrow(_full_sets(shingle, held), "id long, items binary")
+        return scratch.write(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     def prune(pairs: DataFrame) -> DataFrame:
-        sig = reps.select(F.col("id").alias("x"), F.col("sig").alias("p"))
-        both = pairs.join(sig, "x").join(sig.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
+        sig = reps.select(F.col("id").alias("x"), F.col("sig").alias("p"), "n")
+        other = sig.select(F.col("x").alias("y"), F.col("p").alias("q"), F.col("n").alias("m"))
+        both = pairs.join(sig, "x").join(other, "y").where(f"{den}L * least(n, m) >= {num}L * greatest(n, m)")
         return both.select("x", "y", "p", "q").mapInArrow(_bayes(num / den, miss), "x long, y long")
 
-    linker = SetLinks(scratch, num, den, sets_of, prune)
-    _, label = linker.classes(linker.collisions(rows))
+    label = SetLinks(scratch, B.LONG, num, den, sets_of, prune).classes(B.pairs(multi), B.members(multi))
+    scratch.drop(multi)
     # A node is the smallest id of a class of equal sets; one more step covers an id that names several texts.
     found = scratch.write(same.join(label, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "found")
     scratch.drop(reps)
@@ -153,7 +167,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates (five-word shingles, 0.8)."""
+    """Keep one document of each class of near-duplicates (five-word shingles, 0.8); all columns stay.
+
+    Of rows with the same id and text one stays. Documents without words, and rows without an id, stay; an
+    empty table stays empty.
+    """
     found = near_duplicates(docs, Scratch(spark, "stage-near"), shingle=5)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("doc_id is not null")
+    odd = found.where("not kept or n > 1").select(F.col("doc_id").alias("_odd"), F.col("kept").alias("_odd_kept"))
+    once = docs.join(odd, docs["doc_id"] == odd["_odd"], "left_anti")
+    twice = docs.join(odd.where("_odd_kept"), docs["doc_id"] == F.col("_odd"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(twice)

@@ -1,24 +1,22 @@
-"""Links between sets of Jaccard similarity at or above a threshold, found from MinHash bands.
-
-Members of a bucket are never paired off with each other wholesale. Since only the
-connected classes matter, work goes in three exact-by-construction steps:
-
-1. every member of a bucket is compared with the bucket's smallest id (one pair a row);
-2. buckets that still hold more than one class compare about eight more pivots with the
-   members of other classes (in buckets of up to eight members that is every pair);
-3. documents of larger buckets that still hold several classes go through an exact
-   set-similarity join among themselves: elements ordered from rare to frequent, only the
-   first ``n - ceil(t n) + 1`` of each set can carry a first match, with size and position
-   bounds. Elements whose documents all belong to one class are left out, as a link there
-   changes nothing.
-
-Hot buckets and hot elements are pre-aggregated before they are shuffled (minimum and
-maximum of the class), and joins back are plain equi-joins, which adaptive execution splits.
+"""Links between sets of Jaccard similarity at or above a threshold, found from MinHash buckets.
+
+Members of a bucket are never paired off with each other wholesale. Since only the connected
+classes matter, work goes in two steps (see `buckets`):
+
+1. the pairs of each bucket's pivots are compared on their full sets;
+2. members of large buckets that still hold several classes go through an exact set-similarity
+   join among themselves: elements ordered from rare to frequent, only the first
+   ``n - ceil(t n) + 1`` of each set can carry a first match, with size and position bounds.
+   The order is that of a counting sketch of bounded size. Any order that all sets share makes
+   the filter exact; a coarser one only makes it less selective. Elements whose holders all
+   belong to one class are left out, as a link there changes nothing, and holders meet only
+   within neighbouring bands of size, so a frequent element is split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,118 +24,128 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm.buckets import Ids
 from lodegraph.llm.components import components
-from lodegraph.llm.minhash import overlap
 from lodegraph.llm.runtime import Scratch
 
-PIVOTS = 8
+#: Places of the counting sketch (4 MB) that orders elements.
+COUNT_BITS = 20
+_U = np.uint64
+#: Sets as one flat array of 64-bit hashes and each set's first place; hashes may repeat within a set.
+Sets = tuple[np.ndarray, np.ndarray]
 
 
-def stored(items: pa.Array) -> list[np.ndarray]:
-    """Sets kept as their sorted distinct 64-bit hashes."""
-    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in items]
+def stored(items: pa.Array) -> Sets:
+    """Sets kept as their distinct 64-bit hashes."""
+    size = np.asarray(pc.binary_length(items)).astype(np.int64) >> 3
+    flat = np.frombuffer(b"".join(x.as_buffer() for x in items), dtype=_U)
+    return flat, np.concatenate([[0], np.cumsum(size)])
 
 
-def bites(batch: pa.RecordBatch, *columns: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose columns hold at most ``limit`` bytes, or one longer row."""
+def bites(batch: pa.RecordBatch, *columns: str, limit: int = 1 << 18, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows whose columns hold at most ``limit`` bytes, or one longer row."""
     size = sum(np.asarray(pc.binary_length(batch[c])).astype(np.int64) for c in columns)
     edge, lo = np.concatenate([[0], np.cumsum(size)]), 0
     while lo < batch.num_rows:
-        hi = min(max(int(np.searchsorted(edge, edge[lo] + limit, "right")) - 1, lo + 1), batch.num_rows)
+        hi = min(max(int(np.searchsorted(edge, edge[lo] + limit, "right")) - 1, lo + 1), batch.num_rows, lo + rows)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
 
+def distinct(sets: Sets) -> np.ndarray:
+    """Sorted distinct elements of up to 256 sets: the set's number in the top byte, 56 bits of the hash below."""
+    flat, first = sets
+    row = np.repeat(np.arange(len(first) - 1, dtype=_U), np.diff(first))
+    out = np.sort(row << _U(56) | flat >> _U(8))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
+def overlaps(p: Sets, q: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of sets: size of the intersection and of both sets."""
+    n = len(p[1]) - 1
+    a, b = distinct(p), distinct(q)
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two sorted runs: one merge
+    shared = both[1:][both[1:] == both[:-1]]
+    count = lambda x: np.bincount((x >> _U(56)).astype(np.int64), minlength=n)
+    return count(shared), count(a), count(b)
+
+
 class SetLinks:
     """``num / den`` is the threshold: linked when ``den * |A & B| >= num * |A | B|``.
 
-    ``sets_of(ids)`` takes a one-column table of ids and returns ``id long, items binary``,
-    from which ``expand`` makes the sorted distinct 64-bit hashes of each set. ``prune(pairs)`` may drop pairs that are
+    ``sets_of(ids)`` takes a one-column table of ids and returns at least theirs as ``id, items binary``,
+    from which ``expand`` makes 64-bit hashes. ``prune(pairs)`` may drop pairs that are
     below the threshold beyond reasonable doubt.
     """
 
-    def __init__(self, scratch: Scratch, num: int, den: int, sets_of: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None, expand: Callable[[pa.Array], list[np.ndarray]] = stored):
-        self.scratch, self.num, self.den, self.sets_of, self.prune, self.expand = scratch, num, den, sets_of, prune, expand
-
-    def collisions(self, rows: DataFrame) -> DataFrame:
-        """Buckets with several ids, from ``key long, id long, n int``: the rows and each bucket's smallest id ``p``."""
-        low = rows.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q").select("key", "p")
-        return self.scratch.write(rows.join(low, "key").distinct(), "multi")
+    def __init__(self, scratch: Scratch, ids: Ids, num: int, den: int, sets_of: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None, expand: Callable[[pa.Array], Sets] = stored):
+        self.scratch, self.ids, self.num, self.den, self.sets_of, self.prune, self.expand = scratch, ids, num, den, sets_of, prune, expand
 
-    def classes(self, multi: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``multi``: ``key, id, p`` and, where known, the set size ``n``: members of buckets and a pivot for each. Returns links (x, y) and classes (node, component); ``multi`` is deleted."""
+    def classes(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """``node, component`` of linked ids (the smallest of a class has no row), from candidate pairs ``x, y`` and members of large buckets ``key, id``."""
         scratch = self.scratch
-        self.sized, self.temporary = "n" in multi.columns, []
-        if self.sized:
-            sizes = multi.where("id = p").select("key", "p", F.col("n").alias("pn")).distinct()
-            first = multi.where("id <> p").join(sizes, ["key", "p"]).where(self._sizes("n", "pn"))
-        else:
-            first = multi.where("id <> p")
-        links = self._verify(first.select(F.least("p", "id").alias("x"), F.greatest("p", "id").alias("y")).distinct())
+        links = self._verify(pairs)
         label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
-
-        mixed = self._mixed(multi, label, 2)
-        few = mixed.where(F.expr(f"pmod(xxhash64(id), 1000000) * m < {PIVOTS}000000"))
-        more = self._verify(self._across(few, mixed))
-        if not more.isEmpty():
-            links = scratch.write(links.union(more).distinct(), "links")
-            label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
-
-        rest = scratch.write(self._mixed(mixed.drop("c", "m"), label, PIVOTS + 1).select("id", "c").distinct(), "rest")
-        self.temporary.append(rest)
+        named = scratch.write(members.join(label, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c")), "named")
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        rest = scratch.write(named.join(mixed, "key").select("id", "c").distinct(), "rest")
+        scratch.drop(links, named)
         if not rest.isEmpty():
             last = self._verify(self._prefix_pairs(rest))
-            if not last.isEmpty():
-                links = scratch.write(links.union(last).distinct(), "links")
-                label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
-        scratch.drop(multi, *self.temporary)
-        return links, label
-
-    def _sizes(self, a: str, b: str) -> str:
-        return f"{self.den}L * least({a}, {b}) >= {self.num}L * greatest({a}, {b})"
-
-    def _mixed(self, multi: DataFrame, label: DataFrame, least: int) -> DataFrame:
-        """Rows of the buckets with at least ``least`` members and more than one class: key, id, n, class c, size m."""
-        own = ["key", "id", *(["n"] if self.sized else [])]
-        named = multi.select(*own).distinct().join(label, F.col("id") == F.col("node"), "left").select(*own, F.coalesce("component", "id").alias("c"))
-        big = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(f"lo <> hi and m >= {least}").select("key", "m")
-        self.temporary.append(out := self.scratch.write(named.join(big, "key"), "mixed"))
-        return out
-
-    def _across(self, few: DataFrame, many: DataFrame) -> DataFrame:
-        a = few.select(*[F.col(c).alias(f"{c}a") for c in few.columns])
-        on = (F.col("keya") == F.col("key")) & (F.col("ca") != F.col("c"))
-        if self.sized:
-            on &= F.expr(self._sizes("na", "n"))
-        return many.join(a, on).select(F.least("ida", "id").alias("x"), F.greatest("ida", "id").alias("y")).distinct()
+            known = label.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            label, old = components(known.union(last.select("x", "y")), scratch), label
+            scratch.drop(last, old)
+        scratch.drop(rest)
+        return label
 
     def _prefix_pairs(self, rest: DataFrame) -> DataFrame:
         """Pairs of different classes that pass the prefix, size and position filters."""
-        num, den, expand = self.num, self.den, self.expand
+        num, den, expand, scratch = self.num, self.den, self.expand, self.scratch
+        held = scratch.write(self.sets_of(rest.select("id")).join(rest, "id").select("id", "c", "items"), "rest-sets")
 
-        def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            np.seterr(over="ignore")
+            total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+            for b in (x for batch in batches for x in bites(batch, "items")):
+                total += np.bincount(((distinct(expand(b["items"])) << _U(8)) >> _U(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["place", "n"])
+
+        found = held.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+        spread = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        spread[found["place"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+        known = held.sparkSession.sparkContext.broadcast(spread)
+        step = log(den / num) * (1 + 1e-9)
+
+        def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
-            for b in batches:
-                for b in bites(b, "items"):
-                    sets = expand(b["items"])
-                    ids = np.repeat(np.asarray(b["id"]), [len(v) for v in sets])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "item"])
-
-        flat = self.scratch.write(self.sets_of(rest.select("id")).mapInArrow(items, "id long, item long"), "items")
-        spread = flat.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
-        # An item of one document never pairs: it only takes up a place at the front of its set's order.
-        ranked = flat.join(spread, "item", "left").groupBy("id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "item")))).alias("o"))
-        prefix = ranked.withColumn("alone", F.expr("n - size(o)")).withColumn("len", F.expr(f"n - ({num}L * n + {den - 1}) div {den} + 1"))
-        rows = prefix.select("id", "n", F.posexplode(F.expr("slice(o, 1, cast(greatest(0, len - alone) as int))")).alias("i", "e"), "alone").select("id", "n", (F.col("i") + F.col("alone")).alias("i"), F.col("e.item").alias("item"))
-        rows = self.scratch.write(rows.join(rest, "id"), "prefix")
-        self.temporary += [flat, rows]
+            spread = known.value
+            for b in (x for batch in batches for x in bites(batch, "items")):
+                items = distinct(expand(b["items"]))
+                row = (items >> _U(56)).astype(np.int64)
+                often = spread[((items << _U(8)) >> _U(64 - COUNT_BITS)).astype(np.int64)]
+                order = np.lexsort((items, often, row))
+                items, often = items[order], often[order]
+                n = np.bincount(row, minlength=b.num_rows)
+                i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                # An element of one set alone pairs with nothing: it only takes up a place.
+                at = np.flatnonzero((i < (n - (num * n + den - 1) // den + 1)[row]) & (often > 1))
+                own = row[at]
+                band = np.floor(np.log(n[own]) / step).astype(np.int32)
+                cols = [pa.array((items[at] << _U(8)).view(np.int64)), pa.array(band), pa.array(n[own], pa.int32()), pa.array(i[at], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, b["id"].take(pa.array(own)), b["c"].take(pa.array(own))], names=["item", "band", "n", "i", "id", "c"])
+
+        rows = scratch.write(held.mapInArrow(prefix, f"item long, band int, n int, i int, id {self.ids.name}, c {self.ids.name}"), "prefix")
+        scratch.drop(held)
         split = rows.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("item")
         rows = rows.join(split, "item")
-        a = rows.select(*[F.col(c).alias(f"{c}a") for c in ("item", "id", "n", "i", "c")])
+        a = rows.select(*[F.col(c).alias(f"{c}a") for c in ("item", "id", "n", "i", "c")], F.explode(F.array("band", F.col("band") + 1)).alias("banda"))
         # Shared items still possible from here must reach num/(num+den) of both sizes together.
         enough = F.expr(f"(1 + least(n - i, na - ia) - 1) * ({num}L + {den}) >= {num}L * (n + na)")
-        on = (F.col("item") == F.col("itema")) & (F.col("ida") < F.col("id")) & (F.col("c") != F.col("ca")) & F.expr(self._sizes("n", "na")) & enough
-        return rows.join(a, on).select(F.col("ida").alias("x"), F.col("id").alias("y")).distinct()
+        on = (F.col("item") == F.col("itema")) & (F.col("band") == F.col("banda")) & F.expr("na < n or (na = n and ida < id)") & (F.col("c") != F.col("ca"))
+        on &= F.expr(f"{den}L * na >= {num}L * n") & enough
+        return rows.join(a, on).select(F.least("ida", "id").alias("x"), F.greatest("ida", "id").alias("y")).distinct()
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets meet the threshold."""
@@ -146,18 +154,15 @@ class SetLinks:
         if pairs.isEmpty():
             return pairs.select("x", "y")
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-        sets = self.scratch.write(self.sets_of(ids), "sets")
+        sets = self.sets_of(ids)
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
             for b in (x for batch in batches for x in bites(batch, "p", "q")):
-                keep = []
-                for u, v in zip(expand(b["p"]), expand(b["q"]), strict=True):
-                    n = overlap(u, v)
-                    keep.append(den * n >= num * (len(u) + len(v) - n))
-                yield pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+                shared, n, m = overlaps(expand(b["p"]), expand(b["q"]))
+                yield pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(den * shared >= num * (n + m - shared)))
 
         both = pairs.join(sets.select(F.col("id").alias("x"), F.col("items").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("items").alias("q")), "y")
-        links = self.scratch.write(both.select("x", "y", "p", "q").mapInArrow(exact, "x long, y long"), "links")
-        self.scratch.drop(sets, pairs)
+        links = self.scratch.write(both.select("x", "y", "p", "q").mapInArrow(exact, f"x {self.ids.name}, y {self.ids.name}"), "links")
+        self.scratch.drop(pairs)
         return links

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodegraph.llm import ann, bloom, crc32c, decontaminate, langid, licenses, line_dedup, near_dup, packing, quality, records, toxicity
+from lodegraph.llm import ann, bloom, buckets, crc32c, decontaminate, langid, licenses, line_dedup, near_dup, packing, quality, records, toxicity
 from lodegraph.llm import textkernel as K
 from lodegraph.llm.components import components
 from lodegraph.llm.minhash import MinHasher, posterior_floor
@@ -128,9 +128,9 @@ def test_lines(spark, corpus):
         picked = [rng.choice(corpus[:90]) or "" for _ in range(rng.randrange(1, 5))]
         texts.append(rng.choice(["\n", "\n \n", " \n"]).join(p if rng.random() < 0.6 else p.replace("1", "2") for p in picked) + rng.choice(["", "\n"]))
     texts += odd_texts(rng)
-    occ = [(d, i, s) for d, t in enumerate(texts) for i, s in line_sets(t) if len(s) >= 20]
+    occ = [(d, i, s) for d, t in enumerate(texts) for i, s in line_sets(t) if s]
     names = sorted({s for *_, s in occ})
-    sets = [{s[i : i + 8] for i in range(len(s) - 7)} for s in names]
+    sets = [{s[i : i + 8] for i in range(len(s) - 7)} or {s} for s in names]
     classes = unions(len(names), [(i, j) for i, j in itertools.combinations(range(len(names)), 2) if alike(sets[i], sets[j])])
     of = dict(zip(names, classes, strict=True))
     first, want = {}, set()
@@ -172,15 +172,39 @@ def test_short_lines(spark):
     assert line_dedup.repeated_lines(frame(spark, ["a", "b", "a"]), Scratch(spark, "t")).count() == 1
 
 
-def test_hot_line_buckets():
-    """A bucket beyond the bound in one task keeps all its members, under one pivot."""
-    bands = line_dedup._Bands(1, 2)
-    bands.add(np.full((200, 1), 7, dtype=np.uint32), np.arange(200))
-    out = list(bands.flush())
-    hot = [b for b in out if b["kind"][0].as_py() == 2]
-    assert sorted(hot[0]["h"].to_pylist()) == list(range(200)) and set(hot[0]["doc_id"].to_pylist()) == {0}
-    pairs = [np.frombuffer(x, dtype=line_dedup.PAIR) for b in out if b not in hot for x in b["pairs"].to_pylist()]
-    assert [p["h"].tolist() for p in pairs] == [[0]]
+def rows_of(batches):
+    return [r for b in batches for r in pa.RecordBatch.from_pydict(b).to_pylist()]
+
+
+def test_hot_buckets_in_one_task():
+    """A bucket beyond the bound lists all its members, pairs its pivots with them, and sends on the pivots alone."""
+    dealer = buckets.Dealer(buckets.LONG, 1, 2)
+    dealer.add(np.full((200, 1), 7, dtype=np.uint32), [np.arange(200)])
+    out = rows_of(dealer.flush())
+    assert sorted(r["x"] for r in out if r["key"] is not None) == list(range(200))
+    assert {(r["x"], r["y"]) for r in out if r["y"] is not None} == {(i, j) for i in range(8) for j in range(i + 1, 200)}
+    sent = [np.frombuffer(r["entries"], dtype=buckets.LONG.entry) for r in out if r["entries"] is not None]
+    assert [e["p0"].tolist() for e in sent] == [list(range(8))]
+
+
+@pytest.mark.parametrize("ids", [buckets.LONG, buckets.DIGEST])
+def test_buckets_pair_their_pivots(ids):
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 1 << 40, 300).astype(ids.entry[f]) for f in ids.fields]
+    keys = rng.integers(0, 40, (300, 2)).astype(np.uint32)
+    dealer = buckets.Dealer(ids, 2, 3)
+    for at in (slice(0, 200), slice(100, 300)):  # some ids come twice
+        dealer.add(keys[at], [p[at] for p in parts])
+    sent = pa.Table.from_batches([pa.RecordBatch.from_pydict(b) for b in dealer.flush()]).to_batches()
+    out = [r for b in buckets._gather(ids, 3)(iter(sent)) for r in b.to_pylist()]
+    names, want, large = ids.column(parts).to_pylist(), set(), set()
+    for band in range(2):
+        for key in range(40):
+            own = sorted(n for n, k in zip(names, keys[:, band], strict=True) if k == key)
+            want |= {(own[i], own[j]) for i in range(min(8, len(own))) for j in range(i + 1, len(own))}
+            large |= {((band << 32) | key, n) for n in own if len(own) > 8}
+    assert {(r["x"], r["y"]) for r in out if r["y"] is not None} == want
+    assert {(r["key"], r["x"]) for r in out if r["y"] is None} == large and large
 
 
 def test_components(spark):
@@ -189,14 +213,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
     want = unions(141, edges)
     assert all(got.get(i, i) == want[i] for i in range(141))
+    # With a few edges a task several rounds of unions and star steps are needed.
+    few = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    assert {r["node"]: r["component"] for r in components(few, Scratch(spark, "t"), per_task=12).collect()} == got
+    name = lambda c: F.unhex(F.format_string("%024x", c))
+    named = components(few.select(name("u").alias("u"), name("v").alias("v")), Scratch(spark, "t")).collect()
+    assert {int.from_bytes(r["node"]): int.from_bytes(r["component"]) for r in named} == got
+    assert components(few.limit(0), Scratch(spark, "t")).count() == 0
 
 
 def test_bloom_has_no_false_negatives(spark):
-    ids = [random.Random(2).getrandbits(62) - (1 << 61) for _ in range(500)]
+    rng = random.Random(2)
+    ids = [rng.getrandbits(62) - (1 << 61) for _ in range(500)]
     df = spark.createDataFrame([(i,) for i in ids], "id long")
-    assert bloom.xxhash64_long(np.array(ids)).view(np.int64).tolist() == [r[0] for r in df.select(F.xxhash64("id")).collect()]
     b = bloom.build(df, "id")
     assert b.has(np.array(ids)).all() and b.has(np.arange(10_000)).mean() < 0.05
+    digests = [bytes(random.Random(i).randbytes(12)) for i in range(300)]
+    words = np.array([int.from_bytes(d[:8], signed=True) for d in digests])
+    b = bloom.build(spark.createDataFrame([(d,) for d in digests], "id binary"), "id")
+    assert b.has(words).all() and b.has(np.arange(10_000)).mean() < 0.05
+    # More ids than the largest size is meant for: it lets nearly all through, and still misses none.
+    full = bloom.build(df, "id", max_bits=8)
+    assert full.has(np.array(ids)).all() and full.has(np.arange(10_000)).mean() > 0.5
 
 
 def test_decontamination(spark):
