@@ -2,9 +2,9 @@
 
 Documents become token ids with an end id. Each document is cut into pieces of ``width``
 ids and one shorter rest. The rests are packed from their histogram alone (``width``
-counts, whatever the corpus size): lengths from long to short, each placed as a group of
-equal counts into the open packing patterns that have room, the fullest fitting one
-first, updating pattern counts. Patterns are then joined back to documents by rank:
+counts, whatever the corpus size), shortest pack first: lengths from long to short, each
+into the open pack that holds least so far if it has room, as groups of equal lengths and
+equal packs, updating pattern counts. Patterns are then joined back to documents by rank:
 the r-th piece of a length takes the r-th slot of that length.
 
 Ranks come from counts a (task file, length), so no length's pieces meet in one task.
@@ -73,9 +73,10 @@ def _cut(path: str, drops_space: bool, end: int, width: int, with_ids: bool):
 def pack_histogram(counts: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns (lengths in place order) and how often each is used.
 
-    Lengths are placed from long to short. A group of equal lengths goes to the patterns
-    with the least room that still fits, as many as both allow; a length may enter one
-    pattern several times; what is left opens new ones. Patterns that lack no room are closed.
+    Lengths are placed from long to short. A group of equal lengths goes to the shortest packs,
+    those with the most room, as many as both allow; if not even those have room, what is left opens
+    new packs, each filled before the next. The result is that of placing one piece at a time.
+    Packs without room are closed.
     """
     open_: dict[int, list[list]] = {}  # room -> [pattern, count]
     closed: list[tuple[tuple[int, ...], int]] = []
@@ -89,8 +90,8 @@ def pack_histogram(counts: dict[int, int], width: int = WIDTH) -> list[tuple[tup
     for length in sorted((k for k in counts if k > 0), reverse=True):
         left = counts[length]
         while left:
-            room = min((r for r in open_ if r >= length), default=None)
-            if room is None:
+            room = max(open_, default=0)
+            if room < length:
                 each = width // length
                 full, rest = divmod(left, each)
                 if full:

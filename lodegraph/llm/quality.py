@@ -1,14 +1,21 @@
 """Quality: positive-unlabelled learning with the non-negative risk.
 
-Positives are trusted labelled rows, the rest is unlabelled text. With class prior p the
+Positives are trusted labelled rows (at most ``MAX_POSITIVE``, those whose hashed id is
+smallest); every document that may be trained on is unlabelled text. With class prior p the
 risk is ``p R_P(+) + max(0, R_U(-) - p R_P(-))``; where the second part falls below zero,
 steps go against it instead. The model is a linear one over about a hundred dense
-features of writing (shares of byte classes and of token shapes, repetition, length),
-fitted on bounded samples; scoring reads whole texts and shuffles nothing.
-
-The prior is the positives' share of the labelled training rows; where no negative is
-labelled it is estimated from scores instead (mean score of unlabelled over mean score of
-positives under a plain positive-against-unlabelled fit).
+features of writing (shares of byte classes and of token shapes, repetition, length). Features
+are computed once and written; each step of the fit is one pass over them that returns a
+hundred sums, and scoring reads them too.
+
+The prior is estimated from positives and unlabelled text alone, by the best bin: a linear
+positive-against-unlabelled model is fitted with every second positive, and the prior is the
+least ratio, over score thresholds, of the share of unlabelled rows above it to the share
+of the other positives above it (plus a bound for chance). A stretch of scores that holds
+positives only gives the prior exactly; labelled negatives are never looked at.
+
+Steps are Newton steps whose gradient is summed over all rows; only the curvature comes from
+a sample (``CURVATURE`` unlabelled rows), which sets how fast they converge but not where.
 """
 
 from __future__ import annotations
@@ -21,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import textkernel as K
-from lodegraph.llm.runtime import remainder, ship, table
+from lodegraph.llm.runtime import Scratch, remainder, ship, table
 
-MAX_POSITIVE, MAX_UNLABELLED, STEPS, RATE, DECAY = 8_000, 16_000, 800, 0.05, 1e-3
+MAX_POSITIVE, CURVATURE, STEPS, DECAY, CLIP = 8_000, 4_000, 12, 1e-3, 8.0
 THRESHOLD = 0.3
 _PUNCT = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 #: Byte classes: each ASCII punctuation mark, capital, small letter, digit, space, line feed, other control, non-ASCII.
@@ -72,97 +79,177 @@ def features(col: pa.Array) -> np.ndarray:
     return out
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
 class PuModel:
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: float):
-        self.mean, self.scale, self.weights, self.bias = mean, scale, weights, bias
+    """Standardisation, weights (the last is the bias) and the prior they were fitted with."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float):
+        self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-
-
-def _adam(x: np.ndarray, gradient, bias: float) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on (weights, bias); ``gradient`` gives d risk / d score of each row."""
-    w = np.zeros(x.shape[1] + 1)
-    w[-1] = bias
-    m = v = np.zeros_like(w)
-    for t in range(1, STEPS + 1):
-        g = gradient(x @ w[:-1] + w[-1])
-        g = np.append(x.T @ g + DECAY * w[:-1], g.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> PuModel | None:
-    """Non-negative PU fit with logistic loss; None without positives or unlabelled rows."""
-    if not len(positive) or not len(unlabelled):
-        return None
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64) + 1e-3
-    x, n_p, n_u = np.clip((both - mean) / scale, -8, 8), len(positive), len(unlabelled)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-    if prior is None:
-        y = np.concatenate([np.ones(n_p), np.zeros(n_u)]) == 1
-        w, b = _adam(x, lambda z: np.where(y, (sig(z) - 1) / n_p, sig(z) / n_u), 0.0)
-        s = sig(x @ w + b)
-        prior = float(np.clip(s[n_p:].mean() / max(s[:n_p].mean(), 1e-6), 0.05, 0.95))
-    prior = min(max(prior, 0.01), 0.99)
+        return sigmoid(standard(x, self.mean, self.scale) @ self.weights)
 
-    def gradient(z: np.ndarray) -> np.ndarray:
-        s, loss = sig(z), np.logaddexp(0, z)  # loss of calling a row positive when it is negative
-        negative = loss[n_p:].mean() - prior * loss[:n_p].mean()
-        if negative < 0:
-            return np.concatenate([prior * s[:n_p] / n_p, -s[n_p:] / n_u])
-        return np.concatenate([prior * (s[:n_p] - 1) / n_p - prior * s[:n_p] / n_p, s[n_p:] / n_u])
 
-    w, b = _adam(x, gradient, float(np.log(prior / (1 - prior))))
-    return PuModel(mean, scale, w, b)
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features at unit scale, clipped, and a column of ones."""
+    return np.concatenate([np.clip((x - mean) / scale, -CLIP, CLIP), np.ones((len(x), 1))], axis=1)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    for b in batches:
-        x = features(b["text"])
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), WIDTH).cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
+def matrix(col: pa.Array) -> np.ndarray:
+    """Stored features of some rows."""
+    return np.frombuffer(b"".join(v.as_buffer() for v in col), dtype=np.float32).reshape(-1, WIDTH).astype(np.float64)
 
 
-def _sample(docs: DataFrame, ids: DataFrame, limit: int) -> np.ndarray:
-    """Features of at most ``limit`` documents, those whose hashed id is smallest; ids are chosen before any text is read."""
+def vectors(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, x`` of every row, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for b in batches:
+            x = features(b["text"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scratch.write(own.mapInArrow(run, "doc_id long, x binary"), "features")
+
+
+def sums(rows: DataFrame, of) -> np.ndarray:
+    """The sum over all rows of ``of(features)``, a vector: one row a task, added up by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            if b.num_rows:
+                total = total + of(matrix(b["x"]))
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], names=["place", "v"])
+
+    found = rows.select("x").mapInArrow(run, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
+    return np.array([r["v"] for r in found])
+
+
+def risk_parts(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of some standardised rows: how many, the sum of losses when called negative, and that sum's gradient."""
+    z = x @ w
+    return np.concatenate([[len(x), np.logaddexp(0, z).sum()], sigmoid(z) @ x])
+
+
+def pu_gradient(positive: np.ndarray, unlabelled: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, np.ndarray, bool]:
+    """Non-negative risk, the gradient to follow, and whether the negative part is at or above zero; ``unlabelled`` are `risk_parts`."""
+    z = positive @ w
+    n_u, s = unlabelled[0], sigmoid(z)
+    negative = unlabelled[1] / n_u - prior * np.logaddexp(0, z).mean()
+    plus, minus = prior * (s - 1) @ positive / len(z), unlabelled[2:] / n_u - prior * s @ positive / len(z)
+    value = prior * np.logaddexp(0, -z).mean() + max(0.0, negative) + DECAY / 2 * float(w[:-1] @ w[:-1])
+    decay = DECAY * np.append(w[:-1], 0)
+    return value, (plus + minus + decay if negative >= 0 else -minus), negative >= 0
+
+
+def naive_gradient(positive: np.ndarray, unlabelled: np.ndarray, w: np.ndarray, _: float) -> tuple[float, np.ndarray, bool]:
+    """Plain logistic risk of positives against unlabelled rows."""
+    z = positive @ w
+    value = np.logaddexp(0, -z).mean() + unlabelled[1] / unlabelled[0] + DECAY / 2 * float(w[:-1] @ w[:-1])
+    return value, (sigmoid(z) - 1) @ positive / len(z) + unlabelled[2:] / unlabelled[0] + DECAY * np.append(w[:-1], 0), True
+
+
+def minimise(gradient, positive: np.ndarray, sample: np.ndarray, passes, prior: float, weight: float, start: np.ndarray) -> np.ndarray:
+    """Newton steps: ``passes(w)`` sums `risk_parts` over all unlabelled rows; ``weight`` is that of the positives' curvature."""
+    w, best, step = start, np.inf, 1.0
+    kept, move = w, np.zeros_like(w)
+    for _ in range(STEPS):
+        value, g, whole = gradient(positive, passes(w), w, prior)
+        if value > best + 1e-9 and step > 1 / 16:  # too far: half the way
+            step /= 2
+            w = kept - step * move
+            continue
+        best, kept = value, w
+        s, p = sigmoid(sample @ w), sigmoid(positive @ w)
+        h = (sample * (s * (1 - s))[:, None]).T @ sample / len(sample) + weight * (positive * (p * (1 - p))[:, None]).T @ positive / len(positive)
+        move = np.linalg.solve(h + (DECAY + 1e-4) * np.eye(len(w)), g)
+        step = 1.0 if whole else 0.25
+        w = kept - step * move
+        if np.abs(move).max() < 1e-3:
+            break
+    return kept
+
+
+def best_bin(unlabelled: np.ndarray, positive: np.ndarray, delta: float = 0.1) -> float:
+    """Prior from the numbers of rows above each score threshold, each array from the highest threshold down to all rows."""
+    n_u, n_p = max(unlabelled[-1], 1), max(positive[-1], 1)
+    chance = np.sqrt(np.log(4 / delta) / (2 * n_u)) + np.sqrt(np.log(4 / delta) / (2 * n_p))
+    share = positive / n_p
+    use = np.flatnonzero(share > chance)
+    at = use[np.argmin((unlabelled[use] / n_u + chance) / share[use])]
+    return float(np.clip(unlabelled[at] / n_u / share[at], 0.01, 0.99))
+
+
+def fit_pu(positive: np.ndarray, rows: DataFrame, sample: np.ndarray, prior: float | None = None) -> PuModel | None:
+    """Non-negative PU fit with logistic loss over all ``rows`` (``x``); None without positives or unlabelled rows.
+
+    ``sample`` are features of some of the rows. Without a ``prior`` it is estimated.
+    """
+    if not len(positive) or not len(sample):
+        return None
+    total = sums(rows, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    n = total[0]
+    mean = total[1 : 1 + WIDTH] / n
+    scale = np.sqrt(np.maximum(total[1 + WIDTH :] / n - mean * mean, 0)) + 1e-3
+    p, u = standard(positive, mean, scale), standard(sample, mean, scale)
+    passes = lambda w: sums(rows, lambda x: risk_parts(standard(x, mean, scale), w))
+    if prior is None:
+        half, other = p[::2], p[1::2] if len(p) > 1 else p
+        w = minimise(naive_gradient, half, u, passes, 0.0, 1.0, np.zeros(WIDTH + 1))
+        edges = np.linspace(0, 1, 1001)
+        above = lambda x: np.cumsum(np.histogram(sigmoid(x @ w), edges)[0][::-1]).astype(np.float64)
+        prior = best_bin(sums(rows, lambda x: above(standard(x, mean, scale))), above(other))
+    start = np.zeros(WIDTH + 1)
+    start[-1] = np.log(prior / (1 - prior))
+    # The positives' share of the risk is linear in the score: all curvature is the unlabelled rows'.
+    return PuModel(mean, scale, minimise(pu_gradient, p, u, passes, prior, 0.0, start), prior)
+
+
+def _sample(rows: DataFrame, ids: DataFrame, limit: int) -> np.ndarray:
+    """Features of at most ``limit`` documents, those whose hashed id is smallest."""
     own = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    found = docs.join(F.broadcast(own), "doc_id").select("doc_id", "text").mapInArrow(_vectors, "doc_id long, x array<float>").toPandas()
-    x = np.array(found.sort_values("doc_id", kind="stable")["x"].tolist(), dtype=np.float32).reshape(-1, WIDTH)
+    found = rows.join(F.broadcast(own), "doc_id").select("x").toArrow()
+    x = matrix(found["x"].combine_chunks()) if found.num_rows else np.zeros((0, WIDTH))
     return x[np.lexsort(x.T[::-1])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held: int = 0, modulus: int = 5) -> PuModel | None:
-    """Labels, and texts, of held-out ids (crc32(id) mod ``modulus`` is ``held``) are not used."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(remainder("doc_id", modulus) != held)
+def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", held: int = 0, modulus: int = 5, prior: float | None = None) -> PuModel | None:
+    """A model from features ``doc_id, x``; labels, and texts, of held-out ids (crc32(id) mod ``modulus`` is ``held``) are not used.
+
+    Positives are ids that have label 1 and no other; a repeated row counts as often as it stands.
+    """
+    ship(rows.sparkSession)
+    rows = rows.where("doc_id is not null").where(remainder("doc_id", modulus) != held)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     own = own.where(remainder("doc_id", modulus) != held).groupBy("doc_id").agg(F.min("y").alias("y"))
-    counts = own.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
-    prior = counts["p"] / (counts["p"] + counts["n"]) if counts["n"] else None
-    positive = _sample(docs, own.where("y = 1").select("doc_id"), MAX_POSITIVE)
-    return fit_pu(positive, _sample(docs, docs.select("doc_id").distinct(), MAX_UNLABELLED), prior)
+    positive = _sample(rows, own.where("y = 1").select("doc_id"), MAX_POSITIVE)
+    return fit_pu(positive, rows, _sample(rows, rows.select("doc_id").distinct(), CURVATURE), prior)
 
 
-def score(docs: DataFrame, model: PuModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` for every row; without a model every score is 0.5."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(rows: DataFrame, model: PuModel | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, score, predicted`` for every row of features; without a model every score is 0.5.
+
+    Null and empty texts have features of zero and score like any others; a null id stays null, a repeated
+    row is scored again, a score of exactly ``threshold`` is predicted 1, an empty table gives no rows.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
         for b in batches:
-            s = held.value.score(features(b["text"]).astype(np.float64)) if held.value else np.full(b.num_rows, 0.5)
+            s = held.value.score(matrix(b["x"])) if held.value else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document scored, a fifth of the ids held out of training."""
-    docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    rows = vectors(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    out = score(rows, fit(rows, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

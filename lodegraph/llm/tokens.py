@@ -7,6 +7,9 @@ the stretches, put together, are the ids of the text:
 * byte-level tokenizers (a word owns the one space before it): before a space that is
   followed by a character other than white space.
 
+A text that holds one of the tokenizer's added tokens is encoded in one go, as the tokenizer
+takes those out before it splits anything.
+
 Stretches repeat heavily, so a two-generation cache of bounded size holds their ids.
 """
 
@@ -33,8 +36,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        #: An added token that is looked for in normalised text can hide anywhere.
+        self.hidden = any(t.normalized for t in added)
         self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
 
     def _ids(self, names: list[str], before: str) -> list[bytes]:
@@ -68,8 +74,12 @@ class Encoder:
         bounds = bounds - bounds[0]
         words = lists.flatten().dictionary_encode()
         code, names = np.asarray(words.indices).astype(np.int64), words.dictionary.to_pylist()
+        whole = np.full(len(texts), self.hidden)
+        for t in self.added:
+            whole |= np.asarray(pc.match_substring(texts, t))
         if self.drops_space:
-            return self._join(code, self._ids(names, ""), bounds)
+            parts = self._ids(names, "")
+            return self._mixed(texts, code, parts, bounds, set(), whole) if whole.any() else self._join(code, parts, bounds)
         # A row's first stretch has no space before it.
         opens = bounds[:-1]
         heads, own = np.unique(code[opens], return_inverse=True)
@@ -79,7 +89,7 @@ class Encoder:
         rows = np.unique(np.searchsorted(bounds, np.flatnonzero(late), "right") - 1)
         code[opens] = len(names) + own
         parts = self._ids(names, " ") + self._ids([names[i] for i in heads], "")
-        return self._mixed(texts, code, parts, bounds, rows) if len(rows) else self._join(code, parts, bounds)
+        return self._mixed(texts, code, parts, bounds, set(rows.tolist()), whole) if len(rows) or whole.any() else self._join(code, parts, bounds)
 
     @staticmethod
     def _join(code: np.ndarray, parts: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +102,14 @@ class Encoder:
         src += np.repeat(begin[:-1][code] - total[:-1], n)
         return flat[src], total[bounds]
 
-    def _mixed(self, texts: pa.Array, code: np.ndarray, parts: list[bytes], bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_join``, but the rows given (runs of spaces or other odd white space) are split by the full rule."""
+    def _mixed(self, texts: pa.Array, code: np.ndarray, parts: list[bytes], bounds: np.ndarray, odd: set[int], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_join``, but ``whole`` rows are encoded in one go, and ``odd`` ones (runs of spaces or other odd white space) split by the full rule."""
         more, codes, edge = list(parts), [], [0]
-        odd = set(rows.tolist())
         for r in range(len(texts)):
-            if r in odd:
+            if whole[r]:
+                codes.append(np.array([len(more)]))
+                more.append(array("I", self.tokenizer.encode(texts[r].as_py(), add_special_tokens=False).ids).tobytes())
+            elif r in odd:
                 head, *tail = _INNER.split(texts[r].as_py())
                 codes.append(np.arange(len(more), len(more) + 1 + len(tail)))
                 more += self._ids([head], "") + self._ids(tail, " ")
