@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,9 +15,12 @@ def simple_name(q: Column) -> Column:
 
 
 def clean_name(label: Column) -> Column:
-    """A node's display name: no parameter list, no ``package:``/``project:``/``file:``, nothing before ``': '``."""
-    head = F.when(F.instr(label, "(") > 0, F.substring_index(label, "(", 1)).otherwise(label)
-    return F.when(head.rlike("^(package|project|file):"), F.trim(F.regexp_replace(head, "^(package|project|file):", ""))).when(F.instr(head, ": ") > 0, F.regexp_replace(head, "^.*?: ", "")).otherwise(head)
+    """A node's display name: nothing from the first ``(`` on (unless it comes first), then without ``package:``,
+    ``project:`` or ``file:`` (in any case), or else only what stands before ``": "``. Null gives an empty text."""
+    raw = F.trim(F.coalesce(label, F.lit("")))
+    head = F.when(F.instr(raw, "(") > 1, F.trim(F.substring_index(raw, "(", 1))).otherwise(raw)
+    prefix = "(?i)^(package|project|file):"
+    return F.when(head.rlike(prefix), F.trim(F.regexp_replace(head, prefix, ""))).when(F.instr(head, ": ") > 1, F.trim(F.substring_index(head, ": ", 1))).otherwise(head)
 
 
 def csv_encode(s: Column) -> Column:
@@ -50,8 +54,14 @@ def csv_quote(s: Column) -> Column:
 
 
 def list_format(items: Column) -> Column:
-    """Items joined by ``;``, with a ``;`` inside an item escaped."""
-    return F.array_join(F.transform(items, lambda x: F.replace(x, F.lit(";"), F.lit("\\;"))), ";")
+    """Items encoded, with a ``;`` inside an item escaped, joined by ``;`` and quoted as one field; a null item is empty."""
+    one = lambda x: F.coalesce(F.replace(csv_encode(x), F.lit(";"), F.lit("\\;")), F.lit(""))
+    return F.coalesce(csv_quote(F.array_join(F.transform(items, one), ";")), F.lit(""))
+
+
+def property_text(value: Column) -> Column:
+    """A text property as a field: encoded and quoted; null and empty texts are written as ``""``."""
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit('""')).otherwise(csv_quote(csv_encode(value)))
 
 
 #: The literals that add a path through a method.
@@ -113,23 +123,28 @@ def relative_path(path: Column, root: str) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """Anchored regular expression of a path glob: ``**`` any, ``*`` within a folder, ``?`` one character."""
-    out, i = ["^(?:.*/)?"], 0
-    while i < len(glob):
-        if glob.startswith("**", i):
-            out.append(".*")
-            i += 2
-            continue
-        c = glob[i]
-        out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if not c.isalnum() and c not in "/_" else c)
-        i += 1
-    return "".join(out) + "$"
+    """Regular expression of a path glob, after any text: ``**`` any, ``*`` within a folder, ``?`` one character."""
+    rules = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.findall(r"\*\*|.", glob.replace("\\", "/"), flags=re.DOTALL)
+    return "^.*" + "".join(rules.get(p) or ("\\" + p if p in ".{}()+|^$[]" else p) for p in parts) + "$"
+
+
+def excluded(path: Column, root: str, globs: list[str]) -> Column:
+    """Whether any glob fits the whole path, or its part below ``root``."""
+    flat = F.replace(path, F.lit("\\"), F.lit("/"))
+    below = F.when(F.startswith(flat, F.lit(root)), F.regexp_replace(F.substr(flat, F.lit(len(root) + 1)), "^/", ""))
+    hits = [F.coalesce(p.rlike(glob_regex(g)), F.lit(False)) for g in globs if g for p in (flat, below)]
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
 def location(path: Column, start: Column, end: Column, element: Column) -> Column:
-    """``file:start-end::element`` without what is missing."""
-    lines = F.when(start > 0, F.concat(F.lit(":"), start.cast("string"), F.when(end > start, F.concat(F.lit("-"), end.cast("string"))).otherwise("")))
-    return F.concat(F.coalesce(path, F.lit("")), F.coalesce(lines, F.lit("")), F.when(F.trim(element) != "", F.concat(F.lit("::"), element)).otherwise(""))
+    """``file:start-end::element`` without what is missing; numbers of 0 or less, and an end equal to the start, are missing."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    number = lambda c, mark: F.when(c > 0, F.concat(F.lit(mark), c.cast("string"))).otherwise("")
+    last = F.when(end != start, number(end, "-")).otherwise("")
+    lines = F.when((start > 0) | (end > 0), F.concat(F.lit(":"), number(start, ""), F.coalesce(last, F.lit(""))))
+    head = F.concat(F.when(blank(path), "").otherwise(path), F.coalesce(lines, F.lit("")))
+    return F.when(blank(element), head).otherwise(F.concat(head, F.when(head == "", "").otherwise("::"), F.trim(element)))
 
 
 def trimmed_distinct(items: Column) -> Column:
@@ -138,14 +153,16 @@ def trimmed_distinct(items: Column) -> Column:
 
 
 def short_signature(signature: Column) -> Column:
-    """``Class.method(...)`` of a qualified signature."""
-    return F.concat(F.regexp_extract(signature, r"([^.(]+\.[^.(]+)\(", 1), F.lit("(...)"))
+    """``m(...)``: what stands between the last dot and the parenthesis; a dot after it counts for nothing. Null gives an empty text."""
+    head = F.substring_index(signature, "(", 1)
+    name = F.when(F.instr(F.substring_index(signature, "(", -1), ".") > 0, head).otherwise(F.substring_index(head, ".", -1))
+    return F.coalesce(F.when(F.instr(signature, "(") > 0, F.concat(name, F.lit("(...)"))).otherwise(signature), F.lit(""))
 
 
 def versioned_id(base: Column, label: Column) -> Column:
-    """``base@label``; an id that ends so already is left."""
+    """``base@label``; an id that ends so already is left; a null or empty one is replaced by a random id."""
     suffix = F.concat(F.lit("@"), label)
-    return F.when(F.endswith(base, suffix), base).otherwise(F.concat(base, suffix))
+    return F.when(F.coalesce(base, F.lit("")) == "", F.concat(F.uuid(), suffix)).when(F.endswith(base, suffix), base).otherwise(F.concat(base, suffix))
 
 
 def base_id(node_id: Column) -> Column:
@@ -165,9 +182,10 @@ def frequency(count: Column) -> Column:
 
 
 def compact_lines(lines: Column) -> Column:
-    """Up to five line numbers in full, else the first three and the last two."""
+    """Up to five line numbers in full, else the first three, dots, and the last two."""
     text = F.transform(lines, lambda x: x.cast("string"))
-    return F.when(F.size(lines) <= 5, F.array_join(text, ", ")).otherwise(F.concat(F.array_join(F.slice(text, 1, 3), ", "), F.lit(" ... "), F.array_join(F.slice(text, -2, 2), ", ")))
+    short = F.concat(F.slice(text, 1, 3), F.array(F.lit("...")), F.slice(text, -2, 2))
+    return F.array_join(F.when(F.size(lines) <= 5, text).otherwise(short), ", ")
 
 
 def doc_summary(doc: Column) -> Column:
@@ -176,6 +194,19 @@ def doc_summary(doc: Column) -> Column:
     return F.trim(F.regexp_extract(F.substring_index(plain, "@", 1), r"(?s)^(.*?[.?!])(?=\s|$)|^(.*)$", 0))
 
 
+def all_comments(comments: Column) -> Column:
+    """``comments`` (array of struct kind, content) as ``/* [KIND] */`` blocks, blank ones left out."""
+    some = F.filter(comments, lambda c: F.trim(c["content"]) != "")
+    blocks = F.transform(some, lambda c: F.concat(F.lit("/* ["), c["kind"], F.lit("] */\n"), F.trim(c["content"])))
+    return F.coalesce(F.array_join(blocks, "\n\n"), F.lit(""))
+
+
+def best_comment(comments: Column) -> Column:
+    """The first doc comment; without one, all comments."""
+    doc = F.try_element_at(F.filter(comments, lambda c: c["kind"] == "JAVADOC"), F.lit(1))["content"]
+    return F.when(F.coalesce(doc, F.lit("")) != "", doc).otherwise(all_comments(comments))
+
+
 def strip_doc(source: Column) -> Column:
     """Source without a leading doc comment."""
     return F.when(F.startswith(F.ltrim(source), F.lit("/**")), F.regexp_replace(F.substr(source, F.instr(source, "*/") + 2), r"^\s+", "")).otherwise(source)
@@ -222,12 +253,53 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def header_type(name: str, arrays: frozenset[str] = frozenset()) -> str:
-    """Column type in a bulk CSV header, told from the property's name."""
-    if name in arrays:
-        return "string[]"
-    if name == "occurrences" or any(x in name for x in ("Count", "Number", "Line")) or name in ("complexity", "linesOfCode", "lineStart", "lineEnd"):
-        return "int"
-    if name.startswith(("is", "has")):
-        return "boolean"
-    return "float" if name in ("confidence", "similarityScore") else "string"
+#: Properties that a bulk header declares as arrays.
+ARRAY_PROPERTIES = (
+    "parameterTypes", "parameterNames", "annotations", "exceptions", "calledMethods", "accessedFields", "localVariables",
+    "interfaces", "genericTypes", "readBy", "writtenBy", "callLocations", "readLocations", "writeLocations", "callTypes",
+    "accessTypes", "descriptions", "leftLocations", "rightLocations", "leftElements", "rightElements",
+)
+#: Properties that it declares as whole numbers, besides names with ``Count``, ``Number`` or ``Line``.
+INT_PROPERTIES = ("occurrences", "complexity", "cyclomaticComplexity", "linesOfCode", "fieldCount", "methodCount", "lineStart", "lineEnd")
+
+
+def header_type(name: str) -> str:
+    """Column type in a bulk CSV header, told from the property's name; the first rule that fits."""
+    rules = [
+        (name in ARRAY_PROPERTIES, "string[]"),
+        (name in INT_PROPERTIES or any(x in name for x in ("Count", "Number", "Line")), "int"),
+        (name.startswith(("is", "has")), "boolean"),
+        (name in ("confidence", "similarityScore"), "float"),
+    ]
+    return next((t for fits, t in rules if fits), "string")
+
+
+def query_text(s: Column) -> Column:
+    """A text inside a quoted query literal: backslash, quotes, line ends and tabs escaped; null is empty."""
+    for raw, code in (("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(raw), F.lit(code))
+    return F.coalesce(s, F.lit(""))
+
+
+def prop(props: Column, key: str, kind: str = "string", default=None) -> Column:
+    """A property of the bag as ``kind``; ``default`` where it is missing or does not read as one."""
+    return F.coalesce(F.try_element_at(props, F.lit(key)).try_cast(kind), F.lit(default).cast(kind))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Share in percent with one digit; no rows give 0.0%."""
+    return F.when(whole > 0, F.format_string("%.1f%%", part * 100.0 / whole)).otherwise("0.0%")
+
+
+def duration(millis: Column) -> Column:
+    """Milliseconds as ``ms``, seconds with one digit, minutes and seconds, or hours, minutes and seconds."""
+    seconds = millis / 1000.0
+    minutes, rest = F.floor(seconds / 60), seconds % 60
+    out = F.when(millis < 1000, F.format_string("%dms", millis)).when(seconds < 60, F.format_string("%.1fs", seconds))
+    return out.when(minutes < 60, F.format_string("%dm %.0fs", minutes, rest)).otherwise(F.format_string("%dh %dm %.0fs", F.floor(minutes / 60), minutes % 60, rest))
+
+
+def byte_size(n: Column) -> Column:
+    """Bytes as B, KB and MB with one digit, or GB with two."""
+    scaled = lambda k, form: F.format_string(form, n / float(1 << 10 * k))
+    return F.when(n < 1 << 10, F.format_string("%dB", n)).when(n < 1 << 20, scaled(1, "%.1fKB")).when(n < 1 << 30, scaled(2, "%.1fMB")).otherwise(scaled(3, "%.2fGB"))

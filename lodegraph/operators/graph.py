@@ -1,6 +1,7 @@
-"""Lookups, neighbours, paths and text contexts over ``nodes`` and ``edges`` tables.
+"""Lookups, neighbours, paths, impact and text contexts over ``nodes`` and ``edges`` tables.
 
-Traversals are loops over a bounded depth, a join a step; each frontier is a DataFrame.
+Traversals are loops over a bounded depth, a join a step. Edges and each frontier are written once, so a step's plan never
+holds those of the steps before it.
 """
 
 from __future__ import annotations
@@ -8,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.functions import texts as T
+from lodegraph.sources.tables import Tables
+
 
 class Graph:
     """``nodes(node_id, ...)`` and ``edges(src, dst, edge_type, ...)``."""
@@ -39,6 +43,17 @@ class Graph:
         out = out.where(F.col("edge_type") == edge_type) if edge_type else out
         return out.select(F.col("dst").alias("node_id")).join(self.nodes, "node_id")
 
+    def edge(self, edge_id: str) -> DataFrame:
+        return self.edges.where(F.col("edge_id") == edge_id)
+
+    def edges_of_type(self, *types: str) -> DataFrame:
+        return self.edges.where(F.col("edge_type").isin(*types))
+
+    def is_evolution(self) -> DataFrame:
+        """One row: whether any node carries a version status or a version."""
+        some = F.col("version_status").isNotNull() | (F.coalesce(F.size("versions"), F.lit(0)) > 0)
+        return self.nodes.agg(F.coalesce(F.bool_or(some), F.lit(False)).alias("is_evolution"))
+
     def upsert(self, rows: DataFrame, order: str) -> Graph:
         """Nodes with ``rows`` added; of one id the row with the largest ``order`` stays."""
         both = self.nodes.unionByName(rows, allowMissingColumns=True)
@@ -53,59 +68,206 @@ def union_graph(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def with_versions(nodes: DataFrame, more: DataFrame, replace: bool = False) -> DataFrame:
+    """``nodes`` with the versions of ``more(node_id, versions)`` added to their own, or in place of them."""
+    extra = more.groupBy("node_id").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("extra"))
+    joined = nodes.join(extra, "node_id", "left")
+    own = F.col("extra") if replace else F.array_union(F.coalesce("versions", F.array().cast("array<string>")), F.col("extra"))
+    return joined.withColumn("versions", F.array_sort(F.coalesce(own, F.col("versions")))).drop("extra")
+
+
 def simple_paths(edges: DataFrame, sources: DataFrame, target: str | None, max_depth: int) -> DataFrame:
     """``path array, depth``: simple paths of at most ``max_depth`` edges from each ``node_id`` of ``sources``.
 
     With a target only paths that end there are returned, and none goes on from it; a source that is
     the target is a path of one node. Parallel edges give a path each.
     """
-    step = edges.select("src", "dst")
-    frontier = sources.select(F.array("node_id").alias("path"), F.lit(0).alias("depth"))
-    found = frontier.where(F.element_at("path", -1) == target) if target else None
+    tables = Tables(edges.sparkSession, "paths")
+    step = tables.write(edges.select("src", "dst"), "edges")
+    last = F.element_at("path", -1)
+    frontier = tables.write(sources.select(F.array("node_id").alias("path"), F.lit(0).alias("depth")), "frontier")
+    found = frontier.where(last == target) if target else frontier.limit(0)
     for d in range(1, max_depth + 1):
-        grow = frontier if target is None else frontier.where(F.element_at("path", -1) != target)
-        frontier = grow.join(step, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.lit(d).alias("depth"))
-        hit = frontier if target is None else frontier.where(F.element_at("path", -1) == target)
-        found = hit if found is None else found.union(hit)
+        grow = frontier.where(last != target) if target else frontier
+        longer = grow.join(step, last == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        frontier = tables.write(longer.select(F.array_append("path", F.col("dst")).alias("path"), F.lit(d).alias("depth")), "frontier")
+        found = found.union(frontier.where(last == target) if target else frontier)
     return found
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """``start, node_id, depth``: every node reached against the edges' direction within ``max_depth``, at its least depth.
+def callers(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """``start, node_id, depth``: one row for every chain of 1 to ``max_depth`` edges that ends at a start; no chain uses an edge twice.
+
+    ``edges(src, dst)``; parallel edges are different ones.
+    """
+    tables = Tables(edges.sparkSession, "callers")
+    own = tables.write(edges.select("src", "dst", F.monotonically_increasing_id().alias("e")), "edges")
+    chain = tables.write(start.select(F.col("node_id").alias("start"), "node_id", F.array().cast("array<bigint>").alias("used")), "chains")
+    out = []
+    for d in range(1, max_depth + 1):
+        grown = chain.join(own, F.col("node_id") == F.col("dst")).where(~F.array_contains("used", F.col("e")))
+        chain = tables.write(grown.select("start", F.col("src").alias("node_id"), F.array_append("used", F.col("e")).alias("used")), "chains")
+        out.append(chain.select("start", "node_id", F.lit(d).alias("depth")))
+    return union_graph(*out)
+
+
+def reach(edges: DataFrame, start: DataFrame, max_depth: int, tables: Tables | None = None) -> DataFrame:
+    """``start, node_id, depth``: every node reached against the edges' direction within ``max_depth``, at its least depth; a start reaches itself at 0.
 
     Each step drops what an earlier step found, so the frontier never holds a node twice.
     """
-    back = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("up"))
-    frontier = start.select(F.col("node_id").alias("start"), "node_id")
+    tables = tables or Tables(edges.sparkSession, "reach")
+    back = tables.write(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("up")).distinct(), "edges")
+    frontier = tables.write(start.select(F.col("node_id").alias("start"), "node_id").distinct(), "frontier")
     seen = frontier.select("start", "node_id", F.lit(0).alias("depth"))
     for d in range(1, max_depth + 1):
-        frontier = frontier.join(back, "node_id").select("start", F.col("up").alias("node_id")).distinct().join(seen, ["start", "node_id"], "left_anti")
+        grown = frontier.join(back, "node_id").select("start", F.col("up").alias("node_id")).distinct().join(seen, ["start", "node_id"], "left_anti")
+        frontier = tables.write(grown, "frontier")
         seen = seen.union(frontier.withColumn("depth", F.lit(d)))
-    return seen.where("depth > 0")
+    return seen
+
+
+def tests_to_rerun(calls: DataFrame, tests: DataFrame, changed: DataFrame, max_depth: int = 3) -> DataFrame:
+    """``test_id`` of the tests (``tests(src, dst)``) of any method that calls a changed one (``node_id``) over 1 to ``max_depth`` edges.
+
+    A changed method itself counts only if it calls a changed one. All changed methods set out together, so a step is one join of
+    edges with distinct nodes, whatever their number.
+    """
+    tables = Tables(calls.sparkSession, "tests")
+    back = tables.write(calls.select(F.col("dst").alias("node_id"), F.col("src").alias("up")).distinct(), "edges")
+    frontier, met = changed.select("node_id").distinct(), None
+    for _ in range(max_depth):
+        grown = frontier.join(back, "node_id").select(F.col("up").alias("node_id")).distinct()
+        if met is not None:
+            grown = grown.join(met, "node_id", "left_anti")
+        frontier = tables.write(grown, "frontier")
+        met = frontier if met is None else met.union(frontier)
+    return tests.join(met, F.col("dst") == F.col("node_id"), "left_semi").select(F.col("src").alias("test_id")).distinct()
+
+
+#: How far a change of each evolution edge type reaches; any other is MEDIUM.
+IMPACT = {"CHANGED_SIGNATURE": "HIGH", "RENAMED": "HIGH"}
+
+
+def impact(calls: DataFrame, tests: DataFrame, changed: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Impact of each changed method: ``node_id, level, direct, callers, by_depth, tests``.
+
+    ``changed(node_id, edge_type)`` (null: no evolution edge, level NONE; of several the strongest). ``callers``: distinct methods that reach
+    it over 1 to ``max_depth`` calls, ``by_depth`` how many at each least depth, ``tests``: tests of it or of any of them.
+    """
+    tables = Tables(calls.sparkSession, "impact")
+    kind = F.coalesce(*[F.when(F.col("edge_type") == k, F.lit(v)) for k, v in IMPACT.items()], F.when(F.col("edge_type").isNotNull(), "MEDIUM"), F.lit("NONE"))
+    # NONE sorts after MEDIUM and HIGH before both.
+    level = changed.groupBy("node_id").agg(F.min(kind).alias("level"))
+    found = tables.write(reach(calls, level, max_depth, tables), "reached")
+    tested = found.join(tests.select(F.col("dst").alias("node_id"), F.col("src").alias("test_id")).distinct(), "node_id")
+    tested = tested.groupBy(F.col("start").alias("node_id")).agg(F.countDistinct("test_id").alias("tests"))
+    own = found.where("depth > 0").groupBy(F.col("start").alias("node_id"))
+    depths = own.agg(F.count("*").alias("callers"), *[F.count_if(F.col("depth") == d).alias(f"d{d}") for d in range(1, max_depth + 1)])
+    text = F.concat_ws(",", *[F.coalesce(F.col(f"d{d}"), F.lit(0)).cast("string") for d in range(1, max_depth + 1)])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    out = level.join(depths, "node_id", "left").join(tested, "node_id", "left")
+    return out.select("node_id", "level", F.coalesce("d1", F.lit(0)).alias("direct"), zero("callers"), text.alias("by_depth"), zero("tests"))
+
+
+def impact_report(impacts: DataFrame) -> DataFrame:
+    """One text a changed method."""
+    n = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("Impact of "), F.col("node_id"), F.lit(": "), F.col("level"), F.lit("\nDirect callers: "), n("direct"), F.lit("\nCallers by depth: "), F.col("by_depth"), F.lit("\nTests to run: "), n("tests"))
+    return impacts.select("node_id", text.alias("report"))
 
 
 def caller_counts(edges: DataFrame, max_depth: int) -> DataFrame:
-    """``node_id, depth, n``: for every node the number of call chains of each length that end at it.
+    """``node_id, depth, n``: for every node the number of walks of each length that end at it.
 
-    Chains are counted step by step, one row a node, so a step costs one join of edges with nodes.
+    Walks are counted step by step, one row a node, so a step costs one join of edges with nodes.
     """
-    step = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n"))
+    tables = Tables(edges.sparkSession, "counts")
+    edges = tables.write(edges.select("src", "dst"), "edges")
+    step = tables.write(edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n")), "step")
     out = step.select("node_id", F.lit(1).alias("depth"), "n")
     for d in range(2, max_depth + 1):
-        step = edges.join(step, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum("n").alias("n")).withColumnRenamed("dst", "node_id")
+        grown = edges.join(step, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum("n").alias("n")).withColumnRenamed("dst", "node_id")
+        step = tables.write(grown, "step")
         out = out.union(step.select("node_id", F.lit(d).alias("depth"), "n"))
     return out
 
 
-def context(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int, text: Column) -> DataFrame:
-    """One row: the texts of a node and all within ``depth`` edges, nearest first, then by id."""
-    near = nodes.where(F.col("node_id") == node_id).select("node_id", F.lit(0).alias("depth"))
-    frontier = near
+def context(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int) -> DataFrame:
+    """One row ``context``: a node's text, then each node within ``depth`` edges, once, nearest first, then by id.
+
+    A neighbour is told by the edge that first leads to it (the smallest kind and source of that step), with its description and the
+    neighbour's summary. ``nodes(node_id, node_type, label, relative_path, semantic_summary, documentation, comments, source_code)``,
+    ``edges(src, dst, edge_type, description)``. A node that is not there gives a line that says so.
+    """
+    c = F.col
+    main = nodes.where(c("node_id") == node_id).select(T.node_text(c("node_type"), c("label"), c("relative_path"), c("semantic_summary"), c("documentation"), c("comments"), c("source_code")).alias("t"))
+    near = nodes.where(c("node_id") == node_id).select("node_id")
+    frontier, found = near, None
     for d in range(1, depth + 1):
-        frontier = edges.join(frontier, edges["src"] == frontier["node_id"]).select(F.col("dst").alias("node_id")).distinct().join(near, "node_id", "left_anti").withColumn("depth", F.lit(d))
-        near = near.union(frontier)
-    rows = near.join(nodes, "node_id").select("depth", "node_id", text.alias("t"))
-    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node_id", "t"))), lambda r: r["t"]), "\n").alias("context"))
+        # The first node may be met again through a cycle; others only once.
+        step = edges.join(frontier.withColumnRenamed("node_id", "src"), "src").groupBy(c("dst").alias("node_id")).agg(F.min(F.struct("edge_type", "src", "description")).alias("e"))
+        step = step if found is None else step.join(found.select("node_id"), "node_id", "left_anti")
+        frontier = step.select("node_id")
+        rows = step.select("node_id", "e.edge_type", "e.description", F.lit(d).alias("depth"))
+        found = rows if found is None else found.union(rows)
+    head = F.concat(F.lit("========== MAIN NODE ==========\n"), c("t"), F.lit("\n"))
+    missing = F.lit(f"Node not found: {node_id}")
+    if found is None:
+        return main.agg(F.coalesce(F.max(head), missing).alias("context"))
+    line = lambda x, before: F.when(x.isNotNull(), F.concat(F.lit(before), x, F.lit("\n"))).otherwise("")
+    told = F.concat(F.lit("\n--- "), c("edge_type"), F.lit(" --> "), c("label"), F.lit(" ---\n"), line(c("description"), "Relationship: "), line(c("semantic_summary"), ""))
+    rest = found.join(nodes.select("node_id", "label", "semantic_summary"), "node_id").select("depth", "node_id", told.alias("x"))
+    text = rest.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node_id", "x"))), lambda r: r["x"]), "").alias("x"))
+    both = main.agg(F.max(head).alias("h")).crossJoin(text)
+    return both.select(F.coalesce(F.concat(c("h"), F.lit("========== NEIGHBORS ==========\n"), c("x")), missing).alias("context"))
+
+
+def _joined(df: DataFrame, keys: list[str], text: Column, name: str) -> DataFrame:
+    """The texts of each key, by node id, one after the other."""
+    listed = F.sort_array(F.collect_list(F.struct("node_id", text.alias("x"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda r: r["x"]), "").alias(name))
+
+
+def test_contexts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``type_id, context`` for every type: its text, supertypes, fields, and methods with what they call; members in order of id.
+
+    ``edges(src, dst, edge_type, detail)``, where DECLARES has the kind of member as detail.
+    """
+    c = F.col
+    text = T.node_text(c("node_type"), c("label"), c("relative_path"), c("semantic_summary"), c("documentation"), c("comments"), c("source_code"))
+    own = nodes.withColumn("text", text)
+    to = lambda kinds: edges.where(c("edge_type").isin(*kinds)).join(own.withColumnRenamed("node_id", "dst"), "dst").withColumnRenamed("dst", "node_id")
+    summary = F.coalesce(F.concat(F.lit("  "), c("semantic_summary"), F.lit("\n")), F.lit(""))
+    supers = _joined(to(["EXTENDS", "IMPLEMENTS"]), ["src"], F.concat("edge_type", F.lit(": "), "label", F.lit("\n"), summary), "supers")
+    members = to(["DECLARES"])
+    fields = _joined(members.where("detail = 'field'"), ["src"], F.concat(F.coalesce("semantic_summary", F.lit("null")), F.lit("\n")), "fields")
+    called = to(["CALLS"]).groupBy(c("src").alias("caller")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "label"))), lambda r: r["label"]), ", ").alias("called"))
+    methods = members.where("detail in ('method', 'constructor')").join(called, c("node_id") == c("caller"), "left")
+    told = F.concat(F.lit("\n--- Method: "), "name", F.lit(" ---\n"), "text", F.lit("  Calls: "), F.coalesce("called", F.lit("none")), F.lit("\n"))
+    listed = _joined(methods, ["src"], told, "methods")
+    types = own.where("node_type = 'TYPE'").select(c("node_id").alias("type_id"), "label", "text")
+    for part in (supers, fields, listed):
+        types = types.join(part.withColumnRenamed("src", "type_id"), "type_id", "left")
+    head = F.concat(F.lit("========== TEST CONTEXT FOR: "), "label", F.lit(" ==========\n\n=== CLASS DEFINITION ===\n"), "text", F.lit("\n"))
+    part = lambda name, title, end="\n": F.concat(F.lit(f"=== {title} ===\n"), F.coalesce(name, F.lit("")), F.lit(end))
+    return types.select("type_id", F.concat(head, part("supers", "INHERITANCE"), part("fields", "FIELDS"), part("methods", "METHODS", "")).alias("context"))
+
+
+#: What a project summary counts, in its order.
+SUMMARY = (("Packages", "PACKAGE"), ("Files", "FILE"), ("Types", "TYPE"), ("Methods", "METHOD"), ("Fields", "FIELD"))
+
+
+def project_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row ``summary``: the project, counts of five kinds of nodes, and each package with the number of its types."""
+    n = nodes.agg(F.min(F.when(F.col("node_type") == "PROJECT", F.col("name"))).alias("project"), *[F.count_if(F.col("node_type") == k).alias(k) for _, k in SUMMARY])
+    inside = edges.where("edge_type = 'IN_PACKAGE'").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("types"))
+    packages = nodes.where("node_type = 'PACKAGE'").join(inside, "node_id", "left")
+    line = F.concat("node_id", F.lit(" ("), F.coalesce("types", F.lit(0)).cast("string"), F.lit(" types)\n"))
+    listed = packages.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", line.alias("x")))), lambda r: r["x"]), "").alias("listed"))
+    counts = F.concat(*[F.concat(F.lit(f"Total {t}: "), F.col(k).cast("string"), F.lit("\n")) for t, k in SUMMARY])
+    head = F.coalesce(F.concat(F.lit("========== PROJECT: "), "project", F.lit(" ==========\n")), F.lit(""))
+    return n.crossJoin(listed).select(F.concat(head, F.lit("=== STATISTICS ===\n"), counts, F.lit("\n=== PACKAGE STRUCTURE ===\n"), "listed").alias("summary"))
 
 
 def loads(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,32 @@ def overlapping(elements: DataFrame, hunks: DataFrame, on: list[str], slack: int
     return elements.join(hunks, on).where(near)
 
 
+def located(nodes: DataFrame, places: DataFrame, slack: int = 2) -> DataFrame:
+    """Nodes at ``places(path, lo, hi, ...)``: METHOD, TYPE and FIELD nodes whose lines lie there.
+
+    A path is a node's relative path, or any whole-folder end of its absolute one (each end is an equality, so this is one
+    hash join; a path that begins inside a folder's name does not count). Ranges are widened by ``slack`` on both sides; a field
+    has one line, compared with the place's first. Lines that are null or 0 match nothing.
+    """
+    parts = F.split("absolute_path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    every = F.array_distinct(F.array_compact(F.concat(F.array("relative_path"), F.coalesce(ends, F.array().cast("array<string>")))))
+    own = nodes.where("node_type in ('METHOD', 'TYPE', 'FIELD') and line_start > 0 and line_end > 0").withColumn("path", F.explode(every))
+    field = F.col("node_type") == "FIELD"
+    near = F.when(field, F.abs(F.col("line_start") - F.col("lo")) <= slack).otherwise((F.col("lo") - slack <= F.col("line_end") + slack) & (F.col("hi") + slack >= F.col("line_start") - slack))
+    found = own.join(places, "path").where(near)
+    # A field's distance is that of its one line.
+    return found.withColumn("start_line", F.col("line_start")).withColumn("end_line", F.when(field, F.col("hi")).otherwise(F.col("line_end")))
+
+
+def changed_nodes(n1: DataFrame, n2: DataFrame, hunks: DataFrame) -> DataFrame:
+    """``side, node_id``: for each hunk of ``old_path`` and ``new_path`` the nearest node on each side it touches; /dev/null is skipped."""
+    path = F.when(F.col("side") == "V1", F.col("old_path")).otherwise(F.col("new_path"))
+    at = hunk_sides(hunks.withColumn("hunk", F.monotonically_increasing_id())).withColumn("path", path).where("path <> '/dev/null'").select("hunk", "side", "path", "lo", "hi")
+    one = lambda nodes, side: nearest(located(nodes, at.where(F.col("side") == side)), ["hunk", "side"], ["node_id"])
+    return one(n1, "V1").union(one(n2, "V2")).select("side", "node_id").distinct()
+
+
 def nearest(pairs: DataFrame, hunk_keys: list[str], columns: list[str]) -> DataFrame:
     """Of each hunk's elements the one whose ends are nearest to its own, then the smallest id: one pre-aggregated minimum."""
     distance = F.abs(F.col("start_line") - F.col("lo")) + F.abs(F.col("end_line") - F.col("hi"))

@@ -8,19 +8,10 @@ from lodegraph.functions import exprs as X
 from lodegraph.operators import collapse as C
 from lodegraph.operators import graph as G
 from lodegraph.plans import oracle as O
+from lodegraph.plans.adding import adder
 from lodegraph.sources import views as V
 
-QUERIES, ORACLES = {}, {}
-
-
-def add(name: str, sql: str):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, add = adder()
 
 
 _FREQ = "case when n<=1 then 'single' when n<=3 then 'few' when n<=10 then 'several' when n<=20 then 'many' else 'heavy' end"
@@ -38,11 +29,12 @@ def _collapsed(df, *keys):
     return C.collapse(df, keys).select(*keys, "call_count", F.col("first_line").cast("bigint"), F.col("last_line").cast("bigint"), _text("lines"), _text("kinds"), "is_hotspot", "frequency")
 
 
-@add("edge_collapse_calls", f"select c.*, m.kind src_kind from ({_collapsed_sql(f'select * from ({O.ROUTED}) where edge_type=' + chr(39) + 'CALLS' + chr(39), 'src, dst')}) c join ({O.METHODS}) m on m.node_id=c.src")
+_CALLS = f"select * from ({O.ROUTED}) where edge_type='CALLS'"
+
+
+@add("edge_collapse_calls", _collapsed_sql(_CALLS, "src, dst, src_kind"))
 def _(s, d):
-    nodes = V.methods(s, d)
-    calls = C.route(V.occurrences(s, d), nodes).where("edge_type = 'CALLS'")
-    return _collapsed(calls, "src", "dst").join(nodes.select(F.col("node_id").alias("src"), F.col("kind").alias("src_kind")), "src")
+    return _collapsed(C.route(V.occurrences(s, d), V.methods(s, d)).where("edge_type = 'CALLS'"), "src", "dst", "src_kind")
 
 
 add("edge_collapse_hotspot", _collapsed_sql(O.DENSE, "src, dst"))(lambda s, d: _collapsed(V.dense_occurrences(s, d), "src", "dst"))
@@ -71,9 +63,6 @@ def _(s, d):
 
 
 add("two_hop_package_path", "select r_name, n_name, s_name from region join nation on n_regionkey=r_regionkey join supplier on s_nationkey=n_nationkey")(lambda s, d: V.table(s, d, "supplier").join(V.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(V.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "s_name"))
-add("optional_inheritance", "select c_name, s.n suppliers from customer left join (select s_nationkey, count(*) n from supplier group by 1) s on s_nationkey=c_nationkey")(lambda s, d: V.table(s, d, "customer").join(V.table(s, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("suppliers")), F.col("c_nationkey") == F.col("s_nationkey"), "left").select("c_name", "suppliers"))
-
-
 @add("inheritance_edges", "select 'P'||p_partkey src, x dst, case when i=1 then 'EXTENDS' else 'IMPLEMENTS' end edge_type from (select p_partkey, unnest(string_split(p_type,' ')) x, generate_subscripts(string_split(p_type,' '),1) i from part) where x in (select distinct string_split(p_type,' ')[1] from part) or x like '%E%'")
 def _(s, d):
     parts = V.table(s, d, "part").select(V.pid("P", "p_partkey").alias("src"), F.split("p_type", " ").alias("supers"))
@@ -107,48 +96,73 @@ add("neighbors_by_type", f"select dst node_id, p_name \"name\" from ({O.GRAPH})
 add("incoming_edges", f"select src, dst from ({O.GRAPH}) where dst='P7'")(lambda s, d: _graph(s, d).incoming("P7").select("src", "dst"))
 add("simple_paths_depth3", f"with recursive g as ({O.GRAPH}), p(path, depth) as (select ['P1'], 0 union all select list_append(path, dst), depth+1 from p join g on src=path[-1] where depth<3 and not list_contains(path, dst) and path[-1]<>'P7') select array_to_string(path,'>') path, depth::bigint depth from p where path[-1]='P7'")(lambda s, d: G.simple_paths(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), "P7", 3).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth")))
 add("simple_paths_from", f"with recursive g as ({O.GRAPH}), p(path, depth) as (select ['P1'], 0 union all select list_append(path, dst), depth+1 from p join g on src=path[-1] where depth<2 and not list_contains(path, dst)) select array_to_string(path,'>') path, depth::bigint depth from p where depth>0")(lambda s, d: G.simple_paths(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), None, 2).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth")))
-_NEW = f"select node_id from ({O.DIFF}) where version_status='ADDED'"
-_WALKS = f"with recursive g as materialized ({O.GRAPH}), w(start, node_id, depth) as (select node_id, node_id, 0 from ({_NEW}) union select start, src, depth+1 from w join g on dst=node_id where depth<2)"
+_G = f"g as materialized ({O.GRAPH}), ge as materialized (select *, row_number() over () e from g)"
 
 
-def _new(s, d):
-    return _diff(s, d).where("version_status = 'ADDED'").select("node_id")
+def _start(s):
+    return s.createDataFrame([("P7",)], "node_id string")
 
 
-def _reached(s, d):
-    return G.reach(V.part_graph(s, d), _new(s, d), 2)
+_CHAINS = f"with recursive {_G}, c(node_id, depth, used) as (select 'P7', 0, []::bigint[] union all select src, depth+1, list_append(used, e) from c join ge on dst=node_id where depth<3 and not list_contains(used, e))"
 
 
-_C = ", ".join(f"c{i} as (select dst node_id, sum(n) n from g join c{i - 1} on node_id=src group by dst)" for i in (2, 3))
-add("callers_1_to_3", f"with g as materialized ({O.GRAPH}), c1 as (select dst node_id, count(*) n from g group by dst), {_C} " + " union all ".join(f"select node_id, {i}::bigint depth, n::bigint n from c{i}" for i in (1, 2, 3)))(lambda s, d: G.caller_counts(V.part_graph(s, d), 3).withColumn("depth", F.col("depth").cast("bigint")))
-add("tests_to_rerun", _WALKS + f" select distinct start, w.node_id test_id from w join ({O.METHODS}) m on m.node_id=w.node_id where depth>0 and kind='TEST_METHOD' and w.node_id<>start")(lambda s, d: _reached(s, d).join(V.methods(s, d).where("kind = 'TEST_METHOD'"), "node_id").select("start", F.col("node_id").alias("test_id")))
-add("impact_levels", _WALKS + " select start, node_id, min(depth)::bigint depth, case when min(depth)=1 then 'HIGH' else 'MEDIUM' end impact from w where depth>0 and node_id<>start group by start,node_id")(lambda s, d: _reached(s, d).select("start", "node_id", F.col("depth").cast("bigint").alias("depth"), F.when(F.col("depth") == 1, "HIGH").otherwise("MEDIUM").alias("impact")))
-add("core_unchanged_indegree", f"select d.node_id, count(*) callers from ({O.DIFF}) d join ({O.GRAPH}) g on g.dst=d.node_id where version_status='UNCHANGED' group by 1 having count(*)>10")(lambda s, d: V.part_graph(s, d).join(_diff(s, d).where("version_status = 'UNCHANGED'").select(F.col("node_id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("callers")).where("callers > 10"))
-
+@add("callers_1_to_3", _CHAINS + " select 'P7' start, node_id, depth::int depth, count(*) n from c where depth>0 group by all")
+def _(s, d):
+    """Callers of one method over up to three calls: a row for each chain, here counted."""
+    return G.callers(V.part_graph(s, d), _start(s), 3).groupBy("start", "node_id", "depth").agg(F.count("*").alias("n"))
 
-def _diff(s, d):
-    from lodegraph.operators.versions import diff
 
-    return diff(V.version(s, d, 1996), V.version(s, d, 1997))
+_WALKS = ", ".join(f"c{i} as (select dst node_id, sum(n) n from g join c{i - 1} on node_id=src group by dst)" for i in (2, 3))
+_COUNTED = " union all ".join(f"select node_id, {i}::bigint depth, n::bigint n from c{i}" for i in (1, 2, 3))
 
 
-@add("node_context", f"with n as (select 'P1' node_id, 0 depth union all select distinct dst, 1 from ({O.GRAPH}) where src='P1' and dst<>'P1') select string_agg('Part '||p_partkey||': '||p_name, chr(10) order by depth, node_id) context from n join part on 'P'||p_partkey=node_id")
+@add("walk_counts", f"with {_G}, c1 as (select dst node_id, count(*) n from g group by dst), {_WALKS} {_COUNTED}")
 def _(s, d):
-    nodes = V.table(s, d, "part").select(V.pid("P", "p_partkey").alias("node_id"), "p_partkey", "p_name")
-    return G.context(nodes, V.part_graph(s, d), "P1", 1, F.concat(F.lit("Part "), F.col("p_partkey").cast("string"), F.lit(": "), F.col("p_name")))
+    return G.caller_counts(V.part_graph(s, d), 3).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+_TESTED = f"select distinct src, dst from ({O.ROUTED}) where edge_type='TESTS'"
+
+
+def _tests(s, d):
+    return C.route(V.occurrences(s, d), V.methods(s, d)).where("edge_type = 'TESTS'").select("src", "dst").distinct()
 
 
-@add("test_context", "select c_name, c_mktsegment='BUILDING' is_test, string_agg(o_orderkey::varchar, ', ' order by o_orderkey) methods from customer join orders on o_custkey=c_custkey group by c_custkey, c_name, c_mktsegment")
+def _modified(s, d):
+    return _diff(s, d).where("version_status = 'MODIFIED'").select("node_id")
+
+
+_MODIFIED = f"select node_id from ({O.DIFF}) where version_status='MODIFIED'"
+
+
+@add("tests_to_rerun", f"with recursive {_G}, w(node_id, depth) as (select node_id, 0 from ({_MODIFIED}) union select src, depth+1 from w join g on dst=node_id where depth<3) select distinct t.src test_id from ({_TESTED}) t join w on w.node_id=t.dst and depth>0")
 def _(s, d):
-    o = V.table(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ", ").alias("methods"))
-    return V.table(s, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey")).select("c_name", (F.col("c_mktsegment") == "BUILDING").alias("is_test"), "methods")
+    return G.tests_to_rerun(V.part_graph(s, d), _tests(s, d), _modified(s, d))
 
 
-@add("project_summary", "select r_name, count(distinct n_nationkey) packages, count(distinct s_suppkey) types from region join nation on n_regionkey=r_regionkey left join supplier on s_nationkey=n_nationkey group by r_name")
+_CHANGES = f"""select m.node_id, r.edge_type from ({_MODIFIED}) m left join (select r.left_id, coalesce(k.edge_type,'REFACTORED') edge_type from ({O.refactorings()}) r left join ({O.kinds()}) k on k.type=r.type) r on r.left_id=m.node_id"""
+_REACHED = """w(start, node_id, depth) as (select node_id, node_id, 0 from ch union select start, src, depth+1 from w join g on dst=node_id where depth<3),
+ r as materialized (select start, node_id, min(depth) depth from w group by all)"""
+_LEVELS = "select node_id, min(case when edge_type in ('CHANGED_SIGNATURE','RENAMED') then 'HIGH' when edge_type is not null then 'MEDIUM' else 'NONE' end) level from ch0 group by 1"
+
+
+@add("impact_levels", f"""with recursive {_G}, ch0 as ({_CHANGES}), ch as ({_LEVELS}), {_REACHED}, t as ({_TESTED}),
+ n as (select start, count(*) filter (depth>0) callers, count(*) filter (depth=1) d1, count(*) filter (depth=2) d2, count(*) filter (depth=3) d3 from r group by 1), x as (select start, count(distinct t.src) tests from r join t on t.dst=r.node_id group by 1)
+ select ch.node_id, level, d1 direct, callers, d1||','||d2||','||d3 by_depth, coalesce(tests,0) tests from ch join n on n.start=ch.node_id left join x on x.start=ch.node_id""")
 def _(s, d):
-    sup = V.table(s, d, "supplier").groupBy("s_nationkey").agg(F.countDistinct("s_suppkey").alias("t"))
-    n = V.table(s, d, "nation").join(sup, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return n.join(V.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.countDistinct("n_nationkey").alias("packages"), F.coalesce(F.sum("t"), F.lit(0)).alias("types"))
+    from lodegraph.operators.versions import KINDS, with_edge_type
+
+    refs = with_edge_type(V.refactorings(s, d, [t for t, _, _ in KINDS] + ["SOMETHING_NEW"])).select(F.col("left_id").alias("node_id"), "edge_type")
+    return G.impact(V.part_graph(s, d), _tests(s, d), _modified(s, d).join(refs, "node_id", "left"))
+
+
+add("core_unchanged_indegree", f"select d.node_id, count(*) callers from ({O.DIFF}) d join ({O.GRAPH}) g on g.dst=d.node_id where version_status='UNCHANGED' group by 1 having count(*)>10")(lambda s, d: V.part_graph(s, d).join(_diff(s, d).where("version_status = 'UNCHANGED'").select(F.col("node_id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("callers")).where("callers > 10"))
+
+
+def _diff(s, d):
+    from lodegraph.operators.versions import diff
+
+    return diff(V.version(s, d, 1996), V.version(s, d, 1997))
 
 
 add("caller_callee_pairs", f"select o.name caller, p.name callee, count(*) n from ({O.ROUTED}) r join ({O.METHODS}) o on o.node_id=src join ({O.METHODS}) p on p.node_id=dst where edge_type='CALLS' group by all order by n desc, caller, callee limit 25")(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,21 +10,13 @@ from lodegraph.functions import exprs as X
 from lodegraph.operators import export as E
 from lodegraph.operators import mining as M
 from lodegraph.plans import oracle as O
+from lodegraph.plans.adding import adder
 from lodegraph.sources import facts as S
 from lodegraph.sources import views as V
+from lodegraph.sources.tables import shared_dir
 from lodegraph.streaming import ingest as I
 
-QUERIES, ORACLES = {}, {}
-
-
-def add(name: str, sql: str):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, add = adder()
 
 
 def _elements(s, d):
@@ -75,11 +66,7 @@ def _(s, d):
 
 add("revert_plan", "select l_shipmode status, action, count(*) n from (select case when l_returnflag='N' then 'A' when l_returnflag='A' then 'M' else 'D' end l_shipmode, case when l_returnflag='N' then 'delete' else 'restore' end action from lineitem) group by all")(lambda s, d: M.revert_plan(V.table(s, d, "lineitem").select(F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "A", "M").otherwise("D").alias("status"))).groupBy("status", "action").agg(F.count("*").alias("n")))
 add("remove_by_signature", "select p_partkey from part where p_brand||'.'||p_name||'('||p_size||')' not in (select p_brand||'.'||p_name||'('||p_size||')' from part where p_size%3=0)")(lambda s, d: (lambda p: p.join(p.where("p_size % 3 = 0").select("sig").distinct(), "sig", "left_anti").select("p_partkey"))(V.table(s, d, "part").withColumn("sig", X.signature(F.col("p_brand"), F.lit(""), F.col("p_name"), F.array(F.col("p_size").cast("string"))))))
-add("exclude_by_glob", "select page_id from pages where not regexp_matches(url, '^.*(feed|utm).*$')")(lambda s, d: V.table(s, d, "pages").where(~F.col("url").rlike(X.glob_regex("**feed**")) & ~F.col("url").rlike(X.glob_regex("**utm**"))).select("page_id"))
 add("property_profile", "select k \"key\", count(*) n from (select unnest(['brand','size','type']) k, unnest([p_brand, case when p_size>10 then p_size::varchar else '' end, p_type]) v from part) where trim(v)<>'' group by 1")(lambda s, d: E.property_profile(V.table(s, d, "part").select(F.lit("METHOD").alias("node_type"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.when(F.col("p_size") > 10, F.col("p_size").cast("string")).otherwise(""), F.lit("type"), F.col("p_type")).alias("props"))).select("key", "n"))
-add("csv_nodes", "select 'P'||p_partkey||',METHOD,'||p_name||','||p_brand||','||p_size \"value\" from part")(lambda s, d: E.node_lines(V.table(s, d, "part").select(V.pid("P", "p_partkey").alias("node_id"), F.lit("METHOD").alias("label"), F.col("p_name").alias("name"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")).alias("props")), ["size", "brand"])[1])
-add("csv_edges", f"select src||','||dst||',CALLS' \"value\" from ({O.GRAPH})")(lambda s, d: E.edge_lines(V.part_graph(s, d).withColumn("edge_type", F.lit("CALLS")), [])[1])
-
 _TEXT = "documents"
 
 
@@ -106,12 +93,28 @@ def _part(name: str, sql: str, col) -> None:
 
 
 _part("simple_name", "list_last(string_split(p_brand||'.'||p_name,'.'))", lambda: X.simple_name(F.concat("p_brand", F.lit("."), "p_name")))
-_part("clean_name", "p_name", lambda: X.clean_name(F.concat(F.lit("package: "), "p_name", F.lit("(int)"))))
+_CLEAN = "case p_size%7 when 0 then p_name when 1 then p_name when 2 then p_name when 3 then 'a '||p_name when 4 then '(x) '||p_name when 5 then ': x' else '' end"
+_DIRTY = [("PACKAGE: ", "(int)"), (" file:", " "), ("", ": int"), ("a ", "(b): c"), ("(x) ", ""), (": x", None), (None, None)]
+
+
+def _dirty():
+    """Names that reach each rule, some in another case or with blanks around."""
+    out = F
+    for i, (before, after) in enumerate(_DIRTY):
+        text = F.lit(before) if after is None else F.concat(F.lit(before), "p_name", F.lit(after))
+        out = out.when(F.col("p_size") % 7 == i, text)
+    return out
+
+
+_part("clean_name", _CLEAN, lambda: X.clean_name(_dirty()))
+_SIGNATURE = "case p_size%5 when 0 then 'm(...)' when 1 then 'C(...)' when 2 then p_brand when 3 then 'a.m(...)' else '' end"
+_SIGNED = ("a.b.C.m(int)", "C(x)", None, "a.m(java.lang.X)")
+_part("short_signature", _SIGNATURE, lambda: X.short_signature(F.when(F.col("p_size") % 5 == 2, F.col("p_brand")).otherwise(F.element_at(F.array(*[F.lit(x) for x in (*_SIGNED, None)]), F.col("p_size") % 5 + 1))))
 _part("jvm_descriptor", "case p_size%3 when 0 then 'I' when 1 then 'Z' else 'L'||replace('a.b.'||p_brand,'.','/')||';' end", lambda: X.jvm_descriptor(F.when(F.col("p_size") % 3 == 0, "int").when(F.col("p_size") % 3 == 1, "boolean").otherwise(F.concat(F.lit("a.b."), "p_brand"))))
 _part("descriptor_prefix", "'(IL'||replace(p_brand,'.','/')||';'", lambda: F.regexp_replace(X.descriptor_prefix(F.concat(F.lit("int, "), "p_brand")), r"\)$", ""))
 _part("parse_method_id", "'x.y|m'||p_size||'|int'", lambda: (lambda m: F.concat_ws("|", m["class"], m["method"], m["params"]))(X.parse_method_id(F.concat(F.lit("x.y.m"), F.col("p_size").cast("string"), F.lit("(int)")))))
-_part("list_format", "replace(p_type,' ',';')||';a'||chr(92)||';b'", lambda: X.list_format(F.concat(F.split("p_type", " "), F.array(F.lit("a;b")))))
-_part("semantic_summary", "'Method '||p_name||' of '||p_brand||case when p_size>25 then ', large' else '' end", lambda: F.concat(F.lit("Method "), "p_name", F.lit(" of "), "p_brand", F.when(F.col("p_size") > 25, ", large").otherwise("")))
+_Q = "'\"'"
+_part("list_format", f"case when p_size%3=0 then '' else {_Q}||p_brand||';a'||chr(92)||';b;c'||chr(92)||chr(92)||'d;;x,'||chr(92)||'n'||{_Q} end", lambda: X.list_format(F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("p_brand"), F.lit("a;b"), F.lit("c\\d"), F.lit(None).cast("string"), F.lit("x,\n")))))
 _part("call_frequency", "case when p_size<=1 then 'single' when p_size<=3 then 'few' when p_size<=10 then 'several' when p_size<=20 then 'many' else 'heavy' end", lambda: X.frequency(F.col("p_size")))
 _part("versioned_id", "'P'||p_partkey||'@V1'", lambda: X.versioned_id(F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") > 9, "@V1").otherwise("")), F.lit("V1")))
 _part("ordered_list_union", "array_to_string(list_distinct([p_brand]) || case when p_brand=split_part(p_type,' ',1) then [] else [split_part(p_type,' ',1)] end, ',')", lambda: F.array_join(X.trimmed_distinct(F.array(F.concat(F.lit(" "), "p_brand"), F.split("p_type", " ")[0], F.lit(" "), "p_brand")), ","))
@@ -120,16 +123,54 @@ _part("relative_path", "'main/'||p_name", lambda: X.relative_path(F.concat(F.lit
 add("test_keyword_path", "select page_id, lower(url) like '%utm%' or lower(url) like '%feed%' or lower(url) like '%ref%' v from pages")(lambda s, d: V.table(s, d, "pages").select("page_id", X.is_test_path(F.col("url"), ["utm", "feed", "ref"]).alias("v")))
 
 
-def _checkpoint() -> str:
-    return f"{tempfile.gettempdir()}/lodegraph-stream-{uuid.uuid4().hex}"
+def _place(s):
+    return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+
 
+def _events(s, d):
+    return I.event_stream(s, f"{d}/events.parquet")
+
+
+@add("stream_resume_counts", "select event_type, count(*) n from events group by 1")
+def _(s, d):
+    """Counted to the end, and once more on the same checkpoint: what was read before is not read again."""
+    place = _place(s)
+    I.drain(I.counts(_events(s, d)), place)
+    return I.drain(I.counts(_events(s, d)), place)
 
-def _place(s):
-    base = s.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else _checkpoint()
 
+_SESSIONS = """select user_id, ts, sum(new) over (partition by user_id order by ts, event_id) sid from
+ (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end new from events)"""
 
-add("stream_resume_counts", "select event_type, count(*) n from events group by 1")(lambda s, d: I.drain(I.counts(I.event_stream(s, f"{d}/events.parquet")), f"c{uuid.uuid4().hex}", _place(s)))
-add("stream_session_windows", "select user_id, count(*) sessions, sum(n)::bigint events from (select user_id, sid, count(*) n from (select user_id, ts, sum(new) over (partition by user_id order by ts, event_id) sid from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end new from events)) group by 1,2) group by 1")(
-    lambda s, d: I.drain(I.sessions(I.event_stream(s, f"{d}/events.parquet")), f"c{uuid.uuid4().hex}", _place(s)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")))
-add("tumbling_windows", "select date_trunc('day', ts) \"day\", event_type, count(*) n from events group by all")(lambda s, d: V.table(s, d, "events").groupBy(F.window(F.col("ts"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n"))
+
+@add("stream_session_windows", f"select user_id, count(*) sessions, sum(n)::bigint events from (select user_id, sid, count(*) n from ({_SESSIONS}) group by 1,2) group by 1")
+def _(s, d):
+    found = I.drain(I.sessions(_events(s, d)), _place(s))
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+@add("tumbling_windows", "select date_trunc('day', ts) \"day\", event_type, count(*) n from events group by all")
+def _(s, d):
+    found = I.drain(I.windows(_events(s, d), "1 day"), _place(s))
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@add("sliding_windows", "select date_trunc('day', ts) - to_days(k::int) + to_hours(h::int) \"start\", event_type, count(*) n from events, (values (0,0),(0,12),(1,12)) v(k,h) where ts >= date_trunc('day', ts) - to_days(k::int) + to_hours(h::int) and ts < date_trunc('day', ts) - to_days(k::int) + to_hours(h::int) + interval 24 hour group by all")
+def _(s, d):
+    found = I.drain(I.windows(_events(s, d), "1 day", "12 hours"), _place(s))
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@add("stream_upsert", "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) r from events) where r=1")
+def _(s, d):
+    place = _place(s)
+    stream = _events(s, d).select("user_id", "event_id", "event_type", "value")
+    I.upsert_batches(stream, f"{place}/table", "user_id", "event_id", f"{place}/checkpoint")
+    return I.latest(s, f"{place}/table", stream.schema)
+
+
+@add("stream_tracked_flag", "select 'U'||user_id base_id, event_id seq, coalesce(max((event_type<>'view')::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding),0)=1 tracked from events")
+def _(s, d):
+    status = F.when(F.col("event_type") == "view", "UNCHANGED").otherwise("MODIFIED")
+    rows = _events(s, d).select(V.pid("U", "user_id").alias("base_id"), F.col("event_id").alias("seq"), status.alias("status"))
+    return I.drain(I.tracked(rows), _place(s), "append").select("base_id", "seq", "tracked")

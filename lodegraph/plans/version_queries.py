@@ -7,22 +7,14 @@ from pyspark.sql.window import Window
 
 from lodegraph.functions import exprs as X
 from lodegraph.operators import collapse as C
+from lodegraph.operators import commits as K
 from lodegraph.operators import locate as L
 from lodegraph.operators import versions as R
 from lodegraph.plans import oracle as O
+from lodegraph.plans.adding import adder
 from lodegraph.sources import views as V
 
-QUERIES, ORACLES = {}, {}
-
-
-def add(name: str, sql: str):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, add = adder()
 
 
 def _two(s, d):
@@ -45,7 +37,9 @@ add("merged_nodes", f"select case when len(v)=2 then node_id else node_id||'@'||
 add("merge_stats", f"select version_status, count(*) nodes, coalesce(sum(s1),0)::bigint before, coalesce(sum(s2),0)::bigint after from ({O.DIFF}) group by 1")(lambda s, d: _diff(s, d).groupBy("version_status").agg(F.count("*").alias("nodes"), F.coalesce(F.sum("s1"), F.lit(0)).alias("before"), F.coalesce(F.sum("s2"), F.lit(0)).alias("after")))
 add("modified_methods", f"select node_id, s1, s2 from ({O.DIFF}) where version_status in ('MODIFIED')")(lambda s, d: _diff(s, d).where("version_status in ('MODIFIED')").select("node_id", "s1", "s2"))
 add("version_delta_counts", f"select (select count(*) from ({O.version(1996)})) v1, (select count(*) from ({O.version(1997)})) v2, (select count(*) from ({O.version(1997)}))-(select count(*) from ({O.version(1996)})) delta")(lambda s, d: V.versions(s, d, 1996, 1997).agg(F.count_if(F.col("yr") == 1996).alias("v1"), F.count_if(F.col("yr") == 1997).alias("v2")).withColumn("delta", F.col("v2") - F.col("v1")))
-add("callers_of_modified", f"select g.src, d.node_id from ({O.DIFF}) d join ({O.GRAPH}) g on g.dst=d.node_id where version_status='MODIFIED' and s2>s1+5")(lambda s, d: V.part_graph(s, d).join(_diff(s, d).where("version_status = 'MODIFIED' and s2 > s1 + 5"), F.col("dst") == F.col("node_id")).select("src", "node_id"))
+add("callers_of_modified", f"select g.src, d.node_id from ({O.DIFF}) d join ({O.GRAPH}) g on g.dst=d.node_id where version_status='MODIFIED'")(
+    lambda s, d: V.part_graph(s, d).join(_diff(s, d).where("version_status = 'MODIFIED'"), F.col("dst") == F.col("node_id")).select("src", "node_id")
+)
 _MERGED = f"select src, edge_type, dst, side, line from (select *, row_number() over (partition by src,edge_type,dst order by side,line) r from (select 1 side, * from ({O.version_edges(1996)}) union all select 2, * from ({O.version_edges(1997)}))) where r=1"
 add("merged_structural_edges", _MERGED)(lambda s, d: R.merge_edges(V.version_edges(s, d, 1996), V.version_edges(s, d, 1997)))
 add("remapped_edges", f"select e.src||'@V2' src, m.node_id||'@V2' dst, count(*) n from ({O.version_edges(1997)}) e join ({O.DIFF}) m on m.node_id=e.dst where m.version_status='ADDED' group by all")(lambda s, d: (lambda e: R.remap(e, e.select(F.col("src").alias("a")).distinct().select("a", X.versioned_id(F.col("a"), F.lit("V2")).alias("b")).union(_diff(s, d).where("version_status = 'ADDED'").select("node_id", X.versioned_id(F.col("node_id"), F.lit("V2"))))).groupBy("src", "dst").agg(F.count("*").alias("n")))(V.version_edges(s, d, 1997)))
@@ -58,18 +52,50 @@ _SETS = "select l_suppkey k, list_sort(list(distinct l_returnflag||l_linestatus)
 add("jaccard_similarity", f"select a.k, round(len(list_intersect(a.x,b.x))/len(list_distinct(list_concat(a.x,b.x)))::double,6) score from ({_SETS % 1996}) a join ({_SETS % 1997}) b on a.k=b.k")(lambda s, d: (lambda f: f(1996, "a").join(f(1997, "b"), "k").select("k", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("score")))(lambda y, n: V.table(s, d, "lineitem").where(F.year("l_shipdate") == y).groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias(n))))
 
 
+def _sides(s, d):
+    """Parts of even and odd keys, as the nodes of two versions."""
+    p = V.table(s, d, "part").select(V.pid("P", "p_partkey").alias("node_id"), F.lit("METHOD").alias("node_type"), "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("signature"), F.col("p_size").alias("lines_of_code"), (F.col("p_size") % 5).alias("complexity"),
+        F.split("p_type", " ").alias("called_methods"), F.split("p_name", " ").alias("accessed_fields"), F.split("p_brand", "#").alias("local_variables"))
+    return p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1")
+
+
+def _pairs(s, d):
+    a, b = _sides(s, d)
+    return a.alias("a").join(b.alias("b"), (F.col("a.signature") == F.col("b.signature")) & (F.col("a.lines_of_code") == F.col("b.lines_of_code")))
+
+
 @add("greedy_one_to_one", "")
 def _(s, d):
-    """Names within one brand, blocked by brand and size: no SQL for the rounds; tests compare with brute force."""
-    p = V.table(s, d, "part")
-    a = p.where("p_partkey % 2 = 0").select(V.pid("P", "p_partkey").alias("v1_id"), F.col("p_name").alias("n1"), "p_brand", "p_size")
-    b = p.where("p_partkey % 2 = 1").select(V.pid("P", "p_partkey").alias("v2_id"), F.col("p_name").alias("n2"), "p_brand", "p_size")
-    score = 1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"))
-    return R.best_mutual(a.join(b, ["p_brand", "p_size"]).select("v1_id", "v2_id", score.alias("score")), 0.5)
+    """Structural matches 1:1 within blocks of equal type and size: no SQL for the rounds; tests compare with one pair at a time."""
+    scored = _pairs(s, d).select(F.col("a.node_id").alias("v1_id"), F.col("b.node_id").alias("v2_id"), F.round(R.structural_score(), 6).alias("score"))
+    return R.best_mutual(scored, 0.5)
+
+
+_SPLIT = "select p_partkey, p_size, p_type, string_split(p_type,' ') c, string_split(p_name,' ') f, string_split(p_brand,'#') v from part"
+_JAC = lambda x: f"len(list_intersect(a.{x},b.{x}))/len(list_distinct(list_concat(a.{x},b.{x})))::double"
+
+
+@add("structural_features", f"""select 'P'||a.p_partkey v1_id, 'P'||b.p_partkey v2_id, round(0.2+case when a.p_size%5>0 then 0.2 else 0 end+0.3*{_JAC('c')}+0.2*{_JAC('f')}+0.1*(1-abs(len(a.v)-len(b.v))/greatest(len(a.v),len(b.v))::double),6)::double score
+ from ({_SPLIT}) a join ({_SPLIT}) b on a.p_type=b.p_type and a.p_size=b.p_size and a.p_partkey%2=0 and b.p_partkey%2=1""")
+def _(s, d):
+    return _pairs(s, d).select(F.col("a.node_id").alias("v1_id"), F.col("b.node_id").alias("v2_id"), F.round(R.structural_score(), 6).alias("score"))
+
+
+_LEV = "levenshtein(a.p_name,b.p_name)/greatest(length(a.p_name),length(b.p_name))::double"
+_SIMILAR = f"round(0.3*(1-{_LEV})+0.2*(a.p_type=b.p_type)::int+0.3*(1-abs(a.p_size-b.p_size)/greatest(a.p_size,b.p_size)::double)+0.2*(1-abs(a.p_retailprice-b.p_retailprice)/greatest(a.p_retailprice,b.p_retailprice)),6)::double"
 
 
-add("weighted_similarity", "select 'P'||a.p_partkey a, 'P'||b.p_partkey b, round(0.3*(1-levenshtein(a.p_name,b.p_name)/greatest(length(a.p_name),length(b.p_name))::double)+0.2*(a.p_type=b.p_type)::int+0.3*(1-abs(a.p_size-b.p_size)/greatest(a.p_size,b.p_size)::double)+0.2*(a.p_brand=b.p_brand)::int,6)::double score from part a join part b on a.p_brand=b.p_brand and a.p_type=b.p_type and a.p_partkey<b.p_partkey")(
-    lambda s, d: (lambda p: p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.concat(F.lit("P"), F.col("a.p_partkey").cast("string")).alias("a"), F.concat(F.lit("P"), F.col("b.p_partkey").cast("string")).alias("b"), F.round(F.lit(0.3) * (1 - F.levenshtein("a.p_name", "b.p_name") / F.greatest(F.length("a.p_name"), F.length("b.p_name"))) + 0.2 + F.lit(0.3) * (1 - F.abs(F.col("a.p_size") - F.col("b.p_size")) / F.greatest("a.p_size", "b.p_size")) + 0.2, 6).alias("score")))(V.table(s, d, "part")))
+@add("weighted_similarity", f"select * from (select 'P'||a.p_partkey a, 'P'||b.p_partkey b, {_SIMILAR} score from part a join part b on a.p_name=b.p_name and a.p_brand=b.p_brand and a.p_partkey<b.p_partkey) where score>0.8")
+def _(s, d):
+    """The design's weights over name, signature, code and calls, above its threshold, within blocks of equal name and brand."""
+    p = V.table(s, d, "part")
+    a, b = p.alias("a"), p.alias("b")
+    c = F.col
+    pairs = a.join(b, (c("a.p_name") == c("b.p_name")) & (c("a.p_brand") == c("b.p_brand")) & (c("a.p_partkey") < c("b.p_partkey")))
+    name = 1 - F.levenshtein("a.p_name", "b.p_name") / F.greatest(F.length("a.p_name"), F.length("b.p_name"))
+    like = lambda x: 1 - F.abs(c(f"a.{x}") - c(f"b.{x}")) / F.greatest(f"a.{x}", f"b.{x}")
+    score = F.lit(0.3) * name + F.lit(0.2) * (c("a.p_type") == c("b.p_type")).cast("int") + F.lit(0.3) * like("p_size") + F.lit(0.2) * like("p_retailprice")
+    return pairs.select(F.concat(F.lit("P"), c("a.p_partkey").cast("string")).alias("a"), F.concat(F.lit("P"), c("b.p_partkey").cast("string")).alias("b"), F.round(score, 6).alias("score")).where("score > 0.8")
 
 
 def _elements(s, d):
@@ -77,8 +103,7 @@ def _elements(s, d):
 
 
 def _hunks(s, d):
-    kind = F.when(F.col("l_returnflag") == "R", "INSERT").when(F.col("l_returnflag") == "A", "DELETE").otherwise("REPLACE")
-    return V.table(s, d, "lineitem").where("l_discount >= 0.09").select(V.pid("F", "l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), kind.alias("type")).distinct()
+    return V.table(s, d, "lineitem").select(V.pid("F", "l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), V.kind_of_hunk().alias("type")).distinct()
 
 
 def _ranges(s, d):
@@ -116,22 +141,62 @@ add("extracted_sources", f"select src, dst, sub_type from ({_TYPED % _REF}) wher
 add("high_impact_changes", f"select e.dst, count(distinct g.src) callers from ({_TYPED % _REF}) e join ({O.GRAPH}) g on g.dst=e.dst where edge_type in ('CHANGED_SIGNATURE','RENAMED') group by 1 order by callers desc, 1")(lambda s, d: R.with_edge_type(R.refactoring_edges(_refs(s, d))).where("edge_type in ('CHANGED_SIGNATURE', 'RENAMED')").select("dst").distinct().join(V.part_graph(s, d), "dst").groupBy("dst").agg(F.countDistinct("src").alias("callers")).orderBy(F.desc("callers"), "dst"))
 _OWNER = "select 'P'||p_partkey member, p_brand owner from part"
 add("member_change_propagation", f"select a.owner src, b.owner dst, count(*) n, round(max(confidence),3) confidence from ({_REF}) e join ({_OWNER}) a on a.member=e.src join ({_OWNER}) b on b.member=e.dst group by all")(lambda s, d: R.propagate(R.refactoring_edges(_refs(s, d)), V.table(s, d, "part").select(V.pid("P", "p_partkey"), "p_brand")).groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.max("confidence"), 3).alias("confidence")))
-add("evolution_edge_merge", f"select src, edge_type, dst, sum(n)::bigint occurrences, round(max(c),3) confidence, string_agg(type, ',' order by first_seq, type) types from (select src, edge_type, dst, type, count(*) n, max(confidence) c, min(ref_id*100+pos) first_seq from ({_TYPED % _REF}) group by all) group by src, edge_type, dst")(lambda s, d: C.merge_evolution(R.with_edge_type(R.refactoring_edges(_refs(s, d))).withColumn("seq", F.col("ref_id") * 100 + F.col("pos"))).withColumn("confidence", F.round("confidence", 3)).withColumn("types", F.array_join("types", ",")))
-add("edge_enrichment", f"select ref_id, pos, type, src||'->'||dst flow, 'src/'||src||'.java:'||pos||'-'||(pos+3)||'::'||src old_location from ({_REF}) where pos>0")(lambda s, d: R.refactoring_edges(_refs(s, d)).where("pos > 0").select("ref_id", "pos", "type", X.version_flow(F.col("src"), F.col("dst")).alias("flow"), X.location(F.concat(F.lit("src/"), F.col("src"), F.lit(".java")), F.col("pos"), F.col("pos") + 3, F.col("src")).alias("old_location")))
+add("evolution_edge_merge", f"select src, edge_type, dst, sum(n)::bigint occurrences, round(max(c),3) confidence, string_agg(type, ',' order by first_seq, type) types from (select src, edge_type, dst, type, count(*) n, max(confidence) c, min(ref_id*100+pos) first_seq from ({_TYPED % _REF}) group by all) group by src, edge_type, dst")(lambda s, d: C.merge_evolution(R.with_edge_type(R.refactoring_edges(_refs(s, d))).withColumn("seq", F.col("ref_id") * 100 + F.col("pos"))).withColumn("confidence", F.round("confidence", 3)).withColumn("types", F.array_join("refactoring_types", ",")).drop("refactoring_types", "seq", "ref_id", "pos", "sub_type"))
+_PLACES = "select 'P'||p_partkey node_id, p_name nm, p_brand||'#'||p_name place from part"
+_ON = lambda k, x: f"case when edge_type='{k}' then {x} end"
+
+
+@add("edge_enrichment", f"""select ref_id, pos, e.type, e.edge_type, {_ON('RENAMED', 'o.nm')} old_name, {_ON('RENAMED', 'n.nm')} new_name, {_ON('MOVED', 'o.place')} old_location, {_ON('MOVED', 'n.place')} new_location,
+ {_ON('CHANGED_SIGNATURE', 'o.place')} old_signature, {_ON('CHANGED_SIGNATURE', 'n.place')} new_signature, case when edge_type in ('EXTRACTED','INLINED','CHANGED_SIGNATURE') then sub_type end sub_kind, {_ON('REFACTORED', "'d'||ref_id")} details,
+ 'src/'||src||'.java:'||case when pos>0 then pos||'-' else '-' end||(pos+3)||'::'||src "left", src||'->'||dst flow from ({_TYPED % _REF}) e left join ({_PLACES}) o on o.node_id=src left join ({_PLACES}) n on n.node_id=dst""")
+def _(s, d):
+    edges = R.with_edge_type(R.refactoring_edges(_refs(s, d))).withColumn("description", F.concat(F.lit("d"), F.col("ref_id").cast("string")))
+    nodes = V.table(s, d, "part").select(V.pid("P", "p_partkey").alias("node_id"), F.lit("METHOD").alias("node_type"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("#"), "p_name").alias("place"))
+    x = R.enriched(edges, nodes)
+    left = X.location(F.concat(F.lit("src/"), F.col("src"), F.lit(".java")), F.col("pos"), F.col("pos") + 3, F.col("src"))
+    return x.select("ref_id", "pos", "type", "edge_type", "old_name", "new_name", "old_location", "new_location", "old_signature", "new_signature", "sub_kind", "details", left.alias("left"), X.version_flow(F.col("src"), F.col("dst")).alias("flow"))
+
+
 add("self_loop_split", f"select node_id, version_status, case when version_status='UNCHANGED' and node_id in (select src from ({_REF}) where src=dst) then 'MODIFIED' else version_status end final_status from ({O.DIFF})")(lambda s, d: _diff(s, d).join(R.refactoring_edges(_refs(s, d)).where("src = dst").select(F.col("src").alias("node_id"), F.lit(True).alias("split")).distinct(), "node_id", "left").select("node_id", "version_status", F.when((F.col("version_status") == "UNCHANGED") & F.col("split"), "MODIFIED").otherwise(F.col("version_status")).alias("final_status")))
 
 _RECENT = f"select commit_id, parent_id, commit_time, k from ({O.COMMITS}) where k<=51"
 
 
-def _recent(s, d, n=51):
-    c = V.table(s, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(n)
-    w = Window.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return c.select(V.pid("O", "o_orderkey").alias("commit_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("commit_time"), F.row_number().over(w).cast("bigint").alias("k"))
+def _commits(s, d):
+    """Orders as commits, each the child of the one before it by date and key."""
+    w = Window.orderBy("o_orderdate", "o_orderkey")
+    own = V.table(s, d, "orders").select("o_orderdate", "o_orderkey", V.pid("O", "o_orderkey").alias("commit_id"), F.col("o_orderstatus").alias("author"), F.col("o_orderpriority").alias("message"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("commit_time"))
+    return own.withColumn("parent_id", F.lag("commit_id").over(w)).drop("o_orderdate", "o_orderkey")
+
 
+def _timeline(s, d):
+    c = _commits(s, d)
+    head = V.table(s, d, "orders").agg(F.max_by(V.pid("O", "o_orderkey"), F.struct("o_orderdate", "o_orderkey")).alias("commit_id")).select(F.lit("t").alias("timeline"), "commit_id")
+    return K.timeline(K.linear_history(c, head, 50), c)
 
-add("linear_history", f"select commit_id, commit_time, k from ({_RECENT})")(lambda s, d: _recent(s, d))
-add("timeline_labels", f"select commit_id, case when k=1 then 'V0' else 'V-'||(k-1) end label from ({_RECENT})")(lambda s, d: _recent(s, d).select("commit_id", F.when(F.col("k") == 1, "V0").otherwise(F.concat(F.lit("V-"), (F.col("k") - 1).cast("string"))).alias("label")))
-add("timeline_pairs", f"select lead(commit_id) over (order by k) older, commit_id newer, k from ({_RECENT}) qualify older is not null")(lambda s, d: _recent(s, d).select(F.lead("commit_id").over(Window.orderBy("k")).alias("older"), F.col("commit_id").alias("newer"), "k").where("older is not null"))
+
+add("linear_history", f"select commit_id, (k-1)::int depth, commit_time, left(commit_id,7) short_id from ({_RECENT})")(lambda s, d: _timeline(s, d).select("commit_id", "depth", "commit_time", "short_id"))
+add("timeline_labels", f"select commit_id, case when k=1 then 'V0' else 'V-'||(k-1) end label, (51-k)::int ord from ({_RECENT})")(lambda s, d: _timeline(s, d).select("commit_id", "label", "ord"))
+add("timeline_pairs", f"select lead(commit_id) over (order by k) older, commit_id newer, (k-1)::int pair_ord from ({_RECENT}) qualify older is not null")(lambda s, d: K.version_pairs(_timeline(s, d)).select("older", "newer", "pair_ord"))
+add("all_commits", "select 'O'||o_orderkey commit_id from orders")(lambda s, d: K.all_commits(_commits(s, d)))
+_JAVA = "case when l_returnflag='A' then '/dev/null' when l_partkey%3=0 then 'F'||l_partkey||'.txt' else 'F'||l_partkey||'.java' end"
+
+
+def _file_hunks(s, d):
+    """Each line of an order as a hunk: a deleted file, one that is no source, or a source file."""
+    c = F.col
+    new = F.when(c("l_returnflag") == "A", "/dev/null").when(c("l_partkey") % 3 == 0, F.concat(V.pid("F", "l_partkey"), F.lit(".txt"))).otherwise(F.concat(V.pid("F", "l_partkey"), F.lit(".java")))
+    n = c("l_linenumber")
+    ends = ((n - 1).alias("begin_a"), (n - 1 + n % 3).alias("end_a"), (n - 1).alias("begin_b"), (n - 1 + n % 2).alias("end_b"))
+    return V.table(s, d, "lineitem").select(V.pid("O", "l_orderkey").alias("commit_id"), F.concat(V.pid("F", "l_partkey"), F.lit(".java")).alias("old_path"), new.alias("new_path"), F.lit(None).cast("string").alias("type"), *ends)
+
+
+_ROOT = "(select 'O'||o_orderkey from orders order by o_orderdate, o_orderkey limit 1)"
+_FILES = f"select 'O'||l_orderkey commit_id, 'F'||l_partkey||'.java' old_path, {_JAVA} new_path, l_linenumber n from lineitem where {_JAVA} like '%.java' and 'O'||l_orderkey not in {_ROOT}"
+add("file_diffs", f"select commit_id, old_path, new_path, count(*) n_hunks from ({_FILES}) group by all")(lambda s, d: K.file_diffs(_file_hunks(s, d), _commits(s, d)))
+add("edit_list", f"select commit_id, new_path, n::int line, case when n%3=0 then 'INSERT' when n%2=0 then 'DELETE' else 'REPLACE' end type from ({_FILES}) where n%3>0 or n%2>0")(
+    lambda s, d: K.edits(_file_hunks(s, d), _commits(s, d)).select("commit_id", "new_path", (F.col("begin_a") + 1).alias("line"), "type")
+)
 add("commit_stamp", f"select n.node_id, c.commit_id, c.commit_time from (select 'P'||l_partkey node_id, max('O'||l_orderkey) commit_id from lineitem group by 1) n left join ({O.COMMITS}) c on c.commit_id=n.commit_id")(lambda s, d: V.table(s, d, "lineitem").groupBy(V.pid("P", "l_partkey").alias("node_id")).agg(F.max(V.pid("O", "l_orderkey")).alias("commit_id")).join(V.table(s, d, "orders").select(V.pid("O", "o_orderkey").alias("commit_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("commit_time")), "commit_id", "left").select("node_id", "commit_id", "commit_time"))
 add("time_window_filter", "select 'O'||o_orderkey commit_id from orders where floor((epoch((select max(o_orderdate) from orders))-epoch(o_orderdate))/86400) <= 180")(lambda s, d: V.table(s, d, "orders").withColumn("t", F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).crossJoin(F.broadcast(V.table(s, d, "orders").agg(F.unix_timestamp(F.max("o_orderdate").cast("timestamp")).alias("ref")))).where(~X.outside_window(F.col("t"), F.col("ref"), 180)).select(V.pid("O", "o_orderkey").alias("commit_id")))
 _STEPS = f"select node_id, yr, yr-1998 ord, case when prev is null then 'ADDED' when prev=source then 'UNCHANGED' else 'MODIFIED' end status from (select *, lag(source) over (partition by node_id order by yr) prev from ({O.VERSIONS}))"
@@ -142,21 +207,37 @@ def _steps(s, d):
     return V.versions(s, d).select("node_id", "yr", (F.col("yr") - 1998).alias("ord"), F.when(prev.isNull(), "ADDED").when(prev == F.col("source"), "UNCHANGED").otherwise("MODIFIED").alias("status"))
 
 
-add("timeline_rollup", f"select node_id, array_to_string(list_sort(list(distinct label)),',') versions, arg_max(status, p*10-seq) status, arg_min(label,ord) first_version, arg_max(label,ord) last_version from (select node_id, ord, -ord seq, case when ord=0 then 'V0' else 'V'||ord end label, status, case status when 'ADDED' then 3 when 'DELETED' then 3 when 'MODIFIED' then 2 else 1 end p from ({_STEPS})) group by node_id")(lambda s, d: R.roll_up(_steps(s, d).select("node_id", "ord", (-F.col("ord")).alias("seq"), F.when(F.col("ord") == 0, "V0").otherwise(F.concat(F.lit("V"), F.col("ord").cast("string"))).alias("label"), "status")).withColumn("versions", F.array_join("versions", ",")))
+add("timeline_rollup", f"select node_id, string_agg(label, ',' order by ord) versions, arg_max(status, p*10-seq) status, arg_min(label,ord) first_version, arg_max(label,ord) last_version from (select node_id, ord, -ord seq, case when ord=0 then 'V0' else 'V'||ord end label, status, case status when 'ADDED' then 3 when 'DELETED' then 3 when 'MODIFIED' then 2 else 1 end p from ({_STEPS})) group by node_id")(lambda s, d: R.roll_up(_steps(s, d).select("node_id", "ord", (-F.col("ord")).alias("seq"), F.when(F.col("ord") == 0, "V0").otherwise(F.concat(F.lit("V"), F.col("ord").cast("string"))).alias("label"), "status")).withColumn("versions", F.array_join("versions", ",")))
 add("tracked_running_flag", f"select node_id, yr::int yr, coalesce(max((status<>'UNCHANGED')::int) over (partition by node_id order by yr desc rows between unbounded preceding and 1 preceding),0)=1 tracked from ({_STEPS})")(lambda s, d: _steps(s, d).select("node_id", "yr", F.coalesce(F.max((F.col("status") != "UNCHANGED").cast("int")).over(Window.partitionBy("node_id").orderBy(F.desc("yr")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x")).select("node_id", "yr", (F.col("x") == 1).alias("tracked")))
 add("timeline_edge_dedup", "select src, dst, yr::int yr from (select 'S'||l_suppkey src, 'P'||l_partkey dst, max(year(l_shipdate)) yr from lineitem where year(l_shipdate) between 1995 and 1998 group by all)")(lambda s, d: V.table(s, d, "lineitem").where(F.year("l_shipdate").between(1995, 1998)).groupBy(V.pid("S", "l_suppkey").alias("src"), V.pid("P", "l_partkey").alias("dst")).agg(F.max(F.year("l_shipdate")).alias("yr")))
 
 
+_WT = "['" + "','".join(V.WALK_TYPES) + "']"
+_WALK = f"""with recursive e0 as (select user_id, event_id, ts, event_type||'()' nw, lag(event_type||'()') over w old, row_number() over w r from events window w as (partition by user_id order by ts, event_id)),
+ e1 as (select *, ((r-1)//2)::int no, {_WT}[event_id%{len(V.WALK_TYPES)}+1] tp from e0), last as (select user_id, max(no) top from e1 group by 1),
+ e as (select e1.*, top-no depth, max(epoch(ts)::bigint) over (partition by e1.user_id, no) tm from e1 join last on last.user_id=e1.user_id),
+ tgt as (select user_id, max(tm) t0, list_distinct(list(nw order by r) filter (old is not null)) seed from e where depth=0 group by 1),
+ stop as (select e.user_id, min(depth) d from e join tgt on tgt.user_id=e.user_id where depth>0 and (no=0 or floor((t0-tm)/86400)>3) group by 1),
+ near as (select e.*, row_number() over (partition by e.user_id order by depth, r) k, lag(depth) over (partition by e.user_id order by depth, r) pd from e left join stop on stop.user_id=e.user_id where depth between 1 and 6 and (stop.d is null or depth<stop.d) and old is not null),
+ all_ as (select e.user_id, count(distinct depth) n from e left join stop on stop.user_id=e.user_id where depth between 1 and 6 and (stop.d is null or depth<stop.d) group by 1),
+ f(user_id, k, tracked, before, kept) as (select user_id, 0::bigint, seed, seed, []::int[] from tgt where len(seed)>0
+ union all select f.user_id, f.k+1, case when list_contains(b, nw) or list_contains(b, old) then case when not list_contains(tracked, nw) then tracked
+ when tp like '%RENAME%' or tp like '%MOVE%' or tp like '%CHANGE%' then list_distinct(list_append(list_filter(tracked, lambda x: x<>nw), old)) when tp like '%EXTRACT%' or tp like '%INLINE%' then list_distinct(list_append(tracked, old)) else tracked end else tracked end,
+ b, case when (list_contains(b, nw) or list_contains(b, old)) and not list_contains(kept, no) then list_append(kept, no) else kept end
+ from (select f.*, n.nw, n.old, n.tp, n.no, case when n.pd is distinct from n.depth then f.tracked else f.before end b from f join near n on n.user_id=f.user_id and n.k=f.k+1) f),
+ fin as (select * from f qualify row_number() over (partition by user_id order by k desc)=1),
+ w as (select tgt.user_id, coalesce(tracked, []::varchar[]) tracked, coalesce(kept, []::int[]) kept, case when len(seed)>0 then coalesce(n,0) else 0 end analysed, top from tgt join last on last.user_id=tgt.user_id left join fin on fin.user_id=tgt.user_id left join all_ on all_.user_id=tgt.user_id)"""
+
+
 def _walk(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = V.table(s, d, "events").select("user_id", F.lag("event_type").over(w).alias("left"), F.col("event_type").alias("right"), F.row_number().over(w).alias("ord"), F.concat(F.when(F.col("value") > 50, "INLINE_").otherwise("RENAME_"), F.lit("METHOD")).alias("type"))
-    return R.tracked_walk(x.where("left is not null"), ["click"], ["user_id"])
+    commits, refs = V.histories(s, d)
+    return R.tracked_walk(commits, refs, ["user_id"], max_depth=6, max_days=3)
 
 
-_WALK = """with recursive e as (select user_id, "left", "right", inline, row_number() over (partition by user_id order by ord desc) k, ord from (select user_id, lag(event_type) over w "left", event_type "right", value>50 inline, row_number() over w ord from events window w as (partition by user_id order by ts, event_id)) where "left" is not null),
- f(user_id, k, tracked, kept) as (select distinct user_id, 0::bigint, ['click'], []::bigint[] from e union all select f.user_id, f.k+1, case when not (list_contains(tracked,"left") or list_contains(tracked,"right")) then tracked when inline then list_distinct(list_append(tracked,"left")) else list_distinct(list_append(list_filter(tracked, lambda x: x<>"right"),"left")) end, case when list_contains(tracked,"left") or list_contains(tracked,"right") then list_append(kept, ord) else kept end from f join e on e.user_id=f.user_id and e.k=f.k+1)"""
-add("tracked_walk", _WALK + " select user_id, k walked, array_to_string(list_sort(tracked),',') tracked, array_to_string(kept,',') kept from f qualify row_number() over (partition by user_id order by k desc)=1")(lambda s, d: _walk(s, d).select("user_id", F.col("walked").cast("bigint").alias("walked"), F.array_join(F.sort_array("tracked"), ",").alias("tracked"), F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept")))
-add("filter_ratio", _WALK + " select user_id, round(1-len(kept)/greatest(1,k)::double,6) ratio from f qualify row_number() over (partition by user_id order by k desc)=1")(lambda s, d: _walk(s, d).select("user_id", F.round(1 - F.size("kept") / F.greatest(F.lit(1), F.col("walked")), 6).alias("ratio")))
+add("tracked_walk", _WALK + " select user_id, array_to_string(list_sort(tracked),',') tracked, array_to_string(list_transform(list_append(list_reverse(kept), top), lambda x: 'c'||x),',') commits, analysed::int analysed, len(kept)::int relevant from w")(
+    lambda s, d: _walk(s, d).select("user_id", F.array_join(F.sort_array("tracked"), ",").alias("tracked"), F.array_join("commits", ",").alias("commits"), "analysed", "relevant")
+)
+add("filter_ratio", _WALK + " select user_id, round((analysed-len(kept))/greatest(1,analysed)::double,6) ratio from w")(lambda s, d: (lambda w: w.select("user_id", F.round(R.filter_ratio(w), 6).alias("ratio")))(_walk(s, d)))
 add("set_union", f"select node_id from ({O.version(1996)}) union select node_id from ({O.version(1997)})")(lambda s, d: V.version(s, d, 1996).select("node_id").union(V.version(s, d, 1997).select("node_id")).distinct())
 add("set_intersect", f"select node_id from ({O.version(1996)}) intersect select node_id from ({O.version(1997)})")(lambda s, d: V.version(s, d, 1996).select("node_id").intersect(V.version(s, d, 1997).select("node_id")))
 add("set_difference", f"select node_id from ({O.version(1996)}) except select node_id from ({O.version(1997)})")(lambda s, d: V.version(s, d, 1996).select("node_id").subtract(V.version(s, d, 1997).select("node_id")))

@@ -1,9 +1,17 @@
-"""Resumable ingestion: exactly-once counts, upserts and windows over a stream of events."""
+"""Resumable ingestion: exactly-once counts, upserts, windows and state over a stream of events.
+
+Every stream ends by itself when all that has arrived is read, and goes on from its checkpoint the next time. Results go to
+Parquet, not to the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -17,30 +25,106 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that has arrived, once: run to the end of what is there and return the result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """All that has arrived, once; the result is ``path/out``, the checkpoint ``path/checkpoint``, and a later call goes on from there.
+
+    ``complete`` replaces the table with each batch, ``append`` adds each batch's rows, ``update`` does so too: a key's last
+    row by ``batch`` counts. A batch that is written again replaces what its first try left.
+    """
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        place = f"{path}/out" if mode == "complete" else f"{path}/out/batch={epoch}"
+        batch.write.mode("overwrite").parquet(place)
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(f"{path}/out")
 
 
 def counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions of each user: rows closer than ``gap`` belong together."""
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> None:
-    """Keep the latest row of each key under ``path``: each batch writes a new generation beside the last, so a repeated batch leaves the same table."""
+def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """Sessions of each user: rows closer than ``gap`` belong together; rows more than ``late`` behind the newest are dropped."""
+    return _timed(stream, late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+
+
+def windows(stream: DataFrame, length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
+    """Counts by event type in windows of ``length``, a new one every ``slide`` (every ``length`` if that is not given)."""
+    own = F.window("ts", length, slide) if slide else F.window("ts", length)
+    return _timed(stream, late).groupBy(own.alias("w"), "event_type").agg(F.count("*").alias("n"))
+
+
+def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, parts: int = 16) -> None:
+    """Keep the latest row of each key under ``path``, in ``parts`` folders by the key's hash.
+
+    A batch rewrites the folders its keys fall into and no others, as a new generation ``part=i/gen=n`` beside the last one, which
+    goes once the new one stands. A repeated batch leaves the same table. `latest` reads it.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/gen={epoch - 1}"))
-        rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/gen={epoch}")
+        own = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = sorted(r["part"] for r in own.select("part").distinct().collect())  # at most ``parts`` numbers
+        known = _generations(spark, path)
+        for i in touched:
+            rows = own.where(F.col("part") == i).drop("part")
+            before = [g for g in known.get(i, []) if g < epoch]
+            if before:
+                rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/part={i}/gen={max(before)}"))
+            last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+            last.write.mode("overwrite").parquet(f"{path}/part={i}/gen={epoch}")
+            for g in before[:-1]:
+                _delete(spark, f"{path}/part={i}/gen={g}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, store = _fs(spark, path)
+    store.delete(p, True)
+
+
+def _generations(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Finished generations of each part, oldest first."""
+    p, store = _fs(spark, f"{path}/part=*/gen=*/_SUCCESS")
+    out: dict[int, list[int]] = {}
+    for f in store.globStatus(p) or []:
+        gen, part = f.getPath().getParent(), f.getPath().getParent().getParent()
+        out.setdefault(int(part.getName()[5:]), []).append(int(gen.getName()[4:]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def latest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that `upsert_batches` keeps."""
+    places = [f"{path}/part={i}/gen={max(g)}" for i, g in sorted(_generations(spark, path).items())]
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
+def tracked(stream: DataFrame) -> DataFrame:
+    """Whether a node was changed in any row before, for rows ``base_id, seq, status``: the tracked set as state, a flag a node.
+
+    Rows of one node are taken in order of ``seq`` within a batch; batches come in order of arrival.
+    """
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get[0] if state.exists else False
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        changed = (batch["status"] != "UNCHANGED").to_numpy()
+        before = changed.cumsum() - changed > 0
+        yield pd.DataFrame({"base_id": key[0], "seq": batch["seq"].to_numpy(), "tracked": before | known})
+        state.update((bool(known or changed.any()),))
+
+    return stream.groupBy("base_id").applyInPandasWithState(step, "base_id string, seq long, tracked boolean", "known boolean", "append", GroupStateTimeout.NoTimeout)
