@@ -10,8 +10,9 @@ code. What is retrieved is reranked by the inner product of the original vectors
 precision. The radius is the one that holds ``TARGET`` of the true neighbours of sample
 queries in the sample; neighbours in the full table are nearer still.
 
-Index and queries meet in blocks: each task indexes its rows and answers a block of
-queries of bounded size; only its best ``k`` a query leave the task. No pair is shuffled.
+Codes are computed once. Queries are written once, as a table in the shared folder; each task
+indexes its rows, reads the queries block by block and answers them; only its best ``k`` a
+query leave the task. No pair is shuffled, and no query passes through the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,19 +114,21 @@ class MultiIndex:
 
 
 def _usable(vec: str) -> str:
-    return f"size({vec}) > 0 and forall({vec}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists({vec}, x -> x <> 0)"
+    return f"size({vec}) > 0 and forall({vec}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists({vec}, x -> x <> 0) and aggregate({vec}, 0D, (s, x) -> s + x * x) between 1e-300D and 1e300D"
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target_radius: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found, ties to the smaller id.
 
     A query never finds a row of its own id; repeated rows are each found. Rows whose id or
-    vector is null, zero, empty, of another length than most, or holds a null or
-    non-finite component take no part. A task that finds fewer than ``k`` within the radius
+    vector is null, zero, empty, of another length than most (of equally frequent lengths the
+    smaller counts), or holds a null or non-finite component take no part, and neither do vectors
+    whose length overflows a double. Vectors may have any number of components; an empty table gives
+    no rows; other columns are not read. A task that finds fewer than ``k`` within the radius
     widens it, up to all of its rows, so no query goes short.
     """
     spark = base.sparkSession
-    Scratch(spark, "ann")
+    scratch = Scratch(spark, "ann")
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null").where(_usable("v"))
     base, queries = pick(base), pick(queries)
     empty = "query_id long, rank int, vec_id long, score double"
@@ -132,23 +137,35 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], empty)
     dim, longest = shape["d"], shape["longest"]
     base, queries = base.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    sample = np.array([np.asarray(v) for v in picked], dtype=np.float64).reshape(-1, dim)
+    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    sample = np.asarray(picked.flatten(), dtype=np.float64).reshape(-1, dim)
     codes = Codes(sample, longest)
-    # Fewer sample rows than a few times k say nothing of distances: search everything.
-    reach = target_radius if target_radius is not None else (radius(codes, sample, k) if len(sample) > 20 * k else 64 * ROTATIONS)
+    reach = target_radius if target_radius is not None else radius(codes, sample, k)
     model = spark.sparkContext.broadcast((codes, reach))
-    out = None
-    for ids, vectors in _blocks(queries, dim):
-        held = spark.sparkContext.broadcast((ids, vectors, codes.queries(vectors)))
-
-        def answer(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qid, qv, qc = held.value
-            learned, reach = model.value
-            for own, x in _rows(batches, dim):
-                index = MultiIndex(learned.rows(x))
+
+    def encode(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            learned = model.value[0]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.asarray(b["v"].flatten()).reshape(-1, dim)
+                code = learned.rows(x) if kind == "rows" else learned.queries(x)
+                yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in code], pa.binary())], names=["vec_id", "v", "code"])
+
+        return run
+
+    coded = "vec_id long, v binary, code binary"
+    asked = scratch.write(queries.mapInArrow(encode("queries"), coded), "queries")
+    place = asked._lodegraph_path
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = model.value[1]
+        for own, x, code in _rows(batches, dim, INDEX_BLOCK):
+            index, out = MultiIndex(code), []
+            for qid, qv, qc in _rows(_stored(place), dim, QUERY_BLOCK):
                 for i in range(len(qid)):
-                    r, found = reach, own[:0]
+                    r = reach
                     while True:
                         found = index.within(qc[i], r)
                         found = found[own[found] != qid[i]]
@@ -158,59 +175,44 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
                     score = x[found] @ qv[i]
                     if len(found) > k:
                         bar = np.partition(score, len(score) - k)[len(score) - k]
-                        keep = score >= bar
-                        found, score = found[keep], score[keep]
+                        found, score = found[score >= bar], score[score >= bar]
                     order = np.lexsort((own[found], -score))[:k]
-                    yield from ((qid[i], own[found[o]], score[o]) for o in order)
-
-        def batched(batches: Iterator[pa.RecordBatch], answer=answer) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for r in answer(batches):
-                rows.append(r)
-                if len(rows) == 50_000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-        part = base.mapInArrow(batched, "query_id long, vec_id long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], empty)
+                    out.append((np.full(len(order), qid[i]), own[found[order]], score[order]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    out = []
+
+    out = base.mapInArrow(encode("rows"), coded).mapInArrow(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    q, v, s = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+def _stored(place: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a written table, file by file; Spark's marker files begin with an underscore."""
+    store, root = fs.FileSystem.from_uri(place)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.path.endswith(".parquet"))
+    for f in files:
+        with store.open_input_file(f) as source:
+            yield from pq.ParquetFile(source).iter_batches(QUERY_BLOCK)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], dim: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and codes, about ``block`` rows at a time."""
+    held, n = [], 0
 
+    def whole():
+        ids, v, code = (pa.chunked_array([b[c] for b in held]).combine_chunks() for c in ("vec_id", "v", "code"))
+        raw = lambda col, t: np.frombuffer(b"".join(x.as_buffer() for x in col), dtype=t)
+        return np.asarray(ids), raw(v, np.float64).reshape(-1, dim), raw(code, np.uint16).reshape(-1, SUBSTRINGS)
 
-def _rows(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors, ``INDEX_BLOCK`` at a time."""
-    ids, parts, n = [], [], 0
     for b in batches:
-        ids.append(np.asarray(b["vec_id"]))
-        parts.append(np.asarray(b["v"].flatten()).reshape(-1, dim))
+        held.append(b)
         n += b.num_rows
-        if n >= INDEX_BLOCK:
-            yield np.concatenate(ids), np.concatenate(parts)
-            ids, parts, n = [], [], 0
+        if n >= block:
+            yield whole()
+            held, n = [], 0
     if n:
-        yield np.concatenate(ids), np.concatenate(parts)
-
-
-def _blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set in blocks of bounded size."""
-    ids, vectors = [], []
-    for r in queries.toLocalIterator():
-        ids.append(r["vec_id"])
-        vectors.append(r["v"])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(vectors)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.array(vectors).reshape(-1, dim)
+        yield whole()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm import textkernel as K
-from lodegraph.llm.buckets import first_word
 
 #: 2**28 bits (32 MB) hold 16 million ids at 16 bits each.
 MAX_BITS, BITS_PER_ID = 28, 16
@@ -42,7 +41,7 @@ class Bloom:
 def _set(column: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(_places(first_word(b[column]), bits).reshape(-1))
+            at = np.unique(_places(np.asarray(b[column]), bits).reshape(-1))
             word, first = np.unique(at >> _U(6), return_index=True)
             value = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "bits"])
@@ -51,9 +50,9 @@ def _set(column: str, bits: int):
 
 
 def build(ids: DataFrame, column: str, max_bits: int = MAX_BITS) -> Bloom:
-    """A filter over ids that are not null, longs or binaries of twelve bytes."""
+    """A filter over longs that are not null."""
     bits = min(max(12, int(ids.count() * BITS_PER_ID).bit_length()), max_bits)
-    found = ids.select(column).mapInArrow(_set(column, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = ids.select(column).mapInArrow(_set(column, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 6), dtype=_U)
-    words[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(_U)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(_U)
     return Bloom(words, bits)

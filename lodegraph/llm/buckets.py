@@ -2,10 +2,10 @@
 
 Every task keeps (band, key, id) entries of its rows and sends them off as one binary blob a
 slot (a slot is a range of keys of one band). The task that gets a slot sorts its entries and
-yields, for each bucket, the pairs of its first ``PIVOTS`` ids with all ids behind them. In
-buckets of up to ``PIVOTS + 1`` ids that is every pair; ids of larger ones are listed too, for
-the exact join of `setlinks`. A bucket of more than ``HOT`` ids in one task is paired off there
-in the same way, and only its pivots travel, so no task ever gathers a hot bucket.
+yields pairs of the ids of each bucket: every pair in buckets of up to ``SMALL`` ids, in larger
+ones the pairs of the first ``PIVOTS`` ids with all others. Pairs whose sets' sizes differ too much are left out. The ids of larger buckets are listed
+too, for the exact join of `setlinks`. A bucket of more than ``HOT`` ids in one task is paired
+off there in the same way, and only its first ids travel, so no task ever gathers a hot bucket.
 """
 
 from __future__ import annotations
@@ -17,44 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIVOTS, HOT, FLUSH = 8, 64, 2_000_000
+SMALL, PIVOTS, HOT, FLUSH = 8, 6, 64, 2_000_000
 #: Input bytes for which one slot of each band is enough (about 70 MB of entries a slot).
 BYTES_PER_SLOT = 1 << 30
 
 
-class Ids:
-    """Ids as Spark and Arrow hold them, and as native integers whose order is the ids' own."""
+#: An entry: a band's key, the id, and the size of its set on a scale of ``STEPS`` to a factor of 5/4.
+ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "<u2")])
+STEPS = 16
 
-    def __init__(self, name: str, arrow: pa.DataType, *parts: str):
-        self.name, self.arrow = name, arrow
-        self.entry = np.dtype([("key", "<u4"), *((f"p{i}", p) for i, p in enumerate(parts))])
-        self.fields = [f"p{i}" for i in range(len(parts))]
 
-    def column(self, parts: list[np.ndarray]) -> pa.Array:
-        if self.name == "long":
-            return pa.array(parts[0], pa.int64())
-        n, raw = len(parts[0]), []
-        for p in parts:
-            raw.append(p.astype(p.dtype.newbyteorder(">")).view(np.uint8).reshape(n, p.dtype.itemsize))
-        raw = np.ascontiguousarray(np.concatenate(raw, axis=1))
-        edge = np.arange(n + 1, dtype=np.int32) * raw.shape[1]
-        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edge), pa.py_buffer(raw)])
-
-
-LONG = Ids("long", pa.int64(), "<i8")
-#: Twelve bytes of two independent hashes, most significant first.
-DIGEST = Ids("binary", pa.binary(), "<u8", "<u4")
-
-
-def first_word(ids: pa.Array) -> np.ndarray:
-    """Eight bytes of each id, as signed integers."""
-    if pa.types.is_integer(ids.type):
-        return np.asarray(ids).astype(np.int64)
-    if not len(ids):
-        return np.zeros(0, dtype=np.int64)
-    edge = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
-    raw = np.frombuffer(ids.buffers()[2], dtype=np.uint8)[edge[0] : edge[-1]]
-    return np.ascontiguousarray(raw.reshape(len(ids), -1)[:, :8]).view(">i8").reshape(-1).astype(np.int64)
+def scaled(size: np.ndarray) -> np.ndarray:
+    """Sizes on a log scale. Sets of similarity t differ by at most ``-log t`` on it (plus one step for rounding), so others are no candidates."""
+    return (np.log(np.maximum(size, 1)) * (STEPS / np.log(1.25))).astype(np.uint16)
 
 
 def n_slots(df: DataFrame, bands: int, least: int) -> int:
@@ -63,34 +38,40 @@ def n_slots(df: DataFrame, bands: int, least: int) -> int:
     return max(-(-size // BYTES_PER_SLOT), -(-least // bands), 1) if size < 1 << 56 else -(-least // bands)
 
 
-def schema(ids: Ids) -> str:
-    return f"slot int, entries binary, key long, x {ids.name}, y {ids.name}"
+#: Dealt rows: entries of a slot, or (with no entries, under any slot) a pair ``x, y`` or a member ``x`` of the large bucket ``key``.
+SCHEMA = "slot int, entries binary, key long, x long, y long"
+FOUND = "key long, x long, y long"
 
 
-def _rows(ids: Ids, n: int, slot=None, entries=None, key=None, x=None, y=None) -> dict[str, pa.Array]:
-    put = lambda v, t: pa.nulls(n, t) if v is None else pa.array(v, t)
-    own = lambda v: pa.nulls(n, ids.arrow) if v is None else ids.column(v)
-    return {"slot": put(slot, pa.int32()), "entries": put(entries, pa.binary()), "key": put(key, pa.int64()), "x": own(x), "y": own(y)}
+def _rows(n: int, **cols) -> dict[str, pa.Array]:
+    kinds = {"slot": pa.int32(), "entries": pa.binary(), "key": pa.int64(), "x": pa.int64(), "y": pa.int64()}
+    return {c: pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in kinds.items()}
 
 
-def _pivots(ids: Ids, parts: list[np.ndarray], start: np.ndarray, pos: np.ndarray) -> Iterator[dict[str, pa.Array]]:
-    """Rows of the pairs of each bucket's pivots with the ids behind them."""
-    for r in range(PIVOTS):
-        at = np.flatnonzero(pos > r)
+def _paired(ids: np.ndarray, size: np.ndarray, head: np.ndarray, count: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the ids of each bucket whose sizes are within ``reach`` steps; buckets lie one after the other."""
+    start = np.repeat(head, count)
+    pos = np.arange(len(start)) - start
+    until = np.minimum(pos, np.repeat(np.where(count <= SMALL, SMALL, PIVOTS), count))
+    for r in range(SMALL):
+        at = np.flatnonzero(until > r)
         if not len(at):
             return
-        yield _rows(ids, len(at), x=[p[start[at] + r] for p in parts], y=[p[at] for p in parts])
+        first = start[at] + r
+        near = np.abs(size[at].astype(np.int32) - size[first]) <= reach
+        yield ids[first[near]], ids[at[near]]
 
 
 class Dealer:
-    """Entries of one task."""
+    """Entries of one task. ``num / den`` is the similarity that pairs must reach."""
 
-    def __init__(self, ids: Ids, bands: int, slots: int):
-        self.ids, self.bands, self.slots, self.keys, self.parts, self.n = ids, bands, slots, [], [], 0
+    def __init__(self, bands: int, slots: int, num: int, den: int):
+        self.bands, self.slots, self.held, self.n = bands, slots, [], 0
+        self.reach = size_reach(num, den)
 
-    def add(self, keys: np.ndarray, parts: list[np.ndarray]) -> None:
-        self.keys.append(keys)
-        self.parts.append(parts)
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """``keys``: a row an id, a column a band."""
+        self.held.append((keys, ids, scaled(sizes)))
         self.n += keys.size
 
     def full(self) -> bool:
@@ -99,70 +80,71 @@ class Dealer:
     def flush(self) -> Iterator[dict[str, pa.Array]]:
         if not self.n:
             return
-        keys, parts = np.concatenate(self.keys), [np.concatenate(p) for p in zip(*self.parts, strict=True)]
-        self.keys, self.parts, self.n = [], [], 0
-        order = np.lexsort(parts[::-1])
-        parts = [p[order] for p in parts]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.any([p[1:] != p[:-1] for p in parts], axis=0)
-        keys, parts = keys[order[new]], [p[new] for p in parts]
+        keys, ids, size = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n = [], 0
+        ids, at = np.unique(ids, return_index=True)
+        keys, size = keys[at], size[at]
         for band in range(self.bands):
             order = np.argsort(keys[:, band], kind="stable")
-            k, own = keys[order, band], [p[order] for p in parts]
+            k, own, s = keys[order, band], ids[order], size[order]
             head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(head, len(k)))
-            if (size > HOT).any():
-                inside = np.repeat(size > HOT, size)
-                hot = [p[inside] for p in own]
-                count = size[size > HOT]
-                start = np.repeat(np.cumsum(count) - count, count)
-                pos = np.arange(len(start)) - start
-                yield _rows(self.ids, len(start), key=(band << 32) | k[inside].astype(np.int64), x=hot)
-                yield from _pivots(self.ids, hot, start, pos)
+            count = np.diff(np.append(head, len(k)))
+            if (count > HOT).any():
+                inside = np.repeat(count > HOT, count)
+                hot, many = own[inside], count[count > HOT]
+                first = np.cumsum(many) - many
+                pos = np.arange(len(hot)) - np.repeat(first, many)
+                # Under slots in turn, as no task need see them together.
+                turn = lambda n: np.arange(n) % (self.bands * self.slots)
+                yield _rows(len(hot), slot=turn(len(hot)), key=(band << 32) | k[inside].astype(np.int64), x=hot)
+                for x, y in _paired(hot, s[inside], first, many, self.reach):
+                    yield _rows(len(x), slot=turn(len(x)), x=x, y=y)
                 keep = ~inside
-                keep[inside] = pos < PIVOTS
-                k, own = k[keep], [p[keep] for p in own]
-            entries = np.empty(len(k), dtype=self.ids.entry)
-            entries["key"] = k
-            for f, p in zip(self.ids.fields, own, strict=True):
-                entries[f] = p
+                keep[inside] = pos <= SMALL  # so many that the bucket counts as a large one wherever it goes
+                k, own, s = k[keep], own[keep], s[keep]
+            entries = np.empty(len(k), dtype=ENTRY)
+            entries["key"], entries["id"], entries["size"] = k, own, s
             slot = (k % np.uint32(self.slots)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             edge = np.searchsorted(slot[order], np.arange(self.slots + 1))
             used = np.flatnonzero(np.diff(edge))
-            yield _rows(self.ids, len(used), slot=band * self.slots + used, entries=[entries[order[edge[i] : edge[i + 1]]].tobytes() for i in used])
+            yield _rows(len(used), slot=band * self.slots + used, entries=[entries[order[edge[i] : edge[i + 1]]].tobytes() for i in used])
+
+
+def size_reach(num: int, den: int) -> int:
+    return int(np.ceil(np.log(den / num) * STEPS / np.log(1.25))) + 1
 
 
-def _gather(ids: Ids, slots: int):
+def _gather(slots: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for b in batches:
+            done = b.filter(b["entries"].is_null())
+            if done.num_rows:
+                yield done.select(["key", "x", "y"])
+            b = b.filter(b["entries"].is_valid())
             for slot, blob in zip(b["slot"].to_pylist(), b["entries"].to_pylist(), strict=True):
                 held.setdefault(slot, []).append(blob)
         for slot in sorted(held):
-            entries = np.frombuffer(b"".join(held.pop(slot)), dtype=ids.entry)
-            order = np.lexsort([entries[f] for f in [*ids.fields[::-1], "key"]])
-            k, parts = entries["key"][order], [entries[f][order] for f in ids.fields]
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = np.any([v[1:] != v[:-1] for v in (k, *parts)], axis=0)
-            k, parts = k[new], [p[new] for p in parts]
+            entries = np.frombuffer(b"".join(held.pop(slot)), dtype=ENTRY)
+            entries = entries[np.lexsort([entries["id"], entries["key"]])]
+            k, ids = entries["key"], entries["id"]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (ids[1:] != ids[:-1])])
+            k, ids, size = k[new], ids[new], entries["size"][new]
             head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(head, len(k)))
-            start = np.repeat(head, size)
-            several = np.repeat(size > PIVOTS, size)
-            if several.any():
-                rows = _rows(ids, int(several.sum()), key=((slot // slots) << 32) | k[several].astype(np.int64), x=[p[several] for p in parts])
-                yield pa.RecordBatch.from_pydict({c: rows[c] for c in ("key", "x", "y")})
-            for rows in _pivots(ids, parts, start, np.arange(len(k)) - start):
-                yield pa.RecordBatch.from_pydict({c: rows[c] for c in ("key", "x", "y")})
+            count = np.diff(np.append(head, len(k)))
+            out, large = [], np.repeat(count > SMALL, count)
+            if large.any():
+                out.append(_rows(int(large.sum()), key=((slot // slots) << 32) | k[large].astype(np.int64), x=ids[large]))
+            out += [_rows(len(x), x=x, y=y) for x, y in _paired(ids, size, head, count, reach)]
+            yield from (pa.RecordBatch.from_pydict({c: rows[c] for c in ("key", "x", "y")}) for rows in out)
 
     return run
 
 
-def collisions(dealt: DataFrame, ids: Ids, bands: int, slots: int) -> DataFrame:
+def collisions(dealt: DataFrame, bands: int, slots: int, num: int, den: int) -> DataFrame:
     """From dealt rows: ``key, x, y``, a pair where ``y`` is set, a member of a large bucket where it is not."""
-    found = dealt.where("slot is not null").select("slot", "entries").repartitionById(bands * slots, F.col("slot")).mapInArrow(_gather(ids, slots), f"key long, x {ids.name}, y {ids.name}")
-    return found.union(dealt.where("slot is null and x is not null and (key is not null or y is not null)").select("key", "x", "y"))
+    return dealt.repartitionById(bands * slots, F.col("slot")).mapInArrow(_gather(slots, size_reach(num, den)), FOUND)
 
 
 def pairs(multi: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 A line is compared after trimming white space and lower-casing A-Z. Its set holds the
 distinct runs of ``shingle`` characters; a shorter line has none and equals exact copies only.
-Equal lines are one node from the start (named by 96 bits of two independent hashes of the
-trimmed line), lines of similarity at or above the threshold are linked, and of every class
+Equal lines are one node from the start (named by 96 bits of a hash of the trimmed line), lines of similarity at or above the threshold are linked, and of every class
 only the first occurrence, by (doc_id, line number), stays in the corpus.
 
-One scan yields the occurrences and the packed band entries of each task's distinct lines; a
-second one fetches the texts of lines that share a bucket, thinned by a Bloom filter. All
-later steps work on those lines alone.
+Three scans: the occurrences; the packed band entries of each task's distinct lines; the texts
+of lines that share a bucket, thinned by a Bloom filter. All later steps work on those lines alone.
 """
 
 from __future__ import annotations
@@ -53,22 +51,37 @@ class Lines:
                     raw.append(len(x))
         self.row, self.number, self.raw = np.array(row, np.int64), np.array(number, np.int64), np.array(raw, np.int64)
 
-    def ids(self) -> list[np.ndarray]:
-        """The first twelve bytes of each line's 128-bit XXH3, as the parts of `DIGEST`."""
-        raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.low)), np.uint8).reshape(-1, 16)
-        return [np.ascontiguousarray(raw[:, a:b]).view(t).reshape(-1).astype(t[1:]) for a, b, t in ((0, 8, ">u8"), (8, 12, ">u4"))]
+    def nodes(self) -> np.ndarray:
+        """The first twelve bytes of each line's 128-bit XXH3: its name."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.low)), np.uint8).reshape(-1, 16)[:, :12]
 
 
-def shingles(low: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each run of ``k`` characters of each line, each line's first one, and each line's characters."""
+def names(nodes: np.ndarray) -> pa.Array:
+    raw, edge = np.ascontiguousarray(nodes), np.arange(len(nodes) + 1, dtype=np.int32) * 12
+    return pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(edge), pa.py_buffer(raw)])
+
+
+def ids(nodes: np.ndarray) -> np.ndarray:
+    """The first eight bytes of names, by which candidates are sought."""
+    return np.ascontiguousarray(nodes[:, :8]).view(">i8").reshape(-1).astype(np.int64)
+
+
+def characters(low: list[bytes]) -> np.ndarray:
+    """How many characters each text has."""
+    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), dtype=np.int64, count=len(low)))])
+    heads = (np.frombuffer(b"".join(low), dtype=np.uint8) & 0xC0) != 0x80
+    return np.diff(np.concatenate([[0], np.cumsum(heads)])[edge])
+
+
+def shingles(low: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``k`` characters of each line, and each line's first one."""
     size = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
     flat = b"".join(low)
     raw = np.frombuffer(flat + bytes(8 + 4 * k), dtype=np.uint8)
     edge = np.concatenate([[0], np.cumsum(size)])
     char = np.flatnonzero((raw[: len(flat)] & 0xC0) != 0x80)
     c = np.searchsorted(char, edge)
-    chars = np.diff(c)
-    count = np.maximum(chars - k + 1, 0)
+    count = np.maximum(np.diff(c) - k + 1, 0)
     first = np.concatenate([[0], np.cumsum(count)])
     src = np.arange(first[-1]) + np.repeat(c[:-1] - first[:-1], count)
     char = np.append(char, len(flat))
@@ -81,7 +94,7 @@ def shingles(low: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         if not len(more):
             break
         out[more] = out[more] * K.U64(0xA0761D6478BD642F) + _word(words, start[more], length[more], at)
-    return K.mix(out), first, chars
+    return K.mix(out), first
 
 
 def _word(words: np.ndarray, start: np.ndarray, length: np.ndarray, at: int) -> np.ndarray:
@@ -93,32 +106,34 @@ def _word(words: np.ndarray, start: np.ndarray, length: np.ndarray, at: int) ->
     return out
 
 
-def _sketch(hasher: MinHasher, shingle: int, slots: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        dealer = B.Dealer(B.DIGEST, hasher.bands, slots)
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
+            x = Lines(buf, offs)
+            if x.low:
+                trimmed = np.fromiter(map(len, x.low), dtype=np.int64, count=len(x.low))
+                chars = characters(x.low) + x.raw - trimmed  # white space at the ends is ASCII
+                doc = b["doc_id"].slice(lo, hi - lo).take(pa.array(x.row))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(x.number, pa.int32()), pa.array(chars, pa.int32()), names(x.nodes())], names=["doc_id", "line", "chars", "h"])
 
-        def batch(n: int, cols: dict[str, pa.Array], doc=None, line=None, chars=None) -> pa.RecordBatch:
-            own = {"doc_id": (doc, pa.int64()), "line": (line, pa.int32()), "chars": (chars, pa.int32())}
-            return pa.RecordBatch.from_pydict({c: pa.nulls(n, t) if v is None else v if isinstance(v, pa.Array) else pa.array(v, t) for c, (v, t) in own.items()} | cols)
 
+def _deal(hasher: MinHasher, shingle: int, slots: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        dealer = B.Dealer(hasher.bands, slots, num, den)
         for b in batches:
-            for lo, hi, buf, offs in K.chunks(*K.text_buffers(b["text"])):
+            for _, _, buf, offs in K.chunks(*K.text_buffers(b["text"])):
                 x = Lines(buf, offs)
+                x.low = list(set(x.low))
                 if not x.low:
                     continue
-                parts = x.ids()
-                hashes, first, chars = shingles(x.low, shingle)
-                trimmed = np.fromiter(map(len, x.low), dtype=np.int64, count=len(x.low))
-                chars += x.raw - trimmed  # white space at the ends is ASCII
+                hashes, first = shingles(x.low, shingle)
                 some = first[1:] > first[:-1]  # a line without shingles is linked by its hash alone
-                dealer.add(hasher.band_keys(hasher.signatures(hashes, np.append(first[:-1][some], first[-1]))), [p[some] for p in parts])
-                yield batch(len(x.low), B._rows(B.DIGEST, len(x.low), x=parts), b["doc_id"].slice(lo, hi - lo).take(pa.array(x.row)), x.number, chars)
+                keys = hasher.band_keys(hasher.signatures(hashes, np.append(first[:-1][some], first[-1])))
+                dealer.add(keys, ids(x.nodes())[some], np.diff(first)[some])
                 if dealer.full():
-                    for cols in dealer.flush():
-                        yield batch(len(cols["slot"]), cols)
-        for cols in dealer.flush():
-            yield batch(len(cols["slot"]), cols)
+                    yield from map(pa.RecordBatch.from_pydict, dealer.flush())
+        yield from map(pa.RecordBatch.from_pydict, dealer.flush())
 
     return run
 
@@ -126,7 +141,7 @@ def _sketch(hasher: MinHasher, shingle: int, slots: int):
 def _expand(shingle: int):
     def run(items: pa.Array) -> Sets:
         """Shingles of trimmed, lower-cased lines, one line a row."""
-        return shingles(items.to_pylist(), shingle)[:2]
+        return shingles(items.to_pylist(), shingle)
 
     return run
 
@@ -141,9 +156,10 @@ def _texts(held):
                 if not x.low:
                     continue
                 x.low = list(set(x.low))
-                parts = x.ids()
-                at = np.flatnonzero(held.value.has(parts[0].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([B.DIGEST.column([p[at] for p in parts]), pa.array([x.low[i] for i in at], pa.binary())], names=["id", "items"])
+                nodes = x.nodes()
+                own = ids(nodes)
+                at = np.flatnonzero(held.value.has(own))
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), names(nodes[at]), pa.array([x.low[i] for i in at], pa.binary())], names=["id", "node", "items"])
 
     return run
 
@@ -159,16 +175,16 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     hasher = MinHasher(BANDS, ROWS, seed=29)
     slots = B.n_slots(docs, BANDS, tasks(docs.sparkSession))
-    sketch = scratch.write(docs.mapInArrow(_sketch(hasher, shingle, slots), "doc_id long, line int, chars int, " + B.schema(B.DIGEST)), "sketch")
-    lines = sketch.where("doc_id is not null").select("doc_id", "line", "chars", F.col("x").alias("h"))
-
-    multi = scratch.write(B.collisions(sketch.where("doc_id is null"), B.DIGEST, BANDS, slots), "multi")
+    lines = scratch.write(docs.mapInArrow(_occurrences, "doc_id long, line int, chars int, h binary"), "lines")
+    multi = scratch.write(B.collisions(docs.select("text").mapInArrow(_deal(hasher, shingle, slots, num, den), B.SCHEMA), BANDS, slots, num, den), "multi")
+    scratch.free()
     pairs, members = scratch.write(B.pairs(multi), "pairs"), scratch.write(B.members(multi), "members")
     wanted = scratch.write(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(members.select("id")).distinct(), "wanted")
     held = docs.sparkSession.sparkContext.broadcast(build(wanted, "id"))
-    texts = scratch.write(docs.select("text").mapInArrow(_texts(held), "id binary, items binary").dropDuplicates(["id"]), "texts")
-    label = SetLinks(scratch, B.DIGEST, num, den, lambda ids: texts, expand=_expand(shingle)).classes(pairs, members)
+    texts = scratch.write(docs.select("text").mapInArrow(_texts(held), "id long, node binary, items binary").dropDuplicates(["node"]), "texts")
+    label = SetLinks(scratch, "binary", num, den, lambda by, keys: texts, expand=_expand(shingle), nodes=texts.select("id", "node")).classes(pairs, members)
     scratch.drop(multi, pairs, members, wanted, texts)
+    scratch.free()
 
     once = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("k"), F.count("*").alias("m"))
     repeats = scratch.write(once.join(label, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "k", "m"), "distinct-lines")

@@ -75,12 +75,12 @@ def _sketch(k: int, hasher: MinHasher):
     return run
 
 
-def _deal(slots: int):
+def _deal(slots: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = B.Dealer(B.LONG, BANDS, slots)
+        dealer = B.Dealer(BANDS, slots, num, den)
         for b in batches:
             keys = np.asarray(b["keys"].flatten()).view(np.uint32).reshape(-1, BANDS)
-            dealer.add(keys, [np.asarray(b["id"])])
+            dealer.add(keys, np.asarray(b["id"]), np.asarray(b["n"]))
             if dealer.full():
                 yield from map(pa.RecordBatch.from_pydict, dealer.flush())
         yield from map(pa.RecordBatch.from_pydict, dealer.flush())
@@ -137,13 +137,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     reps = known.join(same, (known["digest"] == same["digest"]) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.write(reps.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "sig", "keys"), "reps")
     slots = B.n_slots(docs, BANDS, tasks(docs.sparkSession))
-    multi = scratch.write(B.collisions(reps.select("id", "keys").mapInArrow(_deal(slots), B.schema(B.LONG)), B.LONG, BANDS, slots), "multi")
+    multi = scratch.write(B.collisions(reps.select("id", "n", "keys").mapInArrow(_deal(slots, num, den), B.SCHEMA), BANDS, slots, num, den), "multi")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        ids = scratch.write(ids, "wanted")
+    def sets_of(by: str, keys: DataFrame) -> DataFrame:
+        ids = scratch.write(keys.select(F.col(by).alias("id")), "wanted")
         held = docs.sparkSession.sparkContext.broadcast(build(ids, "id"))
         found = docs.mapInArrow(_full_sets(shingle, held), "id long, items binary")
-        return scratch.write(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+        return scratch.write(found.join(ids, "id", "left_semi").dropDuplicates(["id"]).withColumn("node", F.col("id")), "sets")
 
     def prune(pairs: DataFrame) -> DataFrame:
         sig = reps.select(F.col("id").alias("x"), F.col("sig").alias("p"), "n")
@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         both = pairs.join(sig, "x").join(other, "y").where(f"{den}L * least(n, m) >= {num}L * greatest(n, m)")
         return both.select("x", "y", "p", "q").mapInArrow(_bayes(num / den, miss), "x long, y long")
 
-    label = SetLinks(scratch, B.LONG, num, den, sets_of, prune).classes(B.pairs(multi), B.members(multi))
+    scratch.free()
+    label = SetLinks(scratch, "long", num, den, sets_of, prune).classes(B.pairs(multi), B.members(multi))
     scratch.drop(multi)
     # A node is the smallest id of a class of equal sets; one more step covers an id that names several texts.
     found = scratch.write(same.join(label, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "found")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,29 +43,59 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables under the shared folder that cut lineage: written once as Parquet, read by every executor."""
 
+    #: Open ones, where `closing` watches.
+    opened: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/lodegraph-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if Scratch.opened is not None:
+            Scratch.opened.append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.base}/{self._n:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lodegraph_path = path
         return out
 
-    def drop(self, *tables: DataFrame, part: str = "") -> None:
-        """Delete tables, or one partition of them, that no later plan reads."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads."""
         for df in tables:
             if path := getattr(df, "_lodegraph_path", None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}".rstrip("/"))
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def free(self) -> None:
+        """Let Spark delete shuffle files of finished steps: its cleaner acts on what a collection finds unreachable."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def close(self) -> None:
+        """Delete everything; what was returned from it must have been read by then."""
+        self._delete(self.base)
+
+
+@contextmanager
+def closing(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written under it by operators of this session."""
+    opened = Scratch.opened
+    Scratch.opened = []
+    try:
+        yield
+    finally:
+        for s in Scratch.opened:
+            if s.spark is spark:
+                s.close()
+        Scratch.opened = opened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

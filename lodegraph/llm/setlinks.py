@@ -24,7 +24,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.buckets import Ids
 from lodegraph.llm.components import components
 from lodegraph.llm.runtime import Scratch
 
@@ -74,35 +73,40 @@ def overlaps(p: Sets, q: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class SetLinks:
     """``num / den`` is the threshold: linked when ``den * |A & B| >= num * |A | B|``.
 
-    ``sets_of(ids)`` takes a one-column table of ids and returns at least theirs as ``id, items binary``,
-    from which ``expand`` makes 64-bit hashes. ``prune(pairs)`` may drop pairs that are
-    below the threshold beyond reasonable doubt.
+    Candidates come by a 64-bit id, sets are named by nodes (``kind``: their type); two nodes may share an id. ``sets_of(column, keys)``
+    returns at least the sets whose ``column`` (id or node) is in the one-column table ``keys``, as ``id, node, items binary``, from which
+    ``expand`` makes 64-bit hashes. ``prune(pairs)`` may drop pairs that are below the threshold beyond reasonable doubt.
     """
 
-    def __init__(self, scratch: Scratch, ids: Ids, num: int, den: int, sets_of: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None, expand: Callable[[pa.Array], Sets] = stored):
-        self.scratch, self.ids, self.num, self.den, self.sets_of, self.prune, self.expand = scratch, ids, num, den, sets_of, prune, expand
+    def __init__(self, scratch: Scratch, kind: str, num: int, den: int, sets_of: Callable[[str, DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None, expand: Callable[[pa.Array], Sets] = stored, nodes: DataFrame | None = None):
+        self.scratch, self.kind, self.num, self.den, self.sets_of, self.prune, self.expand, self.nodes = scratch, kind, num, den, sets_of, prune, expand, nodes
 
     def classes(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """``node, component`` of linked ids (the smallest of a class has no row), from candidate pairs ``x, y`` and members of large buckets ``key, id``."""
+        """``node, component`` of linked nodes (the smallest of a class has no row), from candidate pairs ``x, y`` and members of large buckets ``key, id``."""
         scratch = self.scratch
-        links = self._verify(pairs)
+        links = self._verify(pairs, "id")
         label = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
-        named = scratch.write(members.join(label, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c")), "named")
+        if members.isEmpty():
+            return label
+        own = members.join(self.nodes, "id") if self.nodes is not None else members.withColumn("node", F.col("id"))
+        named = own.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        named = scratch.write(named, "named")
         mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        rest = scratch.write(named.join(mixed, "key").select("id", "c").distinct(), "rest")
+        rest = scratch.write(named.join(mixed, "key").select("node", "c").distinct(), "rest")
         scratch.drop(links, named)
+        scratch.free()
         if not rest.isEmpty():
-            last = self._verify(self._prefix_pairs(rest))
+            last = self._verify(self._prefix_pairs(rest), "node")
             known = label.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            label, old = components(known.union(last.select("x", "y")), scratch), label
-            scratch.drop(last, old)
+            label = components(known.union(last.select("x", "y")), scratch)
+            scratch.drop(last)
         scratch.drop(rest)
         return label
 
     def _prefix_pairs(self, rest: DataFrame) -> DataFrame:
         """Pairs of different classes that pass the prefix, size and position filters."""
         num, den, expand, scratch = self.num, self.den, self.expand, self.scratch
-        held = scratch.write(self.sets_of(rest.select("id")).join(rest, "id").select("id", "c", "items"), "rest-sets")
+        held = scratch.write(self.sets_of("node", rest.select("node")).select("node", "items").join(rest, "node").select(F.col("node").alias("id"), "c", "items"), "rest-sets")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
@@ -112,9 +116,9 @@ class SetLinks:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["place", "n"])
 
-        found = held.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+        found = held.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         spread = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        spread[found["place"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+        spread[found["place"].to_numpy()] = found["n"].to_numpy()
         known = held.sparkSession.sparkContext.broadcast(spread)
         step = log(den / num) * (1 + 1e-9)
 
@@ -136,7 +140,7 @@ class SetLinks:
                 cols = [pa.array((items[at] << _U(8)).view(np.int64)), pa.array(band), pa.array(n[own], pa.int32()), pa.array(i[at], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*cols, b["id"].take(pa.array(own)), b["c"].take(pa.array(own))], names=["item", "band", "n", "i", "id", "c"])
 
-        rows = scratch.write(held.mapInArrow(prefix, f"item long, band int, n int, i int, id {self.ids.name}, c {self.ids.name}"), "prefix")
+        rows = scratch.write(held.mapInArrow(prefix, f"item long, band int, n int, i int, id {self.kind}, c {self.kind}"), "prefix")
         scratch.drop(held)
         split = rows.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("item")
         rows = rows.join(split, "item")
@@ -147,14 +151,13 @@ class SetLinks:
         on &= F.expr(f"{den}L * na >= {num}L * n") & enough
         return rows.join(a, on).select(F.least("ida", "id").alias("x"), F.greatest("ida", "id").alias("y")).distinct()
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets meet the threshold."""
+    def _verify(self, pairs: DataFrame, by: str) -> DataFrame:
+        """Pairs of nodes whose full sets meet the threshold, from pairs ``x, y`` of their column ``by``."""
         num, den, expand = self.num, self.den, self.expand
         pairs = self.scratch.write(self.prune(pairs) if self.prune else pairs, "pairs")
         if pairs.isEmpty():
-            return pairs.select("x", "y")
-        ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-        sets = self.sets_of(ids)
+            return self.scratch.spark.createDataFrame([], f"x {self.kind}, y {self.kind}")
+        sets = self.sets_of(by, pairs.select(F.col("x").alias(by)).union(pairs.select("y")).distinct())
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
@@ -162,7 +165,9 @@ class SetLinks:
                 shared, n, m = overlaps(expand(b["p"]), expand(b["q"]))
                 yield pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(den * shared >= num * (n + m - shared)))
 
-        both = pairs.join(sets.select(F.col("id").alias("x"), F.col("items").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("items").alias("q")), "y")
-        links = self.scratch.write(both.select("x", "y", "p", "q").mapInArrow(exact, f"x {self.ids.name}, y {self.ids.name}"), "links")
+        side = lambda end, node, items: sets.select(F.col(by).alias(end), F.col("node").alias(node), F.col("items").alias(items))
+        both = pairs.join(side("x", "u", "p"), "x").join(side("y", "v", "q"), "y").where("u <> v").select(F.col("u").alias("x"), F.col("v").alias("y"), "p", "q")
+        links = self.scratch.write(both.mapInArrow(exact, f"x {self.kind}, y {self.kind}"), "links")
         self.scratch.drop(pairs)
+        self.scratch.free()
         return links
