@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,11 @@ _FILTER_BITS = 22
 class ItemIndex:
     """Items of one pass: shingles with weights, anchors, fingerprints and their block index."""
 
-    def __init__(self, ids: list[int], texts: list[str], shingle: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, ids: list[int], texts: list[str], shingle: int = SHINGLE, radius: int = RADIUS, spread: Spread | None = None):
         with np.errstate(over="ignore"):
-            self._build(ids, texts, shingle, radius)
+            self._build(ids, texts, shingle, radius, spread)
 
-    def _build(self, ids: list[int], texts: list[str], shingle: int, radius: int) -> None:
+    def _build(self, ids: list[int], texts: list[str], shingle: int, radius: int, spread: Spread | None) -> None:
         self.shingle, self.radius = shingle, radius
         words = K.Words(*K.text_buffers(pa.array(texts, pa.string())), K.ALNUM_WORDS)
         lists = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
@@ -55,11 +56,13 @@ class ItemIndex:
         #: Words of each item's shingles: five, or all of a shorter item.
         span = np.minimum(self.size, shingle)
         self.spans = sorted(set(span.tolist()))
-        # A shingle's length is part of its name.
-        runs = [K.shingles(w, int(k)) ^ K.U64(int(k)) for w, k in zip(self.words, span, strict=True)]
+        runs = [K.shingles(w, int(k)) ^ K.U64(int(k)) for w, k in zip(self.words, span, strict=True)]  # a shingle's length is part of its name
         sets = [np.unique(r) for r in runs]
         every, df = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, K.U64), np.zeros(0, int))
-        self.vocab, self.weight = every, np.log1p(len(sets) / np.maximum(df, 1))
+        n = len(sets)
+        if spread:
+            n, df = spread.items, spread.of(0, every)
+        self.vocab, self.weight = every, np.log1p(n / np.maximum(df, 1))
         self.sets = [np.searchsorted(every, s) for s in sets]
         self.total = np.array([self.weight[s].sum() for s in self.sets])
         item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
@@ -73,8 +76,10 @@ class ItemIndex:
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[(every >> K.U64(64 - _FILTER_BITS)).astype(np.int64)] = True
         known, wdf = np.unique(np.concatenate([np.unique(w) for w in self.words]), return_counts=True) if self.words else (np.zeros(0, K.U64), np.zeros(0, int))
-        self.known, self.word_weight = known, np.log1p(len(sets) / np.maximum(wdf, 1))
-        self.rare = float(np.log1p(max(len(sets), 1)))
+        if spread:
+            wdf = spread.of(1, known)
+        self.known, self.word_weight = known, np.log1p(n / np.maximum(wdf, 1))
+        self.rare = float(np.log1p(max(n, 1)))
         self.prints = np.array([self.fingerprint(w) for w in self.words], dtype=np.uint8).reshape(-1, BLOCKS)
         apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
         #: Values within reach of each value of a block, and each block's items in order of their value.
@@ -157,19 +162,57 @@ class ItemIndex:
         return hit[sure], code[sure]
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> Iterator[ItemIndex]:
-    """The benchmark in passes of bounded size, in order of id; null texts are left out, repeated rows count once."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
+class Spread:
+    """Over the whole benchmark: how many items there are, and how many hold each shingle (kind 0) and word (kind 1)."""
+
+    def __init__(self, items: DataFrame, shingle: int, scratch: Scratch):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            np.seterr(over="ignore")
+            for b in batches:
+                w = K.Words(*K.text_buffers(b["t"]), K.ALNUM_WORDS)
+                for lo, hi in zip(w.first[:-1], w.first[1:], strict=True):
+                    if lo < hi:
+                        own, k = w.hash[lo:hi], min(int(hi - lo), shingle)
+                        for kind, h in ((0, np.unique(K.shingles(own, k) ^ K.U64(k))), (1, np.unique(own)), (2, np.zeros(1, K.U64))):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind), pa.int32()), pa.array(h.view(np.int64))], names=["kind", "h"])
+
+        counted = items.mapInArrow(run, "kind int, h long").groupBy("kind", "h").agg(F.count("*").alias("n"))
+        self.counts = scratch.write(counted.where("n > 1 or kind = 2"), "spread")
+        self.items = (self.counts.where("kind = 2").first() or {"n": 0})["n"]
+
+    def of(self, kind: int, hashes: np.ndarray) -> np.ndarray:
+        """Of some hashes, those of one pass."""
+        own = self.counts.sparkSession.createDataFrame(pa.table({"h": pa.array(hashes.view(np.int64))}))
+        found = self.counts.where(F.col("kind") == kind).join(own, "h").select("h", "n").toArrow()
+        out = np.ones(len(hashes), dtype=np.int64)
+        out[np.searchsorted(hashes, found["h"].to_numpy().view(K.U64))] = found["n"].to_numpy()
+        return out
+
+
+def _batches(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
     ids, texts, words = [], [], 0
     for r in items.orderBy("i", "t").toLocalIterator():
         n = len(r["t"]) // 2 + 1  # no text has more words
         if ids and (len(ids) == ITEMS_PER_PASS or words + n > WORDS_PER_PASS):
-            yield ItemIndex(ids, texts, shingle, radius)
+            yield ids, texts
             ids, texts, words = [], [], 0
         ids.append(r["i"])
         texts.append(r["t"])
         words += n
-    yield ItemIndex(ids, texts, shingle, radius)
+    yield ids, texts
+
+
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> Iterator[ItemIndex]:
+    """The benchmark in passes of bounded size, in order of id; null texts are left out, repeated rows count once.
+
+    Weights are those of the whole benchmark, whichever pass an item is in.
+    """
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
+    passes = _batches(items)
+    first, second = next(passes), next(passes, None)
+    spread = Spread(items, shingle, Scratch(benchmark.sparkSession, "spread")) if second else None
+    for ids, texts in chain([first, *([second] if second else [])], passes):
+        yield ItemIndex(ids, texts, shingle, radius, spread)
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, shingle: int, radius: int, run, scratch: Scratch) -> Iterator[DataFrame]:

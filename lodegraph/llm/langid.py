@@ -121,10 +121,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where("lang is not null and i is not null").where(remainder("i", modulus) != held).select("text", "lang")
-    found = own.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
+    found = own.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = found["lang"].combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    own = names.dictionary.to_pylist()
+    langs = sorted(own)
     counts = np.zeros((len(langs), 1 << BITS))
-    counts[found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int), found["gram"].to_numpy(dtype=int)] = found["n"].to_numpy()
+    code = np.array([langs.index(x) for x in own], dtype=np.int64)
+    counts[code[np.asarray(names.indices)], found["gram"].to_numpy()] = found["n"].to_numpy()
     return Model(langs, counts)
 
 
@@ -132,7 +135,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """``doc_id, lang_pred, score, langs, shares`` for every row.
 
     ``score`` is the predicted language's share; ``langs`` the chosen set, largest share first.
-    Texts that are null, or without a letter, and all texts if no language was learned: ``und``, 0.
+    Texts that are null, or without a letter, and all texts if no language was learned: ``und``, 0. Texts of any length
+    are read whole; equal shares go by the languages' names; a repeated row is judged again, a null id stays null, an
+    empty table gives no rows. Other columns are not read.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -147,7 +147,8 @@ def scan(docs: DataFrame, spread: dict[int, int], templates: list[tuple[str, str
     """A row for each row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches``.
 
     ``matches`` are (template number, containment); ``score`` is the best containment, 1 where
-    a phrase stands, 0 where nothing is found. A null text is an empty one. Other columns are not read.
+    a phrase stands, 0 where nothing is found. A null text is an empty one; texts of any length are searched whole; a
+    repeated row is scanned again, a null id stays null, an empty table gives no rows. Other columns are not read.
     """
     ship(docs.sparkSession)
     index = Templates(templates, spread)

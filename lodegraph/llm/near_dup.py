@@ -177,5 +177,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("doc_id is not null")
     odd = found.where("not kept or n > 1").select(F.col("doc_id").alias("_odd"), F.col("kept").alias("_odd_kept"))
     once = docs.join(odd, docs["doc_id"] == odd["_odd"], "left_anti")
-    twice = docs.join(odd.where("_odd_kept"), docs["doc_id"] == F.col("_odd"), "left_semi").dropDuplicates(["doc_id", "text"])
+    again = odd.where(odd["_odd_kept"])
+    twice = docs.join(again, docs["doc_id"] == again["_odd"], "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(twice)

@@ -127,8 +127,9 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, drops_space: bool, end: int = END, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces with their place: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids`` on request).
 
-    A null or empty text is its end id alone. Rows are taken one by one: a repeated id is
-    packed again, and a null id stays null. No documents give no pieces. Other columns are not read.
+    A null or empty text is its end id alone; a text of any length is cut, never shortened. Rows are taken one by
+    one: a repeated id is packed again, and a null id stays null. Equal lengths are placed in order of task and row. No
+    documents give no pieces. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
@@ -149,13 +150,16 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, drops_space: bool, e
         s = slice(edge[n], edge[n + 1])
         by_length[n] = (arr["lo"][s], arr["first"][s], arr["offset"][s])
 
+    # At most a few thousand places, whatever the corpus: as many as there are patterns of a histogram of ``width`` lengths.
+    held = spark.sparkContext.broadcast(by_length)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = np.asarray(b["length"]), np.asarray(b["rank"])
             seq, off = np.empty(len(rank), dtype=np.int64), np.empty(len(rank), dtype=np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
-                lo, first, offset = by_length[int(n)]
+                lo, first, offset = held.value[int(n)]
                 k = np.searchsorted(lo, rank[at], "right") - 1
                 seq[at], off[at] = first[k] + rank[at] - lo[k], offset[k]
             cols = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "rank"]
@@ -174,5 +178,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: every document that is left, as packed pieces."""
+    """The last stage: every document that is left, as packed pieces.
+
+    Null and empty texts are their end id alone, repeated rows and rows without an id are packed as they stand; an empty table gives
+    no pieces. Other columns, whatever their names, are not read.
+    """
     return pack(docs, Scratch(spark, "stage-pack"), public_tokenizers.path("byte_bpe_50k.json"), drops_space=False)

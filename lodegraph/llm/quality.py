@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm import textkernel as K
 from lodegraph.llm.runtime import Scratch, remainder, ship, table
 
-MAX_POSITIVE, CURVATURE, STEPS, DECAY, CLIP = 8_000, 4_000, 12, 1e-3, 8.0
+MAX_POSITIVE, CURVATURE, STEPS, DECAY, CLIP = 8_000, 4_000, 16, 1e-3, 8.0
 THRESHOLD = 0.3
 _PUNCT = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 #: Byte classes: each ASCII punctuation mark, capital, small letter, digit, space, line feed, other control, non-ASCII.
@@ -161,15 +161,15 @@ def minimise(gradient, positive: np.ndarray, sample: np.ndarray, passes, prior:
     kept, move = w, np.zeros_like(w)
     for _ in range(STEPS):
         value, g, whole = gradient(positive, passes(w), w, prior)
-        if value > best + 1e-9 and step > 1 / 16:  # too far: half the way
+        if (value > best + 1e-9 or not whole) and best < np.inf and step > 1 / 16:  # too far: half the way
             step /= 2
             w = kept - step * move
             continue
         best, kept = value, w
         s, p = sigmoid(sample @ w), sigmoid(positive @ w)
         h = (sample * (s * (1 - s))[:, None]).T @ sample / len(sample) + weight * (positive * (p * (1 - p))[:, None]).T @ positive / len(positive)
-        move = np.linalg.solve(h + (DECAY + 1e-4) * np.eye(len(w)), g)
-        step = 1.0 if whole else 0.25
+        move = np.linalg.solve(h + (DECAY + 1e-2) * np.eye(len(w)), g)
+        step = 1.0 if whole else 1 / 16
         w = kept - step * move
         if np.abs(move).max() < 1e-3:
             break

@@ -89,7 +89,8 @@ def _write(folder: str, path: str, drops_space: bool, end: int, width: int):
 def write(docs: DataFrame, folder: str, tokenizer: str, drops_space: bool, end: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[tuple[int, int, int]]:
     """Write all documents in ascending id (nulls first, equal ids by text); returns (shard, documents, tokens) of each shard, in order.
 
-    A null text is an empty one: its end id alone. No documents give shards without records.
+    A null text is an empty one: its end id alone; texts of any length are one record each. A repeated row is written
+    again. No documents give shards without records. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = ["doc_id", F.xxhash64("text")]

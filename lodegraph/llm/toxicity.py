@@ -122,16 +122,27 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held: int, modulus:
     return texts.join(F.broadcast(own), "doc_id").select("doc_id", "label", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int = 1, modulus: int = 3, limit: int = MAX_ROWS) -> tuple[np.ndarray, float | None]:
-    """Dense float32 weights (4 MB) and the bias; the bias is None where there is nothing to learn from."""
+class Weights:
+    """What training leaves: the places that have a weight, and the bias (None where there was nothing to learn from)."""
+
+    def __init__(self, places: np.ndarray, weights: np.ndarray, bias: float | None):
+        self.places, self.weights, self.bias = places.astype(np.int32), weights.astype(np.float32), bias
+
+    def table(self) -> np.ndarray:
+        """All 2**20 places, 4 MB, for one task."""
+        out = np.zeros(1 << BITS, dtype=np.float32)
+        out[self.places] = self.weights
+        return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int = 1, modulus: int = 3, limit: int = MAX_ROWS) -> Weights:
+    """Weights from at most ``limit`` labelled rows; of several labels of an id the largest counts."""
     ship(docs.sparkSession)
     # A shuffle of at most ``limit`` rows: coalescing instead would read all documents in one task.
-    found = labelled(docs, labels, label, held, modulus, limit).repartition(1).mapInArrow(_train, "place long, weight double").toPandas()
-    weights = np.zeros(1 << BITS, dtype=np.float32)
-    own = found[found["place"] >= 0]
-    weights[own["place"].to_numpy()] = own["weight"].to_numpy()
-    bias = found.loc[found["place"] < 0, "weight"]
-    return weights, float(bias.iloc[0]) if len(bias) else None
+    found = labelled(docs, labels, label, held, modulus, limit).repartition(1).mapInArrow(_train, "place long, weight double").toArrow()
+    place, weight = found["place"].to_numpy(), found["weight"].to_numpy()
+    bias = weight[place < 0]
+    return Weights(place[place >= 0], weight[place >= 0], float(bias[0]) if len(bias) else None)
 
 
 def scores(col: pa.Array, weights: np.ndarray, bias: float | None) -> np.ndarray:
@@ -146,14 +157,19 @@ def scores(col: pa.Array, weights: np.ndarray, bias: float | None) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` for every row. Null and empty texts score as texts without features."""
-    held = docs.sparkSession.sparkContext.broadcast((weights, bias))
+def score(docs: DataFrame, model: Weights, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, score, predicted`` for every row; whole texts of any length.
+
+    Null and empty texts score as texts without features. A null id stays null, a repeated row is scored again, a score of exactly
+    ``threshold`` is predicted 1, an empty table gives no rows. Other columns are not read.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        weights = held.value.table()
         for b in batches:
-            s = scores(b["text"], *held.value)
+            s = scores(b["text"], weights, held.value.bias)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -163,18 +179,23 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float | None, threshold: f
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document scored, a third of the ids held out of training."""
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, *fit(docs, table(spark, sf_dir, "labels")))
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at the threshold or above go; all columns of the others stay, without a shuffle."""
-    weights, bias = fit(docs, table(spark, sf_dir, "labels"))
-    held = spark.sparkContext.broadcast((weights, bias))
+    """Documents scored at the threshold or above go; all columns of the others stay, without a shuffle.
+
+    Rows are judged one by one, so repeated rows stay or go together, and rows without an id, or with a null or empty
+    text, are judged like any others; an empty table stays empty.
+    """
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        weights = held.value.table()
         for b in batches:
-            yield b.filter(pa.array(scores(b["text"], *held.value) < THRESHOLD))
+            yield b.filter(pa.array(scores(b["text"], weights, held.value.bias) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
