@@ -66,7 +66,7 @@ def _described(s, d):
     return g.nodes.withColumns(more), g.edges
 
 
-_EDGE_LIST = f"(select src, dst, edge_type, detail from ({O.CODE_EDGES}) union all select distinct src, dst, et, null from routed)"
+_EDGE_LIST = f"(select src, dst, edge_type, detail from ({O.CODE_EDGES}) union all select distinct src, dst, et, null from routed union all select distinct src, dst, ok||'S', null from access)"
 
 
 @add("test_contexts", f"""with {O.CODE}, e as materialized {_EDGE_LIST},
