@@ -16,6 +16,7 @@ from lodegraph.functions import exprs as X
 from lodegraph.functions import texts as T
 from lodegraph.operators import collapse as C
 from lodegraph.operators.graph import Graph
+from lodegraph.sources.tables import Tables
 
 NODE = "node_id string, node_type string, kind string, name string, label string, absolute_path string, line_start int, line_end int"
 EDGE = ("src", "dst", "edge_type", "detail", "position")
@@ -145,7 +146,8 @@ def use_edges(facts: dict[str, DataFrame], all_nodes: DataFrame) -> dict[str, Da
 
 def build(facts: dict[str, DataFrame]) -> Graph:
     """All nodes and all edges. Edge columns: ``src, dst, edge_type, detail, position, n, lines, description``."""
-    all_nodes = nodes(facts)
+    # Every kind of edge looks its ends up here, so nodes are written once.
+    all_nodes = Tables(facts["types"].sparkSession, "build").write(nodes(facts), "nodes")
     plain = [project_edges(facts, all_nodes), type_edges(facts, all_nodes), member_edges(facts), inheritance_edges(facts, all_nodes), override_edges(facts, all_nodes), signature_edges(facts, all_nodes)]
     out = reduce(DataFrame.unionByName, [p.select(*EDGE) for p in plain])
     used = use_edges(facts, all_nodes)
