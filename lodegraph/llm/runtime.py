@@ -14,12 +14,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.sources.tables import shared_dir
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = Path(__file__).resolve().parents[2]
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless their module path has it already."""
+    """Send this package to the executors unless their module path has it already.
+
+    Also bounds Arrow batches where the session has Spark's default of 10,000 rows: rows are whole texts here, and a worker
+    holds a batch a few times over.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) in places or getattr(sc, "_lodegraph_shipped", False):
         return
@@ -30,16 +39,6 @@ def ship(spark: SparkSession) -> None:
     sc._lodegraph_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not place:
-        place = spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = f"file://{tempfile.gettempdir()}/checkpoints"
-    return place.rstrip("/")
-
-
 class Scratch:
     """Tables under the shared folder that cut lineage: written once as Parquet, read by every executor."""
 
