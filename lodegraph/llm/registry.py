@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodegraph.llm import ann, decontaminate, langid, licenses, line_dedup, near_dup, packing, quality, records, toxicity
+from lodegraph.llm import ann, decontaminate, langid, licenses, line_dedup, near_dup, packing, pieces, quality, records, spelling, toxicity, whiten
 
 QUERIES = {
     "op1_multi_index_hashing": ann.query,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_ftrl_toxicity": toxicity.query,
     "op9_positive_unlabelled": quality.query,
     "op10_license_join": licenses.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_sentencepiece": pieces.query,
+    "op13_whitening": whiten.query,
 }
 
 #: Where SQL has no equal on whole tables there is none; tests/llm compares with brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_spelling_variants": spelling.ORACLE}
