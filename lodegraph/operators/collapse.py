@@ -64,13 +64,13 @@ def accesses(occurrences: DataFrame, verb: str, keys: tuple[str, ...] = ("src",
 EVOLUTION_LISTS = ("left_locations", "right_locations", "left_elements", "right_elements", "refactoring_types", "descriptions")
 
 
-def merge_evolution(edges: DataFrame) -> DataFrame:
-    """Evolution edges by (src, edge_type, dst): occurrences, best confidence, and each list united in first-seen order of ``seq``.
+def merge_evolution(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Evolution edges by (src, edge_type, dst), and ``by`` before them: occurrences, best confidence, and each list united in first-seen order of ``seq``.
 
     Lists that ``edges`` has (see ``EVOLUTION_LISTS``) are united, ``type`` and ``description`` count as lists of one.
     Other columns are those of the first edge.
     """
-    keys = ["src", "edge_type", "dst"]
+    keys = [*by, "src", "edge_type", "dst"]
     lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in EVOLUTION_LISTS if c in edges.columns}
     for one, many in (("type", "refactoring_types"), ("description", "descriptions")):
         if one in edges.columns:

@@ -1,19 +1,54 @@
-"""Line ranges to elements: interval and nearest joins, always with an equality on the file."""
+"""Line ranges to elements: interval and nearest joins, by file and line bins.
+
+A range is dealt to the bins of ``BIN`` lines that it touches, and to one coarse bin for each ``COARSE`` lines, so that two ranges of a
+file meet wherever they overlap; a long range (over ``MANY`` fine bins) is dealt to coarse bins alone. A pair counts in one bin: the
+first that both touch, at the coarser level of the two. Work in a file follows the pairs that are near each other, however many lines the
+file has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lines to a fine and a coarse bin, and fine bins up to which a range is dealt to them.
+BIN, COARSE, MANY = 64, 1 << 16, 1024
+
+
+def _dealt(rows: DataFrame, lo: Column, hi: Column, side: str) -> DataFrame:
+    """``rows`` once a bin: ``_level, _bin``, and the range's own level and first bins; no rows for an empty or unknown range."""
+    first, last = (lambda w: F.floor(lo / w)), (lambda w: F.floor(hi / w))
+    long = last(BIN) - first(BIN) >= MANY
+    bins = lambda w, level: F.transform(F.sequence(first(w), last(w)), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+    every = F.when(long, bins(COARSE, 1)).otherwise(F.concat(bins(BIN, 0), bins(COARSE, 1)))
+    known = rows.where((lo <= hi) & lo.isNotNull() & hi.isNotNull())
+    own = known.withColumns({f"_level_{side}": F.when(long, 1).otherwise(0), f"_fine_{side}": first(BIN), f"_coarse_{side}": first(COARSE)})
+    return own.withColumn("_at", F.explode(every)).withColumns({"_level": F.col("_at.level"), "_bin": F.col("_at.bin")}).drop("_at")
+
+
+def range_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column]) -> DataFrame:
+    """Pairs of rows that agree on ``on`` and whose ranges (first and last, both included) overlap, each once.
+
+    The columns of a range have names that the other side lacks. Null keys, null ends and ranges that end before they begin match nothing.
+    """
+    a, b = _dealt(left, *left_range, "a"), _dealt(right, *right_range, "b")
+    level = F.greatest("_level_a", "_level_b")
+    first = F.when(level == 1, F.greatest("_coarse_a", "_coarse_b")).otherwise(F.greatest("_fine_a", "_fine_b"))
+    both = a.join(b, [*on, "_level", "_bin"]).where((F.col("_level") == level) & (F.col("_bin") == first))
+    # Ranges that share a bin need not overlap in it.
+    both = both.where((left_range[0] <= right_range[1]) & (right_range[0] <= left_range[1]))
+    return both.drop("_level", "_bin", *(f"_{c}_{s}" for c in ("level", "fine", "coarse") for s in "ab"))
+
 
 def overlapping(elements: DataFrame, hunks: DataFrame, on: list[str], slack: int = 0) -> DataFrame:
     """Pairs of ``elements(start_line, end_line)`` and ``hunks(lo, hi)`` of the same file whose ranges, each widened by ``slack``, overlap."""
-    near = (F.greatest(F.col("start_line") - slack, F.col("lo") - slack)) <= F.least(F.col("end_line") + slack, F.col("hi") + slack)
-    return elements.join(hunks, on).where(near)
+    start, end, lo, hi = (F.col(c) for c in ("start_line", "end_line", "lo", "hi"))
+    near = F.greatest(start - slack, lo - slack) <= F.least(end + slack, hi + slack)
+    return range_join(elements, hunks, on, (start - slack, end + slack), (lo - slack, hi + slack)).where(near)
 
 
-def located(nodes: DataFrame, places: DataFrame, slack: int = 2) -> DataFrame:
-    """Nodes at ``places(path, lo, hi, ...)``: METHOD, TYPE and FIELD nodes whose lines lie there.
+def located(nodes: DataFrame, places: DataFrame, slack: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes at ``places(path, lo, hi, ...)``: METHOD, TYPE and FIELD nodes whose lines lie there; ``by``: more columns that both sides share.
 
     A path is a node's relative path, or any whole-folder end of its absolute one (each end is an equality, so this is one
     hash join; a path that begins inside a folder's name does not count). Ranges are widened by ``slack`` on both sides; a field
@@ -23,19 +58,23 @@ def located(nodes: DataFrame, places: DataFrame, slack: int = 2) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     every = F.array_distinct(F.array_compact(F.concat(F.array("relative_path"), F.coalesce(ends, F.array().cast("array<string>")))))
     own = nodes.where("node_type in ('METHOD', 'TYPE', 'FIELD') and line_start > 0 and line_end > 0").withColumn("path", F.explode(every))
-    field = F.col("node_type") == "FIELD"
-    near = F.when(field, F.abs(F.col("line_start") - F.col("lo")) <= slack).otherwise((F.col("lo") - slack <= F.col("line_end") + slack) & (F.col("hi") + slack >= F.col("line_start") - slack))
-    found = own.join(places, "path").where(near)
+    field, start, end, lo, hi = F.col("node_type") == "FIELD", *(F.col(c) for c in ("line_start", "line_end", "lo", "hi"))
+    near = F.when(field, F.abs(start - lo) <= slack).otherwise((lo - slack <= end + slack) & (hi + slack >= start - slack))
+    lines = F.least(start, end) - slack, F.when(field, start).otherwise(F.greatest(start, end)) + slack
+    found = range_join(own, places, [*by, "path"], lines, (F.least(lo, hi) - slack, F.greatest(lo, hi) + slack)).where(near)
     # A field's distance is that of its one line.
-    return found.withColumn("start_line", F.col("line_start")).withColumn("end_line", F.when(field, F.col("hi")).otherwise(F.col("line_end")))
+    return found.withColumn("start_line", start).withColumn("end_line", F.when(field, hi).otherwise(end))
 
 
-def changed_nodes(n1: DataFrame, n2: DataFrame, hunks: DataFrame) -> DataFrame:
-    """``side, node_id``: for each hunk of ``old_path`` and ``new_path`` the nearest node on each side it touches; /dev/null is skipped."""
+def changed_nodes(n1: DataFrame, n2: DataFrame, hunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``side, node_id``: for each hunk of ``old_path`` and ``new_path`` the nearest node on each side it touches; /dev/null is skipped.
+
+    A hunk is known by what it holds, so equal ones count once and a task that runs again names it the same.
+    """
     path = F.when(F.col("side") == "V1", F.col("old_path")).otherwise(F.col("new_path"))
-    at = hunk_sides(hunks.withColumn("hunk", F.monotonically_increasing_id())).withColumn("path", path).where("path <> '/dev/null'").select("hunk", "side", "path", "lo", "hi")
-    one = lambda nodes, side: nearest(located(nodes, at.where(F.col("side") == side)), ["hunk", "side"], ["node_id"])
-    return one(n1, "V1").union(one(n2, "V2")).select("side", "node_id").distinct()
+    at = hunk_sides(hunks).withColumn("path", path).where("path <> '/dev/null'").select(*by, "side", "path", "lo", "hi").distinct()
+    one = lambda nodes, side: nearest(located(nodes, at.where(F.col("side") == side), by=by), [*by, "side", "path", "lo", "hi"], ["node_id"])
+    return one(n1, "V1").union(one(n2, "V2")).select(*by, "side", "node_id").distinct()
 
 
 def nearest(pairs: DataFrame, hunk_keys: list[str], columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodegraph.functions import exprs as X
+from lodegraph.operators import locate as L
 
 
 def classify(elements: DataFrame) -> DataFrame:
@@ -98,17 +99,21 @@ def progress(results: DataFrame, total: int, start: float, now: float) -> DataFr
     return g.withColumns({"elapsed_seconds": F.lit(now - start), "percent": F.round(F.lit(100.0) * F.col("processed") / F.greatest(F.lit(total), F.lit(1)), 2)})
 
 
-def remaining(commits: DataFrame, progress: DataFrame, parity: bool = True) -> DataFrame:
+def remaining(commits: DataFrame, progress: DataFrame, parity: bool = True, done: DataFrame | None = None) -> DataFrame:
     """Commits ``project, idx, commit_id`` still to do after ``progress(project_name, current_index, processed_commits)``: from the cursor on.
 
     The one at the cursor is looked at again though it may be done, and counts as a success then, so a finished project that is
     resumed adds one success a run; ``parity`` keeps that commit in (``recount``), else it drops out like any other processed one.
+    ``done(project, commit_id)`` may stand for the records' lists, which are long in a large project; it is joined, never searched a row.
     """
-    p = progress.select(F.col("project_name").alias("project"), "current_index", "processed_commits")
-    own = commits.join(p, "project", "left").where(F.col("idx") >= F.coalesce("current_index", F.lit(0)))
-    done = F.coalesce(F.array_contains("processed_commits", F.col("commit_id")), F.lit(False))
-    out = own.select("project", "idx", "commit_id", done.alias("recount"))
-    return out if parity else out.where("not recount")
+    if done is None:
+        done = progress.select(F.col("project_name").alias("project"), F.explode("processed_commits").alias("commit_id"))
+    cursor = progress.groupBy(F.col("project_name").alias("project")).agg(F.max("current_index").alias("current_index"))
+    own = commits.join(cursor, "project", "left").where(F.col("idx") >= F.coalesce("current_index", F.lit(0))).select("project", "idx", "commit_id")
+    known = done.select("project", "commit_id").distinct()
+    if not parity:
+        return own.join(known, ["project", "commit_id"], "left_anti").select("project", "idx", "commit_id", F.lit(False).alias("recount"))
+    return own.join(known.withColumn("recount", F.lit(True)), ["project", "commit_id"], "left").select("project", "idx", "commit_id", F.coalesce("recount", F.lit(False)).alias("recount"))
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def affected_elements(hunks: DataFrame, elements: DataFrame) -> DataFrame:
     """
     lo = F.col("begin_b") + 1
     at = hunks.select("commit_id", F.col("new_path").alias("path"), lo.alias("lo"), F.greatest(F.col("end_b"), lo).alias("hi"))
-    hit = elements.join(at, ["commit_id", "path"]).where(X.overlaps(F.col("start_line"), F.col("end_line"), F.col("lo"), F.col("hi")))
+    hit = L.range_join(elements, at, ["commit_id", "path"], (F.col("start_line"), F.col("end_line")), (F.col("lo"), F.col("hi")))
     return hit.select(*elements.columns).distinct()
 
 

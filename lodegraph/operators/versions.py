@@ -68,15 +68,15 @@ def match_key(columns: list[str]) -> Column:
     return by.when(F.col("node_type") == "FIELD", field).when(F.col("node_type") == "FILE", c("relative_path")).otherwise(c("label"))
 
 
-def match_nodes(n1: DataFrame, n2: DataFrame) -> DataFrame:
-    """Exact matches ``v1_id, v2_id, confidence, matcher`` within a node type, k-th with k-th where a side repeats a key; a null key matches nothing."""
+def match_nodes(n1: DataFrame, n2: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact matches ``v1_id, v2_id, confidence, matcher`` within a node type (and ``by``, which comes first), k-th with k-th where a side repeats a key; a null key matches nothing."""
     def side(df: DataFrame, i: int) -> DataFrame:
-        k = F.row_number().over(Window.partitionBy("node_type", "key").orderBy("node_id"))
+        k = F.row_number().over(Window.partitionBy(*by, "node_type", "key").orderBy("node_id"))
         keyed = df.withColumn("key", match_key(df.columns)).where("key is not null")
-        return keyed.select("node_type", "key", k.alias("k"), F.col("node_id").alias(f"v{i}_id"), F.col("source_code").alias(f"s{i}"))
+        return keyed.select(*by, "node_type", "key", k.alias("k"), F.col("node_id").alias(f"v{i}_id"), F.col("source_code").alias(f"s{i}"))
 
-    both = side(n1, 1).join(side(n2, 2), ["node_type", "key", "k"])
-    return both.select("v1_id", "v2_id", X.confidence(F.col("s1"), F.col("s2")).alias("confidence"), F.lit("ExactMatcher").alias("matcher"))
+    both = side(n1, 1).join(side(n2, 2), [*by, "node_type", "key", "k"])
+    return both.select(*by, "v1_id", "v2_id", X.confidence(F.col("s1"), F.col("s2")).alias("confidence"), F.lit("ExactMatcher").alias("matcher"))
 
 
 def match(v1: DataFrame, v2: DataFrame, key: str = "node_id") -> DataFrame:
@@ -135,17 +135,21 @@ class StructuralMatcher:
         return structural_score()
 
 
-def match_all(n1: DataFrame, n2: DataFrame, matchers: list[Matcher] | None = None, threshold: float = 0.5) -> DataFrame:
-    """1:1 matches: exact ones first, then those of each matcher, strongest priority first, among nodes still free."""
+def match_all(n1: DataFrame, n2: DataFrame, matchers: list[Matcher] | None = None, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """1:1 matches (within ``by``): exact ones first, then those of each matcher, strongest priority first, among nodes still free."""
     spark = n1.sparkSession
     tables = Tables(spark, "match")
-    out = tables.write(match_nodes(n1, n2), "exact")
+    one, two = [*by, "node_id"], [*by, "v1_id", "v2_id"]
+    out = tables.write(match_nodes(n1, n2, by), "exact")
     for m in sorted(matchers or [], key=lambda m: (-m.priority, m.name)):
-        free1 = n1.where(F.col("node_type").isin(*m.node_types)).join(out.select(F.col("v1_id").alias("node_id")), "node_id", "left_anti")
-        free2 = n2.where(F.col("node_type").isin(*m.node_types)).join(out.select(F.col("v2_id").alias("node_id")), "node_id", "left_anti")
-        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in m.block]
-        scored = free1.alias("a").join(free2.alias("b"), on).select(F.col("a.node_id").alias("v1_id"), F.col("b.node_id").alias("v2_id"), m.score().alias("score"))
-        won = best_mutual(scored, threshold).select("v1_id", "v2_id", F.col("score").alias("confidence"), F.lit(m.name).alias("matcher"))
+        free1 = n1.where(F.col("node_type").isin(*m.node_types)).join(out.select(*by, F.col("v1_id").alias("node_id")), one, "left_anti")
+        free2 = n2.where(F.col("node_type").isin(*m.node_types)).join(out.select(*by, F.col("v2_id").alias("node_id")), one, "left_anti")
+        if hasattr(m, "candidates"):
+            scored = m.candidates(free1, free2, threshold, by)
+        else:
+            on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, *m.block)]
+            scored = free1.alias("a").join(free2.alias("b"), on).select(*(F.col(f"a.{c}") for c in by), F.col("a.node_id").alias("v1_id"), F.col("b.node_id").alias("v2_id"), m.score().alias("score"))
+        won = best_mutual(scored, threshold, by).select(*two, F.col("score").alias("confidence"), F.lit(m.name).alias("matcher"))
         out = tables.write(out.union(won), "matched")
     return out
 
@@ -179,27 +183,28 @@ def materialise(status: DataFrame, first: str = "V1", second: str = "V2") -> Dat
     return rows.select(node.alias("merged_id"), "node_id", "version_status", "versions")
 
 
-def changed_pairs(mapping: DataFrame, changed: DataFrame) -> DataFrame:
-    """``mapping`` with ``forced``: whether either end is among ``changed`` (side V1 or V2, node_id)."""
-    side = lambda s: changed.where(F.col("side") == s).select(F.col("node_id").alias(f"{s.lower()}_id"), F.lit(True).alias(s)).distinct()
-    both = mapping.join(side("V1"), "v1_id", "left").join(side("V2"), "v2_id", "left")
+def changed_pairs(mapping: DataFrame, changed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``mapping`` with ``forced``: whether either end is among ``changed`` (side V1 or V2, node_id), of the same ``by``."""
+    side = lambda s: changed.where(F.col("side") == s).select(*by, F.col("node_id").alias(f"{s.lower()}_id"), F.lit(True).alias(s)).distinct()
+    both = mapping.join(side("V1"), [*by, "v1_id"], "left").join(side("V2"), [*by, "v2_id"], "left")
     return both.withColumn("forced", F.coalesce("V1", "V2", F.lit(False))).drop("V1", "V2")
 
 
-def merge_edges(e1: DataFrame, e2: DataFrame) -> DataFrame:
-    """Edges of both versions, one for each (src, edge_type, dst), the first version's first line first."""
+def merge_edges(e1: DataFrame, e2: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of both versions, one for each (src, edge_type, dst) and ``by``, the first version's first line first."""
     both = e1.withColumn("side", F.lit(1)).unionByName(e2.withColumn("side", F.lit(2)))
-    return both.groupBy("src", "edge_type", "dst").agg(F.min_by(F.struct("side", "line"), F.struct("side", "line")).alias("r")).select("src", "edge_type", "dst", "r.*")
+    keys = [*by, "src", "edge_type", "dst"]
+    return both.groupBy(*keys).agg(F.min(F.struct("side", "line")).alias("r")).select(*keys, "r.*")
 
 
-def remap(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges with both ends replaced through ``old, new`` and all else copied; an edge with an unknown end is dropped."""
-    return remap_sides(edges, mapping, mapping)
+def remap(edges: DataFrame, mapping: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges with both ends replaced through ``old, new`` (after the columns of ``by``) and all else copied; an edge with an unknown end is dropped."""
+    return remap_sides(edges, mapping, mapping, by)
 
 
-def remap_sides(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+def remap_sides(edges: DataFrame, sources: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """As `remap`, with a mapping for each end."""
-    out = edges.join(sources.toDF("src", "src_new"), "src").join(targets.toDF("dst", "dst_new"), "dst")
+    out = edges.join(sources.toDF(*by, "src", "src_new"), [*by, "src"]).join(targets.toDF(*by, "dst", "dst_new"), [*by, "dst"])
     return out.drop("src", "dst").withColumnRenamed("src_new", "src").withColumnRenamed("dst_new", "dst")
 
 
@@ -257,20 +262,23 @@ def propagate(edges: DataFrame, owner: DataFrame) -> DataFrame:
     return remap(edges.select("src", "dst", "confidence"), owner).select("src", "dst", F.lit("REFACTORED").alias("edge_type"), F.lit("MEMBER_CHANGED").alias("type"), "confidence")
 
 
-def owners(edges: DataFrame) -> DataFrame:
-    """``member, owner`` from DECLARES edges; the smallest of several owners."""
-    return edges.where("edge_type = 'DECLARES'").groupBy(F.col("dst").alias("member")).agg(F.min("src").alias("owner"))
+def owners(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``member, owner`` (after ``by``) from DECLARES edges; the smallest of several owners."""
+    return edges.where("edge_type = 'DECLARES'").groupBy(*by, F.col("dst").alias("member")).agg(F.min("src").alias("owner"))
 
 
 def roll_up(rows: DataFrame) -> DataFrame:
-    """Timeline of each node from ``node_id, label, ord, status, seq``: versions in order, strongest status (earliest ``seq`` of equals), first and last label."""
+    """Timeline of each node from ``node_id, label, ord, status, seq``: versions in order, strongest status (earliest ``seq`` of equals), first and last label.
+
+    Labels of unknown order (null) come first among the versions and are first or last only where no other is.
+    """
     strength = F.expr("case status when 'ADDED' then 3 when 'DELETED' then 3 when 'MODIFIED' then 2 when 'UNCHANGED' then 1 else 0 end")
     labels = F.transform(F.sort_array(F.collect_set(F.struct("ord", "label"))), lambda r: r["label"])
-    return rows.groupBy("node_id").agg(labels.alias("versions"), F.max_by("status", F.struct(strength, -F.col("seq"))).alias("status"), F.min_by("label", "ord").alias("first_version"), F.max_by("label", "ord").alias("last_version"))
+    return rows.groupBy("node_id").agg(labels.alias("versions"), F.max_by("status", F.struct(strength, -F.col("seq"))).alias("status"), F.coalesce(F.min_by("label", "ord"), F.min("label")).alias("first_version"), F.coalesce(F.max_by("label", "ord"), F.min("label")).alias("last_version"))
 
 
-def best_mutual(scores: DataFrame, threshold: float) -> DataFrame:
-    """1:1 matches from ``v1_id, v2_id, score``: pairs that are each other's best, round by round, until nothing is left.
+def best_mutual(scores: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """1:1 matches (within ``by``) from ``v1_id, v2_id, score``: pairs that are each other's best, round by round, until nothing is left.
 
     Equal scores are ranked by a hash of the pair, then by its ids, so that large ties settle in a few rounds. The
     outcome is that of taking the best pair left, one at a time, in this order. Each round's tables are written.
@@ -280,12 +288,13 @@ def best_mutual(scores: DataFrame, threshold: float) -> DataFrame:
     left = tables.write(scores.where(F.col("score") >= threshold).withColumn("tie", F.xxhash64("v1_id", "v2_id")), "left")
     rounds = []
     while not left.isEmpty():
-        a = left.groupBy("v1_id").agg(F.min_by("v2_id", rank("v2_id")).alias("v2_id"))
-        b = left.groupBy("v2_id").agg(F.min_by("v1_id", rank("v1_id")).alias("v1_id"))
-        won = tables.write(left.join(a, ["v1_id", "v2_id"]).join(b, ["v1_id", "v2_id"]).select("v1_id", "v2_id", "score"), "won")
+        one, two, pair = [*by, "v1_id"], [*by, "v2_id"], [*by, "v1_id", "v2_id"]
+        a = left.groupBy(*one).agg(F.min_by("v2_id", rank("v2_id")).alias("v2_id"))
+        b = left.groupBy(*two).agg(F.min_by("v1_id", rank("v1_id")).alias("v1_id"))
+        won = tables.write(left.join(a, pair).join(b, pair).select(*pair, "score"), "won")
         rounds.append(won)
-        left = tables.write(left.join(won.select("v1_id"), "v1_id", "left_anti").join(won.select("v2_id"), "v2_id", "left_anti"), "left")
-    out = scores.select("v1_id", "v2_id", "score").limit(0)
+        left = tables.write(left.join(won.select(*one), one, "left_anti").join(won.select(*two), two, "left_anti"), "left")
+    out = scores.select(*by, "v1_id", "v2_id", "score").limit(0)
     for won in rounds:
         out = out.union(won)
     return out

@@ -59,11 +59,11 @@ def version_edges(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == year).select(pid("S", "l_suppkey").alias("src"), pid("P", "l_partkey").alias("dst"), F.lit("CALLS").alias("edge_type"), F.col("l_linenumber").alias("line"))
 
 
-def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each part to the next in its order, over lines shipped in 1997."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1997)
-    x = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lag("l_partkey").over(w).alias("prev"), F.row_number().over(w).alias("pos"))
+def _steps(spark: SparkSession, sf_dir: str, first: int = 1997, last: int = 1997) -> DataFrame:
+    """From each part to the next of those in its order that were shipped in the same year."""
+    w = Window.partitionBy("yr", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").withColumn("yr", F.year("l_shipdate")).where(F.col("yr").between(first, last))
+    x = lines.select("yr", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lag("l_partkey").over(w).alias("prev"), F.row_number().over(w).alias("pos"))
     return x.where("prev is not null").withColumn("pos", (F.col("pos") - 2).cast("int"))
 
 
@@ -75,45 +75,53 @@ def refactorings(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFram
     return x.select(F.col("l_orderkey").alias("ref_id"), "pos", kind.alias("type"), pid("P", "prev").alias("left_id"), pid("P", "l_partkey").alias("right_id"), (F.lit(0.5) + (F.col("l_linenumber") % 6) / 10).alias("confidence"))
 
 
-def _place(key: str):
+def place(key: str):
     """Where a part stands: its file, first and last line."""
     start = (F.col(key) % 40 * 10 + 1).cast("int")
-    return F.concat(F.lit("F"), (F.col(key) % 50).cast("string"), F.lit(".java")), start, start + 8
+    return F.concat(F.lit("F"), F.floor(F.col(key) / 40).cast("string"), F.lit(".java")), start, start + 8
 
 
-def sided_refactorings(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
-    """One refactoring an order, with the places of its parts as both sides, in the layout of the record files."""
+def sided_refactorings(spark: SparkSession, sf_dir: str, types: list[str], first: int = 1997, last: int = 1997) -> DataFrame:
+    """One refactoring an order and year (``version``), with the places of its parts as both sides, in the layout of the record files."""
     def at(key: str):
-        path, start, end = _place(key)
+        path, start, end = place(key)
         return F.struct(path.alias("file_path"), F.concat(F.lit("P"), F.col(key).cast("string"), F.lit("()")).alias("code_element"), start.alias("start_line"), end.alias("end_line"))
 
     listed = lambda key: F.transform(F.sort_array(F.collect_list(F.struct("pos", "l_partkey", at(key).alias("v")))), lambda r: r["v"])
-    x = _steps(spark, sf_dir).groupBy(F.col("l_orderkey").alias("ref_id")).agg(listed("prev").alias("left"), listed("l_partkey").alias("right"))
+    x = _steps(spark, sf_dir, first, last).groupBy("yr", F.col("l_orderkey").alias("ref_id")).agg(listed("prev").alias("left"), listed("l_partkey").alias("right"))
     kind = F.element_at(F.array(*[F.lit(t) for t in types]), (F.col("ref_id") % len(types) + 1).cast("int"))
-    return x.select("ref_id", kind.alias("type"), F.concat(F.lit("order "), (F.col("ref_id") % 5).cast("string")).alias("description"), (F.lit(0.5) + (F.col("ref_id") % 6) / 10).alias("confidence"), "left", "right")
+    return x.select(F.col("yr").cast("string").alias("version"), "ref_id", kind.alias("type"), F.concat(F.lit("order "), (F.col("ref_id") % 5).cast("string")).alias("description"), (F.lit(0.5) + (F.col("ref_id") % 6) / 10).alias("confidence"), "left", "right")
 
 
-def version_graph(spark: SparkSession, sf_dir: str, year: int) -> Graph:
-    """A version of a code base: parts sold in a year are methods (source: how many lines), their brands types that declare them, the next part of an order is called."""
-    lines = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == year)
+def version_tables(spark: SparkSession, sf_dir: str, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a code base's versions, one a year (``version``): parts sold in it are methods (source: how many lines), their brands types that declare them, the next part of an order is called."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("yr", F.year("l_shipdate")).where(F.col("yr").between(first, last)).withColumn("version", F.col("yr").cast("string"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    path, start, end = _place("l_partkey")
-    own = lines.groupBy("l_partkey").agg(F.count("*").cast("string").alias("source_code")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    path, start, end = place("l_partkey")
+    own = lines.groupBy("version", "l_partkey").agg(F.count("*").cast("string").alias("source_code")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     null = F.lit(None).cast("string")
-    cols = lambda node_id, t, name, source, rel, lo, hi: [node_id.alias("node_id"), F.lit(t).alias("node_type"), name.alias("name"), node_id.alias("signature"), node_id.alias("qualified_name"), source.alias("source_code"), rel.alias("relative_path"), F.concat(F.lit("/r/"), rel).alias("absolute_path"), lo.cast("int").alias("line_start"), hi.cast("int").alias("line_end")]
+    cols = lambda node_id, t, name, source, rel, lo, hi: ["version", node_id.alias("node_id"), F.lit(t).alias("node_type"), name.alias("name"), node_id.alias("signature"), node_id.alias("qualified_name"), source.alias("source_code"), rel.alias("relative_path"), F.concat(F.lit("/r/"), rel).alias("absolute_path"), lo.cast("int").alias("line_start"), hi.cast("int").alias("line_end")]
     methods = own.select(*cols(pid("P", "l_partkey"), "METHOD", pid("P", "l_partkey"), F.col("source_code"), path, start, end))
-    types = own.select("p_brand").distinct().select(*cols(F.col("p_brand"), "TYPE", F.col("p_brand"), F.lit("type"), null, F.lit(0), F.lit(0)))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    prev = lines.select("l_partkey", "l_linenumber", F.lag("l_partkey").over(w).alias("prev")).where("prev is not null")
-    calls = prev.select(pid("P", "prev").alias("src"), pid("P", "l_partkey").alias("dst"), F.lit("CALLS").alias("edge_type"), F.col("l_linenumber").alias("line"))
-    return Graph(methods.union(types), own.select(F.col("p_brand").alias("src"), pid("P", "l_partkey").alias("dst"), F.lit("DECLARES").alias("edge_type"), F.lit(0).alias("line")).union(calls))
+    types = own.select("version", "p_brand").distinct().select(*cols(F.col("p_brand"), "TYPE", F.col("p_brand"), F.lit("type"), null, F.lit(0), F.lit(0)))
+    w = Window.partitionBy("version", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    prev = lines.select("version", "l_partkey", "l_linenumber", F.lag("l_partkey").over(w).alias("prev")).where("prev is not null")
+    calls = prev.select("version", pid("P", "prev").alias("src"), pid("P", "l_partkey").alias("dst"), F.lit("CALLS").alias("edge_type"), F.col("l_linenumber").alias("line"))
+    return methods.union(types), own.select("version", F.col("p_brand").alias("src"), pid("P", "l_partkey").alias("dst"), F.lit("DECLARES").alias("edge_type"), F.lit(0).alias("line")).union(calls)
 
 
-def version_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hunk for each line with the largest discount, where its part stands."""
-    path, start, _ = _place("l_partkey")
-    x = table(spark, sf_dir, "lineitem").where("l_discount >= 0.1").select(path.alias("old_path"), F.when(F.col("l_returnflag") == "A", "/dev/null").otherwise(path).alias("new_path"), kind_of_hunk().alias("type"), start.alias("lo")).distinct()
-    return x.select("old_path", "new_path", "type", *[(F.col("lo") - 1 + n).alias(c) for c, n in (("begin_a", 0), ("end_a", 2), ("begin_b", 0), ("end_b", 2))])
+def version_graph(spark: SparkSession, sf_dir: str, year: int) -> Graph:
+    """One version of `version_tables`."""
+    nodes, edges = version_tables(spark, sf_dir, year, year)
+    return Graph(nodes.drop("version"), edges.drop("version"))
+
+
+def version_hunks(spark: SparkSession, sf_dir: str, first: int = 1997, last: int = 1997) -> DataFrame:
+    """A hunk for each line of a year (``version``): in its part's file, at a line told by its keys, one in ten of them where nodes are."""
+    path, _, _ = place("l_partkey")
+    lines = table(spark, sf_dir, "lineitem").withColumn("yr", F.year("l_shipdate")).where(F.col("yr").between(first, last))
+    at = ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 131 + F.col("l_suppkey") * 17) % 4000 + 1).cast("int")
+    x = lines.select(F.col("yr").cast("string").alias("version"), path.alias("old_path"), F.when(F.col("l_returnflag") == "A", "/dev/null").otherwise(path).alias("new_path"), kind_of_hunk().alias("type"), at.alias("lo")).distinct()
+    return x.select("version", "old_path", "new_path", "type", *[(F.col("lo") - 1 + n).alias(c) for c, n in (("begin_a", 0), ("end_a", 2), ("begin_b", 0), ("end_b", 2))])
 
 
 def kind_of_hunk():
