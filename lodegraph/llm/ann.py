@@ -120,7 +120,8 @@ def _usable(vec: str) -> str:
 def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target_radius: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found, ties to the smaller id.
 
-    A query never finds a row of its own id; repeated rows are each found. Rows whose id or
+    An id is one query however many rows it has: that of its smallest vector, component by component. A query never finds a row of
+    its own id; other repeated rows are each found. Rows whose id or
     vector is null, zero, empty, of another length than most (of equally frequent lengths the
     smaller counts), or holds a null or non-finite component take no part, and neither do vectors
     whose length overflows a double. Vectors may have any number of components; an empty table gives
@@ -136,7 +137,8 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     if shape is None:
         return spark.createDataFrame([], empty)
     dim, longest = shape["d"], shape["longest"]
-    base, queries = base.where(F.size("v") == dim), queries.where(F.size("v") == dim)
+    base = base.where(F.size("v") == dim)
+    queries = queries.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     sample = np.asarray(picked.flatten(), dtype=np.float64).reshape(-1, dim)
     codes = Codes(sample, longest)

@@ -232,13 +232,16 @@ def remove_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: a row for each document: its lines, those that go, and the length of what stays."""
+    """op4: a row for each row of documents: its lines, those that go, and the length of what stays of it. Rows that share an id lose the same lines, as far as they have them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = repeated_lines(docs, Scratch(spark, "op4")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"), F.sum(F.col("chars") + 1).alias("cut"))
-    sizes = docs.select("doc_id", F.length("text").cast("long").alias("all"), (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+    gone = repeated_lines(docs, Scratch(spark, "op4")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    own = docs.select("doc_id", F.transform(F.split("text", "\n"), F.length).alias("chars"))
     none = F.array().cast("array<int>")
-    out = sizes.join(gone, "doc_id", "left").withColumn("removed_lines", F.coalesce("removed_lines", none))
-    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.greatest(F.lit(0), F.col("all") - F.coalesce("cut", F.lit(0))).alias("kept_chars"))
+    removed = F.filter(F.coalesce("gone", none), lambda i: i < F.size("chars"))
+    out = own.join(gone, "doc_id", "left").withColumn("removed_lines", removed)
+    total = F.aggregate("chars", F.lit(-1).cast("long"), lambda n, c: n + c + 1)
+    cut = F.aggregate("removed_lines", F.lit(0).cast("long"), lambda n, i: n + F.get("chars", i) + 1)
+    return out.select("doc_id", F.size("chars").cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.greatest(F.lit(0), total - cut).alias("kept_chars"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm import buckets as B
 from lodegraph.llm import textkernel as K
 from lodegraph.llm.bloom import build
+from lodegraph.llm.components import components
 from lodegraph.llm.minhash import MinHasher, posterior_floor
 from lodegraph.llm.runtime import Scratch, table, tasks
 from lodegraph.llm.setlinks import SetLinks
@@ -96,7 +97,7 @@ def _full_sets(k: int, wanted):
             b = b.filter(pa.array(wanted.value.has(np.asarray(b["doc_id"]))))
             for lo, hi, hashes, first in _shingle_rows(b["text"], k):
                 sets = [np.unique(hashes[first[r] : first[r + 1]]).tobytes() for r in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "items"])
 
     return run
 
@@ -126,24 +127,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     distinct ``shingle``-word runs, or the whole sequence of a shorter text. Null, empty
     and blank texts have an empty set and stay alone. Linked: ``den * |A & B| >= num *
     |A | B|``; texts of any length are compared whole. The smallest id of a class is kept, so
-    ties do not arise. Rows that share an id count as one document; a null id is never linked
-    and is kept; an empty table gives no rows. Other columns are not read.
+    ties do not arise. Rows that share an id are one document: each counts its own shingles, whatever any of their
+    texts is linked with is in their class. A null id is never linked and is kept; an empty table gives no rows. Other
+    columns are not read.
+
+    Sets are known by their digest (and candidates by 64 bits of it), never by an id, so the result does not depend on which of
+    several rows with one id a task meets first.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hasher = MinHasher(BANDS, ROWS)
     sketch = scratch.write(docs.mapInArrow(_sketch(shingle, hasher), "doc_id long, n long, digest binary, sig binary, keys array<int>"), "sketch")
     known = sketch.where("doc_id is not null and digest is not null")
     same = scratch.write(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "same")
-    reps = known.join(same, (known["digest"] == same["digest"]) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.write(reps.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "sig", "keys"), "reps")
+    first = (known["digest"] == same["digest"]) & (F.col("doc_id") == F.col("rep"))
+    reps = known.join(same, first, "left_semi").dropDuplicates(["digest"])
+    reps = scratch.write(reps.select(F.xxhash64("digest").alias("id"), F.col("digest").alias("node"), "doc_id", F.col("n").cast("int").alias("n"), "sig", "keys"), "reps")
     slots = B.n_slots(docs, BANDS, tasks(docs.sparkSession))
     multi = scratch.write(B.collisions(reps.select("id", "n", "keys").mapInArrow(_deal(slots, num, den), B.SCHEMA), BANDS, slots, num, den), "multi")
 
     def sets_of(by: str, keys: DataFrame) -> DataFrame:
-        ids = scratch.write(keys.select(F.col(by).alias("id")), "wanted")
-        held = docs.sparkSession.sparkContext.broadcast(build(ids, "id"))
-        found = docs.mapInArrow(_full_sets(shingle, held), "id long, items binary")
-        return scratch.write(found.join(ids, "id", "left_semi").dropDuplicates(["id"]).withColumn("node", F.col("id")), "sets")
+        wanted = scratch.write(keys.select(by).join(reps.select("id", "node", "doc_id"), by), "wanted")
+        held = docs.sparkSession.sparkContext.broadcast(build(wanted, "doc_id"))
+        found = docs.mapInArrow(_full_sets(shingle, held), "node binary, items binary")
+        return scratch.write(found.join(wanted.select("id", "node"), "node").dropDuplicates(["node"]).select("id", "node", "items"), "sets")
 
     def prune(pairs: DataFrame) -> DataFrame:
         sig = reps.select(F.col("id").alias("x"), F.col("sig").alias("p"), "n")
@@ -152,11 +158,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         return both.select("x", "y", "p", "q").mapInArrow(_bayes(num / den, miss), "x long, y long")
 
     scratch.free()
-    label = SetLinks(scratch, "long", num, den, sets_of, prune).classes(B.pairs(multi), B.members(multi))
+    label = SetLinks(scratch, "binary", num, den, sets_of, prune, nodes=reps.select("id", "node")).classes(B.pairs(multi), B.members(multi))
     scratch.drop(multi)
-    # A node is the smallest id of a class of equal sets; one more step covers an id that names several texts.
-    found = scratch.write(same.join(label, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "found")
+    classes = scratch.write(same.join(label, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "digest").alias("c")), "classes")
     scratch.drop(reps)
+    # An id that names several texts holds their classes together.
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    of_id = scratch.write(known.join(several, "doc_id").select("doc_id", "digest").join(classes, "digest").select("doc_id", "c").distinct(), "several")
+    if not of_id.isEmpty():
+        lowest = of_id.groupBy("doc_id").agg(F.min("c").alias("v"))
+        joined = components(of_id.join(lowest, "doc_id").select(F.col("c").alias("u"), "v"), scratch)
+        classes = scratch.write(classes.join(joined, F.col("c") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "c").alias("c")), "classes")
+    smallest = classes.groupBy("c").agg(F.min("rep").alias("component"))
+    found = scratch.write(classes.join(smallest, "c").select("digest", "component"), "found")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

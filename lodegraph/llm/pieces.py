@@ -41,7 +41,7 @@ PIECES, TRAINER, NORMALIZER = 1, 2, 3
 MODEL_TYPE, BPE, SUFFIX_MARKS, BYTE_FALLBACK, UNKNOWN_TEXT = 3, 2, 24, 35, 44
 CHARS_MAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
 #: Stretches a cache generation, and stretches of one text held at a time.
-CACHE, RUN = 400_000, 1 << 18
+CACHE, RUN = 250_000, 1 << 18
 #: Symbols up to which a list serves as agenda, and bytes of text encoded together.
 SHORT, TOGETHER = 24, 2 << 20
 #: Latin, Greek and Cyrillic letters.
