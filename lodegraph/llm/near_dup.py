@@ -151,11 +151,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         found = docs.mapInArrow(_full_sets(shingle, held), "node binary, items binary")
         return scratch.write(found.join(wanted.select("id", "node"), "node").dropDuplicates(["node"]).select("id", "node", "items"), "sets")
 
-    def prune(pairs: DataFrame) -> DataFrame:
-        sig = reps.select(F.col("id").alias("x"), F.col("sig").alias("p"), "n")
+    def prune(pairs: DataFrame, by: str) -> DataFrame:
+        sig = reps.select(F.col(by).alias("x"), F.col("sig").alias("p"), "n")
         other = sig.select(F.col("x").alias("y"), F.col("p").alias("q"), F.col("n").alias("m"))
         both = pairs.join(sig, "x").join(other, "y").where(f"{den}L * least(n, m) >= {num}L * greatest(n, m)")
-        return both.select("x", "y", "p", "q").mapInArrow(_bayes(num / den, miss), "x long, y long")
+        return both.select("x", "y", "p", "q").mapInArrow(_bayes(num / den, miss), "x long, y long" if by == "id" else "x binary, y binary")
 
     scratch.free()
     label = SetLinks(scratch, "binary", num, den, sets_of, prune, nodes=reps.select("id", "node")).classes(B.pairs(multi), B.members(multi))

@@ -75,10 +75,10 @@ class SetLinks:
 
     Candidates come by a 64-bit id, sets are named by nodes (``kind``: their type); two nodes may share an id. ``sets_of(column, keys)``
     returns at least the sets whose ``column`` (id or node) is in the one-column table ``keys``, as ``id, node, items binary``, from which
-    ``expand`` makes 64-bit hashes. ``prune(pairs)`` may drop pairs that are below the threshold beyond reasonable doubt.
+    ``expand`` makes 64-bit hashes. ``prune(pairs, column)`` may drop pairs that are below the threshold beyond reasonable doubt.
     """
 
-    def __init__(self, scratch: Scratch, kind: str, num: int, den: int, sets_of: Callable[[str, DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None, expand: Callable[[pa.Array], Sets] = stored, nodes: DataFrame | None = None):
+    def __init__(self, scratch: Scratch, kind: str, num: int, den: int, sets_of: Callable[[str, DataFrame], DataFrame], prune: Callable[[DataFrame, str], DataFrame] | None = None, expand: Callable[[pa.Array], Sets] = stored, nodes: DataFrame | None = None):
         self.scratch, self.kind, self.num, self.den, self.sets_of, self.prune, self.expand, self.nodes = scratch, kind, num, den, sets_of, prune, expand, nodes
 
     def classes(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ class SetLinks:
     def _verify(self, pairs: DataFrame, by: str) -> DataFrame:
         """Pairs of nodes whose full sets meet the threshold, from pairs ``x, y`` of their column ``by``."""
         num, den, expand = self.num, self.den, self.expand
-        pairs = self.scratch.write(self.prune(pairs) if self.prune else pairs, "pairs")
+        pairs = self.scratch.write(self.prune(pairs, by) if self.prune else pairs, "pairs")
         if pairs.isEmpty():
             return self.scratch.spark.createDataFrame([], f"x {self.kind}, y {self.kind}")
         sets = self.sets_of(by, pairs.select(F.col("x").alias(by)).union(pairs.select("y")).distinct())
