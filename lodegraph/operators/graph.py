@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodegraph.functions import texts as T
 from lodegraph.sources.tables import Tables
@@ -80,21 +81,47 @@ def simple_paths(edges: DataFrame, sources: DataFrame, target: str | None, max_d
     """``path array, depth``: simple paths of at most ``max_depth`` edges from each ``node_id`` of ``sources``.
 
     With a target only paths that end there are returned, and none goes on from it; a source that is
-    the target is a path of one node. Parallel edges give a path each.
+    the target is a path of one node. Parallel edges give a path each. Paths to a target are grown from both ends, half
+    the depth each, and joined where they meet: a longer path is one that goes on from exactly the first half.
     """
     tables = Tables(edges.sparkSession, "paths")
     step = tables.write(edges.select("src", "dst"), "edges")
+    half = -(-max_depth // 2) if target else max_depth
     last = F.element_at("path", -1)
     frontier = tables.write(sources.select(F.array("node_id").alias("path"), F.lit(0).alias("depth")), "frontier")
     found = frontier.where(last == target) if target else frontier.limit(0)
-    for d in range(1, max_depth + 1):
+    for d in range(1, half + 1):
         grow = frontier.where(last != target) if target else frontier
         longer = grow.join(step, last == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         frontier = tables.write(longer.select(F.array_append("path", F.col("dst")).alias("path"), F.lit(d).alias("depth")), "frontier")
         found = found.union(frontier.where(last == target) if target else frontier)
+    if not target or half == max_depth:
+        return found
+    open_ = frontier.where(last != target).withColumn("meet", last)
+    first = F.element_at("tail", 1)
+    back = edges.sparkSession.createDataFrame([([target],)], "tail array<string>")
+    for d in range(1, max_depth - half + 1):
+        longer = back.join(step, first == F.col("dst")).where(~F.array_contains("tail", F.col("src")))
+        back = tables.write(longer.select(F.concat(F.array("src"), "tail").alias("tail")), "back")
+        rest = back.select(first.alias("meet"), F.slice("tail", 2, d).alias("rest"))
+        both = open_.join(rest, "meet").where(~F.arrays_overlap("path", "rest"))
+        found = found.union(both.select(F.concat("path", "rest").alias("path"), F.lit(half + d).alias("depth")))
     return found
 
 
+def simple_paths_recursive(edges: DataFrame, sources: DataFrame, target: str, max_depth: int) -> DataFrame:
+    """`simple_paths` to a target as one recursive query, for short paths: one plan, grown from the sources alone."""
+    return edges.sparkSession.sql(
+        """with recursive p(path, depth) as (
+             select array(node_id), 0 from {sources}
+             union all
+             select array_append(path, dst), depth + 1 from p join {edges} on src = element_at(path, -1)
+             where depth < :most and element_at(path, -1) <> :target and not array_contains(path, dst))
+           select path, depth from p where element_at(path, -1) = :target""",
+        args={"target": target, "most": max_depth}, sources=sources.select("node_id"), edges=edges.select("src", "dst"),
+    )
+
+
 def callers(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """``start, node_id, depth``: one row for every chain of 1 to ``max_depth`` edges that ends at a start; no chain uses an edge twice.
 
@@ -111,20 +138,54 @@ def callers(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return union_graph(*out)
 
 
+#: Starts that one mask holds.
+BITS = 64
+
+
+def start_bits(start: DataFrame) -> DataFrame:
+    """``start, block, bit``: distinct starts (``node_id``) dealt to blocks of up to 64, numbered within hashed groups (no global order)."""
+    own = start.select(F.col("node_id").alias("start")).distinct()
+    groups = max(1, -(-own.count() // 4096))
+    own = own.withColumn("g", F.pmod(F.xxhash64("start"), F.lit(groups)))
+    k = F.row_number().over(Window.partitionBy("g").orderBy("start")) - 1
+    return own.withColumn("k", k).select("start", (F.col("g") * (1 << 20) + F.floor(F.col("k") / BITS)).cast("long").alias("block"), (F.col("k") % BITS).cast("int").alias("bit"))
+
+
+def reach_bits(edges: DataFrame, starts: DataFrame, max_depth: int, tables: Tables) -> DataFrame:
+    """``node_id, block, mask, depth``: for each node and block of ``starts`` (`start_bits`) those that it first leads to over ``depth`` edges, as bits.
+
+    A step is one join of edges with masks and one grouped OR, with at most a row for each node and block, however many starts lead there.
+    """
+    back = tables.write(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("up")).distinct(), "edges")
+    fresh = starts.groupBy(F.col("start").alias("node_id"), "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    fresh = seen = tables.write(fresh, "masks")
+    out = [fresh.withColumn("depth", F.lit(0))]
+    for d in range(1, max_depth + 1):
+        grown = fresh.join(back, "node_id").groupBy(F.col("up").alias("node_id"), "block").agg(F.bit_or("mask").alias("grown"))
+        old = F.coalesce("mask", F.lit(0).cast("long"))
+        step = tables.write(seen.join(grown, ["node_id", "block"], "full_outer").select("node_id", "block", old.bitwiseOR(F.coalesce("grown", F.lit(0).cast("long"))).alias("mask"), F.coalesce("grown", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(old)).alias("fresh")), "masks")
+        seen, fresh = step.select("node_id", "block", "mask"), step.where("fresh <> 0").select("node_id", "block", F.col("fresh").alias("mask"))
+        out.append(fresh.withColumn("depth", F.lit(d)))
+    return union_graph(*out)
+
+
+def bit_counts(masks: DataFrame, keys: list[str], starts: DataFrame) -> DataFrame:
+    """``start, *keys, n``: how many rows of ``masks(block, mask, *keys)`` hold each start, none left out that one holds."""
+    ones = [F.sum(F.expr(f"shiftrightunsigned(mask, {i}) & 1L")).alias(f"b{i}") for i in range(BITS)]
+    sums = masks.groupBy("block", *keys).agg(*ones).select("block", *keys, F.posexplode(F.array(*[f"b{i}" for i in range(BITS)])).alias("bit", "n"))
+    return sums.where("n > 0").join(starts, ["block", "bit"]).select("start", *keys, "n")
+
+
 def reach(edges: DataFrame, start: DataFrame, max_depth: int, tables: Tables | None = None) -> DataFrame:
     """``start, node_id, depth``: every node reached against the edges' direction within ``max_depth``, at its least depth; a start reaches itself at 0.
 
-    Each step drops what an earlier step found, so the frontier never holds a node twice.
+    The rows of `reach_bits`, one a start; counts need no such rows.
     """
     tables = tables or Tables(edges.sparkSession, "reach")
-    back = tables.write(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("up")).distinct(), "edges")
-    frontier = tables.write(start.select(F.col("node_id").alias("start"), "node_id").distinct(), "frontier")
-    seen = frontier.select("start", "node_id", F.lit(0).alias("depth"))
-    for d in range(1, max_depth + 1):
-        grown = frontier.join(back, "node_id").select("start", F.col("up").alias("node_id")).distinct().join(seen, ["start", "node_id"], "left_anti")
-        frontier = tables.write(grown, "frontier")
-        seen = seen.union(frontier.withColumn("depth", F.lit(d)))
-    return seen
+    starts = tables.write(start_bits(start), "starts")
+    masks = reach_bits(edges, starts, max_depth, tables)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("bit_get", F.col("mask"), i) == 1)
+    return masks.select("node_id", "block", "depth", F.explode(bits).alias("bit")).join(starts, ["block", "bit"]).select("start", "node_id", "depth")
 
 
 def tests_to_rerun(calls: DataFrame, tests: DataFrame, changed: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -159,11 +220,13 @@ def impact(calls: DataFrame, tests: DataFrame, changed: DataFrame, max_depth: in
     kind = F.coalesce(*[F.when(F.col("edge_type") == k, F.lit(v)) for k, v in IMPACT.items()], F.when(F.col("edge_type").isNotNull(), "MEDIUM"), F.lit("NONE"))
     # NONE sorts after MEDIUM and HIGH before both.
     level = changed.groupBy("node_id").agg(F.min(kind).alias("level"))
-    found = tables.write(reach(calls, level, max_depth, tables), "reached")
-    tested = found.join(tests.select(F.col("dst").alias("node_id"), F.col("src").alias("test_id")).distinct(), "node_id")
-    tested = tested.groupBy(F.col("start").alias("node_id")).agg(F.countDistinct("test_id").alias("tests"))
-    own = found.where("depth > 0").groupBy(F.col("start").alias("node_id"))
-    depths = own.agg(F.count("*").alias("callers"), *[F.count_if(F.col("depth") == d).alias(f"d{d}") for d in range(1, max_depth + 1)])
+    starts = tables.write(start_bits(level), "starts")
+    found = tables.write(reach_bits(calls, starts, max_depth, tables), "reached")
+    # A test counts once for a start, over whichever nodes it is reached.
+    met = found.join(tests.select(F.col("dst").alias("node_id"), F.col("src").alias("test_id")).distinct(), "node_id").groupBy("test_id", "block").agg(F.bit_or("mask").alias("mask"))
+    tested = bit_counts(met, [], starts).select(F.col("start").alias("node_id"), F.col("n").alias("tests"))
+    own = bit_counts(found.where("depth > 0"), ["depth"], starts).groupBy(F.col("start").alias("node_id"))
+    depths = own.agg(F.sum("n").alias("callers"), *[F.coalesce(F.sum(F.when(F.col("depth") == d, F.col("n"))), F.lit(0)).alias(f"d{d}") for d in range(1, max_depth + 1)])
     text = F.concat_ws(",", *[F.coalesce(F.col(f"d{d}"), F.lit(0)).cast("string") for d in range(1, max_depth + 1)])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     out = level.join(depths, "node_id", "left").join(tested, "node_id", "left")
@@ -193,34 +256,43 @@ def caller_counts(edges: DataFrame, max_depth: int) -> DataFrame:
     return out
 
 
-def context(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int) -> DataFrame:
-    """One row ``context``: a node's text, then each node within ``depth`` edges, once, nearest first, then by id.
+def contexts(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """``node_id, context`` for each of ``starts(node_id)``: its text, then each node within ``depth`` edges, once, nearest first, then by id.
 
     A neighbour is told by the edge that first leads to it (the smallest kind and source of that step), with its description and the
     neighbour's summary. ``nodes(node_id, node_type, label, relative_path, semantic_summary, documentation, comments, source_code)``,
-    ``edges(src, dst, edge_type, description)``. A node that is not there gives a line that says so.
+    ``edges(src, dst, edge_type, description)``. A start that is no node gives a line that says so. All starts set out together; a
+    step is one join, and its finds are written, so that no step plans those before it.
     """
-    c = F.col
-    main = nodes.where(c("node_id") == node_id).select(T.node_text(c("node_type"), c("label"), c("relative_path"), c("semantic_summary"), c("documentation"), c("comments"), c("source_code")).alias("t"))
-    near = nodes.where(c("node_id") == node_id).select("node_id")
-    frontier, found = near, None
+    c, tables = F.col, Tables(nodes.sparkSession, "contexts")
+    asked = tables.write(starts.select(c("node_id").alias("start")).where("start is not null").distinct(), "starts")
+    own = T.node_text(c("node_type"), c("label"), c("relative_path"), c("semantic_summary"), c("documentation"), c("comments"), c("source_code"))
+    head = F.concat(F.lit("========== MAIN NODE ==========\n"), own, F.lit("\n"))
+    main = nodes.join(asked, c("node_id") == c("start"), "left_semi").groupBy(c("node_id").alias("start")).agg(F.max(head).alias("h"))
+    missing = F.concat(F.lit("Node not found: "), c("start"))
+    if depth < 1:
+        return asked.join(main, "start", "left").select(c("start").alias("node_id"), F.coalesce("h", missing).alias("context"))
+    step = tables.write(edges.select("src", "dst", "edge_type", "description"), "edges")
+    frontier = nodes.join(asked, c("node_id") == c("start"), "left_semi").select(c("node_id").alias("start"), "node_id").distinct()
+    found = None
     for d in range(1, depth + 1):
         # The first node may be met again through a cycle; others only once.
-        step = edges.join(frontier.withColumnRenamed("node_id", "src"), "src").groupBy(c("dst").alias("node_id")).agg(F.min(F.struct("edge_type", "src", "description")).alias("e"))
-        step = step if found is None else step.join(found.select("node_id"), "node_id", "left_anti")
-        frontier = step.select("node_id")
-        rows = step.select("node_id", "e.edge_type", "e.description", F.lit(d).alias("depth"))
+        new = step.join(frontier.withColumnRenamed("node_id", "src"), "src").groupBy("start", c("dst").alias("node_id")).agg(F.min(F.struct("edge_type", "src", "description")).alias("e"))
+        new = new if found is None else new.join(found.select("start", "node_id"), ["start", "node_id"], "left_anti")
+        rows = tables.write(new.select("start", "node_id", "e.edge_type", "e.description", F.lit(d).alias("depth")), "met")
+        frontier = rows.select("start", "node_id")
         found = rows if found is None else found.union(rows)
-    head = F.concat(F.lit("========== MAIN NODE ==========\n"), c("t"), F.lit("\n"))
-    missing = F.lit(f"Node not found: {node_id}")
-    if found is None:
-        return main.agg(F.coalesce(F.max(head), missing).alias("context"))
     line = lambda x, before: F.when(x.isNotNull(), F.concat(F.lit(before), x, F.lit("\n"))).otherwise("")
     told = F.concat(F.lit("\n--- "), c("edge_type"), F.lit(" --> "), c("label"), F.lit(" ---\n"), line(c("description"), "Relationship: "), line(c("semantic_summary"), ""))
-    rest = found.join(nodes.select("node_id", "label", "semantic_summary"), "node_id").select("depth", "node_id", told.alias("x"))
-    text = rest.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node_id", "x"))), lambda r: r["x"]), "").alias("x"))
-    both = main.agg(F.max(head).alias("h")).crossJoin(text)
-    return both.select(F.coalesce(F.concat(c("h"), F.lit("========== NEIGHBORS ==========\n"), c("x")), missing).alias("context"))
+    rest = found.join(nodes.select("node_id", "label", "semantic_summary"), "node_id").select("start", "depth", "node_id", told.alias("x"))
+    text = rest.groupBy("start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node_id", "x"))), lambda r: r["x"]), "").alias("x"))
+    whole = F.concat(c("h"), F.lit("========== NEIGHBORS ==========\n"), F.coalesce("x", F.lit("")))
+    return asked.join(main, "start", "left").join(text, "start", "left").select(c("start").alias("node_id"), F.coalesce(whole, missing).alias("context"))
+
+
+def context(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int) -> DataFrame:
+    """One row ``context``: `contexts` of one node."""
+    return contexts(nodes, edges, nodes.sparkSession.createDataFrame([(node_id,)], "node_id string"), depth).select("context")
 
 
 def _joined(df: DataFrame, keys: list[str], text: Column, name: str) -> DataFrame:
@@ -271,6 +343,7 @@ def project_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def loads(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What an offline import takes in: one node an id, and edges both of whose ends exist."""
+    """What an offline import takes in: one node an id (of unequal ones the first in order of their text), and edges both of whose ends exist."""
     ids = nodes.select("node_id").distinct()
-    return nodes.dropDuplicates(["node_id"]), edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
+    first = nodes.groupBy("node_id").agg(F.min_by(F.struct(*nodes.columns), F.to_json(F.struct(*nodes.columns))).alias("r")).select("r.*")
+    return first, edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")

@@ -121,6 +121,9 @@ class Matcher(Protocol):
 
     def score(self) -> Column: ...
 
+    # A matcher may also bring ``candidates(a, b, threshold, by)``, scored pairs by other means than a block, and ``leftovers`` of
+    # the same form, pairs for what no candidate has taken.
+
 
 @dataclass
 class StructuralMatcher:
@@ -149,8 +152,11 @@ def match_all(n1: DataFrame, n2: DataFrame, matchers: list[Matcher] | None = Non
         else:
             on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, *m.block)]
             scored = free1.alias("a").join(free2.alias("b"), on).select(*(F.col(f"a.{c}") for c in by), F.col("a.node_id").alias("v1_id"), F.col("b.node_id").alias("v2_id"), m.score().alias("score"))
-        won = best_mutual(scored, threshold, by).select(*two, F.col("score").alias("confidence"), F.lit(m.name).alias("matcher"))
-        out = tables.write(out.union(won), "matched")
+        won = tables.write(best_mutual(scored, threshold, by), "won")
+        if hasattr(m, "leftovers"):
+            lone = lambda df, end: df.join(won.select(*by, F.col(end).alias("node_id")), one, "left_anti")  # noqa: E731, B023
+            won = won.union(m.leftovers(lone(free1, "v1_id"), lone(free2, "v2_id"), threshold, by).select(*won.columns))
+        out = tables.write(out.union(won.select(*two, F.col("score").alias("confidence"), F.lit(m.name).alias("matcher"))), "matched")
     return out
 
 

@@ -82,14 +82,36 @@ def _(s, d):
     return G.test_contexts(*_described(s, d))
 
 
+_BY = "'Relationship: by '||x.e.k||chr(10)"
+
+
+def _told(order: str) -> str:
+    return f"string_agg(chr(10)||'--- '||x.e.k||' --> '||n.label||' ---'||chr(10)||{_BY}||'about '||n.\"name\"||chr(10), '' order by {order})"
+
+
+_HEAD = f"'========== MAIN NODE =========='||chr(10)||{_text('c', chr(39) + 'about ' + chr(39) + '||c.' + chr(34) + 'name' + chr(34))}||chr(10)||'========== NEIGHBORS =========='||chr(10)"
+
+
+def _explained(s, d):
+    nodes, edges = _described(s, d)
+    return nodes, edges.withColumn("description", F.concat(F.lit("by "), "edge_type"))
+
+
 @add("node_context", f"""with {O.CODE}, e as materialized {_EDGE_LIST}, d1 as (select dst node_id, min(struct_pack(k:=edge_type, s:=src)) e from e where src='store.C1' group by 1),
  d2 as (select dst node_id, min(struct_pack(k:=edge_type, s:=src)) e from e where src in (select node_id from d1) and dst not in (select node_id from d1) group by 1)
- select '========== MAIN NODE =========='||chr(10)||{_text('c', "'about '||c.\"name\"")}||chr(10)||'========== NEIGHBORS =========='||chr(10)||
- (select string_agg(chr(10)||'--- '||x.e.k||' --> '||n.label||' ---'||chr(10)||'about '||n."name"||chr(10), '' order by x.d, x.node_id) from (select *, 1 d from d1 union all select *, 2 from d2) x join n on n.node_id=x.node_id) context
+ select {_HEAD}||(select {_told('x.d, x.node_id')} from (select *, 1 d from d1 union all select *, 2 from d2) x join n on n.node_id=x.node_id) context
  from n c where c.node_id='store.C1'""")
 def _(s, d):
-    nodes, edges = _described(s, d)
-    return G.context(nodes, edges.withColumn("description", F.lit(None).cast("string")), "store.C1", 2)
+    return G.context(*_explained(s, d), "store.C1", 2)
+
+
+@add("node_contexts", f"""with {O.CODE}, e as materialized {_EDGE_LIST}, d1 as (select src start, dst node_id, min(struct_pack(k:=edge_type, s:=src)) e from e group by 1,2),
+ told as (select start, {_told('x.node_id')} t from d1 x join n on n.node_id=x.node_id group by 1)
+ select c.node_id, {_HEAD}||coalesce(told.t,'') context from n c left join told on told.start=c.node_id where c.node_type='TYPE'""")
+def _(s, d):
+    """A context for every type, all in one search."""
+    nodes, edges = _explained(s, d)
+    return G.contexts(nodes, edges, nodes.where("node_type = 'TYPE'"), 1)
 
 
 @add("project_summary", f"""with {O.CODE}, c as (select node_type, count(*) k from n group by 1),

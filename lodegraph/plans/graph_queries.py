@@ -96,6 +96,24 @@ add("neighbors_by_type", f"select dst node_id, p_name \"name\" from ({O.GRAPH})
 add("incoming_edges", f"select src, dst from ({O.GRAPH}) where dst='P7'")(lambda s, d: _graph(s, d).incoming("P7").select("src", "dst"))
 add("simple_paths_depth3", f"with recursive g as ({O.GRAPH}), p(path, depth) as (select ['P1'], 0 union all select list_append(path, dst), depth+1 from p join g on src=path[-1] where depth<3 and not list_contains(path, dst) and path[-1]<>'P7') select array_to_string(path,'>') path, depth::bigint depth from p where path[-1]='P7'")(lambda s, d: G.simple_paths(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), "P7", 3).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth")))
 add("simple_paths_from", f"with recursive g as ({O.GRAPH}), p(path, depth) as (select ['P1'], 0 union all select list_append(path, dst), depth+1 from p join g on src=path[-1] where depth<2 and not list_contains(path, dst)) select array_to_string(path,'>') path, depth::bigint depth from p where depth>0")(lambda s, d: G.simple_paths(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), None, 2).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth")))
+_DEEP = f"""with recursive g as materialized ({O.GRAPH}), b(node_id, left_) as (select 'P7', 0 union select src, left_+1 from b join g on dst=node_id where left_<6), away as materialized (select node_id, min(left_) left_ from b group by 1),
+ p(path, depth) as (select ['P1'], 0 union all select list_append(path, g.dst), depth+1 from p join g on src=path[-1] join away on away.node_id=g.dst and depth+1+left_<=6 where path[-1]<>'P7' and not list_contains(path, g.dst))
+ select array_to_string(path,'>') path, depth::bigint depth from p where path[-1]='P7'"""
+
+
+@add("simple_paths_depth6", _DEEP)
+def _(s, d):
+    """Every simple path of up to six edges between two parts, grown from both."""
+    p = G.simple_paths(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), "P7", 6)
+    return p.select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth"))
+
+
+@add("simple_paths_recursive", f"with recursive g as ({O.GRAPH}), p(path, depth) as (select ['P1'], 0 union all select list_append(path, dst), depth+1 from p join g on src=path[-1] where depth<3 and not list_contains(path, dst) and path[-1]<>'P7') select array_to_string(path,'>') path, depth::bigint depth from p where path[-1]='P7'")
+def _(s, d):
+    p = G.simple_paths_recursive(V.part_graph(s, d), s.createDataFrame([("P1",)], "node_id string"), "P7", 3)
+    return p.select(F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth"))
+
+
 _G = f"g as materialized ({O.GRAPH}), ge as materialized (select *, row_number() over () e from g)"
 
 
@@ -146,16 +164,28 @@ _REACHED = """w(start, node_id, depth) as (select node_id, node_id, 0 from ch un
 _LEVELS = "select node_id, min(case when edge_type in ('CHANGED_SIGNATURE','RENAMED') then 'HIGH' when edge_type is not null then 'MEDIUM' else 'NONE' end) level from ch0 group by 1"
 
 
-@add("impact_levels", f"""with recursive {_G}, ch0 as ({_CHANGES}), ch as ({_LEVELS}), {_REACHED}, t as ({_TESTED}),
+_IMPACT = f"""with recursive {_G}, ch0 as ({_CHANGES}), ch as ({_LEVELS}), {_REACHED}, t as ({_TESTED}),
  n as (select start, count(*) filter (depth>0) callers, count(*) filter (depth=1) d1, count(*) filter (depth=2) d2, count(*) filter (depth=3) d3 from r group by 1), x as (select start, count(distinct t.src) tests from r join t on t.dst=r.node_id group by 1)
- select ch.node_id, level, d1 direct, callers, d1||','||d2||','||d3 by_depth, coalesce(tests,0) tests from ch join n on n.start=ch.node_id left join x on x.start=ch.node_id""")
-def _(s, d):
+ select ch.node_id, level, d1 direct, callers, d1||','||d2||','||d3 by_depth, coalesce(tests,0) tests from ch join n on n.start=ch.node_id left join x on x.start=ch.node_id"""
+
+
+def _impact(s, d):
     from lodegraph.operators.versions import KINDS, with_edge_type
 
     refs = with_edge_type(V.refactorings(s, d, [t for t, _, _ in KINDS] + ["SOMETHING_NEW"])).select(F.col("left_id").alias("node_id"), "edge_type")
     return G.impact(V.part_graph(s, d), _tests(s, d), _modified(s, d).join(refs, "node_id", "left"))
 
 
+add("impact_levels", _IMPACT)(_impact)
+add("impact_reports", f"select node_id, 'Impact of '||node_id||': '||level||chr(10)||'Direct callers: '||direct||chr(10)||'Callers by depth: '||by_depth||chr(10)||'Tests to run: '||tests report from ({_IMPACT})")(lambda s, d: G.impact_report(_impact(s, d)))
+
+
+@add("reached_by_depth", f"with recursive {_G}, ch as ({_MODIFIED}), {_REACHED} select depth::int depth, count(*) n, count(distinct node_id) nodes, count(distinct start) starts from r group by 1")
+def _(s, d):
+    """Nodes that each modified part is reached from, as rows."""
+    return G.reach(V.part_graph(s, d), _modified(s, d), 3).groupBy("depth").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("nodes"), F.countDistinct("start").alias("starts"))
+
+
 add("core_unchanged_indegree", f"select d.node_id, count(*) callers from ({O.DIFF}) d join ({O.GRAPH}) g on g.dst=d.node_id where version_status='UNCHANGED' group by 1 having count(*)>10")(lambda s, d: V.part_graph(s, d).join(_diff(s, d).where("version_status = 'UNCHANGED'").select(F.col("node_id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("callers")).where("callers > 10"))
 
 

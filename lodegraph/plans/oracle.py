@@ -16,7 +16,7 @@ def version(year: int) -> str:
 VERSIONS = """select year(l_shipdate) yr, 'P'||l_partkey node_id, count(*) source from lineitem where year(l_shipdate) between 1995 and 1998 group by all"""
 DIFF = f"""select coalesce(a.node_id,b.node_id) node_id, a.source s1, b.source s2, case when a.node_id is null then 'ADDED' when b.node_id is null then 'DELETED' when a.source=b.source then 'UNCHANGED' else 'MODIFIED' end version_status
  from ({version(1996)}) a full outer join ({version(1997)}) b on a.node_id=b.node_id"""
-COMMITS = """select 'O'||o_orderkey commit_id, lag('O'||o_orderkey) over (order by o_orderdate,o_orderkey) parent_id, epoch(o_orderdate)::bigint commit_time, o_orderkey, row_number() over (order by o_orderdate desc,o_orderkey desc) k from orders"""
+COMMITS = """select 'C'||o_custkey repo, 'O'||o_orderkey commit_id, lag('O'||o_orderkey) over (partition by o_custkey order by o_orderdate,o_orderkey) parent_id, epoch(o_orderdate)::bigint commit_time, o_orderstatus author, o_orderpriority message, row_number() over (partition by o_custkey order by o_orderdate desc,o_orderkey desc) k from orders"""
 
 
 def version_edges(year: int) -> str:

@@ -9,6 +9,7 @@ from lodegraph.functions import exprs as X
 from lodegraph.operators import collapse as C
 from lodegraph.operators import commits as K
 from lodegraph.operators import locate as L
+from lodegraph.operators import similar as M2
 from lodegraph.operators import versions as R
 from lodegraph.plans import oracle as O
 from lodegraph.plans.adding import adder
@@ -81,21 +82,39 @@ def _(s, d):
     return _pairs(s, d).select(F.col("a.node_id").alias("v1_id"), F.col("b.node_id").alias("v2_id"), F.round(R.structural_score(), 6).alias("score"))
 
 
-_LEV = "levenshtein(a.p_name,b.p_name)/greatest(length(a.p_name),length(b.p_name))::double"
-_SIMILAR = f"round(0.3*(1-{_LEV})+0.2*(a.p_type=b.p_type)::int+0.3*(1-abs(a.p_size-b.p_size)/greatest(a.p_size,b.p_size)::double)+0.2*(1-abs(a.p_retailprice-b.p_retailprice)/greatest(a.p_retailprice,b.p_retailprice)),6)::double"
+def _order_methods(s, d):
+    """Orders as methods, of even and odd keys: their parts are called, suppliers accessed; sizes come from their lines."""
+    rows = V.table(s, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_linenumber").cast("int").alias("lines_of_code"), F.count("*").cast("int").alias("complexity"), F.collect_set(V.pid("P", "l_partkey")).alias("called_methods"),
+        F.collect_set(V.pid("S", "l_suppkey")).alias("accessed_fields"), F.collect_set("l_returnflag").alias("local_variables"),
+    )
+    own = rows.withColumn("node_id", V.pid("O", "l_orderkey"))
+    return own.where("l_orderkey % 2 = 0").drop("l_orderkey"), own.where("l_orderkey % 2 = 1").drop("l_orderkey")
 
 
-@add("weighted_similarity", f"select * from (select 'P'||a.p_partkey a, 'P'||b.p_partkey b, {_SIMILAR} score from part a join part b on a.p_name=b.p_name and a.p_brand=b.p_brand and a.p_partkey<b.p_partkey) where score>0.8")
+_BOTH = lambda x: f"len(list_intersect(a.{x},b.{x}))/len(list_distinct(list_concat(a.{x},b.{x})))::double"
+_NEARER = lambda x, w: f"{w}*least(a.{x},b.{x})/greatest(a.{x},b.{x})::double"
+
+
+@add("structural_candidates", f"""with m as materialized (select l_orderkey k, sum(l_linenumber) loc, count(*) cx, list(distinct l_partkey) c, list(distinct l_suppkey) f, count(distinct l_returnflag) v from lineitem group by 1),
+ t as (select k, 'c'||unnest(c) t from m union all select k, 'f'||unnest(f) from m), p as materialized (select distinct a.k ak, b.k bk from t a join t b using (t) where a.k%2=0 and b.k%2=1)
+ select * from (select 'O'||ak v1_id, 'O'||bk v2_id, round({_NEARER('loc', 0.2)}+{_NEARER('cx', 0.2)}+0.3*{_BOTH('c')}+0.2*{_BOTH('f')}+{_NEARER('v', 0.1)},6)::double score from p join m a on a.k=ak join m b on b.k=bk) where score>=0.5""")
 def _(s, d):
-    """The design's weights over name, signature, code and calls, above its threshold, within blocks of equal name and brand."""
-    p = V.table(s, d, "part")
-    a, b = p.alias("a"), p.alias("b")
-    c = F.col
-    pairs = a.join(b, (c("a.p_name") == c("b.p_name")) & (c("a.p_brand") == c("b.p_brand")) & (c("a.p_partkey") < c("b.p_partkey")))
-    name = 1 - F.levenshtein("a.p_name", "b.p_name") / F.greatest(F.length("a.p_name"), F.length("b.p_name"))
-    like = lambda x: 1 - F.abs(c(f"a.{x}") - c(f"b.{x}")) / F.greatest(f"a.{x}", f"b.{x}")
-    score = F.lit(0.3) * name + F.lit(0.2) * (c("a.p_type") == c("b.p_type")).cast("int") + F.lit(0.3) * like("p_size") + F.lit(0.2) * like("p_retailprice")
-    return pairs.select(F.concat(F.lit("P"), c("a.p_partkey").cast("string")).alias("a"), F.concat(F.lit("P"), c("b.p_partkey").cast("string")).alias("b"), F.round(score, 6).alias("score")).where("score > 0.8")
+    """Structural matches of methods whatever their names: every pair that shares a token and reaches the threshold."""
+    return M2.structural_candidates(*_order_methods(s, d))
+
+
+_SOLD = "select l_partkey, list(distinct l_suppkey) calls, list(distinct l_linenumber||l_returnflag) code from lineitem group by 1"
+_ALIKE = lambda x: f"case when len(list_distinct(list_concat(coalesce(a.{x},[]),coalesce(b.{x},[]))))=0 then 1.0 else len(list_intersect(coalesce(a.{x},[]),coalesce(b.{x},[])))/len(list_distinct(list_concat(coalesce(a.{x},[]),coalesce(b.{x},[]))))::double end"
+
+
+@add("weighted_similarity", f"""with m as materialized (select p_partkey k, p_name nm, p_brand sg, code, calls from part left join ({_SOLD}) on l_partkey=p_partkey)
+ select * from (select 'P'||a.k a, 'P'||b.k b, round(0.3*(1-levenshtein(a.nm,b.nm)/greatest(length(a.nm),length(b.nm))::double)+0.2+0.3*{_ALIKE('code')}+0.2*{_ALIKE('calls')},6)::double score from m a join m b on a.sg=b.sg and a.k%2=0 and b.k%2=1) where score>0.8""")
+def _(s, d):
+    """The design's weights over name, signature, code and calls, of all pairs of even and odd parts that exceed 0.8."""
+    sold = V.table(s, d, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("calls"), F.collect_set(F.concat(F.col("l_linenumber").cast("string"), F.col("l_returnflag"))).alias("code"))
+    p = V.table(s, d, "part").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", V.pid("P", "p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("signature"), "code", "calls")
+    return M2.similar_methods(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), 0.8).select(F.col("v1_id").alias("a"), F.col("v2_id").alias("b"), "score")
 
 
 def _elements(s, d):
@@ -159,25 +178,26 @@ def _(s, d):
 
 add("self_loop_split", f"select node_id, version_status, case when version_status='UNCHANGED' and node_id in (select src from ({_REF}) where src=dst) then 'MODIFIED' else version_status end final_status from ({O.DIFF})")(lambda s, d: _diff(s, d).join(R.refactoring_edges(_refs(s, d)).where("src = dst").select(F.col("src").alias("node_id"), F.lit(True).alias("split")).distinct(), "node_id", "left").select("node_id", "version_status", F.when((F.col("version_status") == "UNCHANGED") & F.col("split"), "MODIFIED").otherwise(F.col("version_status")).alias("final_status")))
 
-_RECENT = f"select commit_id, parent_id, commit_time, k from ({O.COMMITS}) where k<=51"
+_RECENT = f"select repo, commit_id, parent_id, commit_time, k, least(51, count(*) over (partition by repo)) top from ({O.COMMITS}) where k<=51"
 
 
 def _commits(s, d):
-    """Orders as commits, each the child of the one before it by date and key."""
-    w = Window.orderBy("o_orderdate", "o_orderkey")
-    own = V.table(s, d, "orders").select("o_orderdate", "o_orderkey", V.pid("O", "o_orderkey").alias("commit_id"), F.col("o_orderstatus").alias("author"), F.col("o_orderpriority").alias("message"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("commit_time"))
-    return own.withColumn("parent_id", F.lag("commit_id").over(w)).drop("o_orderdate", "o_orderkey")
+    """Orders as commits: a repository a customer, each commit the child of the one before it by date and key."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    own = V.table(s, d, "orders").select("o_orderdate", "o_orderkey", "o_custkey", V.pid("O", "o_orderkey").alias("commit_id"), F.col("o_orderstatus").alias("author"), F.col("o_orderpriority").alias("message"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("commit_time"))
+    return own.withColumn("parent_id", F.lag("commit_id").over(w)).drop("o_orderdate", "o_orderkey", "o_custkey")
 
 
 def _timeline(s, d):
+    """The history of every repository, from its newest commit on."""
     c = _commits(s, d)
-    head = V.table(s, d, "orders").agg(F.max_by(V.pid("O", "o_orderkey"), F.struct("o_orderdate", "o_orderkey")).alias("commit_id")).select(F.lit("t").alias("timeline"), "commit_id")
+    head = V.table(s, d, "orders").groupBy(V.pid("C", "o_custkey").alias("timeline")).agg(F.max_by(V.pid("O", "o_orderkey"), F.struct("o_orderdate", "o_orderkey")).alias("commit_id"))
     return K.timeline(K.linear_history(c, head, 50), c)
 
 
-add("linear_history", f"select commit_id, (k-1)::int depth, commit_time, left(commit_id,7) short_id from ({_RECENT})")(lambda s, d: _timeline(s, d).select("commit_id", "depth", "commit_time", "short_id"))
-add("timeline_labels", f"select commit_id, case when k=1 then 'V0' else 'V-'||(k-1) end label, (51-k)::int ord from ({_RECENT})")(lambda s, d: _timeline(s, d).select("commit_id", "label", "ord"))
-add("timeline_pairs", f"select lead(commit_id) over (order by k) older, commit_id newer, (k-1)::int pair_ord from ({_RECENT}) qualify older is not null")(lambda s, d: K.version_pairs(_timeline(s, d)).select("older", "newer", "pair_ord"))
+add("linear_history", f"select repo timeline, commit_id, (k-1)::int depth, commit_time, left(commit_id,7) short_id from ({_RECENT})")(lambda s, d: _timeline(s, d).select("timeline", "commit_id", "depth", "commit_time", "short_id"))
+add("timeline_labels", f"select repo timeline, commit_id, case when k=1 then 'V0' else 'V-'||(k-1) end label, (top-k)::int ord from ({_RECENT})")(lambda s, d: _timeline(s, d).select("timeline", "commit_id", "label", "ord"))
+add("timeline_pairs", f"select repo timeline, lead(commit_id) over (partition by repo order by k) older, commit_id newer, (k-1)::int pair_ord from ({_RECENT}) qualify older is not null")(lambda s, d: K.version_pairs(_timeline(s, d)).select("timeline", "older", "newer", "pair_ord"))
 add("all_commits", "select 'O'||o_orderkey commit_id from orders")(lambda s, d: K.all_commits(_commits(s, d)))
 _JAVA = "case when l_returnflag='A' then '/dev/null' when l_partkey%3=0 then 'F'||l_partkey||'.txt' else 'F'||l_partkey||'.java' end"
 
@@ -191,13 +211,13 @@ def _file_hunks(s, d):
     return V.table(s, d, "lineitem").select(V.pid("O", "l_orderkey").alias("commit_id"), F.concat(V.pid("F", "l_partkey"), F.lit(".java")).alias("old_path"), new.alias("new_path"), F.lit(None).cast("string").alias("type"), *ends)
 
 
-_ROOT = "(select 'O'||o_orderkey from orders order by o_orderdate, o_orderkey limit 1)"
+_ROOT = f"(select commit_id from ({O.COMMITS}) where parent_id is null)"
 _FILES = f"select 'O'||l_orderkey commit_id, 'F'||l_partkey||'.java' old_path, {_JAVA} new_path, l_linenumber n from lineitem where {_JAVA} like '%.java' and 'O'||l_orderkey not in {_ROOT}"
 add("file_diffs", f"select commit_id, old_path, new_path, count(*) n_hunks from ({_FILES}) group by all")(lambda s, d: K.file_diffs(_file_hunks(s, d), _commits(s, d)))
 add("edit_list", f"select commit_id, new_path, n::int line, case when n%3=0 then 'INSERT' when n%2=0 then 'DELETE' else 'REPLACE' end type from ({_FILES}) where n%3>0 or n%2>0")(
     lambda s, d: K.edits(_file_hunks(s, d), _commits(s, d)).select("commit_id", "new_path", (F.col("begin_a") + 1).alias("line"), "type")
 )
-add("commit_stamp", f"select n.node_id, c.commit_id, c.commit_time from (select 'P'||l_partkey node_id, max('O'||l_orderkey) commit_id from lineitem group by 1) n left join ({O.COMMITS}) c on c.commit_id=n.commit_id")(lambda s, d: V.table(s, d, "lineitem").groupBy(V.pid("P", "l_partkey").alias("node_id")).agg(F.max(V.pid("O", "l_orderkey")).alias("commit_id")).join(V.table(s, d, "orders").select(V.pid("O", "o_orderkey").alias("commit_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("commit_time")), "commit_id", "left").select("node_id", "commit_id", "commit_time"))
+add("commit_stamp", f"select n.node_id, c.commit_id, c.parent_id, left(c.commit_id,7) short_id, c.author, c.message, c.commit_time from (select 'P'||l_partkey node_id, max('O'||l_orderkey) commit_id from lineitem group by 1) n left join ({O.COMMITS}) c on c.commit_id=n.commit_id")(lambda s, d: (lambda ids: K.commit_info(ids, _commits(s, d)).select("node_id", "commit_id", "parent_id", "short_id", "author", "message", "commit_time"))(V.table(s, d, "lineitem").groupBy(V.pid("P", "l_partkey").alias("node_id")).agg(F.max(V.pid("O", "l_orderkey")).alias("commit_id"))))
 add("time_window_filter", "select 'O'||o_orderkey commit_id from orders where floor((epoch((select max(o_orderdate) from orders))-epoch(o_orderdate))/86400) <= 180")(lambda s, d: V.table(s, d, "orders").withColumn("t", F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).crossJoin(F.broadcast(V.table(s, d, "orders").agg(F.unix_timestamp(F.max("o_orderdate").cast("timestamp")).alias("ref")))).where(~X.outside_window(F.col("t"), F.col("ref"), 180)).select(V.pid("O", "o_orderkey").alias("commit_id")))
 _STEPS = f"select node_id, yr, yr-1998 ord, case when prev is null then 'ADDED' when prev=source then 'UNCHANGED' else 'MODIFIED' end status from (select *, lag(source) over (partition by node_id order by yr) prev from ({O.VERSIONS}))"
 
