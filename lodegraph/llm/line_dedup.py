@@ -187,9 +187,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     scratch.free()
 
     once = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("k"), F.count("*").alias("m"))
-    repeats = scratch.write(once.join(label, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("c"), "k", "m"), "distinct-lines")
-    # The smallest line of a class has no row in ``label``, so classes are counted over all distinct lines.
-    keep = repeats.groupBy("c").agg(F.min("k").alias("k"), F.sum("m").alias("m")).where("m > 1").select("c", F.col("k.doc_id").alias("keep_doc"), F.col("k.line").alias("keep_line"))
+    # The smallest line of a class has no row in ``label``. Lines that occur once and are like no other, most of them, end here.
+    named = label.select("node", "component").union(label.select(F.col("component").alias("node"), "component").distinct())
+    found = once.join(named, F.col("h") == F.col("node"), "left").where("m > 1 or component is not null")
+    repeats = scratch.write(found.select("h", F.coalesce("component", "h").alias("c"), "k", "m"), "repeated-lines")
+    keep = repeats.groupBy("c").agg(F.min("k").alias("k")).select("c", F.col("k.doc_id").alias("keep_doc"), F.col("k.line").alias("keep_line"))
     gone = repeats.join(keep, "c").where("m > 1 or k.doc_id <> keep_doc or k.line <> keep_line").select("h", F.col("c").alias("class_id"), "keep_doc", "keep_line")
     out = lines.join(gone, "h").where("doc_id <> keep_doc or line <> keep_line")
     return out.select("doc_id", "line", "chars", "class_id", "keep_doc", "keep_line")
