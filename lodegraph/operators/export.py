@@ -172,10 +172,34 @@ def resolve_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 EVOLUTION_TYPES = ("RENAMED", "MOVED", "EXTRACTED", "INLINED", "CHANGED_SIGNATURE", "REFACTORED", "UNCHANGED", "SIMILAR_TO")
 
 
-def statements(resolved: DataFrame) -> DataFrame:
-    """One text a resolved edge that creates it between the nodes of its keys."""
+def property_text(value: Column, kind: str) -> Column:
+    """A value of a property as statements write it: numbers and booleans bare, lists in brackets, texts quoted; null for null."""
+    if kind.startswith("array<"):
+        inner = kind[6:-1]
+        return F.concat(F.lit("["), F.array_join(F.transform(F.filter(value, lambda x: x.isNotNull()), lambda x: property_text(x, inner)), ", "), F.lit("]"))
+    if kind in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return value.cast("string")
+    return F.when(value.isNotNull(), F.concat(F.lit("'"), X.query_text(value.cast("string")), F.lit("'")))
+
+
+def properties(df: DataFrame, columns: list[str]) -> Column:
+    """``{a: 1, b: 'x'}`` of the columns that have a value in a row, in the order given."""
+    kinds = dict(df.dtypes)
+    each = [F.concat(F.lit(f"{c}: "), property_text(F.col(c), kinds[c])) for c in columns]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *each), F.lit("}"))
+
+
+def node_statements(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """``node_id, statement`` that creates each node with its key and the properties ``columns`` that it has."""
+    own = nodes.withColumn("key", endpoint_key(nodes.columns))
+    return own.select("node_id", F.concat(F.lit("CREATE (n:"), F.col("node_type"), F.lit(" "), properties(own, ["key", *columns]), F.lit(")")).alias("statement"))
+
+
+def statements(resolved: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One text a resolved edge that creates it between the nodes of its keys, with the properties ``columns`` that it has."""
     node = lambda e: F.concat(F.lit(f"({e}:"), f"{e}_type", F.lit(" {key: '"), X.query_text(F.col(f"{e}_key")), F.lit("'})"))
-    return resolved.select(F.concat(F.lit("MATCH "), node("src"), F.lit(", "), node("dst"), F.lit(" CREATE (src)-[:"), "edge_type", F.lit("]->(dst)")).alias("statement"))
+    own = F.concat(F.lit(" "), properties(resolved, columns)) if columns else F.lit("")
+    return resolved.select(F.concat(F.lit("MATCH "), node("src"), F.lit(", "), node("dst"), F.lit(" CREATE (src)-[:"), F.col("edge_type"), own, F.lit("]->(dst)")).alias("statement"))
 
 
 def write_tables(nodes: DataFrame, edges: DataFrame, path: str, reset: bool = True) -> None:
@@ -185,6 +209,25 @@ def write_tables(nodes: DataFrame, edges: DataFrame, path: str, reset: bool = Tr
     edges.repartition("edge_type", "src").sortWithinPartitions("edge_type", "src").write.mode(mode).partitionBy("edge_type").parquet(f"{path}/edges")
 
 
+def save_bucketed(nodes: DataFrame, edges: DataFrame, name: str, buckets: int = 64, path: str | None = None) -> None:
+    """Tables ``<name>_nodes`` bucketed by node id, and ``<name>_out``, ``<name>_in``: edges bucketed by their source and by their target.
+
+    Joins of edges with the nodes at either end need no exchange, and the rows of one id are read from one bucket. ``path``: where the
+    files go, if not to the warehouse.
+    """
+    for df, part, key in ((nodes, "nodes", "node_id"), (edges, "out", "src"), (edges, "in", "dst")):
+        # Dealt like the buckets, so that a bucket is one file.
+        w = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+        (w.option("path", f"{path}/{part}") if path else w).saveAsTable(f"{name}_{part}")
+
+
+def bucketed_neighbors(spark: SparkSession, name: str, incoming: bool = False) -> DataFrame:
+    """Every edge with the node at its source (at its target for ``incoming``), from `save_bucketed` tables, each bucket joined where it lies."""
+    end, part = ("dst", "in") if incoming else ("src", "out")
+    nodes = spark.table(f"{name}_nodes").hint("merge")
+    return spark.table(f"{name}_{part}").join(nodes, F.col(end) == F.col("node_id"))
+
+
 def save_progress(progress: DataFrame, path: str) -> None:
     """Progress records as JSON, a folder a project."""
     progress.write.mode("overwrite").partitionBy("project_name").json(path)

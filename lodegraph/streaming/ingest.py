@@ -7,11 +7,13 @@ Parquet, not to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -66,24 +68,25 @@ def windows(stream: DataFrame, length: str, slide: str | None = None, late: str
 def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, parts: int = 16) -> None:
     """Keep the latest row of each key under ``path``, in ``parts`` folders by the key's hash.
 
-    A batch rewrites the folders its keys fall into and no others, as a new generation ``part=i/gen=n`` beside the last one, which
-    goes once the new one stands. A repeated batch leaves the same table. `latest` reads it.
+    A batch rewrites the folders its keys fall into and no others, in one write, as a new generation ``part=i/gen=n`` beside the last
+    one, which goes with the next but one. A repeated batch leaves the same table. `latest` reads it.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
         own = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-        touched = sorted(r["part"] for r in own.select("part").distinct().collect())  # at most ``parts`` numbers
-        known = _generations(spark, path)
+        touched = [r["part"] for r in own.select("part").distinct().collect()]  # at most ``parts`` numbers
+        known = {i: [g for g in v if g < epoch] for i, v in _generations(spark, path).items()}
+        last = [f"{path}/part={i}/gen={max(known[i])}" for i in touched if known.get(i)]
+        rows = own if not last else own.unionByName(spark.read.schema(batch.schema).parquet(*last).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
+        kept = rows.groupBy("part", key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("part", "r.*")
+        staged = f"{path}/_staged-{epoch}"
+        kept.repartition(F.col("part")).write.mode("overwrite").partitionBy("part").parquet(staged)
         for i in touched:
-            rows = own.where(F.col("part") == i).drop("part")
-            before = [g for g in known.get(i, []) if g < epoch]
-            if before:
-                rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/part={i}/gen={max(before)}"))
-            last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-            last.write.mode("overwrite").parquet(f"{path}/part={i}/gen={epoch}")
-            for g in before[:-1]:
+            _replace(spark, f"{staged}/part={i}", f"{path}/part={i}/gen={epoch}")
+            for g in known.get(i, [])[:-1]:
                 _delete(spark, f"{path}/part={i}/gen={g}")
+        _delete(spark, staged)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -98,6 +101,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     store.delete(p, True)
 
 
+def _replace(spark: SparkSession, old: str, new: str) -> None:
+    """Move a folder to where readers find it, marked as finished."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    p, store = _fs(spark, new)
+    store.delete(p, True)
+    store.mkdirs(p.getParent())
+    store.rename(place(old), p)
+    store.create(place(f"{new}/_SUCCESS")).close()
+
+
 def _generations(spark: SparkSession, path: str) -> dict[int, list[int]]:
     """Finished generations of each part, oldest first."""
     p, store = _fs(spark, f"{path}/part=*/gen=*/_SUCCESS")
@@ -128,3 +141,61 @@ def tracked(stream: DataFrame) -> DataFrame:
         state.update((bool(known or changed.any()),))
 
     return stream.groupBy("base_id").applyInPandasWithState(step, "base_id string, seq long, tracked boolean", "known boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started under it keep their state in RocksDB, which state with several variables needs; the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Rows of `tracked_versions`, and of the state that it may begin with.
+TRACKED = "base_id string, seq long, tracked boolean, versions int"
+STATE = "base_id string, version string, status string"
+
+
+def tracked_versions(stream: DataFrame, initial: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """For rows ``base_id, seq, version, status``: whether the node was changed before, and in how many versions it has been seen by then.
+
+    The state of a node is a flag and a map of its versions to their last status. ``initial(base_id, version, status)``, such as the
+    versions of a batch timeline, is what a new stream begins with; a stream that goes on from its checkpoint has its own. ``ttl_ms``:
+    a node's state goes when it has not been written for so long (by the clock). Rows of one node are taken in order of ``seq`` within
+    a batch; batches come in order of arrival. Start it under `rocksdb_state`.
+    """
+
+    class Tracker(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.changed = handle.getValueState("changed", "changed boolean", ttl_ms)
+            self.versions = handle.getMapState("versions", "version string", "status string", ttl_ms)
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            for version, status in zip(initialState["version"], initialState["status"], strict=True):
+                self.versions.updateValue((version,), (status,))
+                if status != "UNCHANGED":
+                    self.changed.update((True,))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+            changed, flags, seen = self.changed.exists(), [], []
+            known = {v[0] for v in self.versions.keys()}
+            for version, status in zip(batch["version"], batch["status"], strict=True):
+                flags.append(changed)
+                known.add(version)
+                seen.append(len(known))
+                self.versions.updateValue((version,), (status,))
+                changed = changed or status != "UNCHANGED"
+            if changed:
+                self.changed.update((True,))
+            yield pd.DataFrame({"base_id": key[0], "seq": batch["seq"].to_numpy(), "tracked": flags, "versions": pd.Series(seen, dtype="int32").to_numpy()})
+
+        def close(self) -> None:
+            pass
+
+    begin = initial.select("base_id", "version", "status").groupBy("base_id") if initial is not None else None
+    return stream.groupBy("base_id").transformWithStateInPandas(Tracker(), TRACKED, "Append", "ProcessingTime" if ttl_ms else "None", begin)
