@@ -42,7 +42,7 @@ def stamped(nodes: DataFrame, versions: DataFrame) -> DataFrame:
     """Commit id, short id, message, author and time of the version each snapshot is from; null for other nodes."""
     meta = versions.select(F.col("label").alias("_label"), *[F.col(c).alias(n) for c, n in (("commit_id", "commit_id"), ("short_id", "commit_short_id"), ("message", "commit_message"), ("author", "commit_author"), ("commit_time", "commit_time"))])
     snapshot = F.when(F.size("versions") == 1, F.col("first_version"))
-    return nodes.join(F.broadcast(meta), snapshot == F.col("_label"), "left").drop("_label")
+    return nodes.join(meta, snapshot == F.col("_label"), "left").drop("_label")
 
 
 def resolve(refactorings: DataFrame, nodes: DataFrame, side: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -206,14 +206,11 @@ def statistics(merged: Evolution) -> DataFrame:
 
 
 def labelled(rows: DataFrame, columns: list[str], versions: DataFrame) -> DataFrame:
-    """``rows`` with commit ids in ``columns`` replaced by the labels of ``versions(label, commit_id)``; what is no known commit id stays.
-
-    ``versions`` is a timeline, a row a version: it is broadcast.
-    """
+    """``rows`` with commit ids in ``columns`` replaced by the labels of ``versions(label, commit_id)``; what is no known commit id stays."""
     names = versions.where("commit_id is not null").groupBy("commit_id").agg(F.min("label").alias("_label"))
     for c in columns:
         own = names.withColumnRenamed("commit_id", "_commit")
-        rows = rows.join(F.broadcast(own), F.col(c) == F.col("_commit"), "left").withColumn(c, F.coalesce("_label", c)).drop("_label", "_commit")
+        rows = rows.join(own, F.col(c) == F.col("_commit"), "left").withColumn(c, F.coalesce("_label", c)).drop("_label", "_commit")
     return rows
 
 

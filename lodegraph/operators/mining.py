@@ -153,3 +153,23 @@ def revert_plan(changes: DataFrame) -> DataFrame:
 def without_methods(methods: DataFrame, removed: DataFrame) -> DataFrame:
     """Methods whose ``signature`` is not exactly one of ``removed(signature)``."""
     return methods.join(removed.select("signature").distinct(), "signature", "left_anti")
+
+
+#: Parts of annotation names that mark a test class.
+TEST_ANNOTATIONS = ("RunWith", "ExtendWith", "SpringBootTest", "WebMvcTest", "DataJpaTest", "Test")
+
+
+def test_classes(types: DataFrame, methods: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
+    """``node_id, reason`` of test classes among ``types(node_id, name, annotations, path)``: by name, annotation, or test methods in a test folder.
+
+    ``methods(declaring_type, annotations)``: a test method has an annotation with "Test" in its name. A type's methods are its own, and those
+    of its ancestors in ``inherited(node_id, ancestor)``. The first rule that holds is the reason; null names, paths and lists match nothing.
+    """
+    marked = lambda words: F.coalesce(F.exists("annotations", lambda a: F.greatest(*[F.contains(a, F.lit(w)) for w in (*words, words[0])])), F.lit(False))
+    test = methods.where(marked(["Test"])).select(F.col("declaring_type").alias("node_id")).distinct()
+    if inherited is not None:
+        test = test.union(inherited.join(test.toDF("ancestor"), "ancestor", "left_semi").select("node_id")).distinct()
+    own = types.join(test.withColumn("tested", F.lit(True)), "node_id", "left")
+    there = F.contains("path", F.lit("src/test/")) | F.contains("path", F.lit("src\\test\\"))
+    reason = F.when(X.is_test_class(F.col("name")), "name").when(marked(TEST_ANNOTATIONS), "annotation").when(there & F.col("tested"), "path")
+    return own.select("node_id", reason.alias("reason")).where("reason is not null")

@@ -65,7 +65,6 @@ def _(s, d):
 
 
 add("revert_plan", "select l_shipmode status, action, count(*) n from (select case when l_returnflag='N' then 'A' when l_returnflag='A' then 'M' else 'D' end l_shipmode, case when l_returnflag='N' then 'delete' else 'restore' end action from lineitem) group by all")(lambda s, d: M.revert_plan(V.table(s, d, "lineitem").select(F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "A", "M").otherwise("D").alias("status"))).groupBy("status", "action").agg(F.count("*").alias("n")))
-add("remove_by_signature", "select p_partkey from part where p_brand||'.'||p_name||'('||p_size||')' not in (select p_brand||'.'||p_name||'('||p_size||')' from part where p_size%3=0)")(lambda s, d: (lambda p: p.join(p.where("p_size % 3 = 0").select("sig").distinct(), "sig", "left_anti").select("p_partkey"))(V.table(s, d, "part").withColumn("sig", X.signature(F.col("p_brand"), F.lit(""), F.col("p_name"), F.array(F.col("p_size").cast("string"))))))
 add("property_profile", "select k \"key\", count(*) n from (select unnest(['brand','size','type']) k, unnest([p_brand, case when p_size>10 then p_size::varchar else '' end, p_type]) v from part) where trim(v)<>'' group by 1")(lambda s, d: E.property_profile(V.table(s, d, "part").select(F.lit("METHOD").alias("node_type"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.when(F.col("p_size") > 10, F.col("p_size").cast("string")).otherwise(""), F.lit("type"), F.col("p_type")).alias("props"))).select("key", "n"))
 _TEXT = "documents"
 

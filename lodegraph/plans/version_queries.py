@@ -142,7 +142,17 @@ def _nearest(s, d):
 
 add("hunk_nearest_element", _NEAR)(lambda s, d: _nearest(s, d))
 add("changed_nodes", f"select distinct side, node_id from ({_NEAR})")(lambda s, d: _nearest(s, d).select("side", "node_id").distinct())
-add("diff_edges_code_diff", f"select distinct node_id||'@V1' src, node_id||'@V2' dst, 'REFACTORED' edge_type, 0.7::double confidence from ({_NEAR}) where node_id not in (select 'E'||l_orderkey||'_'||l_partkey from lineitem where l_tax>=0.07)")(lambda s, d: _nearest(s, d).select("node_id").distinct().join(V.table(s, d, "lineitem").where("l_tax >= 0.07").select(F.concat(F.lit("E"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_partkey").cast("string")).alias("node_id")), "node_id", "left_anti").select(X.versioned_id(F.col("node_id"), F.lit("V1")).alias("src"), X.versioned_id(F.col("node_id"), F.lit("V2")).alias("dst"), F.lit("REFACTORED").alias("edge_type"), F.lit(0.7).alias("confidence")))
+_SEEN = "select distinct 'E'||l_orderkey||'_'||l_partkey e from lineitem where l_linenumber=l_quantity::int%7"
+add("diff_edges_code_diff", f"select distinct node_id||'@V1' src, node_id||'@V2' dst, 'REFACTORED' edge_type, 0.7::double confidence from ({_NEAR}) where node_id not in ({_SEEN})")(lambda s, d: _diff_edges(s, d))
+
+
+def _diff_edges(s, d):
+    """Edges of changed elements that no refactoring has given one already."""
+    name = F.concat(F.lit("E"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"))
+    edges = V.table(s, d, "lineitem").select(name.alias("node_id"), (F.col("l_linenumber") == F.col("l_quantity").cast("int") % 7).alias("refactored")).where("refactored").select("node_id").distinct()
+    pairs = _nearest(s, d).select("node_id").distinct().join(edges, "node_id", "left_anti")
+    return pairs.select(X.versioned_id(F.col("node_id"), F.lit("V1")).alias("src"), X.versioned_id(F.col("node_id"), F.lit("V2")).alias("dst"), F.lit("REFACTORED").alias("edge_type"), F.lit(0.7).alias("confidence"))
+
 
 _TYPES = [t for t, _, _ in R.KINDS] + ["SOMETHING_NEW"]
 
@@ -228,7 +238,6 @@ def _steps(s, d):
 
 
 add("timeline_rollup", f"select node_id, string_agg(label, ',' order by ord) versions, arg_max(status, p*10-seq) status, arg_min(label,ord) first_version, arg_max(label,ord) last_version from (select node_id, ord, -ord seq, case when ord=0 then 'V0' else 'V'||ord end label, status, case status when 'ADDED' then 3 when 'DELETED' then 3 when 'MODIFIED' then 2 else 1 end p from ({_STEPS})) group by node_id")(lambda s, d: R.roll_up(_steps(s, d).select("node_id", "ord", (-F.col("ord")).alias("seq"), F.when(F.col("ord") == 0, "V0").otherwise(F.concat(F.lit("V"), F.col("ord").cast("string"))).alias("label"), "status")).withColumn("versions", F.array_join("versions", ",")))
-add("tracked_running_flag", f"select node_id, yr::int yr, coalesce(max((status<>'UNCHANGED')::int) over (partition by node_id order by yr desc rows between unbounded preceding and 1 preceding),0)=1 tracked from ({_STEPS})")(lambda s, d: _steps(s, d).select("node_id", "yr", F.coalesce(F.max((F.col("status") != "UNCHANGED").cast("int")).over(Window.partitionBy("node_id").orderBy(F.desc("yr")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x")).select("node_id", "yr", (F.col("x") == 1).alias("tracked")))
 add("timeline_edge_dedup", "select src, dst, yr::int yr from (select 'S'||l_suppkey src, 'P'||l_partkey dst, max(year(l_shipdate)) yr from lineitem where year(l_shipdate) between 1995 and 1998 group by all)")(lambda s, d: V.table(s, d, "lineitem").where(F.year("l_shipdate").between(1995, 1998)).groupBy(V.pid("S", "l_suppkey").alias("src"), V.pid("P", "l_partkey").alias("dst")).agg(F.max(F.year("l_shipdate")).alias("yr")))
 
 
