@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL, PIVOTS, HOT, FLUSH = 8, 6, 64, 2_000_000
+SMALL, PIVOTS, HOT, FLUSH = 8, 4, 64, 2_000_000
 #: Input bytes for which one slot of each band is enough (about 70 MB of entries a slot).
 BYTES_PER_SLOT = 1 << 30
 
