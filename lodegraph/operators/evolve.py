@@ -205,6 +205,16 @@ def statistics(merged: Evolution) -> DataFrame:
     return known.join(n.union(e), ["what", "kind"], "left").select("what", "kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counters(merged: Evolution) -> DataFrame:
+    """``what, kind, n`` of a merge: nodes by status, structural edges by type, those of calls also by the version they came from, evolution edges by type."""
+    c = F.col
+    nodes = merged.nodes.groupBy(F.lit("node").alias("what"), c("version_status").alias("kind")).agg(F.count("*").alias("n"))
+    edges = merged.edges.groupBy(F.lit("edge").alias("what"), c("edge_type").alias("kind")).agg(F.count("*").alias("n"))
+    calls = merged.edges.where("edge_type = 'CALLS'").groupBy(F.lit("call").alias("what"), F.concat(F.lit("V"), c("side").cast("string")).alias("kind")).agg(F.count("*").alias("n"))
+    evolution = merged.evolution.groupBy(F.lit("evolution").alias("what"), c("edge_type").alias("kind")).agg(F.count("*").alias("n"))
+    return nodes.union(edges).union(calls).union(evolution)
+
+
 def labelled(rows: DataFrame, columns: list[str], versions: DataFrame) -> DataFrame:
     """``rows`` with commit ids in ``columns`` replaced by the labels of ``versions(label, commit_id)``; what is no known commit id stays."""
     names = versions.where("commit_id is not null").groupBy("commit_id").agg(F.min("label").alias("_label"))

@@ -125,6 +125,13 @@ def _(s, d):
     return V2.statistics(_merged(s, d))
 
 
+@add("merge_counters", _TWO + """, u as (select src, et, dst, min({'q': q, 'side': side, 'line': line}) r from es group by 1,2,3)
+ select 'node' what, s kind, count(distinct nid) n from rows_ group by 2 union all select 'edge', et, count(*) from u group by 2 union all select 'call', 'V'||r.side, count(*) from u where et='CALLS' group by 2
+ union all select 'evolution', et, count(distinct src||'>'||dst) from p group by 2""")
+def _(s, d):
+    return V2.counters(_merged(s, d))
+
+
 #: Five versions, 1994 to 1998, as V-4 to V0.
 _FIVE = _pairs_sql(1994, 1998, "case when {0}-q=1998 then 'V0' else 'V-'||(1998-({0}-q)) end")
 

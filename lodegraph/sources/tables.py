@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Tables:
-    """Intermediate tables of one call, written once and read by later steps; ``close`` deletes them."""
+    """Intermediate tables of one call, written once and read by later steps; ``close`` deletes them, as does `closing`."""
+
+    #: Open ones, where `closing` watches.
+    opened: list[Tables] | None = None
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self._n = spark, f"{shared_dir(spark)}/lodegraph-{name}-{uuid.uuid4().hex}", 0
+        if Tables.opened is not None:
+            Tables.opened.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -34,3 +41,17 @@ class Tables:
     def close(self) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def closing(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators of this session wrote under it; results that read from it must have been used by then."""
+    before = Tables.opened
+    Tables.opened = []
+    try:
+        yield
+    finally:
+        for t in Tables.opened:
+            if t.spark is spark:
+                t.close()
+        Tables.opened = before

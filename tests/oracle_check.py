@@ -8,6 +8,8 @@ from pathlib import Path
 
 import duckdb
 
+from lodegraph.sources.tables import closing
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -29,7 +31,9 @@ def canonical(rows: list[dict]) -> list[tuple]:
 
 def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
     """What differs, or nothing."""
-    got, want = query(spark, sf_dir).toArrow(), con.execute(sql).to_arrow_table()
+    with closing(spark):
+        got = query(spark, sf_dir).toArrow()
+    want = con.execute(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return f"columns {sorted(got.column_names)} and {sorted(want.column_names)}"
     if kinds := [(c, got.schema.field(c).type, want.schema.field(c).type) for c in got.column_names if _kind(got.schema.field(c).type) != _kind(want.schema.field(c).type)]:

@@ -88,3 +88,25 @@ def test_statements_with_properties(spark):
     assert got["t"] == "CREATE (n:TYPE {key: 't', annotations: [], note: 'x'})"
     edges = spark.createDataFrame([("m", "t", "CALLS", 4)], "src string, dst string, edge_type string, line int")
     assert export.statements(export.resolve_endpoints(edges, nodes), ["line"]).first()["statement"].endswith(" CREATE (src)-[:CALLS {line: 4}]->(dst)")
+
+
+def test_tables_go_when_their_block_ends(spark):
+    from lodegraph.sources.tables import Tables, closing
+
+    kept = Tables(spark, "kept")
+    kept.write(spark.range(3), "t")
+    with closing(spark):
+        gone = Tables(spark, "gone")
+        assert gone.write(spark.range(3), "t").count() == 3
+    assert not os.path.exists(gone.base.removeprefix("file://")) and os.path.exists(kept.base.removeprefix("file://"))
+    kept.close()
+
+
+def test_test_classes(spark):
+    from lodegraph.operators import mining
+
+    types = spark.createDataFrame([("a", "ATest", None, None), ("b", "B", ["org.x.RunWith"], None), ("c", "C", [], "/r/src/test/C.java"), ("d", "D", [], "/r/src/main/D.java"), ("e", "E", None, "/r/src/test/E.java"), ("f", None, None, None)], "node_id string, name string, annotations array<string>, path string")
+    methods = spark.createDataFrame([("c", ["org.junit.Test"]), ("d", ["org.junit.Test"]), ("e", ["Override"]), ("base", ["x.Test"])], "declaring_type string, annotations array<string>")
+    assert rows(mining.test_classes(types, methods), "node_id", "reason") == [("a", "name"), ("b", "annotation"), ("c", "path")]
+    above = spark.createDataFrame([("e", "base")], "node_id string, ancestor string")
+    assert rows(mining.test_classes(types, methods, above), "node_id", "reason")[-1] == ("e", "path")
