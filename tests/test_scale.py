@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodegraph.functions import exprs as X
+from lodegraph.sources.tables import Tables
 
 
 def test_sizes_stop_at_the_largest_unit(spark):
@@ -17,3 +18,13 @@ def test_report_sizes_of_large_ids(spark, tmp_path):
     spark.createDataFrame([(1023,), (1 << 20,), (5590068,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: r["size"] for r in entry.queries()["report_formats"](spark, str(tmp_path)).collect()}
     assert got == {1023: "1023B", 1 << 20: "1024.0KB", 5590068: "5459.1KB"}
+
+
+def test_written_tables_are_not_broadcast(spark):
+    """A step of a timeline joins some twenty written tables; none of them may be built whole on the driver."""
+    tables = Tables(spark, "test")
+    a, b = (tables.write(spark.range(10).withColumn("x", F.lit(1)), n) for n in ("a", "b"))
+    both = a.where("x = 1").select("id").join(b.groupBy("id").agg(F.max("x").alias("x")), "id").join(b.select("id", F.col("x").alias("y")), "id", "left_anti")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    assert "BroadcastHashJoin" in a.join(F.broadcast(b), "id")._jdf.queryExecution().executedPlan().toString()
