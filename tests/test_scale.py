@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodegraph.functions import exprs as X
+from lodegraph.operators import graph
 from lodegraph.sources.tables import Tables
 
 
@@ -28,3 +29,31 @@ def test_written_tables_are_not_broadcast(spark):
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
     assert "BroadcastHashJoin" in a.join(F.broadcast(b), "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_starts_of_one_part_of_a_graph_share_blocks(spark):
+    """Masks grow with the reach of starts, not with the product of starts and nodes."""
+    parts, size, d = 8, 64, 3
+    ring = [(f"{p}_{i}", f"{p}_{(i + 1) % size}") for p in range(parts) for i in range(size)]
+    chord = [(f"{p}_{i}", f"{p}_{(i * 7 + 3) % size}") for p in range(parts) for i in range(size)]
+    edges, starts = spark.createDataFrame(ring + chord, "src string, dst string"), spark.createDataFrame([(a,) for a, _ in ring] + [("alone",)], "node_id string")
+    tables = Tables(spark, "test")
+    dealt = tables.write(graph.start_bits(starts, graph.reach_labels(edges, size, tables)), "starts")
+    assert dealt.count() == dealt.select("block", "bit").distinct().count() == parts * size + 1
+    near = graph.reach_bits(edges, dealt, d, tables).count()
+    far = graph.reach_bits(edges, tables.write(graph.start_bits(starts), "starts"), d, tables).count()
+    assert 2 * near < far
+    rows = graph.reach(edges, starts, d).collect()
+    up = {}
+    for a, b in ring + chord:
+        up.setdefault(b, set()).add(a)
+    want = set()
+    for s in [a for a, _ in ring] + ["alone"]:
+        met, front = {s: 0}, {s}
+        for i in range(1, d + 1):
+            front = {u for x in front for u in up.get(x, ())} - met.keys()
+            met |= dict.fromkeys(front, i)
+        want |= {(s, x, i) for x, i in met.items()}
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    counts = {r["depth"]: (r["n"], r["nodes"], r["starts"]) for r in graph.reach_counts(edges, starts, d).collect()}
+    assert counts == {i: (len(x := [r for r in want if r[2] == i]), len({r[1] for r in x}), len({r[0] for r in x})) for i in range(d + 1)}
