@@ -57,14 +57,15 @@ def variants(words: DataFrame, scratch: Scratch) -> DataFrame:
     with every form, so chains are short, and following them doubles its stride. No words give no rows; null words are dropped, and a word may
     come in several rows (their counts are added).
     """
-    words = scratch.write(words.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # By their compressed columns these tables count as small; the hint keeps joins from building them whole on the driver.
+    words = scratch.write(words.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words").hint("merge")
     near = near_words(words).groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
     formed = F.col("best.minus") * -1 >= F.col("n") * 2
     near = near.select("word", "n_near", F.when(formed, F.col("best.near")).alias("form"), F.when(formed, -F.col("best.minus")).alias("form_n"))
-    found = scratch.write(words.join(near, "word", "left").select("word", "form", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n"), "forms")
+    found = scratch.write(words.join(near, "word", "left").select("word", "form", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n"), "forms").hint("merge")
     up = scratch.write(found.where("form is not null").select("word", F.col("form").alias("root")), "up")
     while True:
-        step = up.select(F.col("word").alias("root"), F.col("root").alias("further"))
+        step = up.select(F.col("word").alias("root"), F.col("root").alias("further")).hint("merge")
         new = scratch.write(up.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "up")
         scratch.drop(up)
         up = new.select("word", "root")
