@@ -7,6 +7,7 @@ import pytest
 
 from lodegraph.llm import ann, line_dedup, near_dup, packing, records
 from lodegraph.llm.runtime import Scratch
+from lodegraph.llm.setlinks import SetLinks
 from tests.llm.test_llm import frame, sentence
 
 
@@ -65,3 +66,18 @@ def test_near_duplicates_of_long_texts(spark):
     docs = frame(spark, [long, cut, long[len(long) // 2 :]], [1, 2, 3])
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, Scratch(spark, "t")).collect()}
     assert got == {1: 1, 2: 1, 3: 3} and len(long) > 2 * (1 << 18)
+
+
+def test_pairs_of_the_prefix_join_carry_masks(spark):
+    """Sets whose rarest elements agree pass the prefix filter; those that differ in many others are no candidates, and no link is lost."""
+    rng = random.Random(4)
+    draw = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    often, rare = draw(300), draw(12)
+    sets = [rare + rng.sample(often, 28) for _ in range(40)]
+    sets += [[*s[:38], *draw(2)] for s in sets[:10]]
+    rows = [(i, i % 7, np.array(s, dtype=np.uint64).tobytes()) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "id long, c long, items binary")
+    got = {(r["a"], r["b"]) for r in SetLinks(Scratch(spark, "t"), "long", 80, 100, None)._prefix_pairs(held).collect()}
+    apart = [(a, b) for b in range(len(sets)) for a in range(b) if a % 7 != b % 7]
+    links = {(a, b) for a, b in apart if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert links and links <= got and len(got) < len(apart) / 4
