@@ -57,3 +57,13 @@ def test_starts_of_one_part_of_a_graph_share_blocks(spark):
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
     counts = {r["depth"]: (r["n"], r["nodes"], r["starts"]) for r in graph.reach_counts(edges, starts, d).collect()}
     assert counts == {i: (len(x := [r for r in want if r[2] == i]), len({r[1] for r in x}), len({r[0] for r in x})) for i in range(d + 1)}
+
+
+def test_spread_grows_in_partitions_and_not_in_rows(spark):
+    """Calls of few small columns are dealt by the size of their input, also where a join's size is overrated."""
+    from lodegraph.sources.tables import SPREAD, spread
+
+    least = 2 * spark.sparkContext.defaultParallelism
+    few, many = spark.range(1000), spark.range(4 * least * (SPREAD // 8))
+    assert spread(few, "id").rdd.getNumPartitions() == least
+    assert spread(many, "id").rdd.getNumPartitions() == spread(few, "id", like=many).rdd.getNumPartitions() == 4 * least
