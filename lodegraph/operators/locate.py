@@ -1,8 +1,8 @@
 """Line ranges to elements: interval and nearest joins, by file and line bins.
 
-A range is dealt to the bins of ``BIN`` lines that it touches, and to one coarse bin for each ``COARSE`` lines, so that two ranges of a
-file meet wherever they overlap; a long range (over ``MANY`` fine bins) is dealt to coarse bins alone. A pair counts in one bin: the
-first that both touch, at the coarser level of the two. Work in a file follows the pairs that are near each other, however many lines the
+A range is dealt to the bins of ``BIN`` lines that it touches, a long one (over ``MANY`` bins) to coarse bins. Short ranges go to coarse bins too,
+but meet there only long ones of the other side, at a level of their own; two short ranges of a file meet in fine bins alone. A
+pair counts in one bin: the first that both touch. Work in a file follows the pairs that are near each other, however many lines the
 file has.
 """
 
@@ -15,29 +15,49 @@ from pyspark.sql import functions as F
 BIN, COARSE, MANY = 64, 1 << 16, 1024
 
 
-def _dealt(rows: DataFrame, lo: Column, hi: Column, side: str) -> DataFrame:
-    """``rows`` once a bin: ``_level, _bin``, and the range's own level and first bins; no rows for an empty or unknown range."""
-    first, last = (lambda w: F.floor(lo / w)), (lambda w: F.floor(hi / w))
-    long = last(BIN) - first(BIN) >= MANY
-    bins = lambda w, level: F.transform(F.sequence(first(w), last(w)), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
-    every = F.when(long, bins(COARSE, 1)).otherwise(F.concat(bins(BIN, 0), bins(COARSE, 1)))
-    known = rows.where((lo <= hi) & lo.isNotNull() & hi.isNotNull())
-    own = known.withColumns({f"_level_{side}": F.when(long, 1).otherwise(0), f"_fine_{side}": first(BIN), f"_coarse_{side}": first(COARSE)})
-    return own.withColumn("_at", F.explode(every)).withColumns({"_level": F.col("_at.level"), "_bin": F.col("_at.bin")}).drop("_at")
+#: Levels at which ranges meet: both short, the right one long, the left one alone long.
+SHORT, RIGHT_LONG, LEFT_LONG = 0, 1, 2
 
 
-def range_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column]) -> DataFrame:
+def _first(at: Column, lines: int) -> Column:
+    return F.floor(at / lines)
+
+
+def _is_long(lo: Column, hi: Column) -> Column:
+    return _first(hi, BIN) - _first(lo, BIN) >= MANY
+
+
+def _some_long(rows: DataFrame, lo: Column, hi: Column) -> Column:
+    """Whether any of ``rows`` is long: one value, found once before the join runs."""
+    return F.coalesce(rows.agg(F.bool_or(_is_long(lo, hi))).scalar(), F.lit(False))
+
+
+def _dealt(rows: DataFrame, lo: Column, hi: Column, side: str, far: Column | None = None) -> DataFrame:
+    """``rows`` of side ``a`` (left) or ``b`` once a bin, with ``_level, _bin``; ``far`` says whether the other side has long ranges (unknown: it may)."""
+    far = F.lit(True) if far is None else far
+    bins = lambda lines, level: F.transform(F.sequence(_first(lo, lines), _first(hi, lines)), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+    if_far = lambda level: F.when(far, bins(COARSE, level)).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+    short = F.concat(bins(BIN, SHORT), if_far(RIGHT_LONG if side == "a" else LEFT_LONG))
+    long = F.concat(if_far(RIGHT_LONG), bins(COARSE, LEFT_LONG)) if side == "a" else bins(COARSE, RIGHT_LONG)
+    every = F.when(_is_long(lo, hi), long).otherwise(short)
+    return rows.withColumn("_at", F.explode(every)).withColumns({"_level": F.col("_at.level"), "_bin": F.col("_at.bin")}).drop("_at")
+
+
+def range_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], look: bool = False) -> DataFrame:
     """Pairs of rows that agree on ``on`` and whose ranges (first and last, both included) overlap, each once.
 
     The columns of a range have names that the other side lacks. Null keys, null ends and ranges that end before they begin match nothing.
+    ``look``: read both sides first for long ranges, without which nothing is dealt to coarse bins; for sides that cost a scan and no shuffle.
     """
-    a, b = _dealt(left, *left_range, "a"), _dealt(right, *right_range, "b")
-    level = F.greatest("_level_a", "_level_b")
-    first = F.when(level == 1, F.greatest("_coarse_a", "_coarse_b")).otherwise(F.greatest("_fine_a", "_fine_b"))
-    both = a.join(b, [*on, "_level", "_bin"]).where((F.col("_level") == level) & (F.col("_bin") == first))
+    known = lambda rows, lo, hi: rows.where((lo <= hi) & lo.isNotNull() & hi.isNotNull())
+    one, two = known(left, *left_range), known(right, *right_range)
+    far = lambda rows, lo, hi: _some_long(rows, lo, hi) if look else None
+    a, b = _dealt(one, *left_range, "a", far(two, *right_range)), _dealt(two, *right_range, "b", far(one, *left_range))
+    start = F.greatest(left_range[0], right_range[0])
+    both = a.join(b, [*on, "_level", "_bin"]).where(F.col("_bin") == F.when(F.col("_level") == SHORT, _first(start, BIN)).otherwise(_first(start, COARSE)))
     # Ranges that share a bin need not overlap in it.
     both = both.where((left_range[0] <= right_range[1]) & (right_range[0] <= left_range[1]))
-    return both.drop("_level", "_bin", *(f"_{c}_{s}" for c in ("level", "fine", "coarse") for s in "ab"))
+    return both.drop("_level", "_bin")
 
 
 def overlapping(elements: DataFrame, hunks: DataFrame, on: list[str], slack: int = 0) -> DataFrame:
@@ -61,7 +81,7 @@ def located(nodes: DataFrame, places: DataFrame, slack: int = 2, by: tuple[str,
     field, start, end, lo, hi = F.col("node_type") == "FIELD", *(F.col(c) for c in ("line_start", "line_end", "lo", "hi"))
     near = F.when(field, F.abs(start - lo) <= slack).otherwise((lo - slack <= end + slack) & (hi + slack >= start - slack))
     lines = F.least(start, end) - slack, F.when(field, start).otherwise(F.greatest(start, end)) + slack
-    found = range_join(own, places, [*by, "path"], lines, (F.least(lo, hi) - slack, F.greatest(lo, hi) + slack)).where(near)
+    found = range_join(own, places, [*by, "path"], lines, (F.least(lo, hi) - slack, F.greatest(lo, hi) + slack), look=True).where(near)
     # A field's distance is that of its one line.
     return found.withColumn("start_line", start).withColumn("end_line", F.when(field, hi).otherwise(end))
 
@@ -72,7 +92,7 @@ def changed_nodes(n1: DataFrame, n2: DataFrame, hunks: DataFrame, by: tuple[str,
     A hunk is known by what it holds, so equal ones count once and a task that runs again names it the same.
     """
     path = F.when(F.col("side") == "V1", F.col("old_path")).otherwise(F.col("new_path"))
-    at = hunk_sides(hunks).withColumn("path", path).where("path <> '/dev/null'").select(*by, "side", "path", "lo", "hi").distinct()
+    at = hunk_sides(hunks).withColumn("path", path).where("path <> '/dev/null'").select(*by, "side", "path", "lo", "hi")
     one = lambda nodes, side: nearest(located(nodes, at.where(F.col("side") == side), by=by), [*by, "side", "path", "lo", "hi"], ["node_id"])
     return one(n1, "V1").union(one(n2, "V2")).select(*by, "side", "node_id").distinct()
 

@@ -104,3 +104,19 @@ def test_a_hot_file_compares_what_is_near(spark):
     b = locate._dealt(h, F.col("lo"), F.col("hi"), "b")
     met = a.where("_level = 0").join(b.where("_level = 0"), ["path", "_level", "_bin"]).count()
     assert met < 16 * n
+
+
+def test_short_ranges_meet_in_fine_bins_alone(spark):
+    """All rows of a file once met in its coarse bin, and every row was dealt to one."""
+    n = 2000
+    e = spark.range(n).select(F.lit("f").alias("path"), (F.col("id") * 10 + 1).alias("s"), (F.col("id") * 10 + 8).alias("e"))
+    h = spark.range(n).select(F.lit("f").alias("path"), (F.col("id") * 10 + 4).alias("lo"), (F.col("id") * 10 + 5).alias("hi"))
+    at = (F.col("s"), F.col("e")), (F.col("lo"), F.col("hi"))
+    a, b = locate._dealt(e, *at[0], "a"), locate._dealt(h, *at[1], "b")
+    assert a.join(b, ["path", "_level", "_bin"]).count() < 16 * n
+    a = locate._dealt(e, *at[0], "a", locate._some_long(h, *at[1]))
+    assert a.where("_level > 0").count() == 0 and a.count() < 2 * n
+    # One long range on the other side meets all of them, one on each side meet once.
+    long = spark.createDataFrame([("f", 1, 300_000)], "path string, lo long, hi long")
+    assert locate.range_join(e, h.union(long), ["path"], *at).count() == 2 * n
+    assert locate.range_join(e.union(long), h.union(long), ["path"], *at).count() == 3 * n + 1
