@@ -122,6 +122,7 @@ def merge_pairs(n1: DataFrame, n2: DataFrame, e1: DataFrame, e2: DataFrame, pair
 
     o1, o2 = R.owners(e1, PAIR), R.owners(e2, PAIR)
     found = R.with_edge_type(R.sided_edges(refactorings)).withColumns({"step": F.lit(0), "phase": F.lit(0), "detected_by": F.lit("RefactoringMiner")})
+    found = tables.write(found, "found")
     from_refs = tables.write(found.unionByName(_member_edges(found, n1, o1, o2)), "from-refactorings")
     taken = from_refs.select("pair", F.col("src").alias("v1_id"), F.col("dst").alias("v2_id")).distinct()
     none = F.array().cast("array<string>")
@@ -155,17 +156,17 @@ def merge_pairs(n1: DataFrame, n2: DataFrame, e1: DataFrame, e2: DataFrame, pair
     state = tables.write(watched.withColumns(merged).select(*ids, "is_tracked", "first", "second", *merged), "state")
     left, right = gone.join(named, "pair"), come.join(named, "pair")
 
-    def rows(side: DataFrame, ends: DataFrame, key: str, merged_id, versions, status) -> DataFrame:
-        """Nodes of a side at the rows of ``ends``, copied to their merged id with versions and status."""
-        at = ends.select("pair", F.col(key).alias("node_id"), merged_id.alias("_id"), versions.alias("versions"), status.alias("version_status"))
-        own = side.join(at, ["pair", "node_id"]).withColumn("original_id", F.col("node_id")).withColumn("node_id", F.col("_id")).drop("_id")
+    def rows(side: DataFrame, ends: DataFrame) -> DataFrame:
+        """Nodes of a side at ``ends``, copied to their merged id with versions and status: each side is joined once."""
+        own = side.join(ends, ["pair", "node_id"]).withColumn("original_id", F.col("node_id")).withColumn("node_id", F.col("_id")).drop("_id")
         return own.withColumns({"first_version": F.element_at("versions", 1), "last_version": F.element_at("versions", -1)})
 
-    one, two, own_status = F.array("first"), F.array("second"), F.col("status")
-    nodes = rows(n1, state.where("not apart"), "v1_id", F.col("v1_id"), F.array("first", "second"), F.lit("UNCHANGED"))
-    nodes = nodes.unionByName(rows(n1, state.where("apart"), "v1_id", F.col("m1"), one, own_status)).unionByName(rows(n2, state.where("apart"), "v2_id", F.col("m2"), two, own_status))
     old, new = X.versioned_id(F.col("node_id"), F.col("first")), X.versioned_id(F.col("node_id"), F.col("second"))
-    nodes = nodes.unionByName(rows(n1, left, "node_id", old, one, F.lit("DELETED"))).unionByName(rows(n2, right, "node_id", new, two, F.lit("ADDED")))
+    one, two, status = F.array("first"), F.array("second"), F.col("status")
+    at = lambda ends, key, merged_id, versions, status: ends.select("pair", F.col(key).alias("node_id"), merged_id.alias("_id"), versions.alias("versions"), status.alias("version_status"))
+    ends1 = at(state, "v1_id", F.col("m1"), F.when(F.col("apart"), one).otherwise(F.array("first", "second")), status).union(at(left, "node_id", old, one, F.lit("DELETED")))
+    ends2 = at(state.where("apart"), "v2_id", F.col("m2"), two, status).union(at(right, "node_id", new, two, F.lit("ADDED")))
+    nodes = rows(n1, ends1).unionByName(rows(n2, ends2))
 
     ids1 = state.select("pair", "v1_id", "m1").union(left.select("pair", "node_id", old))
     ids2 = state.select("pair", "v2_id", "m2").union(right.select("pair", "node_id", new))
@@ -189,9 +190,12 @@ def merge(g1: Graph, g2: Graph, mapping: DataFrame, refactorings: DataFrame, cha
 
 
 def analyse(g1: Graph, g2: Graph, refactorings: DataFrame, hunks: DataFrame, labels: tuple[str, str] = ("V1", "V2"), tracked: DataFrame | None = None, matchers=None) -> Evolution:
-    """The two-version analysis from facts: match, resolve refactorings, mark changed nodes from ``hunks``, merge."""
+    """The two-version analysis from facts: match, resolve refactorings, mark changed nodes from ``hunks``, merge. The facts are written once, as many steps read them."""
+    tables = Tables(g1.nodes.sparkSession, "evolution")
+    g1, g2 = (Graph(tables.write(g.nodes, "nodes"), tables.write(g.edges, "edges")) for g in (g1, g2))
+    refactorings, hunks = tables.write(refactorings, "refactorings"), tables.write(hunks, "hunks")
     mapping = R.match_all(g1.nodes, g2.nodes, matchers)
-    return merge(g1, g2, mapping, with_sides(refactorings, g1.nodes, g2.nodes), L.changed_nodes(g1.nodes, g2.nodes, hunks), labels, tracked)
+    return merge(g1, g2, mapping, with_sides(refactorings, g1.nodes, g2.nodes), L.changed_nodes(g1.nodes, g2.nodes, hunks), labels, tracked, tables)
 
 
 def statistics(merged: Evolution) -> DataFrame:
@@ -209,10 +213,13 @@ def counters(merged: Evolution) -> DataFrame:
     """``what, kind, n`` of a merge: nodes by status, structural edges by type, those of calls also by the version they came from, evolution edges by type."""
     c = F.col
     nodes = merged.nodes.groupBy(F.lit("node").alias("what"), c("version_status").alias("kind")).agg(F.count("*").alias("n"))
-    edges = merged.edges.groupBy(F.lit("edge").alias("what"), c("edge_type").alias("kind")).agg(F.count("*").alias("n"))
-    calls = merged.edges.where("edge_type = 'CALLS'").groupBy(F.lit("call").alias("what"), F.concat(F.lit("V"), c("side").cast("string")).alias("kind")).agg(F.count("*").alias("n"))
+    # Edges are counted once by type and version; these few rows give both kinds of counts.
+    own = F.struct(F.lit("edge").alias("what"), c("edge_type").alias("kind"))
+    call = F.struct(F.lit("call").alias("what"), F.concat(F.lit("V"), c("side").cast("string")).alias("kind"))
+    sided = merged.edges.groupBy("edge_type", "side").agg(F.count("*").alias("n"))
+    edges = sided.select(F.explode(F.when(c("edge_type") == "CALLS", F.array(own, call)).otherwise(F.array(own))).alias("k"), "n").groupBy("k.what", "k.kind").agg(F.sum("n").alias("n"))
     evolution = merged.evolution.groupBy(F.lit("evolution").alias("what"), c("edge_type").alias("kind")).agg(F.count("*").alias("n"))
-    return nodes.union(edges).union(calls).union(evolution)
+    return nodes.union(edges).union(evolution)
 
 
 def labelled(rows: DataFrame, columns: list[str], versions: DataFrame) -> DataFrame:

@@ -67,3 +67,22 @@ def test_spread_grows_in_partitions_and_not_in_rows(spark):
     few, many = spark.range(1000), spark.range(4 * least * (SPREAD // 8))
     assert spread(few, "id").rdd.getNumPartitions() == least
     assert spread(many, "id").rdd.getNumPartitions() == spread(few, "id", like=many).rdd.getNumPartitions() == 4 * least
+
+
+def test_facts_of_two_versions_are_read_once(spark):
+    """The merge reads nodes, edges and refactorings in many steps; it once made them anew from their sources in each."""
+    from lodegraph.operators import evolve
+    from lodegraph.sources import facts
+    from tests.test_operators import REFS, code
+
+    def from_range(g):
+        both = lambda df: df.join(spark.range(1).withColumnRenamed("id", "made"), F.lit(True), "cross").drop("made")
+        return graph.Graph(both(g.nodes), both(g.edges))
+
+    g1, g2 = (from_range(code(spark, [("T", "TYPE", "t", 0), ("m", "METHOD", s, 10)], [("T", "m", "DECLARES"), ("m", "m", "CALLS")])) for s in ("a", "b"))
+    assert "Range (" in g1.nodes._jdf.queryExecution().optimizedPlan().toString()
+    m = evolve.analyse(g1, g2, spark.createDataFrame([], REFS), spark.createDataFrame([], facts.HUNK))
+    for t in (m.nodes, m.edges, m.evolution, evolve.counters(m)):
+        assert "Range (" not in t._jdf.queryExecution().optimizedPlan().toString()
+    counts = {(r["what"], r["kind"]): r["n"] for r in evolve.counters(m).collect()}
+    assert counts["edge", "CALLS"] == counts["call", "V1"] + counts["call", "V2"] and counts["node", "MODIFIED"] == 2
