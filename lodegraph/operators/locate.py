@@ -48,13 +48,14 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tup
 
     The columns of a range have names that the other side lacks. Null keys, null ends and ranges that end before they begin match nothing.
     ``look``: read both sides first for long ranges, without which nothing is dealt to coarse bins; for sides that cost a scan and no shuffle.
+    Sides meet by sort and merge: a side that is dealt to paths and bins has many times the rows that the planner counts, too many to broadcast.
     """
     known = lambda rows, lo, hi: rows.where((lo <= hi) & lo.isNotNull() & hi.isNotNull())
     one, two = known(left, *left_range), known(right, *right_range)
     far = lambda rows, lo, hi: _some_long(rows, lo, hi) if look else None
     a, b = _dealt(one, *left_range, "a", far(two, *right_range)), _dealt(two, *right_range, "b", far(one, *left_range))
     start = F.greatest(left_range[0], right_range[0])
-    both = a.join(b, [*on, "_level", "_bin"]).where(F.col("_bin") == F.when(F.col("_level") == SHORT, _first(start, BIN)).otherwise(_first(start, COARSE)))
+    both = a.hint("merge").join(b, [*on, "_level", "_bin"]).where(F.col("_bin") == F.when(F.col("_level") == SHORT, _first(start, BIN)).otherwise(_first(start, COARSE)))
     # Ranges that share a bin need not overlap in it.
     both = both.where((left_range[0] <= right_range[1]) & (right_range[0] <= left_range[1]))
     return both.drop("_level", "_bin")

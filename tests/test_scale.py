@@ -86,3 +86,17 @@ def test_facts_of_two_versions_are_read_once(spark):
         assert "Range (" not in t._jdf.queryExecution().optimizedPlan().toString()
     counts = {(r["what"], r["kind"]): r["n"] for r in evolve.counters(m).collect()}
     assert counts["edge", "CALLS"] == counts["call", "V1"] + counts["call", "V2"] and counts["node", "MODIFIED"] == 2
+
+
+def test_dealt_sides_are_not_broadcast(spark):
+    """A small table of nodes becomes many rows, one for each path end and bin; the planner counts those of the table and would build them all on the driver."""
+    from lodegraph.operators import locate
+
+    at = spark.range(100).select(F.concat(F.lit("F"), F.col("id") % 9, F.lit(".java")).alias("path"), F.col("id").alias("lo"), (F.col("id") + 5).alias("hi"))
+    nodes = spark.range(50).select(F.concat(F.lit("n"), "id").alias("node_id"), F.lit("METHOD").alias("node_type"), F.lit(None).cast("string").alias("relative_path"), F.concat(F.lit("/r/s/F"), F.col("id") % 9, F.lit(".java")).alias("absolute_path"), (F.col("id") * 2 + 1).alias("line_start"), (F.col("id") * 2 + 2).alias("line_end"))
+    found = locate.located(nodes, at)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    want = {(f"n{n}", lo) for lo in range(100) for n in range(50) if n % 9 == lo % 9 and lo - 2 <= 2 * n + 4 and lo + 7 >= 2 * n - 1}
+    got = [(r["node_id"], r["lo"]) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
