@@ -100,3 +100,25 @@ def test_dealt_sides_are_not_broadcast(spark):
     want = {(f"n{n}", lo) for lo in range(100) for n in range(50) if n % 9 == lo % 9 and lo - 2 <= 2 * n + 4 and lo + 7 >= 2 * n - 1}
     got = [(r["node_id"], r["lo"]) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_masks_are_dealt_before_edges_open(spark):
+    """A step's exchanges hold masks and lists of ends: an edge with a mask is not shuffled, whatever the length of a list."""
+    ends = graph.LIST + 44
+    edges = spark.createDataFrame([(f"u{i}", "hub") for i in range(ends)] + [(f"v{i}", f"u{i}") for i in range(50)] + [("hub", "v7")], "src string, dst string")
+    starts = spark.createDataFrame([("hub",)] + [(f"u{i}",) for i in range(50)], "node_id string")
+    tables = Tables(spark, "test")
+    dealt = tables.write(graph.start_bits(starts), "starts")
+    lists = graph._lists(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("up")), tables)
+    assert sorted(len(r["ups"]) for r in lists.where("node_id = 'hub'").collect()) == [44, graph.LIST]
+    steps = graph.reach_wide(edges, dealt, 3, tables)
+    sent = graph._either(graph._sent(steps[0], lists), ["wide", "node_id"])
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(ups") < plan.index("Exchange hashpartitioning(wide")
+    assert plan.count("Exchange hashpartitioning(wide") == 1 and sent.count() == ends + 50
+    assert [x.count() for x in steps[:2]] == [51, ends + 50]
+    bits = {(r["block"], r["bit"]): r["start"] for r in dealt.collect()}
+    got = {(bits[r["wide"] * graph.WORDS + i, j], r["node_id"], d) for d, x in enumerate(steps) for r in x.collect() for i, m in enumerate(r["m"]) for j in range(64) if m >> j & 1}
+    want = {("hub", "hub", 0)} | {("hub", f"u{i}", 1) for i in range(ends)} | {("hub", f"v{i}", 2) for i in range(50)}  # v7 calls u7, and hub calls v7
+    assert {x for x in got if x[0] == "hub"} == want
+    assert {x for x in got if x[0] == "u7"} == {("u7", "u7", 0), ("u7", "v7", 1), ("u7", "hub", 2)} | {("u7", f"u{i}", 3) for i in range(ends) if i != 7}
